@@ -7,8 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from brasswork.llm import byte_bpe, ogg
-from brasswork.llm.common import read_table
+from brasswork.llm import byte_bpe, language_id, ogg, packing, quality, toxicity
+from brasswork.llm.common import held_out, labelled_sample, read_table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity.fit_sample(labelled_sample(spark, sf_dir, "toxic", max_rows=8000))
+    return toxicity.score_documents(read_table(spark, sf_dir, "documents"), model)
 
 
 def op3_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +25,24 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_documents(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the vocabulary of byte_bpe_50k.json, as ranks
+    return packing.pack_documents(spark, read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.predict_documents(documents.select("doc_id", "text"), language_id.fit_documents(documents))
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = quality.fit_sample(labelled_sample(spark, sf_dir, "quality", max_rows=3000))
+    return quality.score_documents(read_table(spark, sf_dir, "documents"), model)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ogg, op4_byte_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op3_ogg, op4_byte_bpe, op6_packing, op7_language_id, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
