@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brasswork.llm import byte_bpe, language_id, ogg, packing, quality, toxicity
+from brasswork.llm import byte_bpe, language_id, ogg, packing, quality, toxicity, vector_index
 from brasswork.llm.common import held_out, labelled_sample, read_table
 
 
@@ -41,9 +42,28 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(read_table(spark, sf_dir, "documents"), model)
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_index.top_k(spark, read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_ogg, op4_byte_bpe, op6_packing, op7_language_id, op9_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op3_ogg, op4_byte_bpe, op6_packing, op7_language_id, op9_quality, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_top_k": OP10_SQL}
