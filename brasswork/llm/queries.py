@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brasswork.llm import byte_bpe, language_id, ogg, packing, quality, toxicity, vector_index
+from brasswork.llm import byte_bpe, language_id, near_duplicates, ogg, packing, quality, toxicity, vector_index
 from brasswork.llm.common import held_out, labelled_sample, read_table
 
 
@@ -26,6 +26,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_documents(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.jaccard_classes(spark, read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_links")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the vocabulary of byte_bpe_50k.json, as ranks
     return packing.pack_documents(spark, read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -62,7 +67,7 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_ogg, op4_byte_bpe, op6_packing, op7_language_id, op9_quality, op10_top_k)}
+    return {f.__name__: f for f in (op1_toxicity, op3_ogg, op4_byte_bpe, op5_jaccard_join, op6_packing, op7_language_id, op9_quality, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
