@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brasswork.llm import byte_bpe, language_id, near_duplicates, ogg, packing, quality, toxicity, vector_index
+from brasswork.llm import byte_bpe, language_id, near_duplicates, ogg, packing, quality, repeats, toxicity, vector_index
 from brasswork.llm.common import held_out, labelled_sample, read_table
 
 
@@ -42,6 +42,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest_documents(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit_sample(labelled_sample(spark, sf_dir, "quality", max_rows=3000))
     return quality.score_documents(read_table(spark, sf_dir, "documents"), model)
@@ -67,7 +71,7 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_ogg, op4_byte_bpe, op5_jaccard_join, op6_packing, op7_language_id, op9_quality, op10_top_k)}
+    return {f.__name__: f for f in (op1_toxicity, op3_ogg, op4_byte_bpe, op5_jaccard_join, op6_packing, op7_language_id, op8_suffix_dedup, op9_quality, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
