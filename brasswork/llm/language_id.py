@@ -6,6 +6,7 @@ the others, predict the family; then, within it, one linear machine for each pai
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brasswork.llm.common import slices
-from brasswork.llm.linear import fit_hinge, sigmoid
+from brasswork.llm.linear import Row, fit_hinge, sigmoid
 
 #: ISO 639-1 codes by language family. A code that isn't here is a family of its own.
 FAMILIES = {
@@ -57,8 +58,11 @@ def gram_places(text: str) -> Iterator[np.ndarray]:
         yield ((grams ^ (grams >> np.uint32(15))) * _MIX) >> _SHIFT
 
 
-def gram_counts(text: str) -> np.ndarray:
-    return sum((np.bincount(p, minlength=1 << BITS) for p in gram_places(text)), np.zeros(1 << BITS, np.int64))
+def gram_counts(text: str) -> Row:
+    """Places that occur in a whole text, and how often."""
+    total = sum((np.bincount(p, minlength=1 << BITS) for p in gram_places(text)), np.zeros(1 << BITS, np.int64))
+    places = np.flatnonzero(total)
+    return places.astype(np.int32), total[places].astype(np.int32)
 
 
 @dataclass
@@ -96,17 +100,16 @@ class Model:
         return langs[best], float(sigmoid(4 * min(sure, least)))
 
 
-def fit(counts: list[np.ndarray], langs: list[str]) -> Model:
-    """From n-gram counts of training texts and their languages."""
+def fit(counts: list[Row], langs: list[str]) -> Model:
+    """From n-gram counts of training texts (places and numbers) and their languages."""
     names = sorted(set(langs))
     families = sorted({family_of(x) for x in names})
     members = [[x for x in names if family_of(x) == f] for f in families]
-    shares = [c / max(1, c.sum()) for c in counts]
-    scale = 1 / np.sqrt(np.mean(shares, axis=0) + 1e-5) if shares else np.ones(1 << BITS)
-    rows = []
-    for share in shares:
-        places = np.flatnonzero(share)
-        rows.append((places, share[places] * scale[places]))
+    mean = np.zeros(1 << BITS)
+    for places, n in counts:
+        mean[places] += n / max(1, n.sum()) / len(counts)
+    scale = 1 / np.sqrt(mean + 1e-5)
+    rows = [(places, n / max(1, n.sum()) * scale[places]) for places, n in counts]
     columns, intercepts, pairs = [], [], []
 
     def machine(keep: list[int], positive: list[bool]) -> int:
@@ -144,24 +147,21 @@ def training_rows(documents: DataFrame, per_lang: int, modulus: int = 4, remaind
     return usable.where(spread < share[F.col("lang")]).select("text", "lang")
 
 
-def fit_documents(documents: DataFrame, per_lang: int = 600) -> Model:
+def fit_documents(documents: DataFrame, per_lang: int = 500) -> Model:
     """Learns from a bounded sample: about per_lang training documents of each language, whole texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            kept = [gram_counts(t) for t in batch.column("text").to_pylist()]
-            sparse = [np.flatnonzero(c).astype(np.int32) for c in kept]
-            values = [c[p].astype(np.int32) for c, p in zip(kept, sparse, strict=True)]
+            rows = [gram_counts(t) for t in batch.column("text").to_pylist()]
+            sparse, values = [places for places, _ in rows], [n for _, n in rows]
             yield pa.record_batch([batch.column("lang"), pa.array(sparse, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int32()))], names=["lang", "places", "n"])
 
     found = training_rows(documents, per_lang).mapInArrow(count, "lang string, places array<int>, n array<int>").toArrow()
-    counts, langs = [], []
-    for lang, places, n in sorted(zip(found["lang"].to_pylist(), found["places"].to_pylist(), found["n"].to_pylist(), strict=True)):
-        dense = np.zeros(1 << BITS, np.int64)
-        dense[places] = n
-        counts.append(dense)
-        langs.append(lang)
-    return fit(counts, langs)
+    langs = found["lang"].to_pylist()
+    counts = [(places.values.to_numpy(), n.values.to_numpy()) for places, n in zip(found["places"], found["n"], strict=True)]
+    # in an order that doesn't depend on how the rows were dealt out
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], zlib.crc32(counts[i][0].tobytes()), zlib.crc32(counts[i][1].tobytes())))
+    return fit([counts[i] for i in order], [langs[i] for i in order])
 
 
 def predict_documents(documents: DataFrame, model: Model) -> DataFrame:
