@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brasswork.llm import byte_bpe, language_id, near_duplicates, ogg, packing, quality, repeats, toxicity, vector_index
+from brasswork.llm import byte_bpe, language_id, near_duplicates, ogg, packing, pii, quality, repeats, toxicity, vector_index
 from brasswork.llm.common import held_out, labelled_sample, read_table
 
 
@@ -17,6 +17,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read_table(spark, sf_dir, "documents"), model)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_documents(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op3_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.digest_documents(read_table(spark, sf_dir, "documents"))
 
@@ -71,7 +75,7 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_ogg, op4_byte_bpe, op5_jaccard_join, op6_packing, op7_language_id, op8_suffix_dedup, op9_quality, op10_top_k)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_ogg, op4_byte_bpe, op5_jaccard_join, op6_packing, op7_language_id, op8_suffix_dedup, op9_quality, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
