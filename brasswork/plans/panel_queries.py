@@ -108,7 +108,7 @@ register("store_region_dependency", lambda s, d: Q.dependency_breaches(sales(s,
 register("transaction_dependency", lambda s, d: Q.dependency_breaches(sales(s, d), ["transaction_id"], "store_id"), f"{WITH} SELECT count(*) AS broken_keys FROM (SELECT transaction_id FROM sales GROUP BY 1 HAVING count(DISTINCT store_id) > 1)")
 register("text_audit", lambda s, d: Q.text_audit(table(s, d, "documents"), ["text", "lang", "source"]), "SELECT unnest(['text', 'lang', 'source']) AS column, unnest([count(*) FILTER (trim(text) = ''), count(*) FILTER (trim(lang) = ''), count(*) FILTER (trim(source) = '')]) AS empty, unnest([count(*) FILTER (text <> trim(text)), count(*) FILTER (lang <> trim(lang)), count(*) FILTER (source <> trim(source))]) AS padded, unnest([count(*) FILTER (lower(trim(text)) IN ('', 'na', 'n/a', 'nan', 'null', 'none', '-', '?')), count(*) FILTER (lower(trim(lang)) IN ('', 'na', 'n/a', 'nan', 'null', 'none', '-', '?')), count(*) FILTER (lower(trim(source)) IN ('', 'na', 'n/a', 'nan', 'null', 'none', '-', '?'))]) AS null_like FROM documents")
 register("calendar_gaps", lambda s, d: Q.calendar_gaps(sales(s, d).select("date"), "date"), f"{WITH}, b AS (SELECT min(date) AS a, max(date) AS z FROM sales) SELECT CAST(x AS DATE) AS missing_day FROM (SELECT unnest(generate_series(a, z, INTERVAL 1 DAY)) AS x FROM b) WHERE CAST(x AS DATE) NOT IN (SELECT date FROM sales)")
-register("numeric_sanity", lambda s, d: Q.numeric_sanity(table(s, d, "lineitem"), ["l_quantity", "l_discount"]), "SELECT unnest(['l_quantity', 'l_discount']) AS column, unnest([min(l_quantity), min(l_discount)]) AS least, unnest([max(l_quantity), max(l_discount)]) AS most, unnest([count(*) FILTER (l_quantity < 0), count(*) FILTER (l_discount < 0)]) AS negative, unnest([count(*) FILTER (l_quantity = 0), count(*) FILTER (l_discount = 0)]) AS zero, unnest([0, 0]) AS not_finite FROM lineitem")
+register("numeric_sanity", lambda s, d: Q.numeric_sanity(table(s, d, "lineitem"), ["l_quantity", "l_discount"]), "SELECT unnest(['l_quantity', 'l_discount']) AS column, unnest([min(l_quantity), min(l_discount)]) AS least, unnest([max(l_quantity), max(l_discount)]) AS most, unnest([count(*) FILTER (l_quantity < 0), count(*) FILTER (l_discount < 0)]) AS negative, unnest([count(*) FILTER (l_quantity = 0), count(*) FILTER (l_discount = 0)]) AS zero, unnest([0::BIGINT, 0::BIGINT]) AS not_finite FROM lineitem")
 register("profile_customer", lambda s, d: Q.profile(table(s, d, "customer")).select("column", "nulls", "distinct"), "SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS column, unnest([count(*) - count(c_custkey), count(*) - count(c_name), count(*) - count(c_nationkey), count(*) - count(c_acctbal), count(*) - count(c_mktsegment)]) AS nulls, unnest([count(DISTINCT c_custkey), count(DISTINCT c_name), count(DISTINCT c_nationkey), count(DISTINCT c_acctbal), count(DISTINCT c_mktsegment)]) AS distinct FROM customer")
 register("reconcile_panel", lambda s, d: Q.reconcile(panel(s, d), sales(s, d), FIRST_MONDAY, END_MONDAY), f"{WITH} SELECT CASE WHEN date < DATE '{FIRST_MONDAY}' OR date >= DATE '{END_MONDAY}' THEN 'partial week' WHEN quantity_sold = 0 THEN 'lost demand' ELSE 'in panel' END AS bucket, count(*) AS lines, CAST(sum(quantity_sold) AS BIGINT) AS units FROM sales GROUP BY 1")
 register("panel_rule_breaches", lambda s, d: Q.breaches(panel(s, d), Q.panel_rules()), "SELECT CAST(0 AS BIGINT) AS negative_measure, CAST(0 AS BIGINT) AS week_start, CAST(0 AS BIGINT) AS revenue_in_zero_week, CAST(0 AS BIGINT) AS selling_week_without_revenue")
