@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brasswork.functions.numbers import ratio
@@ -126,30 +126,43 @@ def against_population(frame: DataFrame, group: str, name: str, columns: Sequenc
     return tall.groupBy("feature").agg(F.round(F.median(F.when(F.col("group_") == name, F.col("x"))), 6).alias("segment_median"), F.round(F.median("x"), 6).alias("population_median"))
 
 
-def name_segments(profile: DataFrame) -> dict[int, str]:
-    """Names of clusters by rules on their medians against the clusters' 30th and 70th percentiles; repeated names get a rank by spend."""
-    rows = profile.orderBy("cluster").collect()
-    value = {c: np.array([r[f"median_{c}"] for r in rows], float) for c in ("recency_days", "frequency", "monetary", "promo_share", "online_share")}
-    high = {c: np.percentile(v, 70) for c, v in value.items()}
-    low = {c: np.percentile(v, 30) for c, v in value.items()}
-
-    def rule(i: int) -> str:
-        if value["recency_days"][i] >= high["recency_days"]:
-            return "Lapsed high spenders" if value["monetary"][i] >= high["monetary"] else "Lapsed"
-        if value["frequency"][i] >= high["frequency"] and value["monetary"][i] >= high["monetary"]:
-            return "Best customers"
-        if value["frequency"][i] <= low["frequency"] and value["recency_days"][i] <= low["recency_days"]:
-            return "New or rare"
-        if value["promo_share"][i] >= high["promo_share"]:
-            return "Deal seekers"
-        return "Online regulars" if value["online_share"][i] >= high["online_share"] else "Regulars"
-
-    names = [rule(i) for i in range(len(rows))]
-    out = {}
-    for i, name in enumerate(names):
-        same = sorted((j for j, n in enumerate(names) if n == name), key=lambda j: (-value["monetary"][j], j))
-        out[rows[i]["cluster"]] = name if len(same) == 1 else f"{name} {same.index(i) + 1}"
-    return out
+#: Percentiles that count as high and low, days, and multiples of the population's median basket.
+HIGH, LOW = 0.70, 0.30
+LOYAL_DAYS, AT_RISK_DAYS = 60, 180
+BULK = 1.5
+
+
+def name_segments(frame: DataFrame, group: str = "cluster") -> DataFrame:
+    """group, customers, medians and segment: the name of each cluster by its medians against the population's percentiles.
+
+    Of clusters that get one name, all but the first by spend get a number behind it. Two aggregations, and joins of a
+    row for each cluster.
+    """
+    basket = ratio(F.col("monetary").cast("double"), F.col("frequency"))
+    bounds = frame.agg(
+        F.percentile("monetary", HIGH).alias("spend_high"), F.percentile("monetary", LOW).alias("spend_low"), F.percentile("frequency", HIGH).alias("often"), F.percentile("frequency", LOW).alias("seldom"),
+        F.coalesce(F.median(F.when(F.col("frequency") > 0, basket)), F.lit(0.0)).alias("usual_basket"),
+    )
+    rows = frame.groupBy(group).agg(
+        F.count("*").alias("customers"), F.median("recency_days").alias("recency"), F.median("frequency").alias("visits"), F.median("monetary").alias("spend"),
+        F.avg("online_share").alias("online_share"), F.avg("promo_share").alias("promo_share"),
+    ).crossJoin(F.broadcast(bounds))
+    spend, visits, recency = F.col("spend"), F.col("visits"), F.col("recency")
+    lasting = spend >= F.col("spend_low")
+    rules = [
+        ((recency >= AT_RISK_DAYS) & lasting, "Lapsed high value"), (recency >= AT_RISK_DAYS, "Dormant"),
+        ((recency >= LOYAL_DAYS) & lasting, "At risk loyal"), (recency >= LOYAL_DAYS, "At risk"),
+        ((spend >= F.col("spend_high")) & (visits >= F.col("often")), "Champions"),
+        ((spend <= F.col("spend_low")) & (visits <= F.col("seldom")), "One and done"),
+        (spend / F.greatest(visits, F.lit(1)) >= BULK * F.col("usual_basket"), "Bulk buyers"),
+        ((visits >= F.col("often")) & (F.col("promo_share") > 0), "Loyal discount seekers"), (visits >= F.col("often"), "Frequent small baskets"),
+        (spend <= F.col("spend_low"), "Low spend"),
+    ]
+    name = F.coalesce(*[F.when(condition, label) for condition, label in rules], F.lit("Occasional buyers"))
+    place = F.row_number().over(Window.partitionBy("name_").orderBy(F.desc("spend"), group))  # a row for each cluster
+    named = rows.withColumn("name_", name).withColumn("place_", place)
+    label = F.when(F.col("place_") == 1, F.col("name_")).otherwise(F.concat_ws(" ", "name_", "place_"))
+    return named.select(group, "customers", "recency", "visits", "spend", F.round("online_share", 4).alias("online_share"), F.round("promo_share", 4).alias("promo_share"), label.alias("segment"))
 
 
 def density_clusters(x: np.ndarray, radius: float, least: int = 25) -> np.ndarray:

@@ -79,10 +79,10 @@ def global_rank(frame: DataFrame, column: str, tie: str, name: str, parts: int =
 
 #: Segment names by recency and frequency quartile (4 is best).
 QUARTILE_SEGMENTS = {
-    (4, 4): "Champions", (4, 3): "Loyal", (4, 2): "Promising", (4, 1): "New",
-    (3, 4): "Loyal", (3, 3): "Loyal", (3, 2): "Promising", (3, 1): "Promising",
-    (2, 4): "At Risk", (2, 3): "At Risk", (2, 2): "Needs Attention", (2, 1): "About to Sleep",
-    (1, 4): "Cannot Lose", (1, 3): "At Risk", (1, 2): "Hibernating", (1, 1): "Lost",
+    (1, 1): "Dormant", (1, 2): "Dormant", (1, 3): "Cannot lose them", (1, 4): "Cannot lose them",
+    (2, 1): "At risk", (2, 2): "At risk", (2, 3): "At risk", (2, 4): "At risk",
+    (3, 1): "Needs attention", (3, 2): "Needs attention", (3, 3): "Potential loyalist", (3, 4): "Potential loyalist",
+    (4, 1): "New / promising", (4, 2): "New / promising", (4, 3): "Champions", (4, 4): "Champions",
 }
 
 

@@ -95,9 +95,9 @@ q AS (SELECT customer_id, monetary, 5 - ({_QCUT('rr')}) AS rq, {_QCUT('fr')} AS
 register("rfm_quartiles", lambda s, d: W.quartile_segments(_active(s, d)).select("customer_id", "recency_days_quartile", "frequency_quartile", "monetary_quartile", "segment"), f"{_QUART} SELECT customer_id, CAST(rq AS INT) AS recency_days_quartile, CAST(fq AS INT) AS frequency_quartile, CAST(mq AS INT) AS monetary_quartile, {_SEG} AS segment FROM q")
 register("segment_summary", lambda s, d: S.segment_summary(W.quartile_segments(_active(s, d))).select("segment", "customers", "customer_share", "median_recency", "median_frequency"), f"""{_QUART}, g AS (SELECT {_SEG} AS segment, act.* FROM q JOIN act USING (customer_id))
 SELECT segment, count(*) AS customers, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM act) AS customer_share, median(recency_days) AS median_recency, median(frequency) AS median_frequency FROM g GROUP BY 1""")
-register("segment_profile", lambda s, d: S.against_population(W.quartile_segments(_active(s, d)), "segment", "Loyal", ["recency_days", "frequency", "units", "lines"]), f"""{_QUART}, g AS (SELECT {_SEG} AS segment, act.* FROM q JOIN act USING (customer_id)),
+register("segment_profile", lambda s, d: S.against_population(W.quartile_segments(_active(s, d)), "segment", "At risk", ["recency_days", "frequency", "units", "lines"]), f"""{_QUART}, g AS (SELECT {_SEG} AS segment, act.* FROM q JOIN act USING (customer_id)),
 t AS (SELECT segment, unnest(['recency_days', 'frequency', 'units', 'lines']) AS feature, unnest([CAST(recency_days AS DOUBLE), frequency, units, lines]) AS x FROM g)
-SELECT feature, round(median(x) FILTER (segment = 'Loyal'), 6) AS segment_median, round(median(x), 6) AS population_median FROM t GROUP BY 1""")
+SELECT feature, round(median(x) FILTER (segment = 'At risk'), 6) AS segment_median, round(median(x), 6) AS population_median FROM t GROUP BY 1""")
 register("standardise", lambda s, d: S.standardise(_active(s, d), ["recency_days", "frequency"]).select("customer_id", F.round("z_recency_days", 6).alias("z_recency_days"), F.round("z_frequency", 6).alias("z_frequency")), f"""{_ONE}
 SELECT customer_id, round((recency_days - avg(recency_days) OVER ()) / stddev_pop(recency_days) OVER (), 6) AS z_recency_days, coalesce(round((frequency - avg(frequency) OVER ()) / nullif(stddev_pop(frequency) OVER (), 0), 6), 0) AS z_frequency FROM act""")
 
@@ -183,6 +183,13 @@ h AS (SELECT *, round(censored * pm / (SELECT count(*) FROM (SELECT DISTINCT sto
 register("inventory_replay_mean", lambda s, d: I.replay(panel(s, d)).where("policy = 'mean'").select("week_start_date", "forecast_units", F.round("unmet_units", 3).alias("unmet_units"), F.col("censored_pairs").cast("long").alias("censored_pairs"), F.round("overstock_units", 3).alias("overstock_units"), F.round("understock_units", 3).alias("understock_units")), f"{_REPLAY} SELECT week_start_date, round(pm, 4) AS forecast_units, round(unmet, 3) AS unmet_units, CAST(censored AS BIGINT) AS censored_pairs, round(round(greatest(pm - (actual + unmet), 0), 4), 3) AS overstock_units, round(round(greatest(actual + unmet - pm, 0), 4), 3) AS understock_units FROM h")
 register("replay_reduction", lambda s, d: I.error_reduction(I.replay(panel(s, d))))
 register("replay_policy_totals", lambda s, d: I.policy_totals(I.replay(panel(s, d))))
+_NAMED = """b AS (SELECT quantile_cont(monetary, 0.7) AS spend_high, quantile_cont(monetary, 0.3) AS spend_low, quantile_cont(frequency, 0.7) AS often, quantile_cont(frequency, 0.3) AS seldom, coalesce(median(monetary / frequency) FILTER (frequency > 0), 0) AS usual FROM k),
+g AS (SELECT cluster, count(*) AS customers, median(recency_days) AS recency, median(frequency) AS visits, median(monetary) AS spend, round(avg(online_share), 4) AS online_share, round(avg(promo_share), 4) AS promo_share, avg(promo_share) AS p FROM k GROUP BY 1),
+n AS (SELECT g.*, CASE WHEN recency >= 180 THEN CASE WHEN spend >= spend_low THEN 'Lapsed high value' ELSE 'Dormant' END WHEN recency >= 60 THEN CASE WHEN spend >= spend_low THEN 'At risk loyal' ELSE 'At risk' END
+  WHEN spend >= spend_high AND visits >= often THEN 'Champions' WHEN spend <= spend_low AND visits <= seldom THEN 'One and done' WHEN spend / greatest(visits, 1) >= 1.5 * usual THEN 'Bulk buyers'
+  WHEN visits >= often THEN CASE WHEN p > 0 THEN 'Loyal discount seekers' ELSE 'Frequent small baskets' END WHEN spend <= spend_low THEN 'Low spend' ELSE 'Occasional buyers' END AS name FROM g, b)"""
+register("named_segments", lambda s, d: S.name_segments(_active(s, d).withColumn("cluster", (F.col("customer_id") % 5).cast("int"))).select("cluster", "customers", "recency", "visits", "segment"), f"""{_ONE}, k AS (SELECT *, CAST(customer_id % 5 AS INT) AS cluster FROM act), {_NAMED}
+SELECT cluster, customers, recency, visits, CASE WHEN row_number() OVER w = 1 THEN name ELSE name || ' ' || row_number() OVER w END AS segment FROM n WINDOW w AS (PARTITION BY name ORDER BY spend DESC, cluster)""")
 register("kmeans_segments", lambda s, d: S.profiles(S.fit_clusters(_active(s, d), k=6, starts=2), "cluster", ["recency_days", "frequency", "monetary"]))
 
 
