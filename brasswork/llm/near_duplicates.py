@@ -210,13 +210,14 @@ def jaccard_classes(spark: SparkSession, documents: DataFrame, threshold: float
     some = rows.where("n > 0")
     reps = scratch.keep(some.groupBy("digest").agg(F.min("key").alias("rep"), F.min("n").alias("n"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "key")).alias("first")), "reps")
     banded = some.join(reps.select(F.col("digest").alias("of"), "rep"), (F.col("digest") == F.col("of")) & (F.col("key") == F.col("rep")))
-    banded = banded.select("rep", F.explode("bands").alias("band"))
+    # dealt by band once, for both the heads and the join with them, at every size
+    banded = banded.select("rep", F.explode("bands").alias("band")).repartition("band")
     heads = banded.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("other")).where("head <> other").select(F.col("band").alias("in_band"), "head")
-    meets = banded.join(heads, F.col("band") == F.col("in_band")).where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
-    components = connected_components(scratch, meets, "candidates")
+    meets = banded.join(heads.hint("merge"), F.col("band") == F.col("in_band")).where("rep <> head")
+    components = connected_components(scratch, meets.select(F.col("head").alias("a"), F.col("rep").alias("b")), "candidates")
     members = components.select(F.col("node"), F.col("label").alias("comp")).join(reps.select("rep", "n", "copies"), F.col("node") == F.col("rep")).drop("node")
     planned = scratch.keep(_planned(members), "planned")
-    texts = doc_texts(documents).select(row_key().alias("key"), "text").join(planned, F.col("key") == F.col("rep")).select("rep", "comp", "copies", "block", "groups", "text")
+    texts = doc_texts(documents).select(row_key().alias("key"), "text").join(planned.hint("merge"), F.col("key") == F.col("rep")).select("rep", "comp", "copies", "block", "groups", "text")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
