@@ -183,6 +183,18 @@ def _sketches(documents: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "key long, doc_id long, n int, digest binary, bands array<long>")
 
 
+def _contracted(meets: DataFrame) -> DataFrame:
+    """Edges (a, b) that join the same representatives: each to its least head, and that one to its other heads.
+
+    A representative has at most one head for each band, so the lists are short; those of a group of near copies are
+    much alike, and what they have in common is kept once.
+    """
+    own = meets.groupBy("rep").agg(F.array_sort(F.collect_set("head")).alias("heads"))
+    least = own.select(F.col("heads")[0].alias("a"), F.col("rep").alias("b"))
+    lists = own.where(F.size("heads") > 1).select("heads").distinct()
+    return least.union(lists.select(F.col("heads")[0].alias("a"), F.explode(F.slice("heads", 2, BANDS)).alias("b")).distinct())
+
+
 def _planned(members: DataFrame) -> DataFrame:
     """Adds the groups in which a member is compared: one for a component of a block's size, else pairs of blocks of near sizes."""
     members = members.withColumn("size_class", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
@@ -214,7 +226,7 @@ def jaccard_classes(spark: SparkSession, documents: DataFrame, threshold: float
     banded = banded.select("rep", F.explode("bands").alias("band")).repartition("band")
     heads = banded.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("other")).where("head <> other").select(F.col("band").alias("in_band"), "head")
     meets = banded.join(heads.hint("merge"), F.col("band") == F.col("in_band")).where("rep <> head")
-    components = connected_components(scratch, meets.select(F.col("head").alias("a"), F.col("rep").alias("b")), "candidates")
+    components = connected_components(scratch, _contracted(meets), "candidates")
     members = components.select(F.col("node"), F.col("label").alias("comp")).join(reps.select("rep", "n", "copies"), F.col("node") == F.col("rep")).drop("node")
     planned = scratch.keep(_planned(members), "planned")
     texts = doc_texts(documents).select(row_key().alias("key"), "text").join(planned.hint("merge"), F.col("key") == F.col("rep")).select("rep", "comp", "copies", "block", "groups", "text")
