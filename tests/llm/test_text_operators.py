@@ -62,6 +62,21 @@ def _reference(cache=[]):  # noqa: B006
     return cache[0]
 
 
+def test_packed_ids_with_added_tokens(spark):
+    end, r = "<|endoftext|>", random.Random(8)
+    texts = [f"end {end} next", end, end * 3, f"{end}\n\n a  {end}b", f"<|{end}|>", f"don{end}'t", end[:-1], f"{end[:-1]}{end}"]
+    texts += ["".join(r.choice([end, "end", "<|", "|>", " ", "\n", "é", "word"]) for _ in range(12)) for _ in range(300)]
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    wanted = [np.array(reference.encode(t, add_special_tokens=False).ids, "<u4") for t in texts]
+    assert wanted[0].tolist() == [437, 220, 50256, 1306]
+    for text, ids in zip(texts, wanted, strict=True):
+        assert encoder(PLAIN, public_tokenizers.PATTERN).encode(text) == ids.tobytes()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for p in packing.pack_documents(spark, docs, PLAIN, public_tokenizers.PATTERN).collect():
+        ids = np.array([*wanted[p["doc_id"]], 2], "<u4")
+        assert (p["piece"], p["length"], p["ids_crc32"]) == (0, len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_bpe_query_on_odd_rows(odd_documents):
     rows = byte_bpe.digest_documents(odd_documents, MULTI, public_tokenizers.PATTERN).collect()
     assert len(rows) == odd_documents.count()
