@@ -1,9 +1,9 @@
 """Information-theoretic sanitisation of personal data (operator 2), in DataFrame functions alone.
 
-Patterns find the protected entities: addresses, numbers and their places. Terms around a mention can reveal an entity
-too: from counts over the whole corpus, the share of an entity's information that a term gives is their pointwise
-mutual information over the entity's information content. Terms above one threshold are removed with the entity,
-those above a lower one are generalised.
+Patterns find the protected entities: addresses, numbers and their places. Terms can reveal an entity too: from counts
+over whole texts of the whole corpus, the share of an entity's information that a term gives is their pointwise mutual
+information over the entity's information content. Terms above one threshold are removed, those above a lower one are
+generalised, wherever they stand: beside a mention, far from it, and in texts that don't name the entity.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-_WORD = r"\p{L}{4,}"
-CONTEXT = 60  # characters beside a mention
+_WORD = r"\p{L}+|\p{N}+"
+HOT = 0.01  # share of rows beyond which a term's rows are kept out of shuffles if it can't disclose
 
 
 def _places(text: Column, pattern: str) -> Column:
@@ -74,7 +74,7 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def _mentions(text: Column, kind: str) -> Column:
-    """Valid matches of one kind with their values and the characters on both sides."""
+    """Valid matches of one kind with their values."""
     possible = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"(?:[0-9][ -]?){11}[0-9]"), "phone": F.contains(text, F.lit("+"))}[kind]
     marked = text
     if kind == "email":
@@ -83,73 +83,85 @@ def _mentions(text: Column, kind: str) -> Column:
         marked = F.regexp_replace(F.translate(text, _JOINT, "\x03"), r"(?<=[0-9])[ -](?=[0-9])", _JOINT)
 
     def mention(p: Column) -> Column:
-        left = F.greatest(p["start"] - CONTEXT, F.lit(0))
-        return F.struct(
-            p["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), p["end"].alias("end"), F.substring(text, p["start"] + 1, p["end"] - p["start"]).alias("value"),
-            left.alias("left_at"), F.substring(text, left + 1, p["start"] - left).alias("left"), F.substring(text, p["end"] + 1, F.lit(CONTEXT)).alias("right"),
-        )
+        return F.struct(p["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), p["end"].alias("end"), F.substring(text, p["start"] + 1, p["end"] - p["start"]).alias("value"))
 
-    none = F.expr("CAST(array() AS array<struct<start: int, kind: int, end: int, value: string, left_at: int, left: string, right: string>>)")
+    none = F.expr("CAST(array() AS array<struct<start: int, kind: int, end: int, value: string>>)")
     found = F.filter(F.transform(_places(marked, PATTERNS[kind]), mention), lambda m: _valid(kind, m["value"]))
     return F.when(possible, found).otherwise(none)
 
 
+def _code(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
 def base_mentions(documents: DataFrame) -> DataFrame:
-    """key, doc_id, text_hash, n_chars, mentions of each row, in order of start and kind."""
+    """key, doc_id, text_hash, mentions (in order of start and kind) and codes (of its distinct words) of each row."""
     keyed = doc_texts(documents)
     found = keyed.select(
-        row_key().alias("key"), "doc_id", F.xxhash64("text").alias("text_hash"), F.length("text").alias("n_chars"),
+        row_key().alias("key"), "doc_id", F.xxhash64("text", F.length("text")).alias("text_hash"),
         F.array_sort(F.concat(*[_mentions(F.col("text"), kind) for kind in KINDS])).alias("mentions"),
+        F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), _code)).alias("codes"),
     )
     return found
 
 
-def _context_terms(mentions: DataFrame) -> DataFrame:
-    """key, text_hash, entity, term, start, end: whole words beside each mention, in lower case."""
-    m = F.col("m")
-    one = mentions.select("key", "text_hash", "n_chars", F.explode("mentions").alias("m"))
-    one = one.select("key", "text_hash", "n_chars", F.concat_ws(":", m["kind"], F.lower(m["value"])).alias("entity"), m["end"].alias("after"), m["left_at"].alias("left_at"), m["left"].alias("left"), m["right"].alias("right"))
-    # words that the window cuts are left out
-    left = F.filter(_places(F.col("left"), _WORD), lambda p: (p["start"] > 0) | (F.col("left_at") == 0))
-    right = F.filter(_places(F.col("right"), _WORD), lambda p: (p["end"] < F.length("right")) | (F.col("after") + F.length("right") >= F.col("n_chars")))
-    term = lambda side, at, p: F.struct(F.lower(F.substring(side, p["start"] + 1, p["end"] - p["start"])).alias("term"), (at + p["start"]).alias("start"), (at + p["end"]).alias("end"))
-    terms = F.concat(F.transform(left, lambda p: term(F.col("left"), F.col("left_at"), p)), F.transform(right, lambda p: term(F.col("right"), F.col("after"), p)))
-    return one.select("key", "text_hash", "entity", F.explode(terms).alias("t")).select("key", "text_hash", "entity", "t.term", "t.start", "t.end")
-
-
-def disclosing_terms(documents: DataFrame, mentions: DataFrame, contexts: DataFrame, remove: float, generalise: float, least_texts: int) -> DataFrame:
-    """entity, term, removed: pairs whose disclosure reaches a threshold in at least least_texts different texts.
+def disclosing_terms(mentions: DataFrame, scratch: Scratch, generalise: float, least_texts: int) -> DataFrame:
+    """entity, code, disclosure: pairs of an entity and a term that reach a threshold and share at least least_texts different texts.
 
     Counts are of rows of the whole corpus: those that hold the term anywhere, those with the entity, those with both.
+    Pairs are joined only where they can reach the threshold: both is n_entity at most, so n_term has a bound.
     """
-    pairs = contexts.groupBy("entity", "term").agg(F.count_distinct("key").alias("both"), F.count_distinct("text_hash").alias("texts")).where(F.col("texts") >= least_texts)
-    entities = mentions.select("key", F.explode(F.array_distinct(F.transform("mentions", lambda m: F.concat_ws(":", m["kind"], F.lower(m["value"]))))).alias("of")).groupBy("of").agg(F.count("*").alias("n_entity"))
-    words = F.filter(F.split(F.lower(F.col("text")), r"\P{L}+"), lambda w: F.length(w) >= 4)
-    counts = doc_texts(documents).select(F.explode(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).alias("code")).groupBy("code").agg(F.count("*").alias("n_term"))
-    total = documents.agg(F.count("*").alias("n"))
-    found = pairs.join(entities, F.col("entity") == F.col("of")).withColumn("term_code", F.xxhash64("term")).join(counts, F.col("term_code") == F.col("code"))
-    found = found.crossJoin(F.broadcast(total))  # one row
-    both = F.least("both", "n_term", "n_entity").cast("double")
-    mutual = F.log(both * F.col("n") / (F.col("n_term") * F.col("n_entity").cast("double")))
-    content = F.log((F.col("n") + 1.0) / F.col("n_entity"))
-    return found.withColumn("disclosure", mutual / content).where(F.col("disclosure") >= generalise).select("entity", "term", (F.col("disclosure") >= remove).alias("removed"))
+    entity = F.transform("mentions", lambda m: F.concat_ws(":", m["kind"], F.lower(m["value"])))
+    texts = mentions.where(F.size("mentions") > 0).groupBy("text_hash").agg(F.count("*").alias("copies"), F.first("mentions").alias("mentions"), F.first("codes").alias("codes"))
+    texts = scratch.keep(texts, "texts")
+    named = texts.select("text_hash", "copies", F.explode(F.array_distinct(entity)).alias("entity"))
+    entities = named.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("own")).where(F.col("own") >= least_texts)
+    entities = scratch.keep(entities.select(F.col("entity").alias("of"), "n_entity"), "entities")
+    n, most = mentions.count(), entities.agg(F.max("n_entity")).first()[0] or 0
+    bound = lambda n_entity: n * ((n_entity / (n + 1)) ** generalise) * (1 + 1e-9)
+    counts = mentions.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= least_texts)
+    counts = scratch.keep(counts, "counts")
+    # at most 1 / HOT times the mean number of a row's words
+    hot = F.broadcast(counts.where(F.col("n_term") > max(bound(most), HOT * n)).select("code"))
+    named = named.join(entities, F.col("entity") == F.col("of")).select(F.col("text_hash").alias("named_hash"), "copies", "entity", "n_entity")
+    words = texts.join(named.select("named_hash"), F.col("text_hash") == F.col("named_hash"), "left_semi").select("text_hash", F.explode("codes").alias("code"))
+    words = words.join(hot, "code", "left_anti").join(counts.where(F.col("n_term") <= bound(most)), "code")
+    pairs = words.join(named, (F.col("text_hash") == F.col("named_hash")) & (F.col("n_term") <= bound(F.col("n_entity"))))
+    pairs = pairs.groupBy("entity", "code", "n_entity", "n_term").agg(F.sum("copies").cast("double").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= least_texts)
+    mutual = F.log(F.col("both") * n / (F.col("n_term") * F.col("n_entity").cast("double")))
+    content = F.log((n + 1.0) / F.col("n_entity"))
+    return pairs.select("entity", "code", (mutual / content).alias("disclosure")).where(F.col("disclosure") >= generalise)
+
+
+def _term_places(text: Column, flags: Column) -> Column:
+    """array<struct<start, kind, end, removed>> of all words whose codes are keys of flags."""
+    pieces, words = F.split(text, _WORD, -1), F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+    steps = F.zip_with(F.transform(F.slice(pieces, 1, F.size(words)), lambda x: F.length(x)), words, lambda a, b: F.struct((a + F.length(b)).alias("step"), F.length(b).alias("size"), F.try_element_at(flags, _code(b)).alias("removed")))
+    none = F.expr("CAST(array() AS array<struct<start: int, kind: int, end: int, removed: boolean>>)")
+
+    def add(found: Column, x: Column) -> Column:
+        end = found["at"] + x["step"]
+        one = F.struct((end - x["size"]).alias("start"), F.lit(TERM).alias("kind"), end.alias("end"), x["removed"].alias("removed"))
+        return F.struct(end.alias("at"), F.when(x["removed"].isNull(), found["all"]).otherwise(F.concat(found["all"], F.array(one))).alias("all"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("all")), add, lambda found: found["all"])
 
 
 def sanitised_spans(spark: SparkSession, documents: DataFrame, remove: float = 0.9, generalise: float = 0.75, least_texts: int = 3) -> DataFrame:
     """key, doc_id, mentions and terms of each row; terms is array<struct<start, kind, end, removed>>, null if there are none.
 
-    A null text counts as empty. Repeated rows share their key and their spans.
+    A null text counts as empty. Repeated rows share their key and their spans. Words inside a mention go with it.
     """
     scratch = Scratch(spark)
     mentions = scratch.keep(base_mentions(documents), "mentions")
-    some = mentions.where(F.size("mentions") > 0)
-    contexts = scratch.keep(_context_terms(some), "contexts")
-    disclosing = disclosing_terms(documents, some, contexts, remove, generalise, least_texts).select(F.col("entity").alias("e"), F.col("term").alias("w"), "removed")
-    disclosing = scratch.keep(disclosing, "disclosing")
-    spans = contexts.join(disclosing, (F.col("entity") == F.col("e")) & (F.col("term") == F.col("w")))
-    spans = spans.groupBy("key", "start", "end").agg(F.max("removed").alias("removed"))
-    terms = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(TERM).alias("kind"), "end", "removed"))).alias("terms")).withColumnRenamed("key", "terms_key")
-    return mentions.join(terms, F.col("key") == F.col("terms_key"), "left").select("key", "doc_id", "mentions", "terms")
+    disclosing = disclosing_terms(mentions, scratch, generalise, least_texts)
+    disclosing = scratch.keep(disclosing.groupBy("code").agg((F.max("disclosure") >= remove).alias("removed")), "disclosing")
+    hits = mentions.select("key", F.explode("codes").alias("code")).join(disclosing, "code")
+    hits = hits.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("code", "removed"))).alias("flags")).withColumnRenamed("key", "hit_key")
+    terms = doc_texts(documents).withColumn("key", row_key()).join(hits, F.col("key") == F.col("hit_key")).select(F.col("key").alias("terms_key"), _term_places(F.col("text"), F.col("flags")).alias("terms"))
+    terms = scratch.keep(terms.dropDuplicates(["terms_key"]), "terms")
+    outside = F.filter("terms", lambda t: ~F.exists("mentions", lambda m: (m["start"] < t["end"]) & (t["start"] < m["end"])))
+    return mentions.join(terms, F.col("key") == F.col("terms_key"), "left").select("key", "doc_id", "mentions", outside.alias("terms"))
 
 
 def _written(spans: Column) -> Column:

@@ -183,6 +183,21 @@ def test_terms_that_reveal_are_removed(spark):
     assert pii.digest_documents(spark, docs.limit(0)).count() == 0 and pii.sanitise(spark, docs.limit(0)).columns == docs.columns
 
 
+def test_terms_that_reveal_go_wherever_they_stand(spark):
+    gap = "plain words stand here for a while " * 6
+    texts = [f"Quentinius and Xy 77301 came. {gap} write to q@who.example number {i}" for i in range(5)] + ["it was xy or QUENTINIUS with 77301", "nothing"]
+    texts += [f"{gap} number {i}" for i in range(60)] + [texts[0]]
+    docs = frame(spark, texts)
+    spans = {r["doc_id"]: r["spans"] for r in pii.digest_documents(spark, docs).collect()}
+    for i in (0, 4, 5, len(texts) - 1):
+        for word in ("quentinius", "xy", "77301"):
+            at = texts[i].lower().index(word)
+            assert f"term:{at}:{at + len(word)}" in spans[i].split(",")
+    assert spans[6] == spans[20] == "" and "term" not in spans[0].split("email")[1]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark, docs).collect()}
+    assert "[EMAIL]" in clean[0] and clean[20] == texts[20] and not re.search("quentinius|xy|77301", " ".join(clean.values()), re.I)
+
+
 def test_pii_odd_rows(spark):
     docs = spark.createDataFrame([(None, "mail a@b.cd"), (1, "mail a@b.cd"), (1, "mail a@b.cd"), (2, None)], "doc_id long, text string")
     assert sorted(r["n_email"] for r in pii.digest_documents(spark, docs).collect()) == [0, 1, 1, 1]
