@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -184,14 +184,14 @@ def sketch(text: str, size: int = 8) -> list[int]:
     return [int((runs * np.uint64(0xD6E8FEB86659FD93 + 2 * k) >> np.uint64(1)).min()) for k in range(size)]
 
 
-def _distinct(texts: list[tuple[list[str], list[int], int]]) -> list[tuple[set[str], int]]:
-    """Words and label of one text of each group of copies and near copies: those that share half of a sketch."""
+def _distinct(texts: list[tuple[list[str], list[int], int, int]]) -> list[tuple[set[str], int, int]]:
+    """Words, label and key of one text of each group of copies and near copies: those that share half of a sketch."""
     seen: set[tuple[int, int, int]] = set()
     kept = []
-    for words, minima, label in texts:
+    for words, minima, label, key in texts:
         own = {(k, m, label) for k, m in enumerate(minima)}
         if not own or 2 * len(own & seen) < len(own):
-            kept.append((set(words), label))
+            kept.append((set(words), label, key))
         seen |= own
     return kept
 
@@ -222,33 +222,46 @@ def learn_lexicon(texts: list[tuple[set[str], int]], least: int = 6, ratio: floa
     return lexicon
 
 
+def _clause_features(keyed: DataFrame, halves: list[Model], folds: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of whole texts, as in scoring, by the model of the fold that a text isn't in, and labels; one row for each entry of folds."""
+    shared = keyed.sparkSession.sparkContext.broadcast((halves, folds))  # of a bounded sample
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        halves, folds = shared.value
+        for batch in slices(batches):
+            rows = []
+            for key, text, label in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "label")), strict=True):
+                fold = folds.get((key, label))
+                if fold is not None:
+                    rows.append((key, label, halves[fold].features(text)))
+            yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.list_(pa.float64())))], names=["key", "label", "features"])
+
+    found = keyed.mapInArrow(run, "key long, label int, features array<double>").toArrow()
+    rows = {(key, label): x for key, label, x in zip(*(found[c].to_pylist() for c in ("key", "label", "features")), strict=True)}
+    order = sorted(rows)
+    return np.array([rows[k] for k in order], float).reshape(-1, 3), np.array([label for _, label in order], float)
+
+
 def fit_sample(sample: DataFrame) -> Model:
-    """From rows of text and label. Half of the distinct texts give the lexicon, the other half the weighing of clauses; then the lexicon is learned from all."""
+    """From rows of text and label. Each half of the distinct texts gives the lexicon by which the clauses of the other half are weighed; then the lexicon is learned from all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             words = [sorted(set(_WORD.findall(t.lower()))) for t in texts]
             sketches = [sketch(t) for t in texts]
-            yield pa.record_batch([batch.column("label"), pa.array(words, pa.list_(pa.string())), pa.array(sketches, pa.list_(pa.int64()))], names=["label", "words", "sketch"])
-
-    rows = sample.select("text", F.col("label").cast("int").alias("label")).mapInArrow(run, "label int, words array<string>, sketch array<long>")
-    found = rows.toArrow()
-    ordered = sorted(zip(found["sketch"].to_pylist(), found["label"].to_pylist(), found["words"].to_pylist(), strict=True))
-    texts = _distinct([(words, minima, int(label > 0)) for minima, label, words in ordered])
-    folds: dict[int, list] = defaultdict(list)
-    for i, text in enumerate(texts):
-        folds[i % 2].append(text)
-    features, labels = [], []
-    for fold in (0, 1):
-        half = Model(learn_lexicon(folds[1 - fold]), np.zeros(4))
-        for words, label in folds[fold]:
-            weights = [w for w in (half.clause_weight(word) for word in sorted(words)) if w]
-            features.append([max(weights, default=0.0), float(np.log1p(sum(weights))), float(np.log1p(len(weights)))])
-            labels.append(label)
-    if len(set(labels)) < 2:
+            yield pa.record_batch([batch.column("key"), batch.column("label"), pa.array(words, pa.list_(pa.string())), pa.array(sketches, pa.list_(pa.int64()))], names=["key", "label", "words", "sketch"])
+
+    keyed = sample.select(F.xxhash64("text").alias("key"), "text", (F.col("label").cast("int") > 0).cast("int").alias("label"))
+    found = keyed.mapInArrow(run, "key long, label int, words array<string>, sketch array<long>").toArrow()
+    ordered = sorted(zip(found["sketch"].to_pylist(), found["label"].to_pylist(), found["words"].to_pylist(), found["key"].to_pylist(), strict=True))
+    kept = _distinct([(words, minima, label, key) for minima, label, words, key in ordered])
+    texts = [(words, label) for words, label, _ in kept]
+    if len({label for _, label in texts}) < 2:
         return Model(learn_lexicon(texts), np.array([0.4, 0.4, 0.4, -2.0]))
-    return Model(learn_lexicon(texts), fit_logistic(np.array(features), np.array(labels, float)))
+    halves = [Model(learn_lexicon(texts[1 - fold :: 2]), np.zeros(4)) for fold in (0, 1)]
+    features, labels = _clause_features(keyed, halves, {(key, label): i % 2 for i, (_, label, key) in enumerate(kept)})
+    return Model(learn_lexicon(texts), fit_logistic(features, labels))
 
 
 def score_documents(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

@@ -163,6 +163,18 @@ def test_toxicity_learns_words(spark, labelled):
     assert model.score("") < 0.5 and model.clauses("") == []
 
 
+def test_toxicity_is_fitted_to_clauses(spark, monkeypatch):
+    seen, fit = [], toxicity.fit_logistic
+    monkeypatch.setattr(toxicity, "fit_logistic", lambda x, y: seen.append((x, y)) or fit(x, y))
+    r = random.Random(9)
+    rows = [(" you idiot. ".join(words(r, [f"w{i}x{k}" for k in range(90)], 15) for _ in range(6)), 1) for i in range(40)]
+    rows += [(" They said not idiot. ".join(words(r, [f"v{i}x{k}" for k in range(90)], 15) for _ in range(3)), 0) for i in range(40)]
+    toxicity.fit_sample(spark.createDataFrame(rows + rows[:3], "text string, label int"))
+    (x, y), = seen
+    assert len(x) == 80 and np.allclose(x[y == 1, 2], np.log1p(5)) and np.allclose(x[y == 0, 2], np.log1p(2))
+    assert x[y == 0, 0].max() < x[y == 1, 0].min()
+
+
 def test_grammar_weighs_clauses():
     model = toxicity.Model({w: (s, 1.0 if s in ("insult", "threat") else 0.0, False) for s, ws in toxicity.GENERAL.items() for w in ws}, np.array([1.0, 0.0, 0.0, -1.0]))
     weight = model.clause_weight
