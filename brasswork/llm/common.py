@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +35,12 @@ class Scratch:
     """Tables written in the folder that driver and executors share, which cut lineage and survive a lost executor.
 
     The folder is spark.checkpoint.dir of the session. Only where that is unset (a local session, as in tests)
-    a temporary folder of this machine is used.
+    a temporary folder of this machine is used. Operators drop what their result doesn't read; what it reads stays
+    until clear_scratch, or until whoever owns the folder empties it.
     """
 
+    made: list[Scratch] = []  # those of this process whose tables may still be there
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
@@ -46,17 +50,32 @@ class Scratch:
             root = tempfile.mkdtemp(prefix="brasswork-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.base = f"{root}/{uuid.uuid4().hex}"
+        Scratch.made.append(self)
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
         frame.write.parquet(path)
-        return self.spark.read.schema(frame.schema).parquet(path)
+        return self.read(name, frame.schema)
+
+    def read(self, name: str, schema: StructType) -> DataFrame:
+        """A kept table, read anew: a frame of its own, which can be joined with others of the same table."""
+        return self.spark.read.schema(schema).parquet(f"{self.base}/{name}")
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+    def _delete(self, folder: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._delete(f"{self.base}/{name}")
+
+
+def clear_scratch(since: int = 0) -> None:
+    """Deletes the tables of all Scratch objects but the first `since`; to be called when their results are written elsewhere."""
+    while len(Scratch.made) > since:
+        old = Scratch.made.pop()
+        old._delete(old.base)
+
 
 def labelled_sample(spark: SparkSession, sf_dir: str, column: str, max_rows: int, modulus: int = 5, remainder: int = 0) -> DataFrame:
     """Text and label of at most max_rows labelled rows outside the held-out fold, in the order of a hash of doc_id."""

@@ -11,6 +11,9 @@ would move each many times, so suffixes are first told apart by what a repeated
 4. The suffixes of bins with equal cores are sorted to `length` bytes by multikey quicksort and blind tries; suffixes
    of one class are repeated. A core with very many bins is sorted in parts, and strings that are single in their part
    are compared with those of the other parts by 128-bit hashes.
+
+Copies of whole spans and bins, which most repeated bytes come from, are told by 128-bit hashes of their bytes and
+collapsed before the sort; the sort decides everything in which spans of one anchor differ.
 """
 
 from __future__ import annotations
@@ -24,13 +27,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from brasswork.llm.common import Scratch, row_key, slices
+from brasswork.llm.common import Scratch, doc_texts, row_key, slices
 from brasswork.llm.suffix_sort import sorted_classes
 
 BIN = 25  # starts of a bin
 PART_BINS = 1024  # bins of one core sorted at once
-HASH_PARTS = 64
+TASK_BINS = 8192  # bins sorted by a task
+HASH_ROWS = 500_000  # strings compared across parts by a task
 _SLICE = 1 << 20  # bytes hashed at a time
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _BASE = 0x9E3779B97F4A7C15
@@ -73,14 +78,15 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def spans_of(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """Spans of several texts at once: which text, first and last start, anchor, hash of the anchor's bytes, hash of the span."""
+    """Spans of several texts at once: which text, first and last start, anchor, hash of the anchor's bytes, 128-bit hash of the span in two columns."""
     gram = length // 2
     sizes = np.array([len(p) for p in parts], np.int64)
     ends = np.cumsum(sizes)
-    data = np.frombuffer(b"".join(parts), np.uint8)
+    joined = b"".join(parts)
+    data = np.frombuffer(joined, np.uint8)
     empty = np.empty(0, np.int64)
     if len(data) < length or not (sizes >= length).any():
-        return (empty,) * 4 + (empty.astype(np.uint64),) * 2
+        return (empty,) * 4 + (empty.astype(np.uint64), np.empty((0, 2), np.int64))
     up, down = _POWERS.of(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_TABLE[data] * down[: len(data)], out=sums[1:])
@@ -96,8 +102,10 @@ def spans_of(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     last = np.flatnonzero(usable[:-1] & (~usable[1:] | np.append(new[1:], True)))
     anchor = anchors[first]
-    whole = (sums[last + length] - sums[first]) * up[first]
-    span = _mixed(whole + _mixed(((anchor - first) * 4096 + (last - first)).astype(np.uint64)))
+    shape = ((anchor - first) << 32) + (last - first)
+    view, digest = memoryview(joined), xxhash.xxh3_128_digest
+    found = b"".join([digest(view[a:b], k) for a, b, k in zip(first.tolist(), (last + length).tolist(), shape.tolist(), strict=True)])
+    span = np.frombuffer(found, np.int64).reshape(-1, 2)
     text = np.searchsorted(ends, first, "right")
     before = (ends - sizes)[text]
     return text, first - before, last - before, anchor - before, grams[anchor], span
@@ -127,11 +135,11 @@ def _spans(keyed: DataFrame, length: int) -> DataFrame:
                 at = np.array([a for _, a, _ in held], np.int64)[text]
                 key = keys[np.array([i for i, _, _ in held], np.int64)[text]]
                 yield pa.record_batch(
-                    [pa.array(key, pa.int64()), *(pa.array(x + at, pa.int64()) for x in (first, last, anchor)), pa.array(gram.view(np.int64)), pa.array(span.view(np.int64))],
-                    names=["key", "first", "last", "anchor", "gram", "span"],
+                    [pa.array(key, pa.int64()), *(pa.array(x + at, pa.int64()) for x in (first, last, anchor)), pa.array(gram.view(np.int64)), *(pa.array(span[:, i]) for i in (0, 1))],
+                    names=["key", "first", "last", "anchor", "gram", "span", "span2"],
                 )
 
-    return keyed.mapInArrow(run, "key long, first long, last long, anchor long, gram long, span long")
+    return keyed.mapInArrow(run, "key long, first long, last long, anchor long, gram long, span long, span2 long")
 
 
 def _bins(joined: DataFrame, length: int) -> DataFrame:
@@ -191,7 +199,7 @@ def sort_bins(rows: list[dict], length: int, open_: bool) -> tuple[list[tuple[in
     return found, left
 
 
-def _sorted_groups(frame: DataFrame, length: int) -> DataFrame:
+def _sorted_groups(frame: DataFrame, length: int, tasks: int, hash_parts: int) -> DataFrame:
     """Rows of one core and part stand together in a partition; gives intervals, and packed strings that other parts must see."""
     schema = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("hash_part", pa.int32()), ("hashes", pa.binary()), ("keys", pa.binary()), ("places", pa.binary())])
 
@@ -205,7 +213,7 @@ def _sorted_groups(frame: DataFrame, length: int) -> DataFrame:
             out.extend({"key": k, "start": a, "end": b} for k, a, b in found)
             dealt: dict[int, list] = {}
             for x in left:
-                dealt.setdefault(x[0][0] % HASH_PARTS, []).append(x)
+                dealt.setdefault(int.from_bytes(x[0][:4], "little") % hash_parts, []).append(x)
             for part, rows in dealt.items():
                 out.append({"hash_part": part, "hashes": b"".join(r[0] for r in rows), "keys": np.array([r[1] for r in rows], np.int64).tobytes(), "places": np.array([r[2] for r in rows], np.int64).tobytes()})
 
@@ -222,7 +230,7 @@ def _sorted_groups(frame: DataFrame, length: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    dealt = frame.repartition("core", "part").sortWithinPartitions("core", "part")
+    dealt = frame.repartition(tasks, "core", "part").sortWithinPartitions("core", "part")
     return dealt.mapInArrow(run, "key long, start long, end long, hash_part int, hashes binary, keys binary, places binary")
 
 
@@ -235,33 +243,37 @@ def _across_parts(packed: DataFrame, length: int) -> DataFrame:
         order = np.lexsort((hashes[:, 0], hashes[:, 1]))
         same = (hashes[order][1:] == hashes[order][:-1]).all(1)
         repeated = order[np.append(same, False) | np.append(False, same)]
-        return pd.DataFrame({"key": keys[repeated], "start": places[repeated], "end": places[repeated] + length})
+        keys, places = keys[repeated], places[repeated]
+        order = np.lexsort((places, keys))
+        keys, places = keys[order], places[order]
+        new = np.append(True, (keys[1:] != keys[:-1]) | (places[1:] > places[:-1] + length))[: len(keys)]  # touching strings are one interval
+        last = np.append(new[1:], True)[: len(keys)]
+        return pd.DataFrame({"key": keys[new], "start": places[new], "end": places[last] + length})
 
     return packed.groupBy("hash_part").applyInPandas(run, "key long, start long, end long")
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    """documents with a key for each row and its text, null as empty, under names of their own."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return documents.withColumn("key", F.xxhash64(F.col("doc_id").cast("long"), text, F.length(text)))
-
-
 def repeated_intervals(spark: SparkSession, documents: DataFrame, length: int = 400) -> DataFrame:
-    """key (of doc_id and text), intervals array<struct<start, end>>: bytes that repeated strings cover, not yet merged."""
+    """key (of doc_id and text), intervals array<struct<start, end>>: bytes that repeated strings cover, not yet merged.
+
+    Joins of spans and bins with a table of what is repeated among them may have hot keys. That table is written first,
+    so that both sides are plain shuffles and adaptive execution splits a hot key's rows.
+    """
     if length < 2 * BIN or length % 2:
         raise ValueError("length must be even and at least 50")
     scratch = Scratch(spark)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select(row_key().alias("key"), "text")
+    texts = doc_texts(documents).select(row_key().alias("key"), "text")
     spans = scratch.keep(_spans(texts, length), "spans")
-    grams = spans.groupBy("gram").agg(F.count("*").alias("n"), F.min("span").alias("least"), F.max("span").alias("most")).where("n > 1")
-    grams = grams.select(F.col("gram").alias("of"), (F.col("least") != F.col("most")).alias("mixed"))
+    differ = (F.min("span") != F.max("span")) | (F.min("span2") != F.max("span2"))
+    grams = spans.groupBy("gram").agg(F.count("*").alias("n"), differ.alias("mixed")).where("n > 1")
+    grams = scratch.keep(grams.select(F.col("gram").alias("of"), "mixed"), "grams")
     shared = scratch.keep(spans.join(grams, F.col("gram") == F.col("of")).drop("of"), "shared")
-    scratch.drop("spans")
+    scratch.drop("spans", "grams")
     mixed = shared.where("mixed")
-    classes = scratch.keep(mixed.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "last", "anchor")).alias("one")), "classes")
-    many = classes.where("n > 1").select(F.col("gram").alias("g"), F.col("span").alias("s"))
+    classes = scratch.keep(mixed.groupBy("gram", "span", "span2").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "last", "anchor")).alias("one")), "classes")
+    many = classes.where("n > 1").select(F.col("gram").alias("g"), F.col("span").alias("s"), F.col("span2").alias("s2"))
     whole = shared.where("not mixed").select("key", "first", "last")
-    whole = whole.union(mixed.join(many, (F.col("gram") == F.col("g")) & (F.col("span") == F.col("s"))).select("key", "first", "last"))
+    whole = whole.union(mixed.join(many, (F.col("gram") == F.col("g")) & (F.col("span") == F.col("s")) & (F.col("span2") == F.col("s2"))).select("key", "first", "last"))
     whole = whole.select("key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
 
     listed = classes.groupBy(F.col("one.key").alias("span_key")).agg(F.collect_list(F.struct("one.first", "one.last", "one.anchor")).alias("spans"))
@@ -269,14 +281,19 @@ def repeated_intervals(spark: SparkSession, documents: DataFrame, length: int =
     wholes = scratch.keep(bins.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "low")).alias("one")), "wholes")
     equal = wholes.where("n > 1").select(F.col("core").alias("c"), F.col("whole").alias("w"))
     binned = bins.join(equal, (F.col("core") == F.col("c")) & (F.col("whole") == F.col("w"))).select("key", F.col("low").alias("start"), (F.col("high") + length).alias("end"))
-    cores = wholes.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select(F.col("core").alias("c"), "m")
+    cores = scratch.keep(wholes.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select(F.col("core").alias("c"), "m"), "cores")
+    sizes = cores.agg(F.sum("m").alias("bins"), F.sum(F.when(F.col("m") > PART_BINS, F.col("m"))).alias("open")).first()
+    tasks, hash_parts = -(-(sizes["bins"] or 1) // TASK_BINS), -(-(sizes["open"] or 1) * BIN // HASH_ROWS)
     chosen = wholes.join(cores, F.col("core") == F.col("c")).select(F.col("core").alias("c"), F.col("whole").alias("w"), F.col("one.key").alias("k"), F.col("one.low").alias("l"), F.ceil(F.col("m") / PART_BINS).alias("parts"))
     here = (F.col("core") == F.col("c")) & (F.col("whole") == F.col("w")) & (F.col("key") == F.col("k")) & (F.col("low") == F.col("l"))
     groups = bins.join(chosen, here).select("core", F.pmod(F.xxhash64("whole"), "parts").alias("part"), "parts", "key", "low", "high", "content")
-    sorted_ = scratch.keep(_sorted_groups(groups, length), "sorted")
+    sorted_ = scratch.keep(_sorted_groups(groups, length, tasks, hash_parts), "sorted")
     across = _across_parts(sorted_.where("hash_part is not null"), length)
     found = whole.union(binned).union(sorted_.where("hash_part is null").select("key", "start", "end")).union(across)
-    return found.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("intervals"))
+    # a set, so that rows that are repeated as wholes don't lengthen it
+    found = scratch.keep(found.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("intervals")), "intervals")
+    scratch.drop("shared", "classes", "bins", "wholes", "cores", "sorted")
+    return found
 
 
 def merged(intervals: list[dict] | None) -> list[tuple[int, int]]:
@@ -298,43 +315,55 @@ def kept_bytes(data: bytes, removed: list[tuple[int, int]]) -> bytes:
 
 
 def _with_intervals(spark: SparkSession, documents: DataFrame, length: int) -> DataFrame:
+    """The columns of documents, named c0, c1, ..., beside `intervals`."""
     found = repeated_intervals(spark, documents, length).withColumnRenamed("key", "found_key")
-    keyed = _keyed(documents.select(F.struct("*").alias("row"), "doc_id", "text"))
-    return keyed.join(found, F.col("key") == F.col("found_key"), "left").select("row", "intervals")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.xxhash64(F.col("doc_id").cast("long"), text, F.length(text)).alias("key")
+    plain = documents.select(key, *[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(documents.columns)])
+    return plain.join(found, F.col("key") == F.col("found_key"), "left").drop("key", "found_key")
 
 
 def digest_documents(spark: SparkSession, documents: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row; null texts count as empty, repeated rows as repeats."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text (what is kept) for each row.
+
+    Null texts count as empty, repeated rows as repeats of each other. Texts of any length are read whole; characters
+    that a removal cuts are missing from `text` but not from the checksum. An empty table gives no rows; columns other
+    than doc_id and text are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
-            for row, intervals in zip(batch.column("row").to_pylist(), batch.column("intervals").to_pylist(), strict=True):
-                data, removed = (row["text"] or "").encode(), merged(intervals)
-                rows.append((row["doc_id"], len(data), sum(b - a for a, b in removed), len(removed), hashlib.sha256(kept_bytes(data, removed)).hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            for doc_id, text, intervals in zip(*(batch.column(c).to_pylist() for c in ("c0", "c1", "intervals")), strict=True):
+                data, removed = (text or "").encode(), merged(intervals)
+                kept = kept_bytes(data, removed)
+                rows.append((doc_id, len(data), sum(b - a for a, b in removed), len(removed), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_intervals(spark, narrow, length).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_intervals(spark, narrow, length).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def remove_repeats(spark: SparkSession, documents: DataFrame, length: int = 400) -> DataFrame:
-    """documents without their repeated passages; characters that a removal cuts go as wholes, and n_chars, if there, is counted anew."""
+    """documents without their repeated passages; characters that a removal cuts go as wholes, and n_chars, if there, is counted anew.
+
+    Null texts stay null. Other columns, whatever their names, go through unchanged; every row stays, repeated rows too.
+    """
     names = documents.columns
-    numbered = documents.columns.index("text")
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = []
-            for text, intervals in zip(batch.column("text").to_pylist(), batch.column("intervals").to_pylist(), strict=True):
+            for text, intervals in zip(batch.column(f"c{at}").to_pylist(), batch.column("intervals").to_pylist(), strict=True):
                 removed = merged(intervals)
                 texts.append(kept_bytes(text.encode(), removed).decode("utf-8", "ignore") if removed else text)
-            columns = [batch.column(n) for n in names]
-            columns[numbered] = pa.array(texts, pa.string())
-            if "n_chars" in names:
-                columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-            yield pa.record_batch(columns, names=names)
-
-    kinds = ", ".join(f"`{f.name}` {'bigint' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in documents.schema)
-    return _with_intervals(spark, documents, length).select("row.*", "intervals").mapInArrow(run, kinds)
+            columns = [batch.column(f"c{i}") for i in range(len(names))]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.record_batch(columns, names=[f"c{i}" for i in range(len(names))])
+
+    kinds = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(documents.schema)])
+    found = _with_intervals(spark, documents, length).mapInArrow(run, kinds)
+    new_length = lambda i, f: F.length(f"c{at}").cast(f.dataType) if f.name == "n_chars" else F.col(f"c{i}")
+    return found.select(*[new_length(i, f).alias(f.name) for i, f in enumerate(documents.schema)])
