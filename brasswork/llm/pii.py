@@ -1,9 +1,15 @@
 """Information-theoretic sanitisation of personal data (operator 2), in DataFrame functions alone.
 
-Patterns find the protected entities: addresses, numbers and their places. Terms can reveal an entity too: from counts
-over whole texts of the whole corpus, the share of an entity's information that a term gives is their pointwise mutual
-information over the entity's information content. Terms above one threshold are removed, those above a lower one are
-generalised, wherever they stand: beside a mention, far from it, and in texts that don't name the entity.
+Patterns find the protected entities: addresses, numbers and their places. An entity is protected at two levels: its
+exact value, and its class, which many values share (a mail domain, a network, a card issuer, a dialling area). Terms can
+reveal an entity too: from counts over whole texts of the whole corpus, the share of an entity's information that a
+term gives is their pointwise mutual information over the entity's information content. Terms above one threshold are
+removed, those above a lower one are generalised, wherever they stand: beside a mention, far from it, and in texts that
+don't name the entity.
+
+Counts are smoothed by SMOOTH rows of the corpus's mean, so the estimated probability of an entity given a term is at
+most (both + SMOOTH) / (n_term + SMOOTH); and a pair counts only if at least two different texts hold both, since what one
+text has is no co-occurrence in a corpus.
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ PATTERNS = {
 }
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _WORD = r"\p{L}+|\p{N}+"
+SMOOTH = 0.5  # rows of the corpus's mean that are added to a term's rows
+FEW = 100_000  # terms, of 9 bytes each, that are sent to all executors; more are joined by a shuffle
 HOT = 0.01  # share of rows beyond which a term's rows are kept out of shuffles if it can't disclose
 
 
@@ -105,20 +113,29 @@ def base_mentions(documents: DataFrame) -> DataFrame:
     return found
 
 
+def entity_names(mention: Column) -> Column:
+    """The exact value and the class of a mention: domain, first two parts of an address, first four digits of a number."""
+    value = F.lower(mention["value"])
+    digits = F.substring(_digits(value), 1, 4)
+    kind = mention["kind"]
+    wide = F.when(kind == 0, F.concat(F.lit("@"), F.substring_index(value, "@", -1))).when(kind == 1, F.concat(F.substring_index(value, ".", 2), F.lit(".*"))).otherwise(F.concat(digits, F.lit("*")))
+    return F.array(F.concat_ws(":", kind, value), F.concat_ws(":", kind, wide))
+
+
 def disclosing_terms(mentions: DataFrame, scratch: Scratch, generalise: float, least_texts: int) -> DataFrame:
     """entity, code, disclosure: pairs of an entity and a term that reach a threshold and share at least least_texts different texts.
 
     Counts are of rows of the whole corpus: those that hold the term anywhere, those with the entity, those with both.
     Pairs are joined only where they can reach the threshold: both is n_entity at most, so n_term has a bound.
     """
-    entity = F.transform("mentions", lambda m: F.concat_ws(":", m["kind"], F.lower(m["value"])))
+    names = F.array_distinct(F.flatten(F.transform("mentions", entity_names)))
     texts = mentions.where(F.size("mentions") > 0).groupBy("text_hash").agg(F.count("*").alias("copies"), F.first("mentions").alias("mentions"), F.first("codes").alias("codes"))
     texts = scratch.keep(texts, "texts")
-    named = texts.select("text_hash", "copies", F.explode(F.array_distinct(entity)).alias("entity"))
+    named = texts.select("text_hash", "copies", F.explode(names).alias("entity"))
     entities = named.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("own")).where(F.col("own") >= least_texts)
     entities = scratch.keep(entities.select(F.col("entity").alias("of"), "n_entity"), "entities")
-    n, most = mentions.count(), entities.agg(F.max("n_entity")).first()[0] or 0
-    bound = lambda n_entity: n * ((n_entity / (n + 1)) ** generalise) * (1 + 1e-9)
+    n, most = mentions.count(), entities.agg(F.max("n_entity")).first()[0] or 1
+    bound = lambda n_entity: n * (n_entity + SMOOTH) / n_entity * ((n_entity / (n + 1)) ** generalise) * (1 + 1e-9)
     counts = mentions.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= least_texts)
     counts = scratch.keep(counts, "counts")
     # at most 1 / HOT times the mean number of a row's words
@@ -128,7 +145,8 @@ def disclosing_terms(mentions: DataFrame, scratch: Scratch, generalise: float, l
     words = words.join(hot, "code", "left_anti").join(counts.where(F.col("n_term") <= bound(most)), "code")
     pairs = words.join(named, (F.col("text_hash") == F.col("named_hash")) & (F.col("n_term") <= bound(F.col("n_entity"))))
     pairs = pairs.groupBy("entity", "code", "n_entity", "n_term").agg(F.sum("copies").cast("double").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= least_texts)
-    mutual = F.log(F.col("both") * n / (F.col("n_term") * F.col("n_entity").cast("double")))
+    mean = F.col("n_entity").cast("double") / n
+    mutual = F.log((F.col("both") + SMOOTH * mean) / (F.col("n_term") + SMOOTH) / mean)
     content = F.log((n + 1.0) / F.col("n_entity"))
     return pairs.select("entity", "code", (mutual / content).alias("disclosure")).where(F.col("disclosure") >= generalise)
 
@@ -147,7 +165,7 @@ def _term_places(text: Column, flags: Column) -> Column:
     return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("all")), add, lambda found: found["all"])
 
 
-def sanitised_spans(spark: SparkSession, documents: DataFrame, remove: float = 0.9, generalise: float = 0.75, least_texts: int = 3) -> DataFrame:
+def sanitised_spans(spark: SparkSession, documents: DataFrame, remove: float = 0.9, generalise: float = 0.75, least_texts: int = 2) -> DataFrame:
     """key, doc_id, mentions and terms of each row; terms is array<struct<start, kind, end, removed>>, null if there are none.
 
     A null text counts as empty. Repeated rows share their key and their spans. Words inside a mention go with it.
@@ -156,10 +174,13 @@ def sanitised_spans(spark: SparkSession, documents: DataFrame, remove: float = 0
     mentions = scratch.keep(base_mentions(documents), "mentions")
     disclosing = disclosing_terms(mentions, scratch, generalise, least_texts)
     disclosing = scratch.keep(disclosing.groupBy("code").agg((F.max("disclosure") >= remove).alias("removed")), "disclosing")
-    hits = mentions.select("key", F.explode("codes").alias("code")).join(disclosing, "code")
+    scratch.drop("texts", "entities", "counts")
+    told = F.broadcast(disclosing) if disclosing.count() <= FEW else disclosing
+    hits = mentions.select("key", F.explode("codes").alias("code")).join(told, "code")
     hits = hits.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("code", "removed"))).alias("flags")).withColumnRenamed("key", "hit_key")
     terms = doc_texts(documents).withColumn("key", row_key()).join(hits, F.col("key") == F.col("hit_key")).select(F.col("key").alias("terms_key"), _term_places(F.col("text"), F.col("flags")).alias("terms"))
     terms = scratch.keep(terms.dropDuplicates(["terms_key"]), "terms")
+    scratch.drop("disclosing")
     outside = F.filter("terms", lambda t: ~F.exists("mentions", lambda m: (m["start"] < t["end"]) & (t["start"] < m["end"])))
     return mentions.join(terms, F.col("key") == F.col("terms_key"), "left").select("key", "doc_id", "mentions", outside.alias("terms"))
 
@@ -174,7 +195,11 @@ def _plain(spans: Column) -> Column:
 
 
 def digest_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """doc_id, counts of each kind, base_sha256, spans."""
+    """doc_id, counts of each kind, base_sha256, spans for each row.
+
+    A null text counts as empty, texts of any length are read whole, repeated rows get equal results. An empty table gives
+    no rows; columns other than doc_id and text are left out. Without a term that reaches a threshold, spans are the base ones.
+    """
     found = sanitised_spans(spark, documents)
     base = _plain(F.col("mentions"))
     count = lambda kind: F.size(F.filter("mentions", lambda m: m["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
@@ -186,6 +211,7 @@ def sanitise(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """documents with every span replaced: an entity by its kind in brackets, a generalised term by [TERM], a removed one by nothing.
 
     Spans that overlap are replaced together, by what the first of them calls for. n_chars, if there, is counted anew.
+    Null texts stay null, every row stays; other columns, whatever their names, go through unchanged.
     """
     found = sanitised_spans(spark, documents).where((F.size("mentions") > 0) | F.col("terms").isNotNull())
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
