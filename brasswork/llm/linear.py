@@ -47,18 +47,29 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def fit_logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
-    """Coefficients, the intercept last, of a logistic regression with a ridge, by Newton's method."""
-    x = np.column_stack([features, np.ones(len(features))])
-    coefficients = np.zeros(x.shape[1])
-    penalty = ridge * np.eye(x.shape[1])
-    penalty[-1, -1] = 1e-6
-    for _ in range(steps):
-        p = sigmoid(x @ coefficients)
-        gradient = x.T @ (p - labels) + penalty @ coefficients
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + penalty
-        step = np.linalg.solve(hessian, gradient)
-        coefficients -= step
-        if np.abs(step).max() < 1e-8:
+def fit_logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-2, steps: int = 30, positive: bool = False) -> np.ndarray:
+    """Coefficients, the intercept last, of a logistic regression with a ridge, by Newton's method.
+
+    With positive, the feature of the most negative coefficient is put at 0 and the rest fitted again, until none is left.
+    """
+    free = list(range(features.shape[1]))
+    while True:
+        x = np.column_stack([features[:, free], np.ones(len(features))])
+        coefficients = np.zeros(x.shape[1])
+        penalty = ridge * np.eye(x.shape[1])
+        penalty[-1, -1] = 1e-6
+        for _ in range(steps):
+            p = sigmoid(x @ coefficients)
+            gradient = x.T @ (p - labels) + penalty @ coefficients
+            hessian = (x * (p * (1 - p))[:, None]).T @ x + penalty
+            step = np.linalg.solve(hessian, gradient)
+            coefficients -= step
+            if np.abs(step).max() < 1e-8:
+                break
+        worst = int(np.argmin(coefficients[:-1])) if free else -1
+        if not positive or worst < 0 or coefficients[worst] >= 0:
             break
-    return coefficients
+        del free[worst]
+    whole = np.zeros(features.shape[1] + 1)
+    whole[[*free, features.shape[1]]] = coefficients
+    return whole

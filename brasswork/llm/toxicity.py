@@ -162,12 +162,18 @@ class Model:
                 total += weight * factor
         return total
 
-    def features(self, text: str) -> list[float]:
+    def scored(self, text: str) -> tuple[float, int]:
+        """The score of a text and the number of its matched clauses."""
         weights = [w for w, _, _ in self.clauses(text)]
-        return [max(weights, default=0.0), float(np.log1p(sum(weights))), float(np.log1p(len(weights)))]
+        return float(sigmoid(np.dot(self.coefficients[:-1], features(weights)) + self.coefficients[-1])), len(weights)
 
     def score(self, text: str) -> float:
-        return float(sigmoid(np.dot(self.coefficients[:-1], self.features(text)) + self.coefficients[-1]))
+        return self.scored(text)[0]
+
+
+def features(weights: list[float]) -> list[float]:
+    """Of a text's clause weights: the greatest, their sum and their number. Each grows with the clauses."""
+    return [max(weights, default=0.0), float(np.log1p(sum(weights))), float(np.log1p(len(weights)))]
 
 
 STEM_LENGTHS = (4, 5, 6)
@@ -233,7 +239,7 @@ def _clause_features(keyed: DataFrame, halves: list[Model], folds: dict[tuple[in
             for key, text, label in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "label")), strict=True):
                 fold = folds.get((key, label))
                 if fold is not None:
-                    rows.append((key, label, halves[fold].features(text)))
+                    rows.append((key, label, features([w for w, _, _ in halves[fold].clauses(text)])))
             yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.list_(pa.float64())))], names=["key", "label", "features"])
 
     found = keyed.mapInArrow(run, "key long, label int, features array<double>").toArrow()
@@ -243,7 +249,11 @@ def _clause_features(keyed: DataFrame, halves: list[Model], folds: dict[tuple[in
 
 
 def fit_sample(sample: DataFrame) -> Model:
-    """From rows of text and label. Each half of the distinct texts gives the lexicon by which the clauses of the other half are weighed; then the lexicon is learned from all."""
+    """From rows of text and label. Each half of the distinct texts gives the lexicon by which the clauses of the other half are weighed; then the lexicon is learned from all.
+
+    Coefficients of clause features aren't negative, so that a clause can only add to a score and what the grammar takes
+    from a denied or quoted one always lowers it. Learned entries are read as insults. Without two classes a fixed model is used.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -260,22 +270,23 @@ def fit_sample(sample: DataFrame) -> Model:
     if len({label for _, label in texts}) < 2:
         return Model(learn_lexicon(texts), np.array([0.4, 0.4, 0.4, -2.0]))
     halves = [Model(learn_lexicon(texts[1 - fold :: 2]), np.zeros(4)) for fold in (0, 1)]
-    features, labels = _clause_features(keyed, halves, {(key, label): i % 2 for i, (_, label, key) in enumerate(kept)})
-    return Model(learn_lexicon(texts), fit_logistic(features, labels))
+    found, labels = _clause_features(keyed, halves, {(key, label): i % 2 for i, (_, label, key) in enumerate(kept)})
+    return Model(learn_lexicon(texts), fit_logistic(found, labels, positive=True))
 
 
 def score_documents(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_clauses; a null text counts as empty."""
+    """doc_id, held_out, score, predicted, n_clauses for each row.
+
+    A null text counts as empty and has the score of a text without matches; texts of any length are read whole; repeated
+    rows get equal scores; a null doc_id is never held out. Other columns are left out, an empty table gives no rows.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)  # the lexicon comes from a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in slices(batches):
-            texts = batch.column("text").to_pylist()
-            yield pa.record_batch(
-                [batch.column("doc_id"), pa.array([own.score(t) for t in texts], pa.float64()), pa.array([len(own.clauses(t)) for t in texts], pa.int64())],
-                names=["doc_id", "score", "n_clauses"],
-            )
+            found = [own.scored(t) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], names=["doc_id", "score", "n_clauses"])
 
     scored = doc_texts(documents).mapInArrow(run, "doc_id long, score double, n_clauses long")
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_clauses")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -165,7 +166,7 @@ def test_toxicity_learns_words(spark, labelled):
 
 def test_toxicity_is_fitted_to_clauses(spark, monkeypatch):
     seen, fit = [], toxicity.fit_logistic
-    monkeypatch.setattr(toxicity, "fit_logistic", lambda x, y: seen.append((x, y)) or fit(x, y))
+    monkeypatch.setattr(toxicity, "fit_logistic", lambda x, y, **more: seen.append((x, y)) or fit(x, y, **more))
     r = random.Random(9)
     rows = [(" you idiot. ".join(words(r, [f"w{i}x{k}" for k in range(90)], 15) for _ in range(6)), 1) for i in range(40)]
     rows += [(" They said not idiot. ".join(words(r, [f"v{i}x{k}" for k in range(90)], 15) for _ in range(3)), 0) for i in range(40)]
@@ -175,6 +176,52 @@ def test_toxicity_is_fitted_to_clauses(spark, monkeypatch):
     assert x[y == 0, 0].max() < x[y == 1, 0].min()
 
 
+def brute_score(model, text):
+    """Every clause of a text, word by word, through the four transducers one after the other."""
+    kinds = (toxicity.INSULT, toxicity.THREAT)
+    chain = [
+        toxicity.governed(toxicity.NOT, kinds, toxicity.DENIED, 3, 0.3), toxicity.governed(toxicity.SAYS, kinds, toxicity.QUOTED, 8, 0.5),
+        toxicity.directed(toxicity.INSULT, 4, 1.5), toxicity.directed(toxicity.THREAT, 4, 2.0),
+    ]
+    weights = []
+    for clause in re.split(r"[.!?;:\n]", text.lower()):
+        states, total = [0] * 4, 0.0
+        for word in re.findall(r"\w+", clause.replace("'", "")):
+            stems = [word[:n] for n in range(min(len(word), 6), 3, -1) if model.lexicon.get(word[:n], ("", 0, False))[2]]
+            symbol, weight = model.lexicon[word][:2] if word in model.lexicon else model.lexicon[stems[0]][:2] if stems else (toxicity.WORD, 0.0)
+            for i, machine in enumerate(chain):
+                states[i], symbol, factor = machine.step(states[i], symbol)
+                weight *= factor
+            total += weight if symbol in (*kinds, toxicity.DENIED, toxicity.QUOTED) else 0.0
+        if total:
+            weights.append(total)
+    x = [max(weights, default=0.0), np.log1p(sum(weights)), np.log1p(len(weights))]
+    return 1 / (1 + np.exp(-(model.coefficients[:-1] @ x + model.coefficients[-1])))
+
+
+def test_fitted_toxicity_follows_the_grammar(spark, labelled):
+    model = toxicity.fit_sample(spark.createDataFrame(labelled[:300], "text string, label int"))
+    assert (model.coefficients[:-1] >= 0).all() and model.coefficients[:-1].max() > 0
+    strongest = max((w for w, (s, _, stem) in model.lexicon.items() if s == toxicity.INSULT and not stem), key=lambda w: model.lexicon[w][1])
+    for word in ("idiot", strongest):
+        targeted, plain, quoted, denied = map(model.score, (f"you are {word}", f"what {word}", f"it was claimed that what {word}", f"that is not {word}"))
+        assert targeted > plain > denied and targeted > quoted > denied
+        assert plain > model.score(f"they claimed {word}") * 0.999 and model.score("a walk in the park") < denied
+    texts = [t for t, _ in labelled[300:]] + ["", "He said: you idiot! You are not an idiot; idiots", "\n".join(["kill you"] * 50)]
+    for text in texts:
+        assert np.isclose(model.score(text), brute_score(model, text), atol=1e-12)
+
+
+def test_positive_logistic_drops_what_would_be_negative():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(400, 3))
+    y = (x @ [2.0, -1.5, 0.0] + r.normal(size=400) > 0).astype(float)
+    assert toxicity.fit_logistic(x, y)[1] < 0
+    found = toxicity.fit_logistic(x, y, positive=True)
+    assert found[1] == 0 and found[0] > 0 and (found[:3] >= 0).all()
+    assert np.allclose(toxicity.fit_logistic(x[:, :1], y)[0], found[0], atol=0.5)
+
+
 def test_grammar_weighs_clauses():
     model = toxicity.Model({w: (s, 1.0 if s in ("insult", "threat") else 0.0, False) for s, ws in toxicity.GENERAL.items() for w in ws}, np.array([1.0, 0.0, 0.0, -1.0]))
     weight = model.clause_weight
