@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from brasswork.llm import language_id, near_duplicates, packing, pii, repeats
-from brasswork.llm.common import Scratch, read_table
+from brasswork.llm.common import Scratch, clear_scratch, read_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Bytes from which on a passage that occurs elsewhere goes: about 50 words and the spaces between them.
+PASSAGE = 240
+
 
 def recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without a letter or unlike all learned languages go."""
@@ -24,8 +27,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 400 bytes or more that occur anywhere else."""
-    return repeats.remove_repeats(spark, docs)
+    """Texts without passages of PASSAGE bytes or more that occur anywhere else."""
+    return repeats.remove_repeats(spark, docs, PASSAGE)
 
 
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,14 +49,22 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packed),
 ]
 
-#: No stage can be said in SQL; the tests hold run() against brute force.
+#: No stage can be said in SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the last stage makes of documents; each stage is written in the shared folder and read again."""
+    """What the last stage makes of documents; each stage is written in the shared folder and read again.
+
+    What a stage has written for itself is deleted once its result is written, and so is its predecessor's.
+    """
     scratch = Scratch(spark)
-    docs = read_table(spark, sf_dir, "documents")
+    own = len(Scratch.made)
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        clear_scratch(own)
+        if before is not None:
+            scratch.drop(before)
+        before = name
     return docs
