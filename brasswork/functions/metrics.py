@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brasswork.functions.numbers import ratio
+from brasswork.operators.ranges import running
+from brasswork.session import cut
 
 
 def forecast_aggregates(actual: str = "y", forecast: str = "f") -> list[Column]:
@@ -36,6 +38,25 @@ def seasonal_scale(frame: DataFrame, order: str, value: str, season: int, keys:
     return frame.select(*keys, step.alias("step")).groupBy(*keys).agg(F.nullif(F.avg("step"), F.lit(0.0)).alias("scale"))
 
 
+def mase(pairs: DataFrame, scales: DataFrame, keys: tuple[str, ...] = (), actual: str = "y", forecast: str = "f") -> DataFrame:
+    """keys and mase: the mean absolute error of each series' forecasts over its seasonal scale; null where that is undefined.
+
+    scales is what seasonal_scale gives for the training weeks. A forecast that repeats the season over the very weeks
+    that the scale is taken from has 1.
+    """
+    error = pairs.groupBy(*keys).agg(F.avg(F.abs(F.col(actual).cast("double") - F.col(forecast).cast("double"))).alias("mae_"))
+    joined = error.join(scales, list(keys), "left") if keys else error.crossJoin(F.broadcast(scales))
+    return joined.select(*keys, F.round(ratio(F.col("mae_"), F.col("scale")), 6).alias("mase"))
+
+
+def forecast_bundle(pairs: DataFrame, scales: DataFrame, keys: tuple[str, ...] = (), actual: str = "y", forecast: str = "f") -> DataFrame:
+    """keys with all forecast metrics, the share of weeks that aren't 0, and mase."""
+    whole = pairs.groupBy(*keys).agg(*forecast_aggregates(actual, forecast))
+    whole = whole.withColumn("nonzero_share", F.round(ratio(F.col("n_nonzero").cast("double"), F.col("n")), 6))
+    scaled = mase(pairs, scales, keys, actual, forecast)
+    return whole.join(scaled, list(keys)) if keys else whole.crossJoin(F.broadcast(scaled))
+
+
 def ranking_metrics(scored: DataFrame, score: str, label: str, tie: str, k: float = 0.2) -> DataFrame:
     """One row: rows, positives, n_top, precision, recall and lift among the rows of highest score.
 
@@ -51,17 +72,17 @@ def ranking_metrics(scored: DataFrame, score: str, label: str, tie: str, k: floa
 
 
 def curve_metrics(scored: DataFrame, score: str, label: str) -> DataFrame:
-    """roc_auc (average ranks) and average precision (step sum over distinct scores), from counts by distinct score."""
-    by_score = scored.groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = by_score.withColumns({"n_upto": F.sum("n").over(down), "p_upto": F.sum("p").over(down)})
-    totals = by_score.agg(F.sum("n").alias("all"), F.sum("p").alias("pos"))
-    run = run.crossJoin(F.broadcast(totals))
-    negatives = F.col("all") - F.col("pos")
+    """roc_auc (average ranks) and average precision (step sum over distinct scores), from counts by distinct score.
+
+    A real model has about as many scores as rows, so running counts are taken in two levels.
+    """
+    by_score = cut(scored.groupBy(F.col(score).cast("double").alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p")))
+    run, totals = running(by_score, [-F.col("score")], {"n_upto": "n", "p_upto": "p"})
+    positives, negatives = F.lit(totals["p_upto"]), F.lit(totals["n_upto"] - totals["p_upto"])
     # a positive beats all negatives below it and half of those level with it
     below = (negatives - (F.col("n_upto") - F.col("p_upto"))) + (F.col("n") - F.col("p")) / F.lit(2.0)
-    auc = ratio(F.sum(F.col("p") * below), F.max(F.col("pos") * negatives).cast("double"))
-    precision = F.sum(F.col("p") / F.nullif("pos", F.lit(0)) * F.col("p_upto") / F.col("n_upto"))
+    auc = ratio(F.sum(F.col("p") * below), (positives * negatives).cast("double"))
+    precision = F.sum(F.col("p") / F.nullif(positives, F.lit(0)) * F.col("p_upto") / F.col("n_upto"))
     return run.agg(F.round(auc, 8).alias("roc_auc"), F.round(precision, 8).alias("average_precision"))
 
 

@@ -31,8 +31,10 @@ def shared_dates(train: DataFrame, test: DataFrame) -> DataFrame:
     return train.select("snapshot_date").intersect(test.select("snapshot_date"))
 
 
-def fit_model(train: DataFrame, features: Sequence[str] = MODEL_FEATURES, trees: int = 30, depth: int = 4, step: float = 0.1, seed: int = 42) -> PipelineModel:
-    """Medians of the training rows for nulls, then boosted trees with the classes weighed alike."""
+def fit_model(train: DataFrame, features: Sequence[str] = MODEL_FEATURES, trees: int = 300, depth: int = 4, step: float = 0.05, seed: int = 42, test: DataFrame | None = None) -> PipelineModel:
+    """Medians of the training rows for nulls, then boosted trees with the classes weighed alike; the snapshot dates of test, if given, must be others."""
+    if test is not None and (both := shared_dates(train, test).limit(1).count()):
+        raise ValueError(f"{both} snapshot date or more is in train and test")
     counts = train.agg(F.sum("churn").alias("p"), F.count("*").alias("n")).first()
     weight = (counts["n"] - counts["p"]) / max(1, counts["p"])
     rows = train.select(*[F.col(c).cast("double").alias(c) for c in features], F.col("churn").cast("double").alias("label"), F.when(F.col("churn") == 1, weight).otherwise(1.0).alias("weight"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brasswork.functions.numbers import ratio
+from brasswork.operators.ranges import quantiles
+from brasswork.session import cut
 
 FLOOR = 1e-6
 
@@ -26,12 +28,14 @@ def psi(both: DataFrame, columns: Sequence[str], bins: int = 10, open_ended: boo
 
     Edges are interpolated and repeated ones dropped; bins are closed on the right, the lowest edge belongs to the first.
     Values outside the reference's range are left out of the current period's shares, or with open_ended counted in the
-    outer bins. Without rows on a side it is null. All columns are handled in one aggregation for edges and one for bins.
+    outer bins. Without rows on a side it is null. Rows are first counted by value, and edges found in two levels, so that
+    no task holds all values of a column. Texts that aren't numbers count as missing.
     """
-    steps = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    numeric = both.select("period", *[F.try_to_number(F.col(c), F.lit("9")).cast("double").alias(c) if dict(both.dtypes)[c] == "string" else F.col(c).cast("double").alias(c) for c in columns])
+    numeric = both.select("period", *[F.col(c).try_cast("double").alias(c) for c in columns])
     tall = numeric.unpivot(["period"], list(columns), "feature", "x").where(F.col("x").isNotNull())
-    edges = tall.where("period = 'reference'").groupBy("feature").agg(F.array_distinct(F.percentile("x", steps)).alias("edges"))
+    tall = cut(tall.groupBy("feature", "period", "x").agg(F.count("*").alias("n_")))
+    found = quantiles(tall.where("period = 'reference'").select("feature", "x", "n_"), ["feature"], "x", "n_", [i / bins for i in range(bins + 1)])
+    edges = found.select("feature", F.array_distinct("quantiles").alias("edges"))  # a row for each column
     x = F.col("x")
     low, high = F.element_at("edges", 1), F.element_at("edges", -1)
     inner = F.when(x == low, 1).otherwise(F.size(F.filter("edges", lambda e: e < x)))
@@ -39,7 +43,7 @@ def psi(both: DataFrame, columns: Sequence[str], bins: int = 10, open_ended: boo
     inside = (x >= low) & (x <= high)
     bucket = F.least(F.greatest(inner, F.lit(1)), last) if open_ended else F.when(inside, F.least(F.greatest(inner, F.lit(1)), last))
     counted = tall.join(F.broadcast(edges), "feature").withColumn("bucket", bucket).where("bucket is not null")
-    side = lambda p: F.sum(F.when(F.col("period") == p, 1).otherwise(0))
+    side = lambda p: F.sum(F.when(F.col("period") == p, F.col("n_")).otherwise(0))
     by_bucket = counted.groupBy("feature", "bucket").agg(side("reference").alias("r"), side("current").alias("c"))
     whole = by_bucket.groupBy("feature").agg(F.sum("r").alias("all_r"), F.sum("c").alias("all_c"))
     shares = by_bucket.join(F.broadcast(whole), "feature").select("feature", F.greatest(ratio(F.col("r").cast("double"), F.col("all_r")), F.lit(FLOOR)).alias("r"), F.greatest(ratio(F.col("c").cast("double"), F.col("all_c")), F.lit(FLOOR)).alias("c"), "all_c")
@@ -53,9 +57,8 @@ def verdict(value: Column) -> Column:
 def category_shift(both: DataFrame, column: str) -> DataFrame:
     """One row: half the sum of absolute share differences, and the value that moved most (the first by name on ties)."""
     shares = share_table(both, column)
-    moved = F.max_by(F.col("value"), F.struct(F.round(F.abs(F.col("shift")), 12), F.col("turned")))
-    turned = shares.withColumn("turned", F.col("value"))
-    return turned.agg(F.lit(column).alias("feature"), F.round(F.sum(F.abs("shift")) / 2, 6).alias("distance"), moved.alias("largest_mover"), F.count("*").alias("values"))
+    moved = F.min_by("value", F.struct(-F.round(F.abs("shift"), 12), "value"))
+    return shares.agg(F.lit(column).alias("feature"), F.round(F.sum(F.abs("shift")) / 2, 6).alias("distance"), moved.alias("largest_mover"), F.count("*").alias("values"))
 
 
 def share_table(both: DataFrame, column: str, weight: str | None = None) -> DataFrame:
@@ -78,8 +81,11 @@ def numeric_summary(both: DataFrame, columns: Sequence[str]) -> DataFrame:
     """feature, psi, means and medians of both periods, verdict."""
     tall = both.select("period", *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(["period"], list(columns), "feature", "x")
     at = lambda f, p, name: F.round(f(F.when(F.col("period") == p, F.col("x"))), 6).alias(name)
-    stats = tall.groupBy("feature").agg(at(F.avg, "reference", "mean_reference"), at(F.avg, "current", "mean_current"), at(F.median, "reference", "median_reference"), at(F.median, "current", "median_current"))
-    return psi(both, columns).join(stats, "feature").withColumn("verdict", verdict(F.col("psi")))
+    stats = tall.groupBy("feature").agg(at(F.avg, "reference", "mean_reference"), at(F.avg, "current", "mean_current"))
+    counted = tall.where("x is not null").groupBy("feature", "period", "x").agg(F.count("*").alias("n_"))
+    middle = quantiles(counted, ["feature", "period"], "x", "n_", [0.5]).select("feature", "period", F.round(F.col("quantiles")[0], 6).alias("median_"))
+    medians = middle.groupBy("feature").agg(*[F.max(F.when(F.col("period") == p, F.col("median_"))).alias(f"median_{p}") for p in ("reference", "current")])
+    return psi(both, columns).join(stats, "feature").join(medians, "feature").withColumn("verdict", verdict(F.col("psi")))
 
 
 def report(both: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from brasswork.functions.dates import window_start
 from brasswork.functions.numbers import ratio
+from brasswork.session import cut
 
 FEATURES = ("recency_days", "frequency", "monetary", "units", "lines", "categories", "promo_share", "mean_discount_pct", "online_share", "tenure_days", "units_per_line", "avg_basket_value")
 #: Names with these beginnings would give away what comes after a snapshot.
@@ -29,30 +30,49 @@ def _snapshots(spark: SparkSession, dates: Sequence[datetime.date]) -> DataFrame
     return spark.createDataFrame([(d,) for d in sorted(set(dates))], "snapshot_date date")
 
 
-def rfm_features(sales: DataFrame, as_of: Sequence[datetime.date], window_days: int = 90, include_unconverted: bool = True, online: Sequence[str] = ("1-URGENT", "2-HIGH")) -> DataFrame:
-    """One row for each snapshot and customer who bought by then, from lines up to the snapshot alone.
+def transactions(sales: DataFrame, online: Sequence[str] = ("1-URGENT", "2-HIGH")) -> DataFrame:
+    """One row for each customer, transaction and day, with sums over its lines and the set of its categories: what features are made of."""
+    return sales.groupBy("customer_id", "transaction_id", "date").agg(
+        F.count("*").alias("lines"), F.sum("sales_amount").alias("amount"), F.sum("quantity_sold").alias("units"), F.sum("is_promotion").alias("promo"),
+        F.sum("discount_pct").alias("discount"), F.count("discount_pct").alias("discounts"), F.sum(F.col("channel").isin(*online).cast("int")).alias("online"), F.collect_set("product_category").alias("categories"),
+    )
 
-    Window aggregates cover the trailing window_days, the snapshot's day included. A customer without lines in it keeps
-    frequency and lines 0 and nulls elsewhere, or is left out if include_unconverted is False. All snapshots are one
-    range join against a short broadcast list, followed by one aggregation, so lines are read once.
+
+def _at_snapshots(bought: DataFrame, dates: Sequence[datetime.date], window_days: int, label_days: int) -> DataFrame:
+    """Features and `later` (whether a transaction follows in label_days) from transactions, in one range join and one aggregation.
+
+    Rows reach the join already summed by transaction, and one column alone is counted distinct, so no row is multiplied
+    but by the snapshots it belongs to.
     """
-    spans = F.broadcast(_snapshots(sales.sparkSession, as_of))
-    seen = sales.join(spans, F.col("date") <= F.col("snapshot_date"))
-    inside = F.col("date") >= window_start(F.col("snapshot_date"), window_days)
+    spans = F.broadcast(_snapshots(bought.sparkSession, dates))
+    day, snapshot = F.col("date"), F.col("snapshot_date")
+    seen = bought.join(spans, day <= F.date_add("snapshot_date", label_days))
+    known = day <= snapshot
+    inside = known & (day >= window_start(snapshot, window_days))
     within = lambda value: F.when(inside, value)
-    lines = F.sum(within(F.lit(1)))
+    lines = F.sum(within(F.col("lines")))
+    kinds = F.size(F.array_distinct(F.flatten(F.collect_set(within(F.col("categories"))))))
     out = seen.groupBy("snapshot_date", "customer_id").agg(
-        F.min("date").alias("first_purchase"), F.max("date").alias("last_purchase"),
-        F.count_distinct(within(F.col("transaction_id"))).alias("frequency"), F.sum(within(F.col("sales_amount"))).cast("double").alias("monetary"),
-        F.sum(within(F.col("quantity_sold"))).cast("long").alias("units"), F.coalesce(lines, F.lit(0)).cast("long").alias("lines"),
-        F.nullif(F.count_distinct(within(F.col("product_category"))), F.lit(0)).alias("categories"),
-        ratio(F.sum(within(F.col("is_promotion"))).cast("double"), lines).alias("promo_share"), F.round(F.avg(within(F.col("discount_pct"))), 6).alias("mean_discount_pct"),
-        ratio(F.sum(within(F.col("channel").isin(*online).cast("int"))).cast("double"), lines).alias("online_share"),
-    )
-    out = out.withColumns({
+        F.min(F.when(known, day)).alias("first_purchase"), F.max(F.when(known, day)).alias("last_purchase"),
+        F.count_distinct(within(F.col("transaction_id"))).alias("frequency"), F.sum(within(F.col("amount"))).cast("double").alias("monetary"),
+        F.sum(within(F.col("units"))).cast("long").alias("units"), F.coalesce(lines, F.lit(0)).cast("long").alias("lines"),
+        F.nullif(kinds, F.lit(0)).cast("long").alias("categories"),
+        ratio(F.sum(within(F.col("promo"))).cast("double"), lines).alias("promo_share"), F.round(ratio(F.sum(within(F.col("discount"))), F.sum(within(F.col("discounts")))), 6).alias("mean_discount_pct"),
+        ratio(F.sum(within(F.col("online"))).cast("double"), lines).alias("online_share"), F.coalesce(F.max(day > snapshot), F.lit(False)).alias("later"),
+    ).where("first_purchase is not null")
+    return out.withColumns({
         "recency_days": F.datediff("snapshot_date", "last_purchase"), "tenure_days": F.datediff("snapshot_date", "first_purchase"),
         "units_per_line": ratio(F.col("units").cast("double"), F.col("lines")), "avg_basket_value": ratio(F.col("monetary"), F.col("frequency")), "feature_as_of": F.col("snapshot_date"),
     })
+
+
+def rfm_features(sales: DataFrame, as_of: Sequence[datetime.date], window_days: int = 90, include_unconverted: bool = True, online: Sequence[str] = ("1-URGENT", "2-HIGH")) -> DataFrame:
+    """One row for each snapshot and customer who bought by then, from lines up to the snapshot alone.
+
+    Window aggregates cover the trailing window_days, the snapshot's day included. A customer without lines in it keeps
+    frequency and lines 0 and nulls elsewhere, or is left out if include_unconverted is False. Lines are read once.
+    """
+    out = _at_snapshots(transactions(sales, online), as_of, window_days, 0).drop("later")
     return out if include_unconverted else out.where("lines > 0")
 
 
@@ -69,14 +89,15 @@ def split_observable(sales: DataFrame, dates: Sequence[datetime.date], label_day
     return kept, dropped
 
 
-def churn_snapshots(sales: DataFrame, dates: Sequence[datetime.date], window_days: int = 90, label_days: int = 90, **options) -> DataFrame:
-    """Features at each observable snapshot, and churn: 1 if the customer buys nothing in the label_days after it."""
-    kept, _ = split_observable(sales, dates, label_days)
-    features = rfm_features(sales, kept, window_days, **options)
-    spans = F.broadcast(_snapshots(sales.sparkSession, kept).withColumnRenamed("snapshot_date", "label_from"))
-    after = sales.join(spans, (F.col("date") > F.col("label_from")) & (F.col("date") <= F.date_add("label_from", label_days)))
-    buyers = after.select(F.col("label_from").alias("snapshot_date"), "customer_id").distinct().withColumn("bought", F.lit(1))
-    return features.join(buyers, ["snapshot_date", "customer_id"], "left").withColumn("churn", F.when(F.col("bought").isNull(), 1).otherwise(0)).drop("bought")
+def churn_snapshots(sales: DataFrame, dates: Sequence[datetime.date], window_days: int = 90, label_days: int = 90, include_unconverted: bool = True, online: Sequence[str] = ("1-URGENT", "2-HIGH")) -> DataFrame:
+    """Features at each observable snapshot, and churn: 1 if the customer buys nothing in the label_days after it.
+
+    Sales are read once, summed by transaction and written; the last day, the features and the labels come from that table.
+    """
+    bought = cut(transactions(sales, online))
+    kept, _ = split_observable(bought, dates, label_days)
+    out = _at_snapshots(bought, kept, window_days, label_days).withColumn("churn", F.when(F.col("later"), 0).otherwise(1)).drop("later")
+    return out if include_unconverted else out.where("lines > 0")
 
 
 def leaks(frame: DataFrame, snapshot: str = "snapshot_date", allow_labels: bool = False) -> DataFrame:

@@ -15,6 +15,7 @@ from brasswork.operators.rollup import first_by
 
 SEASON = 52
 HORIZONS = (1, 2, 4)
+MAX_PATH = 10_000
 LEVELS = {"total": [], "store": ["store_id"], "product": ["product_id"], "category": ["product_category"], "store_product": ["store_id", "product_id"]}
 
 
@@ -160,7 +161,8 @@ def forecast_paths(series: DataFrame, selected: DataFrame, keys: Sequence[str] =
     """keys, horizon, model, weeks_ahead, forecast: the selected models fitted to every week."""
     kinds = dict(series.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "horizon int, model string, holdout_wape double, weeks_ahead int, forecast double"])
-    joined = series.join(F.broadcast(selected), list(keys)) if keys else series.crossJoin(F.broadcast(selected))
+    # without keys there is one row for each horizon; with keys their number grows with the series
+    joined = series.join(selected, list(keys)) if keys else series.crossJoin(F.broadcast(selected))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("t")
@@ -181,5 +183,7 @@ def series_weights(panel: DataFrame, level: str, value: str = "units_sold") -> D
 
 
 def reconcile_down(path: DataFrame, weights: DataFrame, value: str = "forecast") -> DataFrame:
-    """Each forecast of the whole, shared out by weights; the parts add up to it. The path is short and broadcast."""
+    """Each forecast of the whole, shared out by weights; the parts add up to it. Raises ValueError for a path of over MAX_PATH rows, since it is broadcast."""
+    if path.limit(MAX_PATH + 1).count() > MAX_PATH:
+        raise ValueError(f"a path of the whole has at most {MAX_PATH} rows")
     return weights.crossJoin(F.broadcast(path)).withColumn("part", F.col(value) * F.col("share"))

@@ -42,12 +42,21 @@ def poisson_safety(mean: float, cr: float | None) -> float:
     return max(poisson_quantile(cr, max(mean, 1e-9)) - mean, 0.0)
 
 
-def pair_demand(panel: DataFrame, forecast: float, recent: int = 8) -> DataFrame:
-    """Each pair's part of a pooled weekly forecast, by its share of all history, with mean and deviation of its last weeks (0 if there is one)."""
+def pair_demand(panel: DataFrame, forecast: float | DataFrame, recent: int = 8) -> DataFrame:
+    """Each pair's part of a pooled weekly forecast, by its share of all history, with mean and deviation of its last weeks (0 if there is one).
+
+    The forecast is a number, or a frame of one row with a column `forecast`, such as first_week gives.
+    """
     whole = panel.agg(F.sum("units_sold").cast("double").alias("whole"))
     share = panel.groupBy(*PAIR).agg(F.sum("units_sold").cast("double").alias("units")).crossJoin(F.broadcast(whole))
     stats = last_rows(panel, PAIR, "week_start_date", recent).groupBy(*PAIR).agg(F.round(F.avg("units_sold"), 8).alias("recent_mean"), F.round(F.coalesce(F.stddev_samp("units_sold"), F.lit(0.0)), 8).alias("recent_std"))
-    return share.join(stats, PAIR, "left").select(*PAIR, ratio(F.col("units"), F.col("whole")).alias("share"), (ratio(F.col("units"), F.col("whole")) * forecast).alias("mean"), F.coalesce("recent_mean", F.lit(0.0)).alias("recent_mean"), F.coalesce("recent_std", F.lit(0.0)).alias("recent_std"))
+    if isinstance(forecast, DataFrame):
+        one = forecast.agg(F.max(F.col("forecast").cast("double")).alias("forecast_"))  # one row, whatever comes in
+        share, told = share.crossJoin(F.broadcast(one)), F.col("forecast_")
+    else:
+        told = F.lit(float(forecast))
+    part = ratio(F.col("units"), F.col("whole"))
+    return share.join(stats, PAIR, "left").select(*PAIR, part.alias("share"), (part * told).alias("mean"), F.coalesce("recent_mean", F.lit(0.0)).alias("recent_mean"), F.coalesce("recent_std", F.lit(0.0)).alias("recent_std"))
 
 
 def last_on_hand(panel: DataFrame) -> DataFrame:
@@ -61,7 +70,16 @@ def mean_price(panel: DataFrame) -> DataFrame:
     return panel.groupBy(*PAIR).agg(F.round(F.avg("avg_unit_price"), 6).alias("mean_price"), F.round(F.avg(F.when(F.col("units_sold") > 0, F.col("avg_unit_price"))), 6).alias("mean_selling_price"))
 
 
-def reorder_plan(panel: DataFrame, forecast: float, weeks: float = 1.0, service_level: float = 0.95) -> DataFrame:
+def first_week(paths: DataFrame) -> DataFrame:
+    """forecast: of the next week, by the path of the shortest horizon; one row. Raises ValueError if there isn't exactly one such row."""
+    shortest = paths.agg(F.min("horizon").alias("horizon"))
+    found = paths.where("weeks_ahead = 1").join(F.broadcast(shortest), "horizon", "left_semi").select(F.col("forecast").cast("double").alias("forecast"))
+    if (n := found.count()) != 1:
+        raise ValueError(f"{n} forecasts of the next week")
+    return found
+
+
+def reorder_plan(panel: DataFrame, forecast: float | DataFrame, weeks: float = 1.0, service_level: float = 0.95) -> DataFrame:
     """All pairs with both methods' decisions. The price cancels out of the critical ratio, so one ratio serves all pairs."""
     cr = critical_ratio(1.0, weeks)
     base = pair_demand(panel, forecast).join(last_on_hand(panel), PAIR).join(mean_price(panel), PAIR)
@@ -98,16 +116,19 @@ def replay_weeks(weeks: int, holdout: int = 13, least_train: int = 8) -> int:
 def replay(panel: DataFrame, holdout: int = 13, lead: float = 1.0) -> DataFrame:
     """week, policy, forecast, safety, cover and errors: what policies would have kept, told only by the weeks before.
 
+    Raises ValueError for histories that are too short (replay_weeks), which takes one small count.
+
     Policies: the mean of earlier weeks alone, that mean with a normal margin, and with a Poisson margin. Units that
     stocked-out pairs lost are put at the mean of a pair, times their number. One expanding window over the pooled weeks
     replaces a loop.
     """
+    train = replay_weeks(panel.select("week_start_date").distinct().count(), holdout)
     pairs = panel.select(*PAIR).distinct().agg(F.count("*").alias("n_pairs"))
     weekly = panel.groupBy("week_start_date").agg(F.sum("units_sold").cast("double").alias("actual"), F.sum((F.col("stockout_count") > 0).cast("int")).cast("long").alias("censored"))
     ordered = Window.orderBy("week_start_date")  # one row a week
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    told = weekly.withColumns({"past_mean": F.avg("actual").over(earlier), "past_std": F.stddev_samp("actual").over(earlier), "place": F.row_number().over(ordered), "weeks": F.count("*").over(Window.partitionBy())})
-    held = told.where(F.col("place") > F.greatest(F.col("weeks") - holdout, F.lit(8))).crossJoin(F.broadcast(pairs))
+    told = weekly.withColumns({"past_mean": F.avg("actual").over(earlier), "past_std": F.stddev_samp("actual").over(earlier), "place": F.row_number().over(ordered)})
+    held = told.where(F.col("place") > train).crossJoin(F.broadcast(pairs))
     cr = critical_ratio(1.0, lead)
     lost = F.col("censored") * F.col("past_mean") / F.col("n_pairs")
     normal = normal_quantile(cr) * F.coalesce("past_std", F.lit(0.0))

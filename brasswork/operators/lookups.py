@@ -71,8 +71,8 @@ def largest_movers(mix: DataFrame, n: int = 1) -> DataFrame:
 
 
 def leaders_share(frame: DataFrame, value: str, n: int = 2) -> DataFrame:
-    """The share of the whole that the n largest rows hold."""
-    top = frame.orderBy(F.desc(value)).limit(n).agg(F.sum(value).alias("top"))
+    """The share of the whole that the n largest rows hold; rows that tie with the n-th add the same, whichever is taken."""
+    top = frame.select(value).orderBy(F.desc(value)).limit(n).agg(F.sum(value).alias("top"))
     return top.crossJoin(F.broadcast(frame.agg(F.sum(value).alias("whole")))).select(ratio(F.col("top").cast("double"), F.col("whole")).alias("share"))
 
 

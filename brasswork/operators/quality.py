@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from brasswork.functions.dates import strict_date, weekday_name
 from brasswork.functions.numbers import count_if, price_band, ratio
 
+#: The columns of the two contracts, in their order.
 SALES_COLUMNS = (
-    "date customer_id store_id product_id product_category quantity_sold unit_price discount promotion inventory_level sales_amount city "
-    "discount_pct is_promotion transaction_id product_name region weekday is_weekend is_holiday year_month week_of_year quarter price_band "
-    "customer_segment loyalty_tier channel"
-).split()
-PANEL_COLUMNS = "week_start_date year week_of_year store_id city region product_id product_category units_sold revenue avg_unit_price avg_discount_pct is_promo_week stockout_count on_hand_end".split()
+    "date", "customer_id", "store_id", "product_id", "product_category", "quantity_sold", "unit_price", "discount", "promotion",
+    "inventory_level", "sales_amount", "city", "discount_pct", "is_promotion", "transaction_id", "product_name", "region", "weekday",
+    "is_weekend", "is_holiday", "year_month", "week_of_year", "quarter", "price_band", "customer_segment", "loyalty_tier", "channel",
+)
+PANEL_COLUMNS = (
+    "week_start_date", "year", "week_of_year", "store_id", "city", "region", "product_id", "product_category", "units_sold", "revenue",
+    "avg_unit_price", "avg_discount_pct", "is_promo_week", "stockout_count", "on_hand_end",
+)
 NULLABLE = {"promotion"}
 #: Cell texts that stand for nothing, in lower case.
 NULL_TOKENS = ("", "na", "n/a", "nan", "null", "none", "-", "?")
@@ -134,11 +138,11 @@ def bad_dates(frame: DataFrame, column: str) -> DataFrame:
 
 
 def numeric_sanity(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column, least, most, negative, zero, not_finite, in one pass."""
+    """column, least, most, p50, p99 (interpolated), negative, zero, not_finite, in one pass."""
     rows = []
     for c in columns:
         x = F.col(c).cast("double")
-        rows.append(F.struct(F.lit(c).alias("column"), F.min(x).alias("least"), F.max(x).alias("most"), count_if(x < 0).alias("negative"), count_if(x == 0).alias("zero"), count_if(F.isnan(x) | (F.abs(x) == float("inf"))).alias("not_finite")).alias(c))
+        rows.append(F.struct(F.lit(c).alias("column"), F.min(x).alias("least"), F.max(x).alias("most"), F.round(F.percentile(x, 0.5), 6).alias("p50"), F.round(F.percentile(x, 0.99), 6).alias("p99"), count_if(x < 0).alias("negative"), count_if(x == 0).alias("zero"), count_if(F.isnan(x) | (F.abs(x) == float("inf"))).alias("not_finite")).alias(c))
     return frame.agg(*rows).select(F.inline(F.array(*[F.col(c) for c in columns])))
 
 
@@ -149,6 +153,52 @@ def profile(frame: DataFrame) -> DataFrame:
     return frame.agg(*rows).select(F.inline(F.array(*[F.col(c) for c in frame.columns])))
 
 
+def contract_report(frame: DataFrame, columns: Sequence[str], rules: dict[str, Column]) -> dict[str, object]:
+    """What a contract finds, without raising: rows, missing and further columns, breaches by rule (nulls included), and whether all holds."""
+    missing, further = [c for c in columns if c not in frame.columns], [c for c in frame.columns if c not in columns]
+    if missing:
+        return {"rows": frame.count(), "missing": missing, "further": further, "breaches": {}, "valid": False}
+    nulls = {f"null {c}": F.col(c).isNull() for c in columns if c not in NULLABLE}
+    found = breaches(frame, nulls | rules).crossJoin(frame.agg(F.count("*").alias("rows_"))).first().asDict()
+    n = found.pop("rows_")
+    broken = {rule: count for rule, count in found.items() if count}
+    return {"rows": n, "missing": [], "further": further, "breaches": broken, "valid": not broken and not further}
+
+
+def weekday_balance(frame: DataFrame, day: str) -> DataFrame:
+    """weekday, rows, share, chi: each weekday's part of the chi-square statistic against an even week."""
+    counted = frame.groupBy(weekday_name(F.col(day)).alias("weekday")).agg(F.count("*").alias("rows"))
+    whole = counted.agg(F.sum("rows").alias("all_"))
+    even = F.col("all_") / 7
+    return counted.crossJoin(F.broadcast(whole)).select("weekday", "rows", F.round(F.col("rows") / F.col("all_"), 8).alias("share"), F.round((F.col("rows") - even) * (F.col("rows") - even) / even, 6).alias("chi"))
+
+
+def correlation(frame: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """left, right, r: Pearson correlations of pairs of columns in one pass; null where a column doesn't vary."""
+    cells = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.round(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), 6).alias("r")).alias(f"{a}_{b}") for a, b in pairs]
+    return frame.agg(*cells).select(F.inline(F.array(*[F.col(f"{a}_{b}") for a, b in pairs])))
+
+
+def outlier_counts(frame: DataFrame, columns: Sequence[str], reach: float = 1.5) -> DataFrame:
+    """column, low, high, outliers: rows beyond `reach` quartile ranges of the quartiles."""
+    bounds = []
+    for c in columns:
+        x = F.col(c).cast("double")
+        q1, q3 = F.percentile(x, 0.25), F.percentile(x, 0.75)
+        bounds.append(F.struct(F.lit(c).alias("column"), (q1 - reach * (q3 - q1)).alias("low"), (q3 + reach * (q3 - q1)).alias("high")).alias(c))
+    fences = frame.agg(*bounds).select(F.inline(F.array(*[F.col(c) for c in columns])))  # a row for each column
+    tall = frame.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "x")
+    out = tall.join(F.broadcast(fences), "column").groupBy("column")
+    return out.agg(F.round(F.first("low"), 6).alias("low"), F.round(F.first("high"), 6).alias("high"), count_if((F.col("x") < F.col("low")) | (F.col("x") > F.col("high"))).alias("outliers"))
+
+
+def orphans(frame: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
+    """One row: rows whose key the other frame lacks, and how many such keys."""
+    known = other.select(F.col(other_key).alias("known_")).distinct()
+    lost = frame.where(F.col(key).isNotNull()).join(known, F.col(key) == F.col("known_"), "left_anti")
+    return lost.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("keys"))
+
+
 def reconcile(panel: DataFrame, sales: DataFrame, first: str, end: str) -> DataFrame:
     """bucket, lines, units: where each sales line stands against the panel; each line is in one bucket."""
     known = panel.select("product_id").distinct().withColumn("known_", F.lit(True))

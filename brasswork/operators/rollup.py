@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from brasswork.functions.dates import monday
 from brasswork.functions.numbers import count_if, ratio, total
+from brasswork.operators.ranges import running
+from brasswork.session import cut
 
 #: A week is kept by `complete_weeks` only if all of its days occur.
 DAYS_OF_WEEK = 7
@@ -145,30 +147,17 @@ def top_store_products(panel: DataFrame, n: int = 20) -> DataFrame:
 def demand_distribution(panel: DataFrame) -> DataFrame:
     """Pairs from most to least units, with the share of pairs and of units so far.
 
-    The running total is taken in two levels, so that no task sorts all pairs: within ranges of units, then over ranges.
+    The running total is taken in two levels, so that no task sorts all pairs.
     """
     units = panel.groupBy("store_id", "product_id").agg(F.sum("units_sold").cast("long").alias("units"))
     return running_share(units, "units", ["store_id", "product_id"])
 
 
-def running_share(frame: DataFrame, value: str, ties: Sequence[str], parts: int = 64) -> DataFrame:
-    """Adds rank, cumulative and row shares in descending order of an integer value.
-
-    Rows are dealt to ranges of log-spaced values, ranked within each, and raised by the counts and sums of the ranges above:
-    a table of at most `parts` rows.
-    """
-    width = 64 / parts
-    ranged = frame.withColumn("range_", F.floor(F.log2(F.greatest(F.col(value), F.lit(0)) + F.lit(1.0)) / width).cast("int"))
-    totals = ranged.groupBy("range_").agg(F.count("*").alias("n_"), F.sum(value).alias("sum_"))
-    above = Window.orderBy(F.desc("range_")).rowsBetween(Window.unboundedPreceding, -1)  # at most `parts` rows
-    whole = Window.partitionBy()
-    totals = totals.select("range_", F.coalesce(F.sum("n_").over(above), F.lit(0)).alias("rank0_"), F.coalesce(F.sum("sum_").over(above), F.lit(0)).alias("sum0_"), F.sum("n_").over(whole).alias("rows_"), F.sum("sum_").over(whole).alias("all_"))
-    order = [F.desc(value), *map(F.asc, ties)]
-    within = Window.partitionBy("range_").orderBy(*order)
-    running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = ranged.join(F.broadcast(totals), "range_").withColumn("rank", (F.row_number().over(within) + F.col("rank0_")).cast("long"))
-    out = out.withColumn("cumulative", (F.sum(value).over(running) + F.col("sum0_")).cast("long"))
-    return out.select(*frame.columns, "rank", "cumulative", ratio(F.col("cumulative").cast("double"), F.col("all_")).alias("value_share"), (F.col("rank").cast("double") / F.col("rows_")).alias("row_share"))
+def running_share(frame: DataFrame, value: str, ties: Sequence[str]) -> DataFrame:
+    """Adds rank, cumulative and row shares in descending order of an integer value; ties go by further columns, in ascending order."""
+    out, totals = running(cut(frame), [-F.col(value), *map(F.col, ties)], {"cumulative": value})
+    rows, whole = F.lit(float(totals["rank"])), F.lit(totals["cumulative"])
+    return out.select(*frame.columns, "rank", F.col("cumulative").cast("long").alias("cumulative"), ratio(F.col("cumulative").cast("double"), whole).alias("value_share"), (F.col("rank").cast("double") / rows).alias("row_share"))
 
 
 def concentration(distribution: DataFrame, head: float = 0.2) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brasswork.functions.numbers import quantile_bucket
+from brasswork.operators.ranges import running
+from brasswork.session import cut
 
 
 def panel_features(panel: DataFrame, keys: Sequence[str] = ("store_id", "product_id"), week: str = "week_start_date", value: str = "units_sold", lags: Sequence[int] = (1, 2, 4), width: int = 4) -> DataFrame:
@@ -54,27 +56,19 @@ def top_fraction(frame: DataFrame, score: str, fraction: float, ties: Sequence[C
 def rfm_quartiles(customers: DataFrame, columns: dict[str, bool], key: str = "customer_id") -> DataFrame:
     """Quartiles 1 to 4 of columns by ranks (ties by key); True turns a column's order round, so that 4 is the smallest.
 
-    A rank needs all rows in one order, which one task would have to hold. Rows are therefore dealt to ranges by sampled
-    bounds, ranked within, and raised by the counts of the ranges before.
+    The input is written once, and each column ranked from there in two levels.
     """
-    n = customers.count()
-    out = customers
+    out = cut(customers)
     for column, reverse in columns.items():
-        ranked = global_rank(out, column, key, f"{column}_rank")
-        bucket = quantile_bucket(F.col(f"{column}_rank"), F.lit(n), 4)
-        out = ranked.withColumn(f"{column}_quartile", (5 - bucket if reverse else bucket).cast("int")).drop(f"{column}_rank")
+        ranked, totals = running(out, [F.col(column), F.col(key)], rank="rank_")
+        bucket = quantile_bucket(F.col("rank_"), F.lit(totals["rank_"]), 4)
+        out = ranked.withColumn(f"{column}_quartile", (5 - bucket if reverse else bucket).cast("int")).drop("rank_")
     return out
 
 
-def global_rank(frame: DataFrame, column: str, tie: str, name: str, parts: int = 32) -> DataFrame:
+def global_rank(frame: DataFrame, column: str, tie: str, name: str) -> DataFrame:
     """Adds the rank, from 1, in ascending order of a column and then of a tie breaker, without a window over all rows."""
-    bounds = frame.approxQuantile(column, [i / parts for i in range(1, parts)], 0.001) if parts > 1 else []
-    part = sum((F.when(F.col(column) > b, 1).otherwise(0) for b in sorted(set(bounds))), F.lit(0)).cast("int")
-    dealt = frame.withColumn("part_", part)
-    counts = dealt.groupBy("part_").agg(F.count("*").alias("n_"))
-    before = counts.select("part_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))  # at most `parts` rows
-    within = Window.partitionBy("part_").orderBy(F.col(column), F.col(tie))
-    return dealt.join(F.broadcast(before), "part_").withColumn(name, (F.row_number().over(within) + F.col("before_")).cast("long")).drop("part_", "before_")
+    return running(cut(frame), [F.col(column), F.col(tie)], rank=name)[0]
 
 
 #: Segment names by recency and frequency quartile (4 is best).

@@ -108,7 +108,7 @@ register("store_region_dependency", lambda s, d: Q.dependency_breaches(sales(s,
 register("transaction_dependency", lambda s, d: Q.dependency_breaches(sales(s, d), ["transaction_id"], "store_id"), f"{WITH} SELECT count(*) AS broken_keys FROM (SELECT transaction_id FROM sales GROUP BY 1 HAVING count(DISTINCT store_id) > 1)")
 register("text_audit", lambda s, d: Q.text_audit(table(s, d, "documents"), ["text", "lang", "source"]), "SELECT unnest(['text', 'lang', 'source']) AS column, unnest([count(*) FILTER (trim(text) = ''), count(*) FILTER (trim(lang) = ''), count(*) FILTER (trim(source) = '')]) AS empty, unnest([count(*) FILTER (text <> trim(text)), count(*) FILTER (lang <> trim(lang)), count(*) FILTER (source <> trim(source))]) AS padded, unnest([count(*) FILTER (lower(trim(text)) IN ('', 'na', 'n/a', 'nan', 'null', 'none', '-', '?')), count(*) FILTER (lower(trim(lang)) IN ('', 'na', 'n/a', 'nan', 'null', 'none', '-', '?')), count(*) FILTER (lower(trim(source)) IN ('', 'na', 'n/a', 'nan', 'null', 'none', '-', '?'))]) AS null_like FROM documents")
 register("calendar_gaps", lambda s, d: Q.calendar_gaps(sales(s, d).select("date"), "date"), f"{WITH}, b AS (SELECT min(date) AS a, max(date) AS z FROM sales) SELECT CAST(x AS DATE) AS missing_day FROM (SELECT unnest(generate_series(a, z, INTERVAL 1 DAY)) AS x FROM b) WHERE CAST(x AS DATE) NOT IN (SELECT date FROM sales)")
-register("numeric_sanity", lambda s, d: Q.numeric_sanity(table(s, d, "lineitem"), ["l_quantity", "l_discount"]), "SELECT unnest(['l_quantity', 'l_discount']) AS column, unnest([min(l_quantity), min(l_discount)]) AS least, unnest([max(l_quantity), max(l_discount)]) AS most, unnest([count(*) FILTER (l_quantity < 0), count(*) FILTER (l_discount < 0)]) AS negative, unnest([count(*) FILTER (l_quantity = 0), count(*) FILTER (l_discount = 0)]) AS zero, unnest([0::BIGINT, 0::BIGINT]) AS not_finite FROM lineitem")
+register("numeric_sanity", lambda s, d: Q.numeric_sanity(table(s, d, "lineitem"), ["l_quantity", "l_discount"]), "SELECT unnest(['l_quantity', 'l_discount']) AS column, unnest([min(l_quantity), min(l_discount)]) AS least, unnest([max(l_quantity), max(l_discount)]) AS most, unnest([round(quantile_cont(CAST(l_quantity AS DOUBLE), 0.5), 6), round(quantile_cont(CAST(l_discount AS DOUBLE), 0.5), 6)]) AS p50, unnest([round(quantile_cont(CAST(l_quantity AS DOUBLE), 0.99), 6), round(quantile_cont(CAST(l_discount AS DOUBLE), 0.99), 6)]) AS p99, unnest([count(*) FILTER (l_quantity < 0), count(*) FILTER (l_discount < 0)]) AS negative, unnest([count(*) FILTER (l_quantity = 0), count(*) FILTER (l_discount = 0)]) AS zero, unnest([0::BIGINT, 0::BIGINT]) AS not_finite FROM lineitem")
 register("profile_customer", lambda s, d: Q.profile(table(s, d, "customer")).select("column", "nulls", "distinct"), "SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS column, unnest([count(*) - count(c_custkey), count(*) - count(c_name), count(*) - count(c_nationkey), count(*) - count(c_acctbal), count(*) - count(c_mktsegment)]) AS nulls, unnest([count(DISTINCT c_custkey), count(DISTINCT c_name), count(DISTINCT c_nationkey), count(DISTINCT c_acctbal), count(DISTINCT c_mktsegment)]) AS distinct FROM customer")
 register("reconcile_panel", lambda s, d: Q.reconcile(panel(s, d), sales(s, d), FIRST_MONDAY, END_MONDAY), f"{WITH} SELECT CASE WHEN date < DATE '{FIRST_MONDAY}' OR date >= DATE '{END_MONDAY}' THEN 'partial week' WHEN quantity_sold = 0 THEN 'lost demand' ELSE 'in panel' END AS bucket, count(*) AS lines, CAST(sum(quantity_sold) AS BIGINT) AS units FROM sales GROUP BY 1")
 register("panel_rule_breaches", lambda s, d: Q.breaches(panel(s, d), Q.panel_rules()), "SELECT CAST(0 AS BIGINT) AS negative_measure, CAST(0 AS BIGINT) AS week_start, CAST(0 AS BIGINT) AS revenue_in_zero_week, CAST(0 AS BIGINT) AS selling_week_without_revenue")
@@ -138,8 +138,31 @@ register("psi", lambda s, d: D.psi(_orders(s, d), ["o_totalprice"]), _PSI)
 register("category_shift", lambda s, d: D.share_table(_orders(s, d), "o_orderpriority"), f"WITH {_O}, g AS (SELECT o_orderpriority AS value, CAST(count(*) FILTER (period = 'reference') AS DOUBLE) AS r, CAST(count(*) FILTER (period = 'current') AS DOUBLE) AS c FROM y GROUP BY 1) SELECT value, r / (SELECT sum(r) FROM g) AS reference, c / (SELECT sum(c) FROM g) AS current, c / (SELECT sum(c) FROM g) - r / (SELECT sum(r) FROM g) AS shift FROM g")
 register("category_distance", lambda s, d: D.category_shift(_orders(s, d), "o_orderstatus").select("feature", "distance", "values"), f"WITH {_O}, g AS (SELECT o_orderstatus AS value, CAST(count(*) FILTER (period = 'reference') AS DOUBLE) AS r, CAST(count(*) FILTER (period = 'current') AS DOUBLE) AS c FROM y GROUP BY 1) SELECT 'o_orderstatus' AS feature, round(sum(abs(c / (SELECT sum(c) FROM g) - r / (SELECT sum(r) FROM g))) / 2, 6) AS distance, count(*) AS values FROM g")
 register("category_mix", lambda s, d: D.category_mix(_both(s, d), "product_category", "units_sold").select("value", "reference", "current"), f"{PANEL}, {_YEARS}, g AS (SELECT product_category AS value, CAST(sum(units_sold) FILTER (period = 'reference') AS DOUBLE) AS r, CAST(sum(units_sold) FILTER (period = 'current') AS DOUBLE) AS c FROM y GROUP BY 1) SELECT value, r / (SELECT sum(r) FROM g) AS reference, c / (SELECT sum(c) FROM g) AS current FROM g")
-register("drift_report", lambda s, d: D.report(_both(s, d), ["units_sold", "on_hand_end"], ["product_category", "store_id"]))
-register("drift_overall", lambda s, d: D.overall(D.report(_both(s, d), ["units_sold", "on_hand_end"], ["product_category"])))
+_VERDICT = lambda x: f"CASE WHEN {x} IS NULL THEN 'insufficient data' WHEN {x} >= 0.2 THEN 'significant' WHEN {x} >= 0.1 THEN 'moderate' ELSE 'stable' END"
+_TENTHS = ", ".join(str(i / 10) for i in range(11))
+
+
+def _drift_sql(numeric, categorical):
+    """CTEs that end in `drift`: the rows of a report of the panel's two years."""
+    tall = " UNION ALL ".join(f"SELECT '{c}' AS feature, period, CAST({c} AS DOUBLE) AS x FROM y" for c in numeric)
+    words = " UNION ALL ".join(f"SELECT '{c}' AS feature, period, CAST({c} AS VARCHAR) AS value FROM y" for c in categorical)
+    return f"""{PANEL}, {_YEARS}, tall AS ({tall}), words AS ({words}),
+e AS (SELECT feature, list_distinct(quantile_cont(x, [{_TENTHS}])) AS edges FROM tall WHERE period = 'reference' GROUP BY 1),
+b AS (SELECT feature, period, CASE WHEN x = list_min(edges) THEN 1 ELSE len(list_filter(edges, lambda q: q < x)) END AS bucket FROM tall JOIN e USING (feature) WHERE x BETWEEN list_min(edges) AND list_max(edges)),
+k AS (SELECT feature, bucket, CAST(count(*) FILTER (period = 'reference') AS DOUBLE) AS r, CAST(count(*) FILTER (period = 'current') AS DOUBLE) AS c FROM b GROUP BY 1, 2),
+f AS (SELECT feature, greatest(r / sum(r) OVER w, 1e-6) AS r, greatest(c / sum(c) OVER w, 1e-6) AS c FROM k WINDOW w AS (PARTITION BY feature)),
+i AS (SELECT feature, round(sum((c - r) * ln(c / r)), 6) AS psi FROM f GROUP BY 1),
+m AS (SELECT feature, {", ".join(f"round({fn}(x) FILTER (period = '{p}'), 6) AS {n}_{p}" for fn, n in (("avg", "mean"), ("median", "median")) for p in ("reference", "current"))} FROM tall GROUP BY 1),
+g AS (SELECT feature, value, CAST(count(*) FILTER (period = 'reference') AS DOUBLE) AS r, CAST(count(*) FILTER (period = 'current') AS DOUBLE) AS c FROM words GROUP BY 1, 2),
+h AS (SELECT feature, value, abs(c / sum(c) OVER w - r / sum(r) OVER w) AS moved FROM g WINDOW w AS (PARTITION BY feature)),
+v AS (SELECT feature, round(sum(moved) / 2, 6) AS distance, count(*) AS values FROM h GROUP BY 1),
+u AS (SELECT feature, value AS largest_mover FROM h QUALIFY row_number() OVER (PARTITION BY feature ORDER BY round(moved, 12) DESC, value) = 1),
+drift AS (SELECT feature, psi, mean_reference, mean_current, median_reference, median_current, {_VERDICT('psi')} AS verdict, NULL::DOUBLE AS distance, NULL::VARCHAR AS largest_mover, NULL::BIGINT AS values FROM i JOIN m USING (feature)
+  UNION ALL SELECT feature, NULL, NULL, NULL, NULL, NULL, {_VERDICT('distance')}, distance, largest_mover, values FROM v JOIN u USING (feature))"""
+
+
+register("drift_report", lambda s, d: D.report(_both(s, d), ["units_sold", "on_hand_end"], ["product_category", "store_id"]), f"{_drift_sql(['units_sold', 'on_hand_end'], ['product_category', 'store_id'])} SELECT * FROM drift")
+register("drift_overall", lambda s, d: D.overall(D.report(_both(s, d), ["units_sold", "on_hand_end"], ["product_category"])), f"{_drift_sql(['units_sold', 'on_hand_end'], ['product_category'])}, moved AS (SELECT feature FROM drift WHERE verdict IN ('moderate', 'significant')) SELECT CASE WHEN count(*) > 0 THEN 'drift detected' ELSE 'stable' END AS verdict, coalesce(string_agg(feature, ',' ORDER BY feature), '') AS drifted FROM moved")
 
 _SERIES = f"{PANEL}, w AS (SELECT CAST(date_diff('day', DATE '{FIRST_MONDAY}', week_start_date) // 7 AS INT) AS t, CAST(sum(units_sold) AS DOUBLE) AS y FROM panel GROUP BY 1)"
 register("series_total", lambda s, d: P.build_series(panel(s, d)).select("t", "y"), f"{_SERIES} SELECT * FROM w")
@@ -172,17 +195,63 @@ register("last_on_hand", lambda s, d: I.last_on_hand(panel(s, d)), f"{_PAIRS} SE
 register("mean_price", lambda s, d: I.mean_price(panel(s, d)).select("store_id", "product_id", F.round("mean_price", 3).alias("mean_price"), F.round("mean_selling_price", 3).alias("mean_selling_price")), f"{PANEL} SELECT store_id, product_id, round(round(avg(avg_unit_price), 6), 3) AS mean_price, round(round(avg(avg_unit_price) FILTER (units_sold > 0), 6), 3) AS mean_selling_price FROM panel GROUP BY 1, 2")
 _Z = normal_quantile(I.critical_ratio(1.0))
 register("normal_reorder", lambda s, d: I.reorder_plan(panel(s, d), 10_000.0).select("store_id", "product_id", F.round("normal_point", 6).alias("normal_point"), F.round("normal_order", 6).alias("normal_order"), "on_hand"), f"{_PAIRS} SELECT pd.store_id, pd.product_id, round(mean + {_Z!r}::DOUBLE * recent_std, 6) AS normal_point, round(greatest(mean + {_Z!r}::DOUBLE * recent_std - on_hand, 0), 6) AS normal_order, on_hand FROM pd JOIN oh USING (store_id, product_id)")
-register("reorder_plan", lambda s, d: I.reorder_plan(panel(s, d), 10_000.0))
-register("reorder_summary", lambda s, d: I.plan_summary(I.reorder_plan(panel(s, d), 10_000.0)))
-register("reorder_largest", lambda s, d: I.largest_orders(I.reorder_plan(panel(s, d), 10_000.0)))
-register("reorder_by_store", lambda s, d: I.by_store(I.reorder_plan(panel(s, d), 10_000.0)))
-register("inventory_replay", lambda s, d: I.replay(panel(s, d)))
+_CR = I.critical_ratio(1.0)
+
+
+def _poisson_sql(rows, keys, mean):
+    """The least k whose cumulative probability reaches the critical ratio, by keys of `rows`; terms are taken in log space."""
+    return f"""(SELECT {keys}, min(k) AS target FROM (SELECT {keys}, k, sum(exp(-m + k * ln(m) - lgamma(k + 1.0::DOUBLE))) OVER (PARTITION BY {keys} ORDER BY k) AS reached
+  FROM (SELECT {keys}, m, unnest(generate_series(CAST(greatest(0, floor(m - 12 * sqrt(m) - 20)) AS BIGINT), CAST(ceil(m + 12 * sqrt(m) + 40) AS BIGINT))) AS k FROM (SELECT {keys}, greatest({mean}, 1e-9) AS m FROM {rows}))) WHERE reached >= {_CR!r}::DOUBLE GROUP BY {keys})"""
+
+
+def _plan_sql(pairs):
+    return f"""{pairs}, mp AS (SELECT store_id, product_id, round(avg(avg_unit_price), 6) AS mean_price FROM panel GROUP BY 1, 2),
+plan AS (SELECT store_id, product_id, share, mean, recent_std, on_hand, mean_price, mean + {_Z!r}::DOUBLE * recent_std AS normal_point, greatest(mean + {_Z!r}::DOUBLE * recent_std - on_hand, 0) AS normal_order,
+  target, greatest(target - mean, 0) AS safety, greatest(target - on_hand, 0) AS order_units, on_hand < target AS reorder
+  FROM pd JOIN oh USING (store_id, product_id) JOIN mp USING (store_id, product_id) JOIN {_poisson_sql('pd', 'store_id, product_id', 'mean')} tg USING (store_id, product_id))"""
+
+
+_PLAN = _plan_sql(_PAIRS)
+_PLAN_DIGITS = {"share": 8, "mean": 6, "recent_std": 6, "mean_price": 3, "normal_point": 6, "normal_order": 6, "safety": 6}
+_PLAN_COLUMNS = "store_id product_id share mean recent_std on_hand mean_price normal_point normal_order target safety order_units reorder".split()
+_PLAN_SELECT = ", ".join(f"round({c}, {_PLAN_DIGITS[c]}) AS {c}" if c in _PLAN_DIGITS else c for c in _PLAN_COLUMNS)
+
+
+def _plan(s, d, forecast=10_000.0):
+    return I.reorder_plan(panel(s, d), forecast)
+
+
+def _shown(plan):
+    return plan.select(*[F.round(c, _PLAN_DIGITS[c]).alias(c) if c in _PLAN_DIGITS else c for c in _PLAN_COLUMNS])
+
+
+def _next_week(s, d):
+    """The seasonal naive path of the pooled weeks, one week ahead: a forecast that SQL can say too."""
+    series = _weekly_total(s, d)
+    last = series.agg(F.max("t").alias("last"))
+    return series.join(F.broadcast(last), F.col("t") == F.col("last") - 51, "left_semi").select(F.lit(1).alias("horizon"), F.lit(1).alias("weeks_ahead"), F.col("y").alias("forecast"))
+
+
+register("reorder_plan", lambda s, d: _shown(_plan(s, d)), f"{_PLAN} SELECT {_PLAN_SELECT} FROM plan")
+register("reorder_from_forecast", lambda s, d: _shown(_plan(s, d, I.first_week(_next_week(s, d)))), f"{_plan_sql(_PAIRS.replace('share * 10000.0::DOUBLE', 'share * (SELECT CAST(sum(units_sold) AS DOUBLE) FROM panel WHERE week_start_date = (SELECT max(week_start_date) FROM panel) - 357)'))} SELECT {_PLAN_SELECT} FROM plan")
+register("reorder_summary", lambda s, d: I.plan_summary(_plan(s, d)), f"{_PLAN} SELECT count(*) AS pairs, CAST(count(*) FILTER (reorder) AS BIGINT) AS reorder_pairs, round(sum(order_units) FILTER (reorder), 4) AS order_units, round(sum(order_units * mean_price * {I.COST!r}) FILTER (reorder), 2) AS order_value, {_CR!r}::DOUBLE AS critical_ratio FROM plan")
+register("reorder_largest", lambda s, d: I.largest_orders(_plan(s, d)).select("store_id", "product_id", "target", "order_units"), f"{_PLAN} SELECT store_id, product_id, target, order_units FROM plan WHERE reorder ORDER BY order_units DESC, 1, 2 LIMIT 10")
+register("reorder_by_store", lambda s, d: I.by_store(_plan(s, d)), f"{_PLAN} SELECT store_id, count(*) AS pairs, round(sum(order_units), 4) AS order_units FROM plan WHERE reorder GROUP BY 1")
 _REPLAY = f"""{PANEL}, wk AS (SELECT week_start_date, CAST(sum(units_sold) AS DOUBLE) AS actual, count(*) FILTER (stockout_count > 0) AS censored FROM panel GROUP BY 1),
 t AS (SELECT *, avg(actual) OVER (ORDER BY week_start_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm, row_number() OVER (ORDER BY week_start_date) AS place, count(*) OVER () AS n FROM wk),
 h AS (SELECT *, round(censored * pm / (SELECT count(*) FROM (SELECT DISTINCT store_id, product_id FROM panel)), 4) AS unmet FROM t WHERE place > greatest(n - 13, 8))"""
 register("inventory_replay_mean", lambda s, d: I.replay(panel(s, d)).where("policy = 'mean'").select("week_start_date", "forecast_units", F.round("unmet_units", 3).alias("unmet_units"), F.col("censored_pairs").cast("long").alias("censored_pairs"), F.round("overstock_units", 3).alias("overstock_units"), F.round("understock_units", 3).alias("understock_units")), f"{_REPLAY} SELECT week_start_date, round(pm, 4) AS forecast_units, round(unmet, 3) AS unmet_units, CAST(censored AS BIGINT) AS censored_pairs, round(round(greatest(pm - (actual + unmet), 0), 4), 3) AS overstock_units, round(round(greatest(actual + unmet - pm, 0), 4), 3) AS understock_units FROM h")
-register("replay_reduction", lambda s, d: I.error_reduction(I.replay(panel(s, d))))
-register("replay_policy_totals", lambda s, d: I.policy_totals(I.replay(panel(s, d))))
+_POLICIES = f"""{_REPLAY.replace('AS pm,', 'AS pm, stddev_samp(actual) OVER (ORDER BY week_start_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ps,')},
+held AS (SELECT h.*, greatest(target - greatest(pm, 1e-9), 0) AS poisson, {_Z!r}::DOUBLE * coalesce(ps, 0) AS normal FROM h JOIN {_poisson_sql('h', 'week_start_date', 'pm')} tg USING (week_start_date)),
+every AS (SELECT *, 'mean' AS policy, 0.0::DOUBLE AS safety FROM held UNION ALL SELECT *, 'normal', normal FROM held UNION ALL SELECT *, 'poisson', poisson FROM held),
+replayed AS (SELECT week_start_date, policy, round(pm, 4) AS forecast_units, round(safety, 4) AS safety_stock, actual, CAST(censored AS BIGINT) AS censored_pairs, unmet AS unmet_units,
+  round(greatest(pm + safety - (actual + unmet), 0), 4) AS overstock_units, round(greatest(actual + unmet - (pm + safety), 0), 4) AS understock_units, round(pm + safety, 4) AS cover_units FROM every),
+errors AS (SELECT policy, sum(overstock_units + understock_units) AS error FROM replayed GROUP BY 1)"""
+_REPLAY_DIGITS = {"safety_stock": 3, "unmet_units": 3, "overstock_units": 3, "understock_units": 3, "cover_units": 3}
+_REPLAY_COLUMNS = "week_start_date policy forecast_units safety_stock actual censored_pairs unmet_units overstock_units understock_units cover_units".split()
+register("inventory_replay", lambda s, d: I.replay(panel(s, d)).select(*[F.round(c, _REPLAY_DIGITS[c]).alias(c) if c in _REPLAY_DIGITS else c for c in _REPLAY_COLUMNS]), f"{_POLICIES} SELECT {', '.join(f'round({c}, {_REPLAY_DIGITS[c]}) AS {c}' if c in _REPLAY_DIGITS else c for c in _REPLAY_COLUMNS)} FROM replayed")
+register("replay_reduction", lambda s, d: I.error_reduction(I.replay(panel(s, d))), f"{_POLICIES}, b AS (SELECT error AS base FROM errors WHERE policy = 'mean'), r AS (SELECT policy, round(error, 2) AS error, CASE WHEN base = 0 THEN 0.0 ELSE round(100 * (base - errors.error) / nullif(base, 0), 2) END AS reduction_pct FROM errors, b) SELECT *, reduction_pct BETWEEN 25 AND 40 AS meets_target FROM r")
+register("replay_policy_totals", lambda s, d: I.policy_totals(I.replay(panel(s, d))), f"{_POLICIES} SELECT policy, round(sum(overstock_units), 2) AS overstock, round(sum(understock_units), 2) AS understock, count(*) AS weeks FROM replayed GROUP BY 1")
 _NAMED = """b AS (SELECT quantile_cont(monetary, 0.7) AS spend_high, quantile_cont(monetary, 0.3) AS spend_low, quantile_cont(frequency, 0.7) AS often, quantile_cont(frequency, 0.3) AS seldom, coalesce(median(monetary / frequency) FILTER (frequency > 0), 0) AS usual FROM k),
 g AS (SELECT cluster, count(*) AS customers, median(recency_days) AS recency, median(frequency) AS visits, median(monetary) AS spend, round(avg(online_share), 4) AS online_share, round(avg(promo_share), 4) AS promo_share, avg(promo_share) AS p FROM k GROUP BY 1),
 n AS (SELECT g.*, CASE WHEN recency >= 180 THEN CASE WHEN spend >= spend_low THEN 'Lapsed high value' ELSE 'Dormant' END WHEN recency >= 60 THEN CASE WHEN spend >= spend_low THEN 'At risk loyal' ELSE 'At risk' END
@@ -190,22 +259,43 @@ n AS (SELECT g.*, CASE WHEN recency >= 180 THEN CASE WHEN spend >= spend_low THE
   WHEN visits >= often THEN CASE WHEN p > 0 THEN 'Loyal discount seekers' ELSE 'Frequent small baskets' END WHEN spend <= spend_low THEN 'Low spend' ELSE 'Occasional buyers' END AS name FROM g, b)"""
 register("named_segments", lambda s, d: S.name_segments(_active(s, d).withColumn("cluster", (F.col("customer_id") % 5).cast("int"))).select("cluster", "customers", "recency", "visits", "segment"), f"""{_ONE}, k AS (SELECT *, CAST(customer_id % 5 AS INT) AS cluster FROM act), {_NAMED}
 SELECT cluster, customers, recency, visits, CASE WHEN row_number() OVER w = 1 THEN name ELSE name || ' ' || row_number() OVER w END AS segment FROM n WINDOW w AS (PARTITION BY name ORDER BY spend DESC, cluster)""")
-register("kmeans_segments", lambda s, d: S.profiles(S.fit_clusters(_active(s, d), k=6, starts=2), "cluster", ["recency_days", "frequency", "monetary"]))
+register("kmeans_segments", lambda s, d: S.profiles(S.fit_clusters(_active(s, d), k=6), "cluster", ["recency_days", "frequency", "monetary"]))
 
 
 def _churn_scores(s, d):
     train, test = C.temporal_split(snapshots(s, d))
-    return C.evaluate(C.score(C.fit_model(train.persist(), trees=10), test))
+    train, test = train.persist(), test.persist()  # every tree reads the one; freed when the fit and the scores are there
+    try:
+        found = C.evaluate(C.score(C.fit_model(train, test=test), test)).toArrow()  # one row
+    finally:
+        train.unpersist()
+        test.unpersist()
+    return s.createDataFrame(found)
 
 
 register("churn_model", _churn_scores)
 
 
 def _silhouettes(s, d):
-    scores = S.silhouettes(_active(s, d), most=1000, ks=range(2, 9))
+    scores = S.silhouettes(_active(s, d))
     chosen = S.select_k(scores)
     return s.createDataFrame([(k, float(v), k == chosen) for k, v in scores.items()], "k int, silhouette double, chosen boolean")
 
 
 register("silhouettes", _silhouettes)
 register("top_weeks", lambda s, d: R.weekly_revenue(sales(s, d)).orderBy(F.desc("revenue"), "week_start_date").limit(5).select("week_start_date", "revenue"), f"{WITH} SELECT CAST(date_trunc('week', date) AS DATE) AS week_start_date, CAST(sum(sales_amount) AS DOUBLE) AS revenue FROM sales GROUP BY 1 ORDER BY revenue DESC, 1 LIMIT 5")
+_SCALE = "sc AS (SELECT avg(abs(a.y - b.y)) AS scale FROM w a JOIN w b ON b.t = a.t - 52 WHERE a.t <= (SELECT max(t) FROM w) - 4)"
+_PAIRED = "j AS (SELECT a.y, b.y AS f FROM w a JOIN w b ON b.t = a.t - 52 WHERE a.t > (SELECT max(t) FROM w) - 4)"
+
+
+def _bundle(s, d):
+    """Metrics of the seasonal naive forecast of the last four weeks, scaled by the weeks before them."""
+    series = _weekly_total(s, d)
+    last = series.agg(F.max("t").alias("last"))
+    before = series.select((F.col("t") + 52).alias("t"), F.col("y").alias("f"))
+    pairs = series.join(before, "t").join(F.broadcast(last), F.col("t") > F.col("last") - 4, "left_semi")
+    training = series.join(F.broadcast(last), F.col("t") <= F.col("last") - 4, "left_semi")
+    return M.forecast_bundle(pairs, M.seasonal_scale(training, "t", "y", 52))
+
+
+register("forecast_bundle", _bundle, f"{_SERIES}, {_SCALE}, {_PAIRED} SELECT {_METRICS}, round(CAST(count(*) FILTER (y <> 0) AS DOUBLE) / count(*), 6) AS nonzero_share, round(avg(abs(y - f)) / (SELECT nullif(scale, 0) FROM sc), 6) AS mase FROM j")

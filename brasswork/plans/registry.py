@@ -21,7 +21,7 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
 
 def _load() -> None:
     """The modules that register queries; they import this one."""
-    from brasswork.plans import lookup_queries, panel_queries, rollup_queries  # noqa: F401
+    from brasswork.plans import lookup_queries, panel_queries, report_queries, rollup_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

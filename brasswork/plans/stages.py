@@ -57,7 +57,9 @@ def _features(spark: SparkSession, sf_dir: str) -> Tables:
 
 def _inventory(spark: SparkSession, sf_dir: str) -> Tables:
     panel = star.panel(spark, sf_dir)
-    plan = inventory.reorder_plan(panel, 10_000.0)
+    series = forecast.build_series(panel)
+    paths = forecast.forecast_paths(series, forecast.select_models(forecast.backtest(series)))
+    plan = inventory.reorder_plan(panel, inventory.first_week(paths))
     return {"reorder_plan": plan, "replay": inventory.replay(panel)}
 
 
@@ -104,12 +106,23 @@ def run_stage(spark: SparkSession, stage: Stage, sf_dir: str, out_dir: str) -> S
     return StageResult(stage.name, time.time() - began, sorted(t for t in tables if not t.startswith("_")))
 
 
-def run_stages(spark: SparkSession, sf_dir: str, out_dir: str, only: Sequence[str] = (), stages: Sequence[Stage] = STAGES) -> list[StageResult]:
-    """Runs stages in order and stops at the first that fails."""
+def run_stages(spark: SparkSession, sf_dir: str, out_dir: str, only: Sequence[str] = (), stages: Sequence[Stage] = STAGES, progress: Callable[[StageResult], None] | None = None) -> list[StageResult]:
+    """Runs stages in order and stops at the first that fails; progress is told each result as it comes."""
     unknown = set(only) - {s.name for s in stages}
     if unknown:
         raise ValueError(f"no such stages: {sorted(unknown)}")
-    return [run_stage(spark, s, sf_dir, out_dir) for s in stages if not only or s.name in only]
+    results = []
+    for stage in stages:
+        if not only or stage.name in only:
+            results.append(run_stage(spark, stage, sf_dir, out_dir))
+            if progress is not None:
+                progress(results[-1])
+    return results
+
+
+def reports(spark: SparkSession, results: Sequence[StageResult]) -> DataFrame:
+    """stage, seconds, tables: what ran, as a frame that can be published."""
+    return spark.createDataFrame([(r.name, round(r.seconds, 3), r.tables) for r in results], "stage string, seconds double, tables array<string>")
 
 
 def plain(value: object) -> object:
@@ -121,14 +134,23 @@ def plain(value: object) -> object:
     return str(value)
 
 
+#: A document is for small tables; a larger one is refused, not cut.
+MAX_ROWS = 10_000
+
+
 def document(spark: SparkSession, out_dir: str, tables: Sequence[tuple[str, str]]) -> dict:
-    """Small published tables as lists of rows, by stage and name; raises FileNotFoundError if one can't be read."""
+    """Small published tables as lists of rows, by stage and name.
+
+    Raises FileNotFoundError if one can't be read, ValueError if one has more than MAX_ROWS rows.
+    """
     found: dict = {}
     for stage, name in tables:
         try:
-            rows = spark.read.parquet(f"{out_dir}/{stage}/{name}").limit(10_000).collect()
+            rows = spark.read.parquet(f"{out_dir}/{stage}/{name}").limit(MAX_ROWS + 1).collect()
         except Exception as e:
             raise FileNotFoundError(f"{stage}/{name}: run the stage {stage} first") from e
+        if len(rows) > MAX_ROWS:
+            raise ValueError(f"{stage}/{name} has more than {MAX_ROWS} rows")
         found.setdefault(stage, {})[name] = [{k: plain(v) for k, v in r.asDict().items()} for r in rows]
     return found
 
@@ -143,8 +165,9 @@ def main(argv: Sequence[str] | None = None) -> int:
     from brasswork.session import get_session
 
     spark = get_session("brasswork stages")
-    for result in run_stages(spark, given.tables, given.out, given.only):
-        print(f"{result.name}: {result.seconds:.1f} s, {', '.join(result.tables)}")
+    tell = lambda result: print(f"{result.name}: {result.seconds:.1f} s, {', '.join(result.tables)}", flush=True)
+    results = run_stages(spark, given.tables, given.out, given.only, progress=tell)
+    files.write_table(reports(spark, results), f"{given.out}/stage_reports")
     chosen = [s for s in STAGES if not given.only or s.name in given.only]
     missing = {} if given.skip_verify else {s.name: m for s in chosen if (m := missing_outputs(spark, s, given.out))}
     for name, tables in missing.items():

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC makes timestamps agree with engines that have no session zone; the adaptive planner joins small
 #: partitions and splits skewed ones.
@@ -29,3 +30,19 @@ def get_session(app: str = "brasswork", master: str | None = None, **extra: str)
         shuffles = cores if cores.isdigit() else str(os.cpu_count() or 8)
         builder = builder.master(master).config("spark.sql.shuffle.partitions", shuffles)
     return builder.getOrCreate()
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """frame, written once to the checkpoint folder that all executors share, so that several reads don't run its plan again.
+
+    The folder is spark.checkpoint.dir. Only in a local session without one is a temporary folder of this machine used.
+    """
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        root = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if context.master.partition("[")[0] != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            root = tempfile.mkdtemp(prefix="brasswork-")
+        context.setCheckpointDir(root)
+    return frame.checkpoint()
