@@ -45,7 +45,7 @@ class Scratch:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            if not spark.sparkContext.master.startswith("local"):
+            if not spark.sparkContext.master.partition("[")[0] == "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             root = tempfile.mkdtemp(prefix="brasswork-")
             spark.conf.set("spark.checkpoint.dir", root)
