@@ -165,7 +165,11 @@ def fit_documents(documents: DataFrame, per_lang: int = 500) -> Model:
 
 
 def predict_documents(documents: DataFrame, model: Model) -> DataFrame:
-    """All columns of documents, then lang_pred and score (in place of columns of these names)."""
+    """All columns of documents, then lang_pred and score (in place of columns of these names).
+
+    A text that is null or has no letter is 'und' with score 0, whatever its length; texts are read whole. Of languages
+    that tie the first by name is told. Repeated rows get equal results, an empty table gives no rows.
+    """
     kept = documents.drop("lang_pred", "score")
     shared = documents.sparkSession.sparkContext.broadcast(model)  # its size depends on the languages, not on the rows
 

@@ -122,7 +122,11 @@ def fit_sample(sample: DataFrame) -> Model:
 
 
 def score_documents(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted; a null text counts as empty."""
+    """doc_id, held_out, score, predicted for each row.
+
+    A null text counts as empty and has the score of a text without n-grams; texts of any length are read whole; repeated rows
+    get equal scores; a null doc_id is never held out. Other columns are left out, an empty table gives no rows.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

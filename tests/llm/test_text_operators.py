@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from brasswork.llm import byte_bpe, language_id, ogg, packing, quality, toxicity
+from brasswork.llm import byte_bpe, language_id, linear, ogg, packing, quality, toxicity
 from brasswork.llm.token_ids import encoder
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -255,6 +255,64 @@ def test_toxicity_and_quality_on_odd_rows(spark, odd_documents, labelled):
     assert len(scored) == odd_documents.count() and all(r["predicted"] == int(r["score"] >= 0.3) for r in scored)
 
 
+def test_hinge_machine_equals_projected_gradient():
+    """The dual of the hinge loss, by plain projected gradient on the whole kernel matrix."""
+    r = np.random.default_rng(12)
+    x = r.normal(size=(60, 8))
+    signs = np.where(x @ r.normal(size=8) + r.normal(size=60) > 0.4, 1, -1)
+    rows = [(np.arange(8), row) for row in x]
+    weights, intercept = linear.fit_hinge(rows, signs, 8, cost=0.7, epochs=20_000, tolerance=1e-10)
+    costs = np.array([0.7 * 60 / (2 * (signs == s).sum()) for s in signs])
+    wide = np.column_stack([x, np.ones(60)]) * signs[:, None]
+    kernel, alpha = wide @ wide.T, np.zeros(60)
+    step = 1 / np.linalg.eigvalsh(kernel).max()
+    for _ in range(200_000):
+        alpha = np.clip(alpha - step * (kernel @ alpha - 1), 0, costs)
+    assert np.allclose(wide.T @ alpha, [*weights, intercept], atol=1e-3)
+    free = (alpha > 1e-6) & (alpha < costs - 1e-6)
+    margins = signs * (x @ weights + intercept)
+    assert np.allclose(margins[free], 1, atol=1e-2) and (margins[alpha < 1e-9] > 0.99).all() and (margins[alpha > costs - 1e-9] < 1.01).all()
+
+
+def test_quality_equals_plain_counts():
+    r = random.Random(15)
+    texts = [(words(r, ["mira", "tolen", "walk"] if i % 3 else ["BUY", "NOW", "!!"], 12), int(bool(i % 3))) for i in range(60)]
+    rows, labels = [quality.indicators(t) for t, _ in texts], np.array([y for _, y in texts], float)
+    model = quality.fit(rows, labels)
+    width = 1 << quality.BITS
+    counts = {c: [1.0] * width for c in (0, 1)}
+    for places, y in zip(rows, labels, strict=True):
+        for p in places:
+            counts[int(y)][p] += 1
+    sums = {c: sum(counts[c]) for c in counts}
+    ratio = {int(p): np.log(counts[1][p] / sums[1]) - np.log(counts[0][p] / sums[0]) for places in rows for p in places}
+    scaled = [(p, np.array([ratio[int(i)] for i in p]) / np.sqrt(len(p))) for p in rows]
+    weights, intercept = linear.fit_hinge(scaled, np.where(labels > 0, 1, -1), width, epochs=10, tolerance=0.01)
+    mean = np.abs(weights[weights != 0]).mean()
+    for places in rows[:20]:
+        value = sum((0.5 * mean + 0.5 * weights[p]) * ratio[int(p)] for p in places) / np.sqrt(len(places)) + intercept
+        assert np.isclose(model.score(places), 1 / (1 + np.exp(-(model.slope * value + model.offset))), atol=1e-4)
+
+
+def test_language_is_told_by_family_first():
+    r = random.Random(16)
+    marks = {"en": ["the", "thing", "shall"], "de": ["sch", "und", "keit"], "fr": ["eau", "quex", "oire"], "es": ["cion", "ado", "rra"], "it": ["gli", "zione", "che"]}
+    rows = [(words(r, marks[k], 20), k) for k in list(marks) * 30]
+    model = language_id.fit([language_id.gram_counts(t) for t, _ in rows], [k for _, k in rows])
+    for text, _ in [*rows[:40], ("x", "en"), ("the eau " * 3000, "en")]:
+        places, n = language_id.gram_counts(text)
+        dense = np.zeros(len(model.table))
+        dense[places] = n / max(1, n.sum())
+        margins = dense @ model.table.astype(float) + model.intercepts
+        assert np.allclose(margins, model.margins(text), atol=1e-6)
+        family = int(margins[: len(model.families)].argmax())
+        votes = {k: 0.0 for k in model.langs[family]}
+        for a, b, column in model.pairs[family]:
+            votes[model.langs[family][a]] += 1 / (1 + np.exp(-2 * margins[column]))
+            votes[model.langs[family][b]] += 1 / (1 + np.exp(2 * margins[column]))
+        assert model.predict(text)[0] == max(votes, key=lambda k: (votes[k], -model.langs[family].index(k)))
+
+
 def test_quality_learns_shapes(spark):
     r = random.Random(6)
     names = ["mira", "tolen", "basket", "river", "stone", "walk"]
