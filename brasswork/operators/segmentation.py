@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brasswork.functions.numbers import ratio
+from brasswork.session import cut
 
 CLUSTER_FEATURES = ("recency_days", "frequency", "monetary", "units", "categories", "promo_share", "mean_discount_pct", "online_share", "avg_basket_value")
 SAMPLE = 4000
@@ -38,10 +39,12 @@ def _vectors(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def fit_clusters(frame: DataFrame, columns: Sequence[str] = CLUSTER_FEATURES, k: int = 6, starts: int = 10, seed: int = 42, max_iter: int = 40) -> DataFrame:
     """frame with z columns and `cluster`: the best of several seeded starts."""
-    vectors = _vectors(frame, columns).persist()
-    best = min((KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(vectors) for i in range(starts)), key=lambda m: m.summary.trainingCost)
-    out = best.transform(vectors).withColumnRenamed("prediction", "cluster").drop("features")
-    return out
+    vectors = _vectors(frame, columns).persist()  # every start reads it several times
+    try:
+        best = min((KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(vectors) for i in range(starts)), key=lambda m: m.summary.trainingCost)
+        return cut(best.transform(vectors).withColumnRenamed("prediction", "cluster").drop("features"))
+    finally:
+        vectors.unpersist()
 
 
 def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
@@ -126,7 +129,8 @@ def against_population(frame: DataFrame, group: str, name: str, columns: Sequenc
     return tall.groupBy("feature").agg(F.round(F.median(F.when(F.col("group_") == name, F.col("x"))), 6).alias("segment_median"), F.round(F.median("x"), 6).alias("population_median"))
 
 
-#: Percentiles that count as high and low, days, and multiples of the population's median basket.
+#: Percentiles that count as high and low, days, and multiples of the population's median basket; and, in
+#: name_segments, the labels and the order in which they are tried.
 HIGH, LOW = 0.70, 0.30
 LOYAL_DAYS, AT_RISK_DAYS = 60, 180
 BULK = 1.5
@@ -163,35 +167,3 @@ def name_segments(frame: DataFrame, group: str = "cluster") -> DataFrame:
     named = rows.withColumn("name_", name).withColumn("place_", place)
     label = F.when(F.col("place_") == 1, F.col("name_")).otherwise(F.concat_ws(" ", "name_", "place_"))
     return named.select(group, "customers", "recency", "visits", "spend", F.round("online_share", 4).alias("online_share"), F.round("promo_share", 4).alias("promo_share"), label.alias("segment"))
-
-
-def density_clusters(x: np.ndarray, radius: float, least: int = 25) -> np.ndarray:
-    """Labels of density-connected points of a bounded sample; -1 is noise. A point counts among its own neighbours."""
-    near = [np.flatnonzero(((x - p) ** 2).sum(1) <= radius * radius) for p in x]
-    core = np.array([len(n) >= least for n in near])
-    labels, current = np.full(len(x), -1), 0
-    for i in np.flatnonzero(core):
-        if labels[i] >= 0:
-            continue
-        labels[i], todo = current, [i]
-        while todo:
-            for j in near[todo.pop()]:
-                if labels[j] < 0:
-                    labels[j] = current
-                    if core[j]:
-                        todo.append(j)
-        current += 1
-    return labels
-
-
-def search_radius(x: np.ndarray, least: int = 25, most_noise: float = 0.4, steps: Sequence[float] = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4)) -> tuple[float, np.ndarray]:
-    """From the median distance to the last of least + 1 neighbours downward: the first radius that splits the points with noise in bounds."""
-    away = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T, 0))
-    base = float(np.median(np.sort(away, 1)[:, min(least, len(x) - 1)]))
-    found = None
-    for step in steps:
-        labels = density_clusters(x, base * step, least)
-        found = (base * step, labels)
-        if labels.max() >= 1 and (labels < 0).mean() <= most_noise:
-            break
-    return found

@@ -8,6 +8,7 @@ from brasswork.functions import metrics as M
 from brasswork.functions.dates import month_ends
 from brasswork.functions.numbers import grouped_rupees, normal_quantile, price_band
 from brasswork.operators import churn as C
+from brasswork.operators import density as E
 from brasswork.operators import drift as D
 from brasswork.operators import features as X
 from brasswork.operators import forecast as P
@@ -283,6 +284,14 @@ def _silhouettes(s, d):
 
 
 register("silhouettes", _silhouettes)
+
+
+def _density(s, d):
+    """Every customer's density cluster."""
+    return E.search(_active(s, d), S.CLUSTER_FEATURES)[1]
+
+
+register("density_clusters", _density)
 register("top_weeks", lambda s, d: R.weekly_revenue(sales(s, d)).orderBy(F.desc("revenue"), "week_start_date").limit(5).select("week_start_date", "revenue"), f"{WITH} SELECT CAST(date_trunc('week', date) AS DATE) AS week_start_date, CAST(sum(sales_amount) AS DOUBLE) AS revenue FROM sales GROUP BY 1 ORDER BY revenue DESC, 1 LIMIT 5")
 _SCALE = "sc AS (SELECT avg(abs(a.y - b.y)) AS scale FROM w a JOIN w b ON b.t = a.t - 52 WHERE a.t <= (SELECT max(t) FROM w) - 4)"
 _PAIRED = "j AS (SELECT a.y, b.y AS f FROM w a JOIN w b ON b.t = a.t - 52 WHERE a.t > (SELECT max(t) FROM w) - 4)"

@@ -1,13 +1,19 @@
 """Metrics, quantiles, models and rules, by hand-computed values."""
 
+import datetime
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brasswork.functions import metrics as M
-from brasswork.functions.numbers import normal_quantile, poisson_quantile
+from brasswork.functions.numbers import normal_quantile, poisson_quantile, poisson_quantiles
+from brasswork.operators import churn as C
+from brasswork.operators import density, describe, ranges
 from brasswork.operators import drift as D
 from brasswork.operators import forecast as P
 from brasswork.operators import inventory as I
+from brasswork.operators import quality as Q
 from brasswork.operators import segmentation as S
 from brasswork.plans import stages
 from brasswork.streaming.weekly import weekly_stream
@@ -99,8 +105,34 @@ def test_clusters():
     x = np.concatenate([random.normal(0, 0.1, (60, 2)), random.normal(5, 0.1, (60, 2))])
     labels = S.lloyd(x, 2)
     assert len(set(labels[:60])) == len(set(labels[60:])) == 1 and S.silhouette(x, labels) > 0.9
-    _, dense = S.search_radius(x, least=10)
-    assert dense.max() == 1
+
+
+def brute_density(x, ids, radius, least):
+    near = ((x[:, None] - x[None]) ** 2).sum(2) <= radius * radius
+    core = near.sum(1) >= least
+    label = {int(i): int(i) for i in ids[core]}
+    for _ in range(len(x)):
+        for i in np.flatnonzero(core):
+            label[int(ids[i])] = min(label[int(ids[j])] for j in np.flatnonzero(near[i] & core))
+    for i in np.flatnonzero(~core):
+        around = [label[int(ids[j])] for j in np.flatnonzero(near[i] & core)]
+        if around:
+            label[int(ids[i])] = min(around)
+    order = sorted(set(label.values()))
+    return {int(i): order.index(label[int(i)]) if int(i) in label else -1 for i in ids}
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_density_clusters_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(density, "BLOCK", block)
+    random = np.random.default_rng(2)
+    x = np.concatenate([random.normal(0, 0.3, (70, 4)), random.normal(4, 0.3, (60, 4)), random.uniform(-3, 7, (40, 4))])
+    frame = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(x)], "customer_id long, a double, b double, c double, d double")
+    found = {r["customer_id"]: r["label"] for r in density.density_clusters(frame, list("abcd"), 0.5, 8).collect()}
+    z = (x - x.mean(0)) / x.std(0)
+    assert found == brute_density(z, np.arange(len(x)), 0.5, 8) and max(found.values()) >= 1 and -1 in found.values()
+    radius, labels = density.search(frame, list("abcd"), least=8)
+    assert radius > 0 and labels.count() == len(x) and labels.agg({"label": "max"}).first()[0] >= 1
 
 
 def test_scaler_refuses_nulls(spark):
@@ -141,3 +173,80 @@ def test_stream_emits_whole_weeks(spark, tmp_path):
     query.stop()
     found = {r["week_start"].date(): r["n"] for r in spark.sql("SELECT * FROM weeks").collect()}
     assert found == {dt.date(2024, 1, 1): 7, dt.date(2024, 1, 8): 7}
+
+
+def test_poisson_quantiles_of_a_column(spark):
+    r = np.random.default_rng(4)
+    rows = [(float(q), float(m)) for q, m in zip(r.uniform(0.01, 0.9999, 300), r.choice([0.0, 0.3, 4.0, 80.0, 5000.0, 2e5], 300) * r.uniform(0.5, 2, 300), strict=True)] + [(None, 1.0), (0.5, None), (0.5, -1.0)]
+    found = spark.createDataFrame(rows, "q double, m double").select("q", "m", poisson_quantiles("q", "m").alias("k")).collect()
+    assert [row["k"] for row in found] == [None if q is None or m is None else poisson_quantile(q, m) for q, m in rows]
+
+
+def test_scaled_error(spark):
+    y = [float(i % 4 * 3 + i // 4) for i in range(20)]
+    series = spark.createDataFrame(list(enumerate(y)), "t int, y double")
+    pairs = spark.createDataFrame([(y[i], y[i - 4]) for i in range(4, 20)], "y double, f double")
+    scales = M.seasonal_scale(series, "t", "y", 4)
+    assert M.mase(pairs, scales).first()["mase"] == 1.0
+    bundle = M.forecast_bundle(pairs, scales).first()
+    assert bundle["mase"] == 1.0 and bundle["nonzero_share"] == round(sum(v != 0 for v in y[4:]) / 16, 6) and bundle["mae"] == 1.0
+    flat = M.seasonal_scale(spark.createDataFrame([(i, 2.0) for i in range(9)], "t int, y double"), "t", "y", 4)
+    assert M.mase(pairs, flat).first()["mase"] is None
+
+
+@pytest.mark.parametrize("parts, sample", [(64, 20_000), (5, 7), (1, 1)])
+def test_ranges_equal_a_sort(spark, parts, sample):
+    r = np.random.default_rng(5)
+    rows = [(int(k), int(v)) for k, v in zip(r.permutation(400), r.choice([1, 1, 1, 2, 7, 40], 400), strict=True)]
+    frame = spark.createDataFrame(rows, "id long, v long")
+    out, totals = ranges.running(frame, [-F.col("v"), F.col("id")], {"upto": "v"}, parts=parts, sample_rows=sample)
+    wanted, so_far = {}, 0
+    for place, (k, v) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0]))):
+        so_far += v
+        wanted[k] = (place + 1, so_far)
+    assert {x["id"]: (x["rank"], x["upto"]) for x in out.collect()} == wanted and totals == {"rank": 400, "upto": so_far}
+    counted = frame.groupBy((F.col("id") % 3).alias("g"), "v").agg(F.count("*").alias("n"))
+    for row in ranges.quantiles(counted, ["g"], "v", "n", [0.0, 0.3, 0.5, 0.99, 1.0]).collect():
+        assert np.allclose(row["quantiles"], np.quantile([v for k, v in rows if k % 3 == row["g"]], [0, 0.3, 0.5, 0.99, 1]))
+    empty, nothing = ranges.running(frame.limit(0), [F.col("v")])
+    assert empty.count() == 0 and nothing == {"rank": 0}
+
+
+def test_index_of_texts_and_ties(spark):
+    rows = [("reference", x) for x in "1 2 3.5 42 7 x".split()] + [("current", x) for x in "1 2 3.5 42 7".split()]
+    assert D.psi(spark.createDataFrame(rows, "period string, c string"), ["c"], bins=4).first()["psi"] == 0.0
+    both = spark.createDataFrame([("reference", "a"), ("reference", "b"), ("current", "b"), ("current", "c")], "period string, c string")
+    assert D.category_shift(both, "c").first()["largest_mover"] == "a"
+
+
+def test_descriptions(spark):
+    frame = spark.createDataFrame([(1, "a", 2.0), (2, None, None), (3, "a", 4.0)], "id long, w string, x double")
+    assert [tuple(r) for r in describe.most_common(frame, "w").collect()] == [("a", 2), (None, 1)]
+    assert describe.to_columns(frame, ["id"], ["x", "z"]).where("id = 2").first().asDict() == {"id": 2, "x": 0.0, "z": 0.0}
+    assert describe.describe(frame, ["x"]).first()["q50"] == 3.0 and describe.spread(frame, "x").first()["median"] == 3.0
+    found = Q.contract_report(frame, ["id", "w", "x"], {"large": F.col("x") > 3})
+    assert found == {"rows": 3, "missing": [], "further": [], "breaches": {"null w": 1, "null x": 1, "large": 1}, "valid": False}
+    assert Q.contract_report(frame, ["id", "y"], {})["missing"] == ["y"]
+
+
+def test_guards(spark):
+    panel = spark.createDataFrame([(1, "p", datetime.date(2024, 1, 1 + 7 * i), 1, 0) for i in range(4)], "store_id int, product_id string, week_start_date date, units_sold int, stockout_count int")
+    with pytest.raises(ValueError):
+        I.replay(panel)
+    paths = spark.createDataFrame([(1, 1, 5.0), (2, 1, 6.0), (2, 2, 7.0)], "horizon int, weeks_ahead int, forecast double")
+    assert I.first_week(paths).first()["forecast"] == 5.0
+    with pytest.raises(ValueError):
+        I.first_week(paths.where("horizon = 2 and weeks_ahead = 2"))
+    day = spark.createDataFrame([(datetime.date(2024, 1, 1), 1)], "snapshot_date date, churn int")
+    with pytest.raises(ValueError):
+        C.fit_model(day, test=day)
+
+
+def test_stage_progress_and_large_documents(spark, tmp_path, monkeypatch):
+    seen = []
+    stage = stages.Stage("good", lambda s, d: {"t": s.range(3)}, ("t",))
+    results = stages.run_stages(spark, "", str(tmp_path), stages=[stage], progress=seen.append)
+    assert [r.name for r in seen] == ["good"] and stages.reports(spark, results).first()["tables"] == ["t"]
+    monkeypatch.setattr(stages, "MAX_ROWS", 2)
+    with pytest.raises(ValueError):
+        stages.document(spark, str(tmp_path), [("good", "t")])
