@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -33,26 +34,40 @@ def seasonal_naive(history: np.ndarray, horizon: int, season: int = SEASON) -> n
     return np.array([history[len(history) - season + i % season] for i in range(horizon)])
 
 
-def _design(y: np.ndarray, n: int, season: int) -> np.ndarray:
-    """Trend, season dummies (the first dropped) and lags 1, 2 and one season for weeks season .. n - 1; unknown lags are 0."""
+def iso_weeks(first: datetime.date, n: int) -> np.ndarray:
+    """The ISO week numbers of n weeks from one on."""
+    return np.array([(first + datetime.timedelta(weeks=i)).isocalendar().week for i in range(n)])
+
+
+def _design(y: np.ndarray, n: int, season: int, weeks: np.ndarray | None) -> np.ndarray:
+    """Trend, week dummies (the first dropped) and lags 1, 2 and one season for weeks season .. n - 1; unknown lags are 0.
+
+    Dummies are of ISO week numbers, 1 to 53, or without these of places in the season.
+    """
     t = np.arange(season, n)
     padded = np.concatenate([y, np.zeros(max(0, n - len(y)))])
-    dummies = (t[:, None] % season == np.arange(1, season)[None]).astype(float)
+    if weeks is None:
+        dummies = (t[:, None] % season == np.arange(1, season)[None]).astype(float)
+    else:
+        dummies = (weeks[t][:, None] == np.arange(2, 54)[None]).astype(float)
     return np.column_stack([t / n, (t / n) ** 2, dummies, padded[t - 1], padded[t - 2], padded[t - season]])
 
 
-def ridge_seasonal(history: np.ndarray, horizon: int, season: int = SEASON, alpha: float = 1.0, recursive: bool = False) -> np.ndarray:
-    """Ridge regression on trend, season and lags. Lags that lie in the future count as 0, or with recursive are what was forecast."""
+def ridge_seasonal(history: np.ndarray, horizon: int, season: int = SEASON, alpha: float = 1.0, recursive: bool = False, weeks: np.ndarray | None = None) -> np.ndarray:
+    """Ridge regression on trend, week of the year and lags. Lags that lie in the future count as 0, or with recursive are what was forecast.
+
+    weeks are the ISO week numbers of the history and the horizon.
+    """
     n = len(history)
     if n < season + 20:
         raise ValueError(f"needs {season + 20} weeks")
-    x, y = _design(history, n, season), history[season:]
+    x, y = _design(history, n, season, weeks), history[season:]
     mean_x, mean_y = x.mean(0), y.mean()
     beta = np.linalg.solve((x - mean_x).T @ (x - mean_x) + alpha * np.eye(x.shape[1]), (x - mean_x).T @ (y - mean_y))
     known = history
     out = []
     for h in range(1, horizon + 1):
-        row = _design(known, n + h, season)[-1]
+        row = _design(known, n + h, season, weeks)[-1]
         row[0], row[1] = (n + h - 1) / n, ((n + h - 1) / n) ** 2
         value = max(0.0, float((row - mean_x) @ beta + mean_y))
         out.append(value)
@@ -115,6 +130,17 @@ Model = Callable[[np.ndarray, int], np.ndarray]
 MODELS: dict[str, Model] = {"seasonal_naive": seasonal_naive, "ridge_seasonal": ridge_seasonal, "additive_trend": additive_trend, "recurrent": recurrent, "ensemble": ensemble}
 
 
+def run_model(model: str, history: np.ndarray, horizon: int, first: datetime.date | None) -> np.ndarray:
+    """A model's forecast; first is the Monday of the history's first week, if known."""
+    if model == "ridge_seasonal" and first is not None:
+        return ridge_seasonal(history, horizon, weeks=iso_weeks(first, len(history) + horizon))
+    return MODELS[model](history, horizon)
+
+
+def _start(frame: pd.DataFrame) -> datetime.date | None:
+    return frame["week_start_date"].iloc[0] if "week_start_date" in frame else None
+
+
 def naive_holdout(series: DataFrame, keys: Sequence[str] = (), horizons: Sequence[int] = HORIZONS, season: int = SEASON) -> DataFrame:
     """horizon and metrics of the seasonal naive forecast of each series' last weeks, all in DataFrame functions."""
     window = Window.partitionBy(*keys).orderBy("t")
@@ -140,13 +166,14 @@ def backtest(series: DataFrame, keys: Sequence[str] = (), horizons: Sequence[int
         try:
             if len(y) <= least + horizon:
                 raise ValueError(f"needs more than {least + horizon} weeks")
-            forecast, error = MODELS[model](y[:-horizon], horizon), None
+            forecast, error = run_model(model, y[:-horizon], horizon, _start(frame)), None
         except Exception as e:  # one model's failure is a row, not the end of the run
             return pd.DataFrame([{**head, "model": model, "horizon": horizon, "step": 0, "y": None, "f": None, "error": str(e)}])
         return pd.DataFrame([{**head, "model": model, "horizon": horizon, "step": i + 1, "y": y[len(y) - horizon + i], "f": float(forecast[i]), "error": error} for i in range(horizon)])
 
     tasks = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(h).alias("horizon")) for m in models for h in horizons]))
-    spread = series.select(*keys, "t", "y", tasks.alias("task")).select(*keys, "t", "y", "task.model", "task.horizon")
+    days = [c for c in series.columns if c == "week_start_date"]
+    spread = series.select(*keys, "t", "y", *days, tasks.alias("task")).select(*keys, "t", "y", *days, "task.model", "task.horizon")
     steps = spread.groupBy(*keys, "model", "horizon").applyInPandas(fit, schema)
     return steps.groupBy(*keys, "model", "horizon").agg(*forecast_aggregates(), F.max("error").alias("error"))
 
@@ -167,7 +194,7 @@ def forecast_paths(series: DataFrame, selected: DataFrame, keys: Sequence[str] =
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("t")
         first = frame.iloc[0]
-        path = MODELS[first["model"]](frame["y"].to_numpy(float), int(first["horizon"]))
+        path = run_model(first["model"], frame["y"].to_numpy(float), int(first["horizon"]), _start(frame))
         head = {k: first[k] for k in keys}
         return pd.DataFrame([{**head, "horizon": int(first["horizon"]), "model": first["model"], "holdout_wape": first["wape"], "weeks_ahead": i + 1, "forecast": float(v)} for i, v in enumerate(path)])
 

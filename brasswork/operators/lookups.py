@@ -70,6 +70,11 @@ def largest_movers(mix: DataFrame, n: int = 1) -> DataFrame:
     return up.unionByName(down)
 
 
+def filtered(frame: DataFrame, predicate: str, args: dict[str, object]) -> DataFrame:
+    """Rows for which a SQL predicate with named parameters (:name) holds; values are bound, never spliced into the text."""
+    return frame.sparkSession.sql(f"SELECT * FROM {{rows_}} WHERE {predicate}", args=args, rows_=frame)
+
+
 def leaders_share(frame: DataFrame, value: str, n: int = 2) -> DataFrame:
     """The share of the whole that the n largest rows hold; rows that tie with the n-th add the same, whichever is taken."""
     top = frame.select(value).orderBy(F.desc(value)).limit(n).agg(F.sum(value).alias("top"))

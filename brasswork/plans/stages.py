@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import functools
 import math
 import time
 from collections.abc import Callable, Sequence
@@ -10,8 +11,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brasswork.functions.dates import month_ends
 from brasswork.operators import drift, features, forecast, inventory, rollup
+from brasswork.plans.config import Settings, load
+from brasswork.session import cut
 from brasswork.sources import files, star
 
 Tables = dict[str, DataFrame]
@@ -39,44 +41,48 @@ class StageFailed(RuntimeError):
         self.name, self.reason = name, reason
 
 
-def _precompute(spark: SparkSession, sf_dir: str) -> Tables:
+def _precompute(spark: SparkSession, sf_dir: str, settings: Settings) -> Tables:
     sales = star.sales(spark, sf_dir)
     return {"kpis": rollup.kpis(sales), "revenue_by_week": rollup.weekly_revenue(sales), "sku_mix": rollup.sku_mix(sales), "_unpublished": rollup.facts(sales)}
 
 
-def _forecast(spark: SparkSession, sf_dir: str) -> Tables:
+def _forecast(spark: SparkSession, sf_dir: str, settings: Settings) -> Tables:
     series = forecast.build_series(star.panel(spark, sf_dir))
-    scores = forecast.backtest(series)
-    return {"forecast_backtest": scores, "forecast_selection": forecast.select_models(scores)}
+    scores = cut(forecast.backtest(series, horizons=settings.horizons))
+    selected = forecast.select_models(scores)
+    return {"forecast_backtest": scores, "forecast_selection": selected, "forecast_paths": forecast.forecast_paths(series, selected)}
 
 
-def _features(spark: SparkSession, sf_dir: str) -> Tables:
+def _features(spark: SparkSession, sf_dir: str, settings: Settings) -> Tables:
     sales = star.sales(spark, sf_dir)
-    return {"churn_snapshots": features.churn_snapshots(sales, CHURN_DATES)}
+    return {"churn_snapshots": features.churn_snapshots(sales, settings.snapshots(), settings.window_days, settings.label_days)}
 
 
-def _inventory(spark: SparkSession, sf_dir: str) -> Tables:
+def _inventory(spark: SparkSession, sf_dir: str, settings: Settings) -> Tables:
+    """The plan follows the selected forecast of the next week."""
     panel = star.panel(spark, sf_dir)
-    series = forecast.build_series(panel)
-    paths = forecast.forecast_paths(series, forecast.select_models(forecast.backtest(series)))
-    plan = inventory.reorder_plan(panel, inventory.first_week(paths))
-    return {"reorder_plan": plan, "replay": inventory.replay(panel)}
+    paths = _forecast(spark, sf_dir, settings)["forecast_paths"]
+    plan = inventory.reorder_plan(panel, inventory.first_week(cut(paths)), settings.lead_weeks)
+    return {"reorder_plan": plan, "replay": inventory.replay(panel, settings.replay_weeks, settings.lead_weeks)}
 
 
-def _drift(spark: SparkSession, sf_dir: str) -> Tables:
-    both = drift.split_periods(star.panel(spark, sf_dir), 1999, 2000)
-    return {"drift": drift.report(both, ["units_sold", "on_hand_end"], ["product_category"])}
+def _drift(spark: SparkSession, sf_dir: str, settings: Settings) -> Tables:
+    both = drift.split_periods(star.panel(spark, sf_dir), settings.reference_year, settings.current_year)
+    return {"drift": drift.report(both, settings.drift_numeric, settings.drift_categorical)}
 
 
-#: Month ends whose label windows end within the order dates.
-CHURN_DATES = month_ends("2000-08-01", "2001-04-30")
-STAGES = (
-    Stage("precompute", _precompute, ("kpis", "revenue_by_week", "sku_mix")),
-    Stage("forecast", _forecast, ("forecast_backtest", "forecast_selection")),
-    Stage("churn", _features, ("churn_snapshots",)),
-    Stage("inventory", _inventory, ("reorder_plan", "replay")),
-    Stage("drift", _drift, ("drift",)),
-)
+def stages_for(settings: Settings) -> tuple[Stage, ...]:
+    own = lambda run: functools.partial(run, settings=settings)
+    return (
+        Stage("precompute", own(_precompute), ("kpis", "revenue_by_week", "sku_mix")),
+        Stage("forecast", own(_forecast), ("forecast_backtest", "forecast_selection", "forecast_paths")),
+        Stage("churn", own(_features), ("churn_snapshots",)),
+        Stage("inventory", own(_inventory), ("reorder_plan", "replay")),
+        Stage("drift", own(_drift), ("drift",)),
+    )
+
+
+STAGES = stages_for(Settings())
 
 
 def missing_outputs(spark: SparkSession, stage: Stage, out_dir: str) -> list[str]:
@@ -161,14 +167,16 @@ def main(argv: Sequence[str] | None = None) -> int:
     parser.add_argument("out")
     parser.add_argument("--only", action="append", default=[])
     parser.add_argument("--skip-verify", action="store_true", help="leave out the last check of all outputs")
+    parser.add_argument("--config", help="a JSON file of settings")
     given = parser.parse_args(argv)
     from brasswork.session import get_session
 
     spark = get_session("brasswork stages")
+    stages = stages_for(load(spark, given.config)) if given.config else STAGES
     tell = lambda result: print(f"{result.name}: {result.seconds:.1f} s, {', '.join(result.tables)}", flush=True)
-    results = run_stages(spark, given.tables, given.out, given.only, progress=tell)
+    results = run_stages(spark, given.tables, given.out, given.only, stages, progress=tell)
     files.write_table(reports(spark, results), f"{given.out}/stage_reports")
-    chosen = [s for s in STAGES if not given.only or s.name in given.only]
+    chosen = [s for s in stages if not given.only or s.name in given.only]
     missing = {} if given.skip_verify else {s.name: m for s in chosen if (m := missing_outputs(spark, s, given.out))}
     for name, tables in missing.items():
         print(f"{name}: missing {', '.join(tables)}")

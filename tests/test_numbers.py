@@ -15,7 +15,7 @@ from brasswork.operators import forecast as P
 from brasswork.operators import inventory as I
 from brasswork.operators import quality as Q
 from brasswork.operators import segmentation as S
-from brasswork.plans import stages
+from brasswork.plans import config, stages
 from brasswork.streaming.weekly import weekly_stream
 
 
@@ -155,7 +155,7 @@ def test_stages_stop_at_the_first_failure(spark, tmp_path):
     with pytest.raises(stages.StageFailed) as failed:
         stages.run_stages(spark, "", str(tmp_path), stages=all_)
     assert failed.value.name == "empty" and ran == ["good"] and not (tmp_path / "good" / "_own").exists()
-    assert stages.document(spark, str(tmp_path), [("good", "t")])["good"]["t"][0] == {"id": 0}
+    assert sorted(r["id"] for r in stages.document(spark, str(tmp_path), [("good", "t")])["good"]["t"]) == [0, 1, 2]
     with pytest.raises(FileNotFoundError):
         stages.document(spark, str(tmp_path), [("later", "t")])
     assert stages.plain(float("nan")) is None
@@ -250,3 +250,26 @@ def test_stage_progress_and_large_documents(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(stages, "MAX_ROWS", 2)
     with pytest.raises(ValueError):
         stages.document(spark, str(tmp_path), [("good", "t")])
+
+
+def test_settings(spark, tmp_path):
+    (tmp_path / "own.json").write_text('{"label_days": 30, "horizons": [1, 3]}')
+    own = config.load(spark, str(tmp_path / "own.json"))
+    assert own.label_days == 30 and own.horizons == (1, 3) and own.snapshots()[0] == datetime.date(2000, 8, 31)
+    (tmp_path / "bad.json").write_text('{"labels": 30}')
+    with pytest.raises(ValueError):
+        config.load(spark, str(tmp_path / "bad.json"))
+    with pytest.raises(ValueError):
+        config.Settings(horizons=(0,))
+    assert [s.name for s in stages.stages_for(own)] == [s.name for s in stages.STAGES]
+
+
+def test_ridge_follows_iso_weeks():
+    """A year of 53 weeks moves the season by one place, but not by its week number."""
+    first = datetime.date(2012, 1, 2)
+    weeks = P.iso_weeks(first, 320)
+    assert weeks[0] == 1 and 53 in weeks
+    y = 100 + 50.0 * (weeks == 20)
+    told = P.run_model("ridge_seasonal", y[:300], 4, first)
+    blind = P.run_model("ridge_seasonal", y[:300], 4, None)
+    assert len(told) == len(blind) == 4 and np.abs(told - y[300:304]).mean() <= np.abs(blind - y[300:304]).mean() + 1.0
