@@ -2,10 +2,12 @@
 
 A document is the set of its runs of five lower-case words. Documents of equal sets are copies: they are linked by
 definition and one stands for them. Representatives whose MinHash bands agree anywhere are candidates; they are
-gathered in components, and within a component, by blocks of bounded size, MinHash values are compared a few at a
-time: a pair is dropped when the posterior probability that it reaches the threshold falls below a tolerance. What is
-left is verified on the whole sets. Links are counted where they are found and only a spanning forest of them is
-handed on, so a group of near copies never becomes a list of pairs.
+gathered in components. A component of bounded size is compared as a whole. A larger one is cut into blocks of bounded
+size, near copies beside each other, and two blocks meet only if they hold candidates: if some band agrees between
+them and their sizes allow a link. MinHash values are compared a few at a time: a pair is dropped when the posterior
+probability that it reaches the threshold falls below a tolerance. What is left is verified on the whole sets. Links are
+counted where they are found and only a spanning forest of them is handed on, so a group of near copies never becomes a
+list of pairs.
 
 Two representatives at the threshold fail to meet in a band with a probability under 1e-5 (64 bands of 8 values);
 a linked pair is pruned with a probability under the tolerance, 1e-6. Nothing else can lose a link.
@@ -29,8 +31,9 @@ from brasswork.llm.components import connected_components
 
 WORDS = 5
 BANDS, ROWS = 64, 8
-STEP = 32  # MinHash values compared at a time
-BLOCK = 192  # representatives of a block
+STEP, STEPS = 32, 4  # MinHash values compared at a time, and how often
+BLOCK = 1024  # representatives of a block, about
+BLOCK_CODES = 2_000_000  # codes of the sets of a block, about
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -107,19 +110,19 @@ def least_matches(threshold: float, tolerance: float, steps: int) -> list[int]:
     return found
 
 
-def linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray], threshold: float, tolerance: float, steps: int = 4) -> np.ndarray:
-    """Which pairs of two blocks reach the threshold, as a table of truth values."""
+def linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray], hashes_a: np.ndarray, hashes_b: np.ndarray, threshold: float, tolerance: float) -> np.ndarray:
+    """Which pairs of two blocks reach the threshold, as a table of truth values; hashes are the first STEP * STEPS MinHash values of each set."""
     size_a, size_b = (np.array([len(s) for s in x], np.int64) for x in (sets_a, sets_b))
     open_ = np.minimum(size_a[:, None], size_b[None]) >= threshold * np.maximum(size_a[:, None], size_b[None]) - 1e-9
     matches = np.zeros(open_.shape, np.int32)
-    for step, least in enumerate(least_matches(threshold, tolerance, steps)):
+    for step, least in enumerate(least_matches(threshold, tolerance, STEPS)):
         rows, columns = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
         if not len(rows):
             return open_
-        a = np.array([min_hashes(sets_a[i], step * STEP, STEP) for i in rows])
-        b = np.array([min_hashes(sets_b[i], step * STEP, STEP) for i in columns])
-        for at, row in enumerate(rows):
-            matches[row, columns] += (b == a[at]).sum(1, dtype=np.int32)
+        cut = slice(step * STEP, (step + 1) * STEP)
+        b = hashes_b[columns, cut]
+        for row in rows:
+            matches[row, columns] += (b == hashes_a[row, cut]).sum(1, dtype=np.int32)
         open_ &= matches >= least
     rows, columns = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
     common = _common([sets_a[i] for i in rows], [sets_b[i] for i in columns])
@@ -135,18 +138,23 @@ def _common(sets_a: list[np.ndarray], sets_b: list[np.ndarray], width: int = 163
     if not len(sets_a) or not len(sets_b):
         return common
     both = np.intersect1d(np.unique(np.concatenate(sets_a)), np.unique(np.concatenate(sets_b)), assume_unique=True)
+    if not len(both):
+        return common
+
+    def columns(sets: list[np.ndarray]) -> list[np.ndarray]:
+        at = [np.minimum(np.searchsorted(both, s), len(both) - 1) for s in sets]
+        return [a[both[a] == s] for a, s in zip(at, sets, strict=True)]
 
-    def table(sets: list[np.ndarray], codes: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(sets), len(codes)), np.float32)
-        for i, s in enumerate(sets):
-            at = np.searchsorted(s, codes)
-            at[at == len(s)] = 0
-            out[i] = s[at] == codes
+    def table(places: list[np.ndarray], start: int) -> np.ndarray:
+        out = np.zeros((len(places), min(width, len(both) - start)), np.float32)
+        for i, own in enumerate(places):
+            low, high = np.searchsorted(own, (start, start + width))
+            out[i, own[low:high] - start] = 1
         return out
 
+    places_a, places_b = columns(sets_a), columns(sets_b)
     for start in range(0, len(both), width):
-        part = both[start : start + width]
-        common += np.rint(table(sets_a, part) @ table(sets_b, part).T).astype(np.int64)
+        common += np.rint(table(places_a, start) @ table(places_b, start).T).astype(np.int64)
     return common
 
 
@@ -195,19 +203,42 @@ def _contracted(meets: DataFrame) -> DataFrame:
     return least.union(lists.select(F.col("heads")[0].alias("a"), F.explode(F.slice("heads", 2, BANDS)).alias("b")).distinct())
 
 
-def _planned(members: DataFrame) -> DataFrame:
-    """Adds the groups in which a member is compared: one for a component of a block's size, else pairs of blocks of near sizes."""
-    members = members.withColumn("size_class", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
-    per_class = members.groupBy("comp", "size_class").agg(F.count("*").alias("m"))
-    plan = per_class.groupBy("comp").agg(F.sum("m").alias("total"), F.map_from_entries(F.collect_list(F.struct("size_class", F.ceil(F.col("m") / BLOCK).cast("int")))).alias("blocks"))
-    joined = members.join(plan.withColumnRenamed("comp", "plan_comp"), F.col("comp") == F.col("plan_comp")).drop("plan_comp")
-    own = F.pmod(F.xxhash64("rep", F.lit(3)), F.element_at("blocks", F.col("size_class"))).cast("int")
-    joined = joined.withColumn("block", F.when(F.col("total") <= BLOCK, F.lit(0)).otherwise(F.col("size_class") * 1_000_000 + own))
-    near = F.filter(F.array(*[F.col("size_class") + d for d in (-1, 0, 1)]), lambda c: F.array_contains(F.map_keys("blocks"), c))
-    others = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0), F.element_at("blocks", c) - 1), lambda s: c * 1_000_000 + s)))
-    pairs = F.transform(others, lambda o: F.struct(F.least(o, "block").alias("low"), F.greatest(o, "block").alias("high")))
-    single = F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))
-    return joined.withColumn("groups", F.when(F.col("total") <= BLOCK, single).otherwise(pairs)).drop("blocks", "total", "size_class")
+def _planned(scratch: Scratch, reps: DataFrame, edges: DataFrame, components: DataFrame) -> DataFrame:
+    """rep, copies, groups (array<struct<low, high>>): the pairs of blocks in which a representative is compared.
+
+    A component within the bounds is one block. A larger one is cut by size class and by the least representative that
+    its members share a band with, so that near copies stay together; such a set that is larger than a block is dealt
+    by a hash. Tables of counts are written before they are joined, so that adaptive execution can split a hot component.
+    """
+    ratio = 1.25  # sets that differ by more can't reach 0.8; lower thresholds reach over more classes
+    near = edges.groupBy(F.col("b").alias("near_rep")).agg(F.min("a").alias("least"))
+    members = components.join(reps.select("rep", "n", "copies"), F.col("node") == F.col("rep")).join(near, F.col("node") == F.col("near_rep"), "left")
+    members = scratch.keep(members.select("rep", "n", "copies", F.col("label").alias("comp"), F.coalesce("least", "rep").alias("place"), F.floor(F.log("n") / F.log(F.lit(ratio))).cast("int").alias("size_class")), "members")
+    whole = scratch.keep(members.groupBy("comp").agg(((F.count("*") > BLOCK) | (F.sum("n") > BLOCK_CODES)).alias("large")).where("large").select(F.col("comp").alias("large_comp")), "large")
+    split = members.join(whole, F.col("comp") == F.col("large_comp"), "left")
+    small = split.where("large_comp is null").select("rep", "copies", F.array(F.struct(F.col("comp").alias("low"), F.col("comp").alias("high"))).alias("groups"))
+
+    rows = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(BLOCK_CODES / F.pow(F.lit(ratio), F.col("size_class"))))).cast("long")
+    cut = ["comp", "size_class"]
+    places = scratch.keep(split.where("large_comp is not null").groupBy(*cut, "place").agg(F.count("*").alias("m")).withColumn("rows", rows), "places")
+    rest = scratch.keep(places.where("m < rows").groupBy(*cut).agg(F.ceil(F.sum("m") / F.first("rows")).alias("blocks")), "rest")
+    own = places.join(rest, cut, "left").select(*[F.col(c).alias(f"of_{c}") for c in (*cut, "place")], "m", "rows", "blocks")
+    own = scratch.keep(own, "cuts")
+    larger = split.where("large_comp is not null").drop("large_comp")
+    dealt = larger.join(own, (F.col("comp") == F.col("of_comp")) & (F.col("size_class") == F.col("of_size_class")) & (F.col("place") == F.col("of_place")))
+    together = F.xxhash64("comp", "size_class", F.pmod(F.xxhash64("place"), "blocks"))
+    apart = F.xxhash64("comp", "size_class", "place", F.pmod(F.xxhash64("rep", F.lit(3)), F.ceil(F.col("m") / F.col("rows"))))
+    dealt = scratch.keep(dealt.select("rep", "copies", "size_class", F.when(F.col("m") < F.col("rows"), together).otherwise(apart).alias("block")), "dealt")
+
+    touched = reps.select(F.col("rep").alias("banded"), F.explode("bands").alias("band")).join(dealt, F.col("banded") == F.col("rep"))
+    touched = scratch.keep(touched.select("band", "block", "size_class").distinct(), "touched")
+    other = scratch.read("touched", touched.schema).select(F.col("band").alias("other_band"), F.col("block").alias("other"), F.col("size_class").alias("other_class"))
+    meets = (F.col("band") == F.col("other_band")) & (F.col("block") <= F.col("other")) & (F.abs(F.col("size_class") - F.col("other_class")) <= 1)
+    pairs = touched.join(other, meets).select(F.col("block").alias("low"), F.col("other").alias("high")).distinct()
+    listed = pairs.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("in_block")).groupBy("in_block").agg(F.collect_list(F.struct("low", "high")).alias("groups"))
+    planned = scratch.keep(small.withColumn("block", F.col("groups")[0]["low"]).union(dealt.join(listed, F.col("block") == F.col("in_block")).select("rep", "copies", "groups", "block")), "planned")
+    scratch.drop("members", "large", "places", "rest", "cuts", "dealt", "touched")
+    return planned
 
 
 def jaccard_classes(spark: SparkSession, documents: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
@@ -215,42 +246,46 @@ def jaccard_classes(spark: SparkSession, documents: DataFrame, threshold: float
 
     class_id is the least doc_id of all documents that links join, n_links the number of other rows linked with this
     one, copies among them; keeper is the key of the row that stays if one of each class does. A null, empty or
-    wordless text has no links. Repeated rows are copies of each other.
+    wordless text has no links. Repeated rows are copies of each other. Texts of any length are taken whole; an empty table
+    gives no rows, columns other than doc_id and text are left out. The threshold must be 0.8 at least.
     """
+    if threshold < 0.8:
+        raise ValueError("bands and size classes are made for thresholds of 0.8 and more")
     scratch = Scratch(spark)
     rows = scratch.keep(_sketches(documents), "rows")
     some = rows.where("n > 0")
-    reps = scratch.keep(some.groupBy("digest").agg(F.min("key").alias("rep"), F.min("n").alias("n"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "key")).alias("first")), "reps")
-    banded = some.join(reps.select(F.col("digest").alias("of"), "rep"), (F.col("digest") == F.col("of")) & (F.col("key") == F.col("rep")))
+    # copies have equal bands
+    reps = some.groupBy("digest").agg(F.min("key").alias("rep"), F.min("n").alias("n"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "key")).alias("first"), F.first("bands").alias("bands"))
+    reps = scratch.keep(reps, "reps")
     # dealt by band once, for both the heads and the join with them, at every size
-    banded = banded.select("rep", F.explode("bands").alias("band")).repartition("band")
+    banded = reps.select("rep", F.explode("bands").alias("band")).repartition("band")
     heads = banded.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("other")).where("head <> other").select(F.col("band").alias("in_band"), "head")
     meets = banded.join(heads.hint("merge"), F.col("band") == F.col("in_band")).where("rep <> head")
-    components = connected_components(scratch, _contracted(meets), "candidates")
-    members = components.select(F.col("node"), F.col("label").alias("comp")).join(reps.select("rep", "n", "copies"), F.col("node") == F.col("rep")).drop("node")
-    planned = scratch.keep(_planned(members), "planned")
-    texts = doc_texts(documents).select(row_key().alias("key"), "text").join(planned.hint("merge"), F.col("key") == F.col("rep")).select("rep", "comp", "copies", "block", "groups", "text")
+    edges = scratch.keep(_contracted(meets), "edges")
+    planned = _planned(scratch, reps, edges, connected_components(scratch, edges, "candidates"))
+    texts = doc_texts(documents).select(row_key().alias("key"), "text").join(planned.hint("merge"), F.col("key") == F.col("rep")).select("rep", "copies", "block", "groups", "text")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            packed = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([*(batch.column(c) for c in ("rep", "comp", "copies", "block", "groups")), pa.array(packed, pa.binary())], names=["rep", "comp", "copies", "block", "groups", "runs"])
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            hashes = [min_hashes(s, 0, STEP * STEPS).tobytes() for s in sets]
+            yield pa.record_batch([*(batch.column(c) for c in ("rep", "copies", "block", "groups")), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(hashes, pa.binary())], names=["rep", "copies", "block", "groups", "runs", "hashes"])
 
-    kinds = "rep long, comp long, copies long, block int"
-    sets = texts.mapInArrow(runs, f"{kinds}, groups array<struct<low: int, high: int>>, runs binary")
-    sets = scratch.keep(sets.select("*", F.explode("groups").alias("pair")).select("rep", "comp", "copies", "block", "pair.low", "pair.high", "runs"), "sets")
+    sets = texts.mapInArrow(runs, "rep long, copies long, block long, groups array<struct<low: long, high: long>>, runs binary, hashes binary")
+    sets = sets.select("rep", "copies", "block", "runs", "hashes", F.explode("groups").alias("pair")).select("rep", "copies", "block", "pair.low", "pair.high", "runs", "hashes")
 
     def verify(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("rep").sort_values("rep").reset_index(drop=True)  # repeated rows have one representative
         sets_ = [np.frombuffer(r, np.uint64) for r in frame["runs"]]
+        hashes = np.frombuffer(b"".join(frame["hashes"]), np.uint32).reshape(len(frame), -1)
         found = np.zeros((len(frame), len(frame)), bool)
-        low, high = key[1], key[2]
+        low, high = key
         if low == high:
-            found = linked(sets_, sets_, threshold, tolerance)
+            found = linked(sets_, sets_, hashes, hashes, threshold, tolerance)
             np.fill_diagonal(found, False)
         else:
             at_a, at_b = (np.flatnonzero(frame["block"] == x) for x in (low, high))
-            part = linked([sets_[i] for i in at_a], [sets_[i] for i in at_b], threshold, tolerance)
+            part = linked([sets_[i] for i in at_a], [sets_[i] for i in at_b], hashes[at_a], hashes[at_b], threshold, tolerance)
             found[np.ix_(at_a, at_b)] = part
             found[np.ix_(at_b, at_a)] = part.T
         parent = forest_parents(found)
@@ -259,14 +294,14 @@ def jaccard_classes(spark: SparkSession, documents: DataFrame, threshold: float
         out.loc[parent < 0, "other"] = reps_[parent < 0]
         return out[out["links"] > 0]
 
-    links = scratch.keep(sets.groupBy("comp", "low", "high").applyInPandas(verify, "rep long, other long, links long"), "links")
-    scratch.drop("sets")
+    links = scratch.keep(sets.groupBy("low", "high").applyInPandas(verify, "rep long, other long, links long"), "links")
     classes = connected_components(scratch, links.select(F.col("rep").alias("a"), F.col("other").alias("b")), "classes")
     counted = links.groupBy("rep").agg(F.sum("links").alias("links")).withColumnRenamed("rep", "linked_rep")
     named = reps.join(classes, F.col("rep") == F.col("node"), "left").join(counted, F.col("rep") == F.col("linked_rep"), "left")
     named = scratch.keep(named.select("digest", F.coalesce("label", "rep").alias("label"), "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "named")
-    firsts = named.groupBy("label").agg(F.min("first").alias("least")).withColumnRenamed("label", "class_label")
+    firsts = scratch.keep(named.groupBy("label").agg(F.min("first").alias("least")).withColumnRenamed("label", "class_label"), "firsts")
     final = scratch.keep(named.join(firsts, F.col("label") == F.col("class_label")).select(F.col("digest").alias("of"), "n_links", F.col("least.doc_id").alias("class_id"), F.col("least.key").alias("keeper")), "final")
+    scratch.drop("reps", "edges", "planned", "links", "named", "firsts")
     joined = rows.select("key", "doc_id", "digest").join(final, F.col("digest") == F.col("of"), "left")
     alone = F.col("digest").isNull()
     return joined.select(
@@ -276,9 +311,12 @@ def jaccard_classes(spark: SparkSession, documents: DataFrame, threshold: float
 
 
 def keep_one(spark: SparkSession, documents: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """documents with one row of each class: that of the least doc_id. Wordless rows stay, repeated ones once."""
+    """documents with one row of each class: that of the least doc_id. Wordless rows stay, repeated ones once.
+
+    Columns, whatever their names, go through unchanged.
+    """
     classes = jaccard_classes(spark, documents, threshold)
-    kept = classes.where("key = keeper").select("key").distinct().withColumnRenamed("key", "kept_key")
+    kept = classes.where("key = keeper").select(F.col("key").alias("kept_key")).distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = documents.withColumn("row_key_", F.xxhash64(F.col("doc_id").cast("long"), text, F.length(text)))
-    return keyed.join(kept, F.col("row_key_") == F.col("kept_key"), "left_semi").dropDuplicates(["row_key_"]).drop("row_key_")
+    keyed = documents.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id").cast("long"), text, F.length(text)).alias("row_key"))
+    return keyed.join(kept, F.col("row_key") == F.col("kept_key"), "left_semi").dropDuplicates(["row_key"]).select("row.*")

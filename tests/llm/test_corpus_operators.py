@@ -2,15 +2,21 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import random
 import re
+import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from brasswork.llm import near_duplicates, pii, queries, repeats, suffix_sort, vector_index
+from brasswork.llm import near_duplicates, packing, pii, queries, repeats, suffix_sort, vector_index
 from brasswork.llm.common import Scratch
 from brasswork.llm.components import connected_components
 
@@ -69,9 +75,10 @@ def brute_classes(texts, threshold=0.8):
     return {i: (label[i], links[i]) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("block", [near_duplicates.BLOCK, 4])
-def test_jaccard_join(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, codes", [(near_duplicates.BLOCK, near_duplicates.BLOCK_CODES), (4, near_duplicates.BLOCK_CODES), (1024, 300)])
+def test_jaccard_join(spark, monkeypatch, block, codes):
     monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    monkeypatch.setattr(near_duplicates, "BLOCK_CODES", codes)
     texts = corpus(1)
     found = near_duplicates.jaccard_classes(spark, frame(spark, texts)).collect()
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in found} == brute_classes(texts)
@@ -84,13 +91,21 @@ def test_jaccard_join_odd_rows(spark):
     assert sorted(r["n_links"] for r in found) == [0, 0, 2, 2, 2]
     assert near_duplicates.keep_one(spark, docs).count() == 2
     assert near_duplicates.jaccard_classes(spark, docs.limit(0)).count() == 0
+    clashing = docs.selectExpr("*", "1 as row_key", "2 as kept_key", "3 as rep", "4 as row", "5 as intervals", "6 as spans_key")
+    kept = near_duplicates.keep_one(spark, clashing)
+    assert kept.columns == clashing.columns and {tuple(r)[2:] for r in kept.collect()} == {(1, 2, 3, 4, 5, 6)}
+    for frame_ in (repeats.remove_repeats(spark, clashing), pii.sanitise(spark, clashing)):
+        assert frame_.columns == clashing.columns and frame_.count() == 5 and {tuple(r)[2:] for r in frame_.collect()} == {(1, 2, 3, 4, 5, 6)}
+    with pytest.raises(ValueError):
+        near_duplicates.jaccard_classes(spark, docs, 0.5)
 
 
 def test_pruning_keeps_pairs_over_the_threshold():
     r = np.random.default_rng(5)
     base = np.unique(r.integers(0, 2**63, 400).astype(np.uint64))
     near = [np.sort(np.concatenate([base[k:], r.integers(0, 2**63, k).astype(np.uint64)])) for k in range(0, 120, 10)]
-    found = near_duplicates.linked([base], near, 0.8, 1e-6)[0]
+    hashes = lambda sets: np.array([near_duplicates.min_hashes(s, 0, 128) for s in sets])
+    found = near_duplicates.linked([base], near, hashes([base]), hashes(near), 0.8, 1e-6)[0]
     truth = [len(np.intersect1d(base, s)) >= 0.8 * len(np.union1d(base, s)) for s in near]
     assert found.tolist() == truth
     assert near_duplicates.least_matches(0.8, 1e-6, 4) == sorted(near_duplicates.least_matches(0.8, 1e-6, 4))
@@ -171,6 +186,71 @@ def test_base_spans(spark):
         assert row["base_sha256"] == hashlib.sha256(brute_spans(texts[row["doc_id"]]).encode()).hexdigest()
 
 
+def brute_terms(texts, remove=0.9, generalise=0.75, least=2, smooth=0.5):
+    """All spans of each text, and the disclosing terms with whether they go: counts and mutual information by plain loops."""
+    texts = [t or "" for t in texts]
+    base = [[(m.start(), n, m.end(), m[0].lower()) for n, (k, p) in enumerate(PLAIN.items()) for m in re.finditer(p, t, re.A) if passes(k, m[0])] for t in texts]
+    wide = lambda k, v: "@" + v.split("@")[-1] if k == 0 else ".".join(v.split(".")[:2]) if k == 1 else re.sub("[^0-9]", "", v)[:4]
+    entities = [{(k, level, f(k, v)) for _, k, _, v in found for level, f in enumerate((lambda k, v: v, wide))} for found in base]
+    word = regex.compile(r"\p{L}+|\p{N}+")
+    terms = [{w.lower() for w in word.findall(t)} for t in texts]
+    n, told = len(texts), {}
+    rows_of, rows_with = collections.defaultdict(set), collections.defaultdict(set)
+    for i in range(n):
+        for e in entities[i]:
+            rows_of[e].add(i)
+        for w in terms[i]:
+            rows_with[w].add(i)
+    for rows in rows_of.values():
+        for w in set().union(*(terms[i] for i in rows)):
+            both = rows & rows_with[w]
+            if len({texts[i] for i in both}) >= least:
+                mean = len(rows) / n
+                value = math.log((len(both) + smooth * mean) / (len(rows_with[w]) + smooth) / mean) / math.log((n + 1) / len(rows))
+                if value >= generalise:
+                    told[w] = max(value, told.get(w, 0.0))
+    spans = []
+    for t, found in zip(texts, base, strict=True):
+        inside = lambda m: any(a < m.end() and m.start() < b for a, _, b, _ in found)  # noqa: E731, B023
+        own = [(m.start(), 4, m.end()) for m in word.finditer(t) if m[0].lower() in told and not inside(m)]
+        spans.append(",".join(f"{[*PLAIN, 'term'][k]}:{a}:{b}" for a, k, b in sorted([x[:3] for x in found] + own)))
+    return spans, {w: v >= remove for w, v in told.items()}
+
+
+def brute_sanitised(texts):
+    spans, told = brute_terms(texts)
+    out = []
+    for text, written in zip(texts, spans, strict=True):
+        parts, at = [], 0
+        for kind, a, b in sorted(((k, int(x), int(y)) for k, x, y in (s.split(":") for s in written.split(",") if s)), key=lambda s: s[1:]):
+            if a >= at:  # a span that overlaps the one before goes with it
+                put = f"[{kind.upper()}]" if kind != "term" else "" if told[text[a:b].lower()] else "[TERM]"
+                parts += [text[at:a], put]
+            at = max(at, b)
+        out.append(text if text is None else "".join(parts) + text[at:])
+    return out
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_terms_equal_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(pii, "FEW", few)
+    r = random.Random(11)
+    names = ["".join(r.choice("abcdeéß") for _ in range(r.randint(1, 5))) for _ in range(700)]
+    texts = [None, "", "Xy " * 500]
+    for i in range(260):
+        host = i % 9
+        value = r.choice([f"{r.choice(names[:30])}@host{host}.example", f"10.{host}.1.{r.randrange(200)}", f"+49 30 555 {r.randrange(1000, 9999)}"]) if i % 4 == 0 else ""
+        hint = f" Hint{host}" if value and r.random() < 0.8 else f" HINT{r.randrange(9)}" if r.random() < 0.03 else ""
+        texts.append(" ".join(r.choice(names) for _ in range(r.randint(3, 30))) + hint + " " + value + " " + " ".join(r.choice(names) for _ in range(5)))
+    texts += texts[3:12] + [texts[3] + " more", texts[3] + " other"]
+    wanted, told = brute_terms(texts)
+    found = {x["doc_id"]: x["spans"] for x in pii.digest_documents(spark, frame(spark, texts)).collect()}
+    assert [found[i] for i in range(len(texts))] == wanted
+    assert set(told.values()) == {True, False} and "term" in "".join(wanted)
+    clean = {x["doc_id"]: x["text"] for x in pii.sanitise(spark, frame(spark, texts)).collect()}
+    assert [clean[i] for i in range(len(texts))] == brute_sanitised(texts)
+
+
 def test_terms_that_reveal_are_removed(spark):
     texts = [f"filler{i % 7} words here. Ask Quentinius{'' if i < 5 else 'x'} at q@who.example today number {i}" if i < 5 else f"plain filler{i % 7} words here today number {i}" for i in range(60)]
     docs = frame(spark, texts)
@@ -211,7 +291,7 @@ def test_vectors(spark, rows_per_part):
     x[10:40] = x[9]
     rows = [(i, [float(v) for v in x[i]]) for i in range(300)] + [(400, None), (450, [1.0, None, *[0.0] * 6]), (500, [float("nan")] * 8), (None, [0.0] * 8)]
     docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    found = vector_index.top_k(spark, docs, F.col("vec_id") % 50 == 0, pivots=6, queries_per_block=2, rows_per_part=rows_per_part)
+    found = vector_index.top_k(spark, docs, F.col("vec_id") % 50 == 0, pivots=6, rows_per_part=rows_per_part)
     q = np.floor(256 * x.astype(np.float64)).astype(np.int64)
     wanted = set()
     for i in range(0, 300, 50):
@@ -222,6 +302,30 @@ def test_vectors(spark, rows_per_part):
     assert vector_index.top_k(spark, docs.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_vectors_of_different_lengths_and_repeated_ids(spark):
+    rows = [(0, [1.0, 2.0], "x"), (50, [], "x"), (1, [3.0], "x"), (2, [1.0, 1.0, 5.0], "x"), (2, [0.5], "x"), (0, [2.0], "x"), (0, [2.0], "x")]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>, part string")
+    found = {tuple(r) for r in vector_index.top_k(spark, docs, F.col("vec_id") % 50 == 0, pivots=2, rows_per_part=2).collect()}
+    one = 256 * 256
+    zero = [(50, 1, 0, 0), (50, 2, 0, 0), (50, 3, 0, 0), (50, 4, 1, 0), (50, 5, 2, 0)]
+    assert found == {(0, 1, 1, 3 * one), (0, 2, 2, 3 * one), (0, 3, 2, one // 2), (0, 4, 50, 0), *zero}
+
+
+def test_clustered_vectors_are_pruned_before_the_shuffle(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    x = np.concatenate([r.normal(size=(60, 6)) * 0.05 + centre for centre in 9 * np.eye(6)])
+    docs = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    kept = {}
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, frame, name: kept.setdefault(name, keep(self, frame, name)))
+    found = vector_index.top_k(spark, docs, F.col("vec_id") % 10 == 0, pivots=6, rows_per_part=30)
+    q = np.floor(256 * x.astype(np.float32).astype(np.float64)).astype(np.int64)
+    wanted = {(i, int((q[i] @ q.T)[[j for j in range(len(q)) if j != i]].max())) for i in range(0, len(q), 10)}
+    assert {(row["query_id"], row["score"]) for row in found.where("rank = 1").collect()} == wanted
+    parts = kept["index"].select("part").distinct().count()
+    assert kept["pairs"].count() < 0.7 * parts * (parts - 1)
+
+
 def test_pipeline_stages_agree_with_brute_force(spark, tmp_path):
     texts = [t for t in corpus(7, 40)] + ["12345 ?!", "write to me@home.example now please my friend"]
     frame(spark, texts).drop("key", "row").write.parquet(str(tmp_path / "documents.parquet"))
@@ -240,11 +344,28 @@ def test_pipeline_stages_agree_with_brute_force(spark, tmp_path):
             assert set(ids) == {order[k] for k, (c, _) in classes.items() if c == k}
         if name == "suffix_dedup":
             order = sorted(old)
-            assert [ids[i] for i in order] == [k.decode("utf-8", "ignore") for k in brute_kept([old[i] for i in order], 400)]
+            assert corpus_pipeline.PASSAGE <= 250
+            assert [ids[i] for i in order] == [k.decode("utf-8", "ignore") for k in brute_kept([old[i] for i in order], corpus_pipeline.PASSAGE)]
         if name == "pii":
-            assert any("[EMAIL]" in t for t in ids.values())
+            order = sorted(old)
+            assert [ids[i] for i in order] == brute_sanitised([old[i] for i in order]) and any("[EMAIL]" in t for t in ids.values())
         before = after
-    assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.max("length")).first()[0] <= 1024
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    sequences = collections.defaultdict(list)
+    for doc_id, text in ids.items():
+        wanted = [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        own = sorted((r for r in pieces if r["doc_id"] == doc_id), key=lambda r: r["piece"])
+        assert [r["piece"] for r in own] == list(range(len(own))) and sum(r["length"] for r in own) == len(wanted)
+        for r in own:
+            part = np.array(wanted[r["start"] : r["start"] + r["length"]], "<u4")
+            assert len(part) == r["length"] and zlib.crc32(part.tobytes()) == r["ids_crc32"]
+            sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert {r["doc_id"] for r in pieces} == set(ids)
+    for placed in sequences.values():
+        placed.sort()
+        assert [a for a, _ in placed] == [0, *itertools.accumulate(n for _, n in placed)][:-1] and sum(n for _, n in placed) <= 1024
+    assert len(sequences) <= packing.lower_bound(np.array([r["length"] for r in pieces]), 1024) + 1
 
 
 def test_every_operator_has_one_query():
