@@ -56,30 +56,42 @@ def evaluate(scored: DataFrame, k: float = 0.2) -> DataFrame:
     return ranking_metrics(scored, "churn_score", "churn", "customer_id", k).crossJoin(curve_metrics(scored, "churn_score", "churn"))
 
 
-def global_importance(model: PipelineModel, features: Sequence[str] = MODEL_FEATURES, top: int = 15) -> list[tuple[str, float]]:
-    """Features by the gain of their splits; a stand-in for mean absolute attributions."""
+def gains(model: PipelineModel, features: Sequence[str] = MODEL_FEATURES, top: int = 15) -> list[tuple[str, float]]:
+    """Features by the gain of their splits."""
     values = model.stages[-1].featureImportances.toArray()
     return sorted(zip(features, values.tolist(), strict=True), key=lambda x: -x[1])[:top]
 
 
-def local_reasons(model: PipelineModel, frame: DataFrame, customers: int = 25, reasons: int = 6, features: Sequence[str] = MODEL_FEATURES) -> DataFrame:
-    """For the rows of highest score: what putting each feature at its training median would change in the log-odds, largest first.
+def contributions(model: PipelineModel, frame: DataFrame, features: Sequence[str] = MODEL_FEATURES) -> DataFrame:
+    """For each row and feature: what putting the feature at its training median would take from the row's log-odds.
 
-    All variants of all rows are scored in one pass.
+    All variants of a row are scored in one pass. These parts tell each feature alone and need not add up to the score.
     """
     medians = dict(zip(features, model.stages[0].surrogateDF.first(), strict=True))
-    top = score(model, frame, features).orderBy(F.desc("churn_score"), "customer_id", "snapshot_date").limit(customers)
-    rows = frame.join(F.broadcast(top.select("customer_id", "snapshot_date")), ["customer_id", "snapshot_date"]).select("customer_id", "snapshot_date", "churn", *[F.col(c).cast("double").alias(c) for c in features])
-    variant = F.explode(F.array(F.lit("").alias("v"), *[F.lit(c) for c in features]))
-    spread = rows.withColumn("variant", variant)
-    changed = spread.select("customer_id", "snapshot_date", "churn", "variant", *[F.when(F.col("variant") == c, medians[c]).otherwise(F.col(c)).alias(c) for c in features], F.map_from_arrays(F.array(*[F.lit(c) for c in features]), F.array(*features)).alias("values"))
+    rows = frame.select("customer_id", "snapshot_date", "churn", *[F.col(c).cast("double").alias(c) for c in features])
+    spread = rows.withColumn("variant", F.explode(F.array(F.lit("").alias("v"), *[F.lit(c) for c in features])))
+    values = F.map_from_arrays(F.array(*[F.lit(c) for c in features]), F.array(*features)).alias("values")
+    changed = spread.select("customer_id", "snapshot_date", "churn", "variant", *[F.when(F.col("variant") == c, medians[c]).otherwise(F.col(c)).alias(c) for c in features], values)
     p = vector_to_array("probability")[1]
     odds = model.transform(changed).select("customer_id", "snapshot_date", "variant", "values", F.log(p / (1 - p)).alias("odds"))
-    whole = odds.where("variant = ''").select("customer_id", "snapshot_date", F.col("odds").alias("base"))
-    each = odds.where("variant <> ''").join(whole, ["customer_id", "snapshot_date"]).withColumn("contribution", F.col("base") - F.col("odds"))
-    place = F.row_number().over(Window.partitionBy("customer_id", "snapshot_date").orderBy(F.desc(F.abs("contribution")), "variant"))
-    ranked = each.withColumn("feature_rank", place).where(F.col("feature_rank") <= reasons)
-    return ranked.select("customer_id", "snapshot_date", "feature_rank", F.col("variant").alias("feature"), F.col("values")[F.col("variant")].alias("feature_value"), "contribution")
+    whole = F.max(F.when(F.col("variant") == "", F.col("odds"))).over(Window.partitionBy("customer_id", "snapshot_date"))  # a row for each feature and one more
+    each = odds.withColumn("contribution", whole - F.col("odds")).where("variant <> ''")
+    return each.select("customer_id", "snapshot_date", F.col("variant").alias("feature"), F.col("values")[F.col("variant")].alias("feature_value"), "contribution")
+
+
+def global_importance(model: PipelineModel, frame: DataFrame, features: Sequence[str] = MODEL_FEATURES, top: int = 15) -> DataFrame:
+    """feature, importance: the mean absolute contribution over all rows of a frame, largest first."""
+    means = contributions(model, frame, features).groupBy("feature").agg(F.round(F.avg(F.abs("contribution")), 6).alias("importance"))
+    return means.orderBy(F.desc("importance"), "feature").limit(top)
+
+
+def local_reasons(model: PipelineModel, frame: DataFrame, customers: int = 25, reasons: int = 6, features: Sequence[str] = MODEL_FEATURES) -> DataFrame:
+    """The largest contributions for the rows of highest score: customer_id, snapshot_date, feature_rank, feature, feature_value, contribution."""
+    top = score(model, frame, features).orderBy(F.desc("churn_score"), "customer_id", "snapshot_date").limit(customers)
+    rows = frame.join(F.broadcast(top.select("customer_id", "snapshot_date")), ["customer_id", "snapshot_date"])  # `customers` rows
+    place = F.row_number().over(Window.partitionBy("customer_id", "snapshot_date").orderBy(F.desc(F.abs("contribution")), "feature"))
+    ranked = contributions(model, rows, features).withColumn("feature_rank", place).where(F.col("feature_rank") <= reasons)
+    return ranked.select("customer_id", "snapshot_date", "feature_rank", "feature", "feature_value", "contribution")
 
 
 def churn_rates(snapshots: DataFrame) -> DataFrame:

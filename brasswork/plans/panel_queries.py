@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brasswork.functions import metrics as M
@@ -19,6 +20,7 @@ from brasswork.operators import segmentation as S
 from brasswork.operators import windows as W
 from brasswork.plans.registry import register
 from brasswork.plans.rollup_queries import PANEL, WITH
+from brasswork.session import cut
 from brasswork.sources.star import END_MONDAY, FIRST_MONDAY, panel, sales, table
 
 DATES = month_ends("2000-08-01", "2001-04-30")
@@ -263,20 +265,32 @@ SELECT cluster, customers, recency, visits, CASE WHEN row_number() OVER w = 1 TH
 register("kmeans_segments", lambda s, d: S.profiles(S.fit_clusters(_active(s, d), k=6), "cluster", ["recency_days", "frequency", "monetary"]))
 
 
-def _churn_scores(s, d):
-    train, test = C.temporal_split(snapshots(s, d))
-    train, test = train.persist(), test.persist()  # every tree reads the one; freed when the fit and the scores are there
+def _with_model(s, d, use):
+    """What is made of a model of the first snapshots and the rows of the others, written before these are freed."""
+    train, test = C.temporal_split(cut(snapshots(s, d)))
+    train = train.persist()  # every tree reads it
     try:
-        found = C.evaluate(C.score(C.fit_model(train, test=test), test)).toArrow()  # one row
+        return cut(use(C.fit_model(train, test=test), test))
     finally:
         train.unpersist()
-        test.unpersist()
-    return s.createDataFrame(found)
+
+
+def _churn_scores(s, d):
+    return _with_model(s, d, lambda model, test: C.evaluate(C.score(model, test)))
 
 
 register("churn_model", _churn_scores)
 
 
+def _explained(model, test):
+    """The mean absolute contributions over all rows (no customer), and the reasons of the customers of highest score."""
+    place = F.row_number().over(Window.orderBy(F.desc("importance"), "feature")).alias("feature_rank")  # a row for each feature
+    return C.local_reasons(model, test).unionByName(C.global_importance(model, test).select(place, "feature", F.col("importance").alias("contribution")), allowMissingColumns=True)
+
+
+register("churn_explanations", lambda s, d: _with_model(s, d, _explained))
+
+
 def _silhouettes(s, d):
     scores = S.silhouettes(_active(s, d))
     chosen = S.select_k(scores)

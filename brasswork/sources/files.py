@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,5 +69,7 @@ def write_table(frame: DataFrame, path: str) -> None:
     frame.write.mode("overwrite").parquet(path)
 
 
-def write_json(document: dict, path: str) -> None:
-    Path(path).write_text(json.dumps(document, indent=2) + "\n")
+def write_json(spark: SparkSession, document: dict, path: str) -> None:
+    """A small document as the one file of a folder, in any place that Spark writes to; read_json reads it back."""
+    text = json.dumps(document, indent=2)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
