@@ -131,6 +131,15 @@ def test_packets_over_pages():
     assert not damaged and [p.data for p in streams[9].packets] == data and streams[9].ended
 
 
+def test_media_features():
+    quiet, loud = bytes([128]) * 40_000, bytes([28, 228]) * 20_000
+    found = dict(x.split("=") for x in ogg.feature_of(ogg.read_samples(ogg.write_samples(quiet + loud))).split(";"))
+    levels = [float(x) for x in found["levels"].split("/")]
+    assert levels[0] < 1 and levels[3] == 100 and levels == sorted(levels)
+    assert (found["low"], found["high"]) == ("28", "228") and abs(float(found["level"]) - 100 / 2**0.5) < 0.01 and 39_999 <= int(found["turns"]) <= 40_001
+    assert int(found["streams"]) == 2 and float(found["seconds"]) > 0
+
+
 def test_media_query(odd_documents):
     rows = ogg.digest_documents(odd_documents).collect()
     assert len(rows) == odd_documents.count()
