@@ -32,6 +32,25 @@ def top_by_revenue(sales: DataFrame, key: str, n: int = 10) -> DataFrame:
     return sums.orderBy(F.desc("revenue"), key).limit(n)
 
 
+def summary(sales: DataFrame) -> DataFrame:
+    """One row: lines, first and last day, distinct transactions, customers, stores and products, units and revenue."""
+    n = lambda c: F.count_distinct(c)
+    return sales.agg(
+        F.count("*").alias("lines"), F.min("date").alias("first_day"), F.max("date").alias("last_day"), n("transaction_id").alias("transactions"), n("customer_id").alias("customers"),
+        n("store_id").alias("stores"), n("product_id").alias("products"), F.sum("quantity_sold").cast("long").alias("units"), total("sales_amount").alias("revenue"),
+    )
+
+
+def json_field(frame: DataFrame, column: str, schema: str) -> DataFrame:
+    """frame with the fields of a JSON text, read by a schema, in place of the text; a text that isn't JSON gives nulls."""
+    return frame.withColumn("parsed_", F.from_json(column, schema)).select(*[c for c in frame.columns if c != column], "parsed_.*")
+
+
+def as_json(frame: DataFrame, name: str = "json") -> DataFrame:
+    """Each row as one JSON text, nulls kept."""
+    return frame.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias(name))
+
+
 def movers(mix: DataFrame, n: int = 10) -> DataFrame:
     """The n values of a share table that moved most in either direction; ties go by value."""
     return mix.withColumn("moved", F.round(F.abs("shift"), 12)).orderBy(F.desc("moved"), "value").limit(n).drop("moved")

@@ -90,8 +90,9 @@ def _check(frame: DataFrame, columns: Sequence[str], rules: dict[str, Column], r
     return n
 
 
-def validate_sales(frame: DataFrame, rows: int | None = None, tolerance: float = 0.011) -> int:
-    """Raises ContractViolation for the first broken rule; gives the number of rows."""
+def validate_sales(frame: DataFrame, rows: int | None = None, tolerance: float = 0.011, sample: int | None = None) -> int:
+    """Raises ContractViolation for the first broken rule; gives the number of rows. With sample, some so many rows alone are checked."""
+    frame = frame if sample is None else frame.limit(sample)
     return _check(frame, SALES_COLUMNS, sales_rules(tolerance), rows)
 
 

@@ -40,5 +40,8 @@ register("weekday_balance", lambda s, d: Q.weekday_balance(table(s, d, "orders")
 register("correlations", lambda s, d: Q.correlation(table(s, d, "lineitem"), [("l_quantity", "l_extendedprice"), ("l_discount", "l_quantity")]), "SELECT unnest(['l_quantity', 'l_discount']) AS left, unnest(['l_extendedprice', 'l_quantity']) AS right, unnest([round(corr(l_quantity, l_extendedprice), 6), round(corr(l_discount, l_quantity), 6)]) AS r FROM lineitem")
 register("outliers", lambda s, d: Q.outlier_counts(table(s, d, "orders"), ["o_totalprice"]), "WITH q AS (SELECT quantile_cont(CAST(o_totalprice AS DOUBLE), 0.25) AS a, quantile_cont(CAST(o_totalprice AS DOUBLE), 0.75) AS b FROM orders), f AS (SELECT a - 1.5 * (b - a) AS low, b + 1.5 * (b - a) AS high FROM q) SELECT 'o_totalprice' AS column, round(low, 6) AS low, round(high, 6) AS high, count(*) FILTER (o_totalprice < low OR o_totalprice > high) AS outliers FROM orders, f GROUP BY ALL")
 register("orphan_orders", lambda s, d: Q.orphans(table(s, d, "events"), "user_id", table(s, d, "customer"), "c_custkey"), "SELECT count(*) AS rows, count(DISTINCT user_id) AS keys FROM events WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT c_custkey FROM customer)")
+register("summary", lambda s, d: E.summary(sales(s, d)), f"{WITH} SELECT count(*) AS lines, min(date) AS first_day, max(date) AS last_day, count(DISTINCT transaction_id) AS transactions, count(DISTINCT customer_id) AS customers, count(DISTINCT store_id) AS stores, count(DISTINCT product_id) AS products, CAST(sum(quantity_sold) AS BIGINT) AS units, CAST(sum(sales_amount) AS DOUBLE) AS revenue FROM sales")
+register("event_properties", lambda s, d: E.json_field(table(s, d, "events"), "props", "k long").groupBy("event_type").agg(F.sum("k").alias("total"), F.count("k").alias("n")), "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, count(json_extract_string(props, '$.k')) AS n FROM events GROUP BY 1")
+register("regions_as_json", lambda s, d: E.as_json(table(s, d, "region").select("r_regionkey", "r_name")), "SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS json FROM region")
 register("bound_filter", lambda s, d: L.filtered(table(s, d, "orders"), "o_orderstatus = :status AND o_totalprice >= :least", {"status": "F", "least": 1000.0}).groupBy("o_orderpriority").agg(F.count("*").alias("n")), "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 1000 GROUP BY 1")
 register("rank_by_spend", lambda s, d: W.global_rank(sales(s, d).groupBy("customer_id").agg(F.sum("sales_amount").cast("double").alias("spend")), "spend", "customer_id", "rank"), f"{WITH}, g AS (SELECT customer_id, CAST(sum(sales_amount) AS DOUBLE) AS spend FROM sales GROUP BY 1) SELECT *, row_number() OVER (ORDER BY spend, customer_id) AS rank FROM g")

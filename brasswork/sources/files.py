@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brasswork.operators.quality import PANEL_COLUMNS, SALES_COLUMNS, validate_panel, validate_sales
+from brasswork.operators.quality import PANEL_COLUMNS, SALES_COLUMNS, contract_report, duplicates, facts_differences, panel_rules, sales_rules, validate_panel, validate_sales
+from brasswork.operators.rollup import facts
 
+#: The contract's columns that aren't texts, by type.
 _KINDS = {
     T.DateType(): {"date", "week_start_date"},
     T.IntegerType(): {"quantity_sold", "inventory_level", "is_promotion", "is_weekend", "is_holiday", "week_of_year", "year", "units_sold", "is_promo_week", "stockout_count", "on_hand_end"},
@@ -43,6 +45,21 @@ def load_panel(spark: SparkSession, path: str, rows: int | None = None) -> DataF
     return frame
 
 
+def ingest(spark: SparkSession, sales_path: str, panel_path: str, counts: tuple[int, int] | None = None, expected: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame, dict]:
+    """Both files, and a report of what their contracts find: counts are the rows that they should have, expected the facts.
+
+    Nothing is raised for breaches; the report's `valid` tells whether everything holds.
+    """
+    sales, panel = read_csv(spark, sales_path, SALES_SCHEMA), read_csv(spark, panel_path, PANEL_SCHEMA)
+    found = {"sales": contract_report(sales, SALES_COLUMNS, sales_rules()), "panel": contract_report(panel, PANEL_COLUMNS, panel_rules())}
+    found["panel"]["repeated"] = duplicates(panel, ["store_id", "product_id", "week_start_date"]).first()["extra_rows"]
+    lines = sales.withColumns({"discount_value": F.col("quantity_sold") * F.col("discount"), "sku_id": F.col("product_id")})
+    found["differences"] = facts_differences(facts(lines), expected) if expected else []
+    short = [name for name, rows in zip(("sales", "panel"), counts or (), strict=False) if found[name]["rows"] != rows]
+    found["valid"] = all(found[n]["valid"] for n in ("sales", "panel")) and not found["panel"]["repeated"] and not found["differences"] and not short
+    return sales, panel, found | {"wrong_counts": short}
+
+
 def ordered_sales(frame: DataFrame) -> DataFrame:
     return frame.orderBy("date", "transaction_id", "product_id")
 

@@ -128,5 +128,16 @@ def test_contract_columns_and_files(spark, tmp_path):
         Q.validate_sales(frame, rows=4)
     frame.na.fill("None", ["promotion"]).coalesce(1).write.csv(str(tmp_path / "sales"), header=True)
     assert files.load_sales(spark, str(tmp_path / "sales"), 3).where("promotion IS NULL").count() == 2
+    week = dict.fromkeys(Q.PANEL_COLUMNS, 1) | {"week_start_date": dt.date(2025, 1, 6), "store_id": "S1", "city": "c", "region": "r", "product_id": "P1", "product_category": "g"}
+    week |= {c: 1.0 for c in ("revenue", "avg_unit_price", "avg_discount_pct")}
+    panel = spark.createDataFrame([tuple(week[c] for c in Q.PANEL_COLUMNS)], files.PANEL_SCHEMA)
+    panel.coalesce(1).write.csv(str(tmp_path / "panel"), header=True)
+    sales, _, found = files.ingest(spark, str(tmp_path / "sales"), str(tmp_path / "panel"), counts=(3, 2))
+    assert sales.count() == 3 and found["sales"]["breaches"] == {} and found["wrong_counts"] == ["panel"] and not found["valid"]
+    assert files.ingest(spark, str(tmp_path / "sales"), str(tmp_path / "panel"), (3, 1), {"lines": 3})[2]["valid"]
+    assert files.ingest(spark, str(tmp_path / "sales"), str(tmp_path / "panel"), expected={"lines": 4})[2]["differences"] == [("lines", 4, 3)]
+    assert Q.validate_sales(frame, sample=2) == 2
+    files.write_json(spark, {"a": [1, 2]}, str(tmp_path / "doc"))
+    assert files.read_json(spark, str(tmp_path / "doc")).first()["a"] == [1, 2]
     (tmp_path / "a.md").write_text("# One\n```\n# not\n```\ntext\n## Two ##\n")
     assert [(r["level"], r["title"]) for r in files.markdown_headings(spark, str(tmp_path / "a.md")).collect()] == [(1, "One"), (2, "Two")]
