@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from brasswork.llm import near_duplicates, packing, pii, queries, repeats, suffix_sort, vector_index
-from brasswork.llm.common import Scratch
+from brasswork.llm.common import Scratch, clear_scratch
 from brasswork.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, row string"
@@ -61,6 +61,21 @@ def test_components(spark):
     assert {r_["node"]: r_["label"] for r_ in found.collect()} == wanted
 
 
+def test_scratch_tables_go(spark):
+    own = len(Scratch.made)
+    scratch = Scratch(spark)
+    kept = scratch.keep(spark.range(3), "a")
+    scratch.keep(spark.range(2), "b")
+    scratch.drop("b")
+    with pytest.raises(Exception):
+        spark.read.parquet(f"{scratch.base}/b").count()
+    assert kept.count() == scratch.read("a", kept.schema).count() == 3
+    clear_scratch(own)
+    assert len(Scratch.made) == own
+    with pytest.raises(Exception):
+        spark.read.parquet(f"{scratch.base}/a").count()
+
+
 def brute_classes(texts, threshold=0.8):
     sets = [set(near_duplicates.shingles(t or "").tolist()) for t in texts]
     label, links = list(range(len(texts))), collections.Counter()
