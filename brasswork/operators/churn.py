@@ -16,6 +16,7 @@ from brasswork.functions.numbers import ratio
 
 MODEL_FEATURES = ("recency_days", "frequency", "monetary", "units_per_line", "categories", "promo_share", "mean_discount_pct", "online_share", "tenure_days", "avg_basket_value")
 TRAIN_SNAPSHOTS = 6
+ROWS_PER_TASK = 50_000
 
 
 def temporal_split(snapshots: DataFrame, train_dates: int = TRAIN_SNAPSHOTS) -> tuple[DataFrame, DataFrame]:
@@ -38,6 +39,8 @@ def fit_model(train: DataFrame, features: Sequence[str] = MODEL_FEATURES, trees:
     counts = train.agg(F.sum("churn").alias("p"), F.count("*").alias("n")).first()
     weight = (counts["n"] - counts["p"]) / max(1, counts["p"])
     rows = train.select(*[F.col(c).cast("double").alias(c) for c in features], F.col("churn").cast("double").alias("label"), F.when(F.col("churn") == 1, weight).otherwise(1.0).alias("weight"))
+    # every tree starts a few jobs, whose tasks should be worth their start
+    rows = rows.coalesce(max(1, -(-counts["n"] // ROWS_PER_TASK)))
     filled = [f"{c}_filled" for c in features]
     stages = [
         Imputer(strategy="median", inputCols=list(features), outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features"),

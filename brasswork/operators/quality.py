@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brasswork.functions.dates import strict_date, weekday_name
 from brasswork.functions.numbers import count_if, price_band, ratio
+from brasswork.operators.ranges import quantiles
 
 #: The columns of the two contracts, in their order.
 SALES_COLUMNS = (
@@ -174,6 +175,21 @@ def weekday_balance(frame: DataFrame, day: str) -> DataFrame:
     return counted.crossJoin(F.broadcast(whole)).select("weekday", "rows", F.round(F.col("rows") / F.col("all_"), 8).alias("share"), F.round((F.col("rows") - even) * (F.col("rows") - even) / even, 6).alias("chi"))
 
 
+def weekend_uplift(sales: DataFrame, day: str = "date", value: str = "sales_amount") -> DataFrame:
+    """weekend_mean, weekday_mean, uplift: mean daily sums on Saturdays and Sundays against other days."""
+    daily = sales.groupBy(F.col(day).alias("day")).agg(F.sum(value).cast("double").alias("x"))
+    weekend = F.weekday("day") >= 5
+    out = daily.agg(F.round(F.avg(F.when(weekend, F.col("x"))), 4).alias("weekend_mean"), F.round(F.avg(F.when(~weekend, F.col("x"))), 4).alias("weekday_mean"))
+    return out.withColumn("uplift", F.round(ratio(F.col("weekend_mean"), F.col("weekday_mean")), 6))
+
+
+def size_percentiles(frame: DataFrame, group: str, at: Sequence[float] = (0.1, 0.5, 0.9, 0.99)) -> DataFrame:
+    """quantile, size: of the number of rows by group, told from how often each size occurs."""
+    sizes = frame.groupBy(group).agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
+    found = quantiles(sizes.withColumn("all_", F.lit(1)), ["all_"], "size", "n", at)
+    return found.select(F.explode(F.arrays_zip(F.array(*[F.lit(float(q)) for q in at]).alias("quantile"), F.col("quantiles").alias("size"))).alias("s")).select("s.*").toDF("quantile", "size")
+
+
 def correlation(frame: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """left, right, r: Pearson correlations of pairs of columns in one pass; null where a column doesn't vary."""
     cells = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.round(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), 6).alias("r")).alias(f"{a}_{b}") for a, b in pairs]

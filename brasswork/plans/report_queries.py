@@ -37,6 +37,8 @@ _RULES = {
 }
 register("sales_rule_breaches", lambda s, d: Q.breaches(with_calendar(sales(s, d)), {k: v for k, v in Q.sales_rules().items() if k in _RULES}), f"{WITH} SELECT " + ", ".join(f"count(*) FILTER ({sql}) AS {name}" for name, sql in _RULES.items()) + " FROM sales")
 register("weekday_balance", lambda s, d: Q.weekday_balance(table(s, d, "orders"), "o_orderdate"), "WITH g AS (SELECT dayname(o_orderdate) AS weekday, count(*) AS rows FROM orders GROUP BY 1), t AS (SELECT sum(rows) AS n FROM g) SELECT weekday, rows, round(CAST(rows AS DOUBLE) / n, 8) AS share, round((rows - n / 7.0::DOUBLE) * (rows - n / 7.0::DOUBLE) / (n / 7.0::DOUBLE), 6) AS chi FROM g, t")
+register("weekend_uplift", lambda s, d: Q.weekend_uplift(sales(s, d)), f"{WITH}, g AS (SELECT date, CAST(sum(sales_amount) AS DOUBLE) AS x FROM sales GROUP BY 1), m AS (SELECT round(avg(x) FILTER (isodow(date) >= 6), 4) AS weekend_mean, round(avg(x) FILTER (isodow(date) < 6), 4) AS weekday_mean FROM g) SELECT *, round(weekend_mean / nullif(weekday_mean, 0), 6) AS uplift FROM m")
+register("basket_percentiles", lambda s, d: Q.size_percentiles(sales(s, d), "transaction_id"), f"{WITH}, g AS (SELECT count(*) AS n FROM sales GROUP BY transaction_id) SELECT unnest([0.1, 0.5, 0.9, 0.99])::DOUBLE AS quantile, unnest((SELECT quantile_cont(CAST(n AS DOUBLE), [0.1, 0.5, 0.9, 0.99]) FROM g)) AS size")
 register("correlations", lambda s, d: Q.correlation(table(s, d, "lineitem"), [("l_quantity", "l_extendedprice"), ("l_discount", "l_quantity")]), "SELECT unnest(['l_quantity', 'l_discount']) AS left, unnest(['l_extendedprice', 'l_quantity']) AS right, unnest([round(corr(l_quantity, l_extendedprice), 6), round(corr(l_discount, l_quantity), 6)]) AS r FROM lineitem")
 register("outliers", lambda s, d: Q.outlier_counts(table(s, d, "orders"), ["o_totalprice"]), "WITH q AS (SELECT quantile_cont(CAST(o_totalprice AS DOUBLE), 0.25) AS a, quantile_cont(CAST(o_totalprice AS DOUBLE), 0.75) AS b FROM orders), f AS (SELECT a - 1.5 * (b - a) AS low, b + 1.5 * (b - a) AS high FROM q) SELECT 'o_totalprice' AS column, round(low, 6) AS low, round(high, 6) AS high, count(*) FILTER (o_totalprice < low OR o_totalprice > high) AS outliers FROM orders, f GROUP BY ALL")
 register("orphan_orders", lambda s, d: Q.orphans(table(s, d, "events"), "user_id", table(s, d, "customer"), "c_custkey"), "SELECT count(*) AS rows, count(DISTINCT user_id) AS keys FROM events WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT c_custkey FROM customer)")
