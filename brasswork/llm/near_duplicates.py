@@ -41,7 +41,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 class _WordCodes(dict):
     """64-bit hashes of words, for the first limit words kept."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 

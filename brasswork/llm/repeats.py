@@ -36,7 +36,7 @@ BIN = 25  # starts of a bin
 PART_BINS = 1024  # bins of one core sorted at once
 TASK_BINS = 8192  # bins sorted by a task
 HASH_ROWS = 500_000  # strings compared across parts by a task
-_SLICE = 1 << 20  # bytes hashed at a time
+_SLICE = 1 << 19  # bytes hashed at a time, and bytes of bins handed on at a time
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 22) - 1)
@@ -145,21 +145,29 @@ def _spans(keyed: DataFrame, length: int) -> DataFrame:
 def _bins(joined: DataFrame, length: int) -> DataFrame:
     """Bins of the spans listed beside each text, with the bytes of their strings."""
 
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["key", "low", "high", "core", "whole", "content"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
-            out: list[tuple] = []
-            for key, text, spans in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        out, size = [], 0
+        for batch in slices(batches, 8):
+            for key, text, spans in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("spans"), strict=True):
                 data = text.encode()
-                for span in spans:
-                    first, last, anchor = span["first"], span["last"], span["anchor"]
+                for first, last, anchor in zip(*(spans.values.field(c).to_numpy().tolist() for c in ("first", "last", "anchor")), strict=True):
                     for b in range((anchor - last) // BIN, (anchor - first) // BIN + 1):
                         low, high = max(first, anchor - BIN * b - BIN + 1), min(last, anchor - BIN * b)
                         core = data[anchor - BIN * b : anchor - BIN * b - BIN + 1 + length]
                         content = data[low : high + length]
                         whole = xxhash.xxh3_128_digest(content + bytes((anchor - BIN * b - high,)))
                         out.append((key, low, high, xxhash.xxh3_64_intdigest(core, seed=b) - 2**63, whole, content))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.record_batch([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["key", "low", "high", "core", "whole", "content"])
+                        size += len(content) + 200
+                    if size >= _SLICE:
+                        yield packed(out)
+                        out, size = [], 0
+        if out:
+            yield packed(out)
 
     return joined.mapInArrow(run, "key long, low long, high long, core long, whole binary, content binary")
 
@@ -296,14 +304,18 @@ def repeated_intervals(spark: SparkSession, documents: DataFrame, length: int =
     return found
 
 
-def merged(intervals: list[dict] | None) -> list[tuple[int, int]]:
-    found: list[list[int]] = []
-    for start, end in sorted((i["start"], i["end"]) for i in intervals or ()):
-        if found and start <= found[-1][1]:
-            found[-1][1] = max(found[-1][1], end)
-        else:
-            found.append([start, end])
-    return [(a, b) for a, b in found]
+def merged(intervals: list[dict] | pa.StructArray | None) -> list[tuple[int, int]]:
+    """Intervals in order, those that touch or overlap as one."""
+    if intervals is None or not len(intervals):
+        return []
+    if isinstance(intervals, pa.Array):
+        starts, ends = (intervals.field(c).to_numpy() for c in ("start", "end"))
+    else:
+        starts, ends = (np.array([i[c] for i in intervals], np.int64) for c in ("start", "end"))
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    new = np.append(True, starts[1:] > ends[:-1])
+    return list(zip(starts[new].tolist(), ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)].tolist(), strict=True))
 
 
 def kept_bytes(data: bytes, removed: list[tuple[int, int]]) -> bytes:
@@ -332,10 +344,10 @@ def digest_documents(spark: SparkSession, documents: DataFrame, length: int = 40
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 64):
             rows = []
-            for doc_id, text, intervals in zip(*(batch.column(c).to_pylist() for c in ("c0", "c1", "intervals")), strict=True):
-                data, removed = (text or "").encode(), merged(intervals)
+            for doc_id, text, intervals in zip(batch.column("c0").to_pylist(), batch.column("c1").to_pylist(), batch.column("intervals"), strict=True):
+                data, removed = (text or "").encode(), merged(intervals.values)
                 kept = kept_bytes(data, removed)
                 rows.append((doc_id, len(data), sum(b - a for a, b in removed), len(removed), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -354,10 +366,10 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, length: int = 400)
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 64):
             texts = []
-            for text, intervals in zip(batch.column(f"c{at}").to_pylist(), batch.column("intervals").to_pylist(), strict=True):
-                removed = merged(intervals)
+            for text, intervals in zip(batch.column(f"c{at}").to_pylist(), batch.column("intervals"), strict=True):
+                removed = merged(intervals.values)
                 texts.append(kept_bytes(text.encode(), removed).decode("utf-8", "ignore") if removed else text)
             columns = [batch.column(f"c{i}") for i in range(len(names))]
             columns[at] = pa.array(texts, pa.string())
