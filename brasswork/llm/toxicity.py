@@ -172,11 +172,12 @@ class Model:
 
 
 def features(weights: list[float]) -> list[float]:
-    """Of a text's clause weights: the greatest, their sum and their number. Each grows with the clauses."""
-    return [max(weights, default=0.0), float(np.log1p(sum(weights))), float(np.log1p(len(weights)))]
+    """Of a text's clause weights: the greatest, their sum, and their number, in which a weak clause counts for less than one. Each grows with every weight."""
+    return [max(weights, default=0.0), float(np.log1p(sum(weights))), float(np.log1p(sum(w / (w + 1) for w in weights)))]
 
 
 STEM_LENGTHS = (4, 5, 6)
+FOLDS = 5  # of the sample: each is weighed by the lexicon of the others
 
 
 def sketch(text: str, size: int = 8) -> list[int]:
@@ -228,18 +229,18 @@ def learn_lexicon(texts: list[tuple[set[str], int]], least: int = 6, ratio: floa
     return lexicon
 
 
-def _clause_features(keyed: DataFrame, halves: list[Model], folds: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray]:
+def _clause_features(keyed: DataFrame, models: list[Model], folds: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray]:
     """Features of whole texts, as in scoring, by the model of the fold that a text isn't in, and labels; one row for each entry of folds."""
-    shared = keyed.sparkSession.sparkContext.broadcast((halves, folds))  # of a bounded sample
+    shared = keyed.sparkSession.sparkContext.broadcast((models, folds))  # of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        halves, folds = shared.value
+        models, folds = shared.value
         for batch in slices(batches):
             rows = []
             for key, text, label in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "label")), strict=True):
                 fold = folds.get((key, label))
                 if fold is not None:
-                    rows.append((key, label, features([w for w, _, _ in halves[fold].clauses(text)])))
+                    rows.append((key, label, features([w for w, _, _ in models[fold].clauses(text)])))
             yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.list_(pa.float64())))], names=["key", "label", "features"])
 
     found = keyed.mapInArrow(run, "key long, label int, features array<double>").toArrow()
@@ -249,7 +250,7 @@ def _clause_features(keyed: DataFrame, halves: list[Model], folds: dict[tuple[in
 
 
 def fit_sample(sample: DataFrame) -> Model:
-    """From rows of text and label. Each half of the distinct texts gives the lexicon by which the clauses of the other half are weighed; then the lexicon is learned from all.
+    """From rows of text and label. Each of FOLDS parts of the distinct texts is weighed by the clauses that the lexicon of the others finds; then the lexicon is learned from all.
 
     Coefficients of clause features aren't negative, so that a clause can only add to a score and what the grammar takes
     from a denied or quoted one always lowers it. Learned entries are read as insults. Without two classes a fixed model is used.
@@ -269,8 +270,8 @@ def fit_sample(sample: DataFrame) -> Model:
     texts = [(words, label) for words, label, _ in kept]
     if len({label for _, label in texts}) < 2:
         return Model(learn_lexicon(texts), np.array([0.4, 0.4, 0.4, -2.0]))
-    halves = [Model(learn_lexicon(texts[1 - fold :: 2]), np.zeros(4)) for fold in (0, 1)]
-    found, labels = _clause_features(keyed, halves, {(key, label): i % 2 for i, (_, label, key) in enumerate(kept)})
+    models = [Model(learn_lexicon([x for i, x in enumerate(texts) if i % FOLDS != fold]), np.zeros(4)) for fold in range(FOLDS)]
+    found, labels = _clause_features(keyed, models, {(key, label): i % FOLDS for i, (_, label, key) in enumerate(kept)})
     return Model(learn_lexicon(texts), fit_logistic(found, labels, positive=True))
 
 

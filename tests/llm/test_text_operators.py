@@ -181,7 +181,7 @@ def test_toxicity_is_fitted_to_clauses(spark, monkeypatch):
     rows += [(" They said not idiot. ".join(words(r, [f"v{i}x{k}" for k in range(90)], 15) for _ in range(3)), 0) for i in range(40)]
     toxicity.fit_sample(spark.createDataFrame(rows + rows[:3], "text string, label int"))
     (x, y), = seen
-    assert len(x) == 80 and np.allclose(x[y == 1, 2], np.log1p(5)) and np.allclose(x[y == 0, 2], np.log1p(2))
+    assert len(x) == 80 and x[y == 1, 2].min() > x[y == 0, 2].max() and np.ptp(x[y == 0, 2]) < 0.5
     assert x[y == 0, 0].max() < x[y == 1, 0].min()
 
 
@@ -204,7 +204,7 @@ def brute_score(model, text):
             total += weight if symbol in (*kinds, toxicity.DENIED, toxicity.QUOTED) else 0.0
         if total:
             weights.append(total)
-    x = [max(weights, default=0.0), np.log1p(sum(weights)), np.log1p(len(weights))]
+    x = [max(weights, default=0.0), np.log1p(sum(weights)), np.log1p(sum(w / (w + 1) for w in weights))]
     return 1 / (1 + np.exp(-(model.coefficients[:-1] @ x + model.coefficients[-1])))
 
 
