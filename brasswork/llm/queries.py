@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brasswork.llm import byte_bpe, filter_audit, language_id, near_duplicates, ogg, packing, periodic_runs, pii, quality, repeats, toxicity, vector_index
+from brasswork.llm import byte_bpe, filter_audit, language_id, lsh_forest, near_duplicates, ogg, packing, periodic_runs, pii, quality, repeats, toxicity, vector_index
 from brasswork.llm.common import held_out, labelled_sample, read_table
 
 
@@ -67,6 +67,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op13_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_components(spark, read_table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = """
 WITH v AS (
   SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -83,7 +87,7 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_pii, op3_ogg, op4_byte_bpe, op5_jaccard_join, op6_packing, op7_language_id, op8_suffix_dedup, op9_quality, op10_top_k, op11_periodic_runs, op12_filter_audit)
+    found = (op1_toxicity, op2_pii, op3_ogg, op4_byte_bpe, op5_jaccard_join, op6_packing, op7_language_id, op8_suffix_dedup, op9_quality, op10_top_k, op11_periodic_runs, op12_filter_audit, op13_minhash_forest)
     return {f.__name__: f for f in found}
 
 
