@@ -60,12 +60,13 @@ def forecast_bundle(pairs: DataFrame, scales: DataFrame, keys: tuple[str, ...] =
 def ranking_metrics(scored: DataFrame, score: str, label: str, tie: str, k: float = 0.2) -> DataFrame:
     """One row: rows, positives, n_top, precision, recall and lift among the rows of highest score.
 
-    n_top is max(1, half-even round of k times rows), so its rows are found by a sort with limit, and ties by `tie`.
+    n_top is max(1, half-even round of k times rows), ties go by `tie`, null scores come last. As n_top grows with the
+    rows, they are ranked in two levels.
     """
-    n = scored.count()
-    top = scored.orderBy(F.desc(score), F.asc(tie)).limit(max(1, round(k * n))).agg(F.count("*").alias("n_top"), F.sum(label).alias("hits"))
-    whole = scored.agg(F.count("*").alias("n"), F.sum(label).alias("positives"))
-    out = whole.crossJoin(F.broadcast(top))
+    rows = cut(scored.select(F.col(score).cast("double").alias("score"), F.col(label).alias("label"), F.col(tie).alias("tie")))
+    ranked, totals = running(rows, [F.col("score").isNull(), -F.col("score"), F.col("tie")])
+    inside = F.col("rank") <= max(1, round(k * totals["rank"]))
+    out = ranked.agg(F.count("*").alias("n"), F.sum("label").alias("positives"), F.count(F.when(inside, 1)).alias("n_top"), F.sum(F.when(inside, F.col("label"))).alias("hits"))
     precision = ratio(F.col("hits").cast("double"), F.col("n_top"))
     base = ratio(F.col("positives").cast("double"), F.col("n"))
     return out.select("n", F.col("positives").cast("long").alias("positives"), "n_top", precision.alias("precision_at_k"), ratio(F.col("hits").cast("double"), F.col("positives")).alias("recall_at_k"), ratio(precision, base).alias("lift_at_k"))

@@ -8,11 +8,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brasswork.functions.metrics import curve_metrics, ranking_metrics
 from brasswork.functions.numbers import ratio
+from brasswork.operators.ranges import top_rows
+from brasswork.operators.trees import TreeEnsemble, attributed, ensemble_of, importance, reasons, scored
 
 MODEL_FEATURES = ("recency_days", "frequency", "monetary", "units_per_line", "categories", "promo_share", "mean_discount_pct", "online_share", "tenure_days", "avg_basket_value")
 TRAIN_SNAPSHOTS = 6
@@ -55,53 +57,44 @@ def score(model: PipelineModel, frame: DataFrame, features: Sequence[str] = MODE
     return model.transform(rows).select("customer_id", "snapshot_date", "churn", vector_to_array("probability")[1].alias("churn_score"))
 
 
-def evaluate(scored: DataFrame, k: float = 0.2) -> DataFrame:
-    return ranking_metrics(scored, "churn_score", "churn", "customer_id", k).crossJoin(curve_metrics(scored, "churn_score", "churn"))
+def evaluate(scores: DataFrame, k: float = 0.2) -> DataFrame:
+    return ranking_metrics(scores, "churn_score", "churn", "customer_id", k).crossJoin(F.broadcast(curve_metrics(scores, "churn_score", "churn")))  # a row each
 
 
-def gains(model: PipelineModel, features: Sequence[str] = MODEL_FEATURES, top: int = 15) -> list[tuple[str, float]]:
-    """Features by the gain of their splits."""
-    values = model.stages[-1].featureImportances.toArray()
-    return sorted(zip(features, values.tolist(), strict=True), key=lambda x: -x[1])[:top]
+def flat(model: PipelineModel | TreeEnsemble) -> TreeEnsemble:
+    return model if isinstance(model, TreeEnsemble) else ensemble_of(model)
 
 
-def contributions(model: PipelineModel, frame: DataFrame, features: Sequence[str] = MODEL_FEATURES) -> DataFrame:
-    """For each row and feature: what putting the feature at its training median would take from the row's log-odds.
+def contributions(model: PipelineModel | TreeEnsemble, frame: DataFrame) -> DataFrame:
+    """A row for each row and feature: customer_id, snapshot_date, feature, feature_value, contribution, log_odds, expected.
 
-    All variants of a row are scored in one pass. These parts tell each feature alone and need not add up to the score.
+    Contributions are Shapley values of the trees in log-odds: those of a row and `expected` add to its log_odds.
     """
-    medians = dict(zip(features, model.stages[0].surrogateDF.first(), strict=True))
-    rows = frame.select("customer_id", "snapshot_date", "churn", *[F.col(c).cast("double").alias(c) for c in features])
-    spread = rows.withColumn("variant", F.explode(F.array(F.lit("").alias("v"), *[F.lit(c) for c in features])))
-    values = F.map_from_arrays(F.array(*[F.lit(c) for c in features]), F.array(*features)).alias("values")
-    changed = spread.select("customer_id", "snapshot_date", "churn", "variant", *[F.when(F.col("variant") == c, medians[c]).otherwise(F.col(c)).alias(c) for c in features], values)
-    p = vector_to_array("probability")[1]
-    odds = model.transform(changed).select("customer_id", "snapshot_date", "variant", "values", F.log(p / (1 - p)).alias("odds"))
-    whole = F.max(F.when(F.col("variant") == "", F.col("odds"))).over(Window.partitionBy("customer_id", "snapshot_date"))  # a row for each feature and one more
-    each = odds.withColumn("contribution", whole - F.col("odds")).where("variant <> ''")
-    return each.select("customer_id", "snapshot_date", F.col("variant").alias("feature"), F.col("values")[F.col("variant")].alias("feature_value"), "contribution")
+    trees = flat(model)
+    parts = attributed(trees, frame, ("customer_id", "snapshot_date"))
+    each = F.inline(F.arrays_zip(F.array(*[F.lit(c) for c in trees.features]).alias("feature"), F.col("values").alias("feature_value"), F.col("contributions").alias("contribution")))
+    return parts.select("customer_id", "snapshot_date", each, "log_odds", "expected")
 
 
-def global_importance(model: PipelineModel, frame: DataFrame, features: Sequence[str] = MODEL_FEATURES, top: int = 15) -> DataFrame:
+def global_importance(model: PipelineModel | TreeEnsemble, frame: DataFrame, top: int = 15) -> DataFrame:
     """feature, importance: the mean absolute contribution over all rows of a frame, largest first."""
-    means = contributions(model, frame, features).groupBy("feature").agg(F.round(F.avg(F.abs("contribution")), 6).alias("importance"))
-    return means.orderBy(F.desc("importance"), "feature").limit(top)
+    return importance(flat(model), frame, top)
 
 
-def local_reasons(model: PipelineModel, frame: DataFrame, customers: int = 25, reasons: int = 6, features: Sequence[str] = MODEL_FEATURES) -> DataFrame:
-    """The largest contributions for the rows of highest score: customer_id, snapshot_date, feature_rank, feature, feature_value, contribution."""
-    top = score(model, frame, features).orderBy(F.desc("churn_score"), "customer_id", "snapshot_date").limit(customers)
-    rows = frame.join(F.broadcast(top.select("customer_id", "snapshot_date")), ["customer_id", "snapshot_date"])  # `customers` rows
-    place = F.row_number().over(Window.partitionBy("customer_id", "snapshot_date").orderBy(F.desc(F.abs("contribution")), "feature"))
-    ranked = contributions(model, rows, features).withColumn("feature_rank", place).where(F.col("feature_rank") <= reasons)
-    return ranked.select("customer_id", "snapshot_date", "feature_rank", "feature", "feature_value", "contribution")
+def local_reasons(model: PipelineModel | TreeEnsemble, frame: DataFrame, customers: int = 25, most: int = 6) -> DataFrame:
+    """The largest contributions, by size, for the rows of highest score: customer_id, snapshot_date, churn_score,
+    feature_rank, feature, feature_value, contribution.
+    """
+    trees = flat(model)
+    top = scored(trees, frame, ("customer_id", "snapshot_date", *trees.features)).orderBy(F.desc("churn_score"), "customer_id", "snapshot_date").limit(customers)
+    return reasons(trees, top, ("customer_id", "snapshot_date", "churn_score"), most)
 
 
 def churn_rates(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("snapshot_date").agg(F.count("*").alias("customers"), ratio(F.sum("churn").cast("double"), F.count("*")).alias("churn_rate"))
 
 
-def at_risk(scored: DataFrame, snapshot, k: float = 0.2) -> DataFrame:
+def at_risk(scores: DataFrame, snapshot, k: float = 0.2) -> DataFrame:
     """The max(1, floor(k n)) rows of highest score of one snapshot."""
-    rows = scored.where(F.col("snapshot_date") == F.lit(snapshot))
-    return rows.orderBy(F.desc("churn_score"), "customer_id").limit(max(1, int(k * rows.count())))
+    rows = scores.where(F.col("snapshot_date") == F.lit(snapshot))
+    return top_rows(rows, [F.col("churn_score").isNull(), -F.col("churn_score"), F.col("customer_id")], k, int)

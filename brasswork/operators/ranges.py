@@ -6,7 +6,7 @@ by what lies in the ranges before: a list of at most as many numbers as there ar
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,6 +58,12 @@ def running(frame: DataFrame, order: Sequence[Column], sums: Mapping[str, str] |
     return out.drop("range_"), totals
 
 
+def top_rows(frame: DataFrame, order: Sequence[Column], share: float, n_top: Callable[[float], int] = round) -> DataFrame:
+    """The first max(1, n_top(share times rows)) rows in an order, where that number grows with the rows: no task gathers them."""
+    run, totals = running(cut(frame), order, rank="rank_")
+    return run.where(F.col("rank_") <= max(1, n_top(share * totals["rank_"]))).drop("rank_")
+
+
 def quantiles(counted: DataFrame, keys: Sequence[str], value: str, n: str, at: Sequence[float]) -> DataFrame:
     """keys and `quantiles` (in the order of `at`, interpolated) from how often (n) each value occurs by keys."""
     counted = cut(counted)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brasswork.functions import metrics as M
 from brasswork.functions.dates import month_ends
 from brasswork.functions.numbers import grouped_rupees, normal_quantile, price_band
+from brasswork.operators import boosting as B
 from brasswork.operators import churn as C
 from brasswork.operators import density as E
 from brasswork.operators import drift as D
@@ -17,6 +18,7 @@ from brasswork.operators import inventory as I  # noqa: E741
 from brasswork.operators import quality as Q
 from brasswork.operators import rollup as R
 from brasswork.operators import segmentation as S
+from brasswork.operators import trees as T
 from brasswork.operators import windows as W
 from brasswork.plans.registry import register
 from brasswork.plans.rollup_queries import PANEL, WITH
@@ -265,30 +267,64 @@ SELECT cluster, customers, recency, visits, CASE WHEN row_number() OVER w = 1 TH
 register("kmeans_segments", lambda s, d: S.profiles(S.fit_clusters(_active(s, d), k=6), "cluster", ["recency_days", "frequency", "monetary"]))
 
 
-def _with_model(s, d, use):
-    """What is made of a model of the first snapshots and the rows of the others, written before these are freed."""
-    train, test = C.temporal_split(cut(snapshots(s, d)))
+def _split(s, d):
+    return C.temporal_split(cut(snapshots(s, d)))
+
+
+def _churn_scores(s, d):
+    """Metrics of Spark's own boosted trees, fitted on the first snapshots, over the rows of the others."""
+    train, test = _split(s, d)
     train = train.persist()  # every tree reads it
     try:
-        return cut(use(C.fit_model(train, test=test), test))
+        return cut(C.evaluate(C.score(C.fit_model(train, test=test), test)))
     finally:
         train.unpersist()
 
 
-def _churn_scores(s, d):
-    return _with_model(s, d, lambda model, test: C.evaluate(C.score(model, test)))
+register("churn_model", _churn_scores)
 
 
-register("churn_model", _churn_scores)
+def _boosted(s, d, trees=300):
+    train, test = _split(s, d)
+    return B.fit_boosted(train, C.MODEL_FEATURES, settings=B.Settings(trees=trees)), test
+
+
+def _boosted_scores(s, d):
+    """The same of trees by gradients and hessians, with shrunk leaves and least hessians."""
+    model, test = _boosted(s, d)
+    return C.evaluate(T.scored(model, test, ("customer_id", "snapshot_date", "churn")))
+
 
+register("churn_boosted", _boosted_scores)
 
-def _explained(model, test):
+
+def _explained(s, d):
     """The mean absolute contributions over all rows (no customer), and the reasons of the customers of highest score."""
+    model, test = _boosted(s, d)
     place = F.row_number().over(Window.orderBy(F.desc("importance"), "feature")).alias("feature_rank")  # a row for each feature
     return C.local_reasons(model, test).unionByName(C.global_importance(model, test).select(place, "feature", F.col("importance").alias("contribution")), allowMissingColumns=True)
 
 
-register("churn_explanations", lambda s, d: _with_model(s, d, _explained))
+register("churn_explanations", _explained)
+
+
+def _contributions(s, d):
+    """Every row's contributions, which add to its log-odds; trees that a test can afford."""
+    model, test = _boosted(s, d, 60)
+    return C.contributions(model, test)
+
+
+register("churn_contributions", _contributions)
+
+
+def _reason_table(s, d):
+    """The reasons of every customer of the last snapshot, by the table function."""
+    model, test = _boosted(s, d, 60)
+    rows = test.where(F.col("snapshot_date") == F.lit(DATES[-1])).select("customer_id", *C.MODEL_FEATURES)
+    return T.reason_table(model)(rows.asTable(), F.lit("customer_id"), F.lit(3))
+
+
+register("churn_reasons", _reason_table)
 
 
 def _silhouettes(s, d):

@@ -32,17 +32,20 @@ def get_session(app: str = "brasswork", master: str | None = None, **extra: str)
     return builder.getOrCreate()
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """frame, written once to the checkpoint folder that all executors share, so that several reads don't run its plan again.
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, the folder that driver and executors share. Only a local session without one gets a temporary folder of this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="brasswork-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root
+
 
-    The folder is spark.checkpoint.dir. Only in a local session without one is a temporary folder of this machine used.
-    """
+def cut(frame: DataFrame) -> DataFrame:
+    """frame, written once to the shared folder, so that several reads don't run its plan again."""
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        root = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if context.master.partition("[")[0] != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            root = tempfile.mkdtemp(prefix="brasswork-")
-        context.setCheckpointDir(root)
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint()
