@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from brasswork.functions.metrics import forecast_aggregates
 from brasswork.functions.numbers import ratio
+from brasswork.operators.network import forecast_network
 from brasswork.operators.rollup import first_by
+from brasswork.operators.trend import fit_trend, forecast_trend
 
 SEASON = 52
 HORIZONS = (1, 2, 4)
@@ -75,49 +77,14 @@ def ridge_seasonal(history: np.ndarray, horizon: int, season: int = SEASON, alph
     return np.array(out)
 
 
-def additive_trend(history: np.ndarray, horizon: int, season: int = SEASON, harmonics: int = 6, changepoints: int = 12, damping: float = 20.0) -> np.ndarray:
-    """A piecewise linear trend with shrunken changes of slope, times a Fourier season, fitted by ridge on logarithms."""
-    n = len(history)
-    if n < season + 8:
-        raise ValueError(f"needs {season + 8} weeks")
-    t = np.arange(n + horizon)
-    knots = np.linspace(0, 0.8 * n, changepoints + 2)[1:-1]
-    bends = np.maximum(t[:, None] - knots[None], 0) / n
-    waves = np.column_stack([f(2 * np.pi * k * t / season) for k in range(1, harmonics + 1) for f in (np.sin, np.cos)])
-    x = np.column_stack([np.ones(n + horizon), t / n, bends, waves])
-    penalty = np.diag([1e-6, 1e-6, *[damping] * changepoints, *[0.1] * waves.shape[1]])
-    y = np.log1p(np.maximum(history, 0))
-    beta = np.linalg.solve(x[:n].T @ x[:n] + penalty, x[:n].T @ y)
-    return np.maximum(np.expm1(x[n:] @ beta), 0)
-
-
-def recurrent(history: np.ndarray, horizon: int, lookback: int = 52, units: int = 64, seed: int = 11) -> np.ndarray:
-    """An echo-state network: a fixed random recurrent layer and a ridge readout, run on with its own forecasts."""
-    if len(history) < lookback + 20:
-        raise ValueError(f"needs {lookback + 20} weeks")
-    mean, deviation = history.mean(), history.std() or 1.0
-    z = (history - mean) / deviation
-    random = np.random.default_rng(seed)
-    inner = random.normal(size=(units, units))
-    inner *= 0.8 / np.abs(np.linalg.eigvals(inner)).max()
-    entry = random.normal(size=(units, 2))
-    state, states = np.zeros(units), []
-
-    def step(state: np.ndarray, value: float, season: float) -> np.ndarray:
-        return np.tanh(inner @ state + entry @ np.array([value, season]))
-
-    for i in range(len(z)):
-        state = step(state, z[i], z[i - lookback + 1] if i >= lookback - 1 else 0.0)
-        states.append(state)
-    x, y = np.array(states[lookback:-1]), z[lookback + 1 :]
-    readout = np.linalg.solve(x.T @ x + np.eye(units), x.T @ y)
-    out, known = [], list(z)
-    for _ in range(horizon):
-        value = float(state @ readout)
-        out.append(value)
-        known.append(value)
-        state = step(state, value, known[len(known) - lookback])
-    return np.maximum(np.array(out) * deviation + mean, 0)
+def additive_trend(history: np.ndarray, horizon: int, season: int = SEASON) -> np.ndarray:
+    """A trend whose slope changes at few places, times a yearly season."""
+    return forecast_trend(fit_trend(history, season), horizon)
+
+
+def recurrent(history: np.ndarray, horizon: int) -> np.ndarray:
+    """A small network of gated units, trained on the history."""
+    return forecast_network(history, horizon)
 
 
 def ensemble(history: np.ndarray, horizon: int) -> np.ndarray:
@@ -151,6 +118,51 @@ def naive_holdout(series: DataFrame, keys: Sequence[str] = (), horizons: Sequenc
     return per.groupBy(*keys, "horizon").agg(*forecast_aggregates())
 
 
+def simple_holdout(series: DataFrame, keys: Sequence[str] = (), horizons: Sequence[int] = HORIZONS, season: int = SEASON, recent: int = 4) -> DataFrame:
+    """keys, model, horizon and metrics of three forecasts that need no fit, of each series' last weeks, in DataFrame functions.
+
+    seasonal_naive repeats the season, last_value the last week before the holdout, recent_mean the mean of the `recent` weeks
+    before it. Weeks of a series must follow each other.
+    """
+    ends = Window.partitionBy(*keys).orderBy(F.desc("t"))
+    per = series.withColumn("from_end", F.row_number().over(ends)).select("*", F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon"))
+    whole = Window.partitionBy(*keys, "horizon")
+    place = F.col("from_end") - F.col("horizon")  # 1 is the last week before the holdout
+    ordered = whole.orderBy("t")
+    told = per.select(
+        *keys, "horizon", "y", place.alias("place"), F.lag("y", season).over(ordered).alias("seasonal_naive"),
+        F.max(F.when(place == 1, F.col("y"))).over(whole).alias("last_value"), F.avg(F.when((place >= 1) & (place <= recent), F.col("y"))).over(whole).alias("recent_mean"),
+    ).where("place <= 0")
+    each = told.select(*keys, "horizon", "y", F.expr("stack(3, 'seasonal_naive', seasonal_naive, 'last_value', last_value, 'recent_mean', recent_mean) as (model, f)"))
+    return each.groupBy(*keys, "model", "horizon").agg(*forecast_aggregates())
+
+
+def ranking_inversions(scores: DataFrame, keys: Sequence[str] = (), metric: str = "wape") -> DataFrame:
+    """keys, short, long, better_short, better_long, gap_short, gap_long: models of which one is better at a short horizon and the other at a longer one.
+
+    gaps tell by how much the better one is better. Models without a score at a horizon, and equal scores, make no
+    inversion. Models and horizons of a series are few, and meet each other by the series' keys alone.
+    """
+    own = scores.where(F.col(metric).isNotNull()).select(*keys, "model", "horizon", F.col(metric).alias("score"))
+    listed = own.groupBy(*keys).agg(F.collect_list(F.struct("model", "horizon", "score")).alias("all_"))
+    first = listed.select("*", F.inline("all_")).withColumnsRenamed({"model": "a_model", "horizon": "a_horizon", "score": "a_score"})
+    pairs = first.select("*", F.inline("all_")).where((F.col("a_horizon") == F.col("horizon")) & (F.col("a_score") < F.col("score")))
+    pairs = pairs.select(*keys, F.col("horizon"), F.col("a_model").alias("better"), F.col("model").alias("worse"), (F.col("score") - F.col("a_score")).alias("gap"))
+    short, long = (pairs.select(*[F.col(k).alias(f"{k}_{side}") if side == "long" else k for k in keys], F.col("horizon").alias(side), F.col("better").alias(f"better_{side}"), F.col("worse").alias(f"worse_{side}"), F.col("gap").alias(f"gap_{side}")) for side in ("short", "long"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_long"))
+    turned = same & (F.col("better_short") == F.col("worse_long")) & (F.col("worse_short") == F.col("better_long")) & (F.col("short") < F.col("long"))
+    return short.join(long, turned).select(*keys, "short", "long", "better_short", "better_long", F.round("gap_short", 6).alias("gap_short"), F.round("gap_long", 6).alias("gap_long"))
+
+
+def rankings_agree(scores: DataFrame, keys: Sequence[str] = (), metric: str = "wape") -> DataFrame:
+    """keys, inversions, inverted: how many there are for each series, series without one included."""
+    counted = ranking_inversions(scores, keys, metric).groupBy(*keys).agg(F.count("*").alias("n"))
+    none = scores.groupBy(*keys).agg(F.lit(0).cast("long").alias("n"))
+    return none.unionByName(counted).groupBy(*keys).agg(F.sum("n").alias("inversions")).withColumn("inverted", F.col("inversions") > 0)
+
+
 def backtest(series: DataFrame, keys: Sequence[str] = (), horizons: Sequence[int] = HORIZONS, models: Sequence[str] = tuple(MODELS), least: int = 60) -> DataFrame:
     """keys, model, horizon, metrics and error: each model forecasts each series' last weeks. A model that fails gives its error's text and nulls.
 

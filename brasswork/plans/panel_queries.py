@@ -177,6 +177,23 @@ _METRICS = "round(sum(abs(y - f)) / nullif(sum(abs(y)), 0), 6) AS wape, round(av
 register("naive_holdout", lambda s, d: P.naive_holdout(_weekly_total(s, d)), f"{_SERIES}, j AS (SELECT h AS horizon, a.y, b.y AS f FROM w a JOIN w b ON b.t = a.t - 52, (SELECT unnest([1, 2, 4]) AS h) WHERE a.t > (SELECT max(t) FROM w) - h) SELECT horizon, {_METRICS} FROM j GROUP BY 1")
 register("naive_holdout_by_store", lambda s, d: P.naive_holdout(P.build_series(panel(s, d), "store"), ["store_id"]), f"{PANEL}, w AS (SELECT store_id, CAST(date_diff('day', DATE '{FIRST_MONDAY}', week_start_date) // 7 AS INT) AS t, CAST(sum(units_sold) AS DOUBLE) AS y FROM panel GROUP BY 1, 2), j AS (SELECT a.store_id, h AS horizon, a.y, b.y AS f FROM w a JOIN w b ON b.t = a.t - 52 AND a.store_id = b.store_id, (SELECT unnest([1, 2, 4]) AS h) WHERE a.t > (SELECT max(t) FROM w) - h) SELECT store_id, horizon, {_METRICS} FROM j GROUP BY 1, 2")
 register("seasonal_scale", lambda s, d: M.seasonal_scale(_weekly_total(s, d), "t", "y", 52).select(F.round("scale", 6).alias("scale")), f"{_SERIES} SELECT round(avg(abs(a.y - b.y)), 6) AS scale FROM w a JOIN w b ON b.t = a.t - 52")
+_SIMPLE = f"""{PANEL}, w AS (SELECT store_id, CAST(date_diff('day', DATE '{FIRST_MONDAY}', week_start_date) // 7 AS INT) AS t, CAST(sum(units_sold) AS DOUBLE) AS y FROM panel GROUP BY ALL),
+e AS (SELECT *, max(t) OVER (PARTITION BY store_id) AS last FROM w), h AS (SELECT unnest([1, 2, 4]) AS horizon),
+b AS (SELECT store_id, horizon, avg(y) FILTER (t > last - horizon - 4 AND t <= last - horizon) AS recent_mean, max(y) FILTER (t = last - horizon) AS last_value FROM e, h GROUP BY ALL),
+p AS (SELECT e.store_id, b.horizon, e.y, s.y AS seasonal_naive, b.last_value, b.recent_mean FROM e JOIN b ON b.store_id = e.store_id AND e.t > e.last - b.horizon JOIN e s ON s.store_id = e.store_id AND s.t = e.t - 52),
+j AS (SELECT store_id, horizon, y, 'seasonal_naive' AS model, seasonal_naive AS f FROM p UNION ALL SELECT store_id, horizon, y, 'last_value', last_value FROM p UNION ALL SELECT store_id, horizon, y, 'recent_mean', recent_mean FROM p),
+scores AS (SELECT store_id, model, horizon, {_METRICS} FROM j GROUP BY ALL)"""
+_INVERTED = f"""{_SIMPLE}, inv AS (SELECT a.store_id, a.horizon AS short, c.horizon AS long, a.model AS better_short, b.model AS better_long, round(b.wape - a.wape, 6) AS gap_short, round(c.wape - d.wape, 6) AS gap_long
+FROM scores a JOIN scores b ON a.store_id = b.store_id AND a.horizon = b.horizon AND a.wape < b.wape JOIN scores c ON c.store_id = a.store_id AND c.model = a.model JOIN scores d ON d.store_id = a.store_id AND d.model = b.model AND d.horizon = c.horizon AND d.wape < c.wape WHERE a.horizon < c.horizon)"""
+
+
+def _simple_scores(s, d):
+    return P.simple_holdout(P.build_series(panel(s, d), "store"), ["store_id"])
+
+
+register("simple_holdout", _simple_scores, f"{_SIMPLE} SELECT * FROM scores")
+register("ranking_inversions", lambda s, d: P.ranking_inversions(_simple_scores(s, d), ["store_id"]), f"{_INVERTED} SELECT * FROM inv")
+register("rankings_agree", lambda s, d: P.rankings_agree(_simple_scores(s, d), ["store_id"]), f"{_INVERTED} SELECT s.store_id, count(inv.store_id) AS inversions, count(inv.store_id) > 0 AS inverted FROM (SELECT DISTINCT store_id FROM scores) s LEFT JOIN inv USING (store_id) GROUP BY 1")
 register("forecast_backtest", lambda s, d: P.backtest(_weekly_total(s, d)))
 register("forecast_selection", lambda s, d: P.select_models(P.backtest(_weekly_total(s, d))))
 register("naive_by_store_part", lambda s, d: P.reconcile_down(W.last_rows(_weekly_total(s, d), [], "t", 52).where(F.col("t") == F.lit(291)).select(F.col("y").alias("forecast")), P.series_weights(panel(s, d), "store")).select("store_id", "share", "forecast", "part"), f"{_SERIES}, v AS (SELECT store_id, CAST(sum(units_sold) AS DOUBLE) / (SELECT CAST(sum(units_sold) AS DOUBLE) FROM panel) AS share FROM panel GROUP BY 1) SELECT store_id, share, y AS forecast, y * share AS part FROM v, w WHERE t = 291")
