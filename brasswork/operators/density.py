@@ -1,18 +1,26 @@
 """Density clusters of all rows of a frame, without a task that holds them all.
 
-Rows lie in cells of a grid over the first columns, as wide as the radius, so that neighbours of a row lie in its own cell
-or in one beside it. Full cells are dealt to blocks of bounded size, and blocks of neighbouring cells meet in pairs. A pair
-first tells how many neighbours each row has in it, then which dense rows it joins: a spanning forest, not all pairs.
+Rows lie in fine cells, whose diagonal is the radius, so rows of a cell are neighbours of each other. A cell of HOT rows or
+more is never compared within itself: its rows are dense and belong together, and it stands for them. What else can be
+told from the cells' boxes is told from them: a box that lies wholly within reach of a row, or of another box, needs no
+comparison, one beyond reach neither. Only rows at the border of a hot cell are compared with its rows: with a part of
+them first, which mostly decides, and then with the others.
+
+All other rows lie in coarse cells over the first columns, made of fine ones and as wide as the radius at least, so that
+neighbours of a row lie in its own cell or in one beside it. Full coarse cells are dealt to blocks of bounded size, and
+blocks of neighbouring cells meet in pairs. A pair first tells how many neighbours each row has in it, then which dense rows
+it joins: a spanning forest, not all pairs.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from brasswork.operators.ranges import running
@@ -21,7 +29,9 @@ from brasswork.session import cut
 
 GRID_COLUMNS = 3
 BLOCK = 1024
+HOT = 1024  # rows from which on a fine cell is never compared within itself
 NOISE = -1
+SLACK = 1e-9  # squared distances that exceed the radius by no more count as within
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -39,37 +49,150 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError(f"components are not found after {most} turns")
 
 
-def _blocks(rows: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
-    """Rows with their block, and the pairs of blocks (low, high) whose cells touch."""
-    n = min(GRID_COLUMNS, len(rows.schema["z"].dataType.names))
-    cell = [F.floor(F.col(f"z.z{i}") / radius).cast("long").alias(f"c{i}") for i in range(n)]
-    names = [f"c{i}" for i in range(n)]
-    placed = cut(rows.select("*", *cell))
+def _placed(rows: DataFrame, radius: float, d: int) -> tuple[DataFrame, list[str]]:
+    """id and v with `fine`, the name of the fine cell, and c0, c1, ...: the coarse cell."""
+    side, wide = radius / math.sqrt(d), math.ceil(math.sqrt(d))
+    index = [F.floor(F.col("v")[i] / side).cast("long") for i in range(d)]
+    names = [f"c{i}" for i in range(min(GRID_COLUMNS, d))]
+    coarse = [F.floor(index[i] / wide).cast("long").alias(c) for i, c in enumerate(names)]
+    return cut(rows.select("id", "v", F.concat_ws(":", *index).alias("fine"), *coarse)), names
+
+
+def _beside(frame: DataFrame, names: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """keep of each row, once for each of the coarse cells at or beside its own: near_c0, near_c1, ..."""
+    steps = F.explode(F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(names, step, strict=True)]) for step in itertools.product((-1, 0, 1), repeat=len(names))])).alias("step")
+    return frame.select(*names, *keep, steps).select(*keep, *[(F.col(c) + F.col(f"step.{c}")).alias(f"near_{c}") for c in names])
+
+
+def _blocks(placed: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """id, v and block of each row, and the pairs of blocks (low, high) whose coarse cells touch."""
     cells = cut(placed.groupBy(*names).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("subs")))
     name: Column = F.concat_ws(":", *names, F.pmod(F.xxhash64("id"), F.col("subs")))
-    dealt = cut(placed.join(cells, names).select("id", "z", name.alias("block")))
-    steps = F.explode(F.array(*[F.struct(*[F.lit(d).alias(f"d{i}") for i, d in enumerate(step)]) for step in itertools.product((-1, 0, 1), repeat=n)])).alias("step")
-    spelled = lambda prefix, sub: F.concat_ws(":", *[f"{prefix}{i}" for i in range(n)], sub)
-    near = cells.select(*names, "subs", steps).select(*names, "subs", *[(F.col(f"c{i}") + F.col(f"step.d{i}")).alias(f"o{i}") for i in range(n)])
-    other = cells.select(*[F.col(f"c{i}").alias(f"o{i}") for i in range(n)], F.col("subs").alias("other_subs"))
-    met = near.join(other, [f"o{i}" for i in range(n)])
+    dealt = cut(placed.join(cells, list(names)).select("id", "v", name.alias("block")))
+    near = _beside(cells.withColumn("own", F.concat_ws(":", *names)), names, ("own", "subs"))
+    other = cells.select(*[F.col(c).alias(f"near_{c}") for c in names], F.col("subs").alias("other_subs"), F.concat_ws(":", *names).alias("other"))
+    met = near.join(other, [f"near_{c}" for c in names])
     met = met.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).withColumn("other_sub", F.explode(F.sequence(F.lit(0), F.col("other_subs") - 1)))
-    pairs = met.select(spelled("c", F.col("sub")).alias("low"), spelled("o", F.col("other_sub")).alias("high")).where("low <= high")
+    pairs = met.select(F.concat_ws(":", "own", "sub").alias("low"), F.concat_ws(":", "other", "other_sub").alias("high")).where("low <= high")
     return dealt, cut(pairs)
 
 
+def _boxes(placed: DataFrame, least: int, names: Sequence[str], d: int) -> DataFrame:
+    """Of each hot cell: fine, n, head (its least id), low and high (its box), subs (parts of bounded size), coarse cell."""
+    sides = [f(F.col("v")[i]).alias(f"{name}{i}") for i in range(d) for name, f in (("low", F.min), ("high", F.max))]
+    found = placed.groupBy("fine", *names).agg(F.count("*").alias("n"), F.min("id").alias("head"), *sides).where(F.col("n") >= max(least, HOT))
+    arrays = [F.array(*[f"{name}{i}" for i in range(d)]).alias(name) for name in ("low", "high")]
+    return cut(found.select("fine", *names, "n", "head", F.ceil(F.col("n") / BLOCK).cast("int").alias("subs"), *arrays))
+
+
+def _reach(low_a: str, high_a: str, low_b: str, high_b: str) -> tuple[Column, Column]:
+    """The squared distances of the nearest and of the farthest points of two boxes; a row is a box of its own."""
+    sides = F.zip_with(F.arrays_zip(F.col(low_a).alias("l"), F.col(high_a).alias("h")), F.arrays_zip(F.col(low_b).alias("l"), F.col(high_b).alias("h")), lambda a, b: F.struct(
+        F.greatest(a["l"] - b["h"], b["l"] - a["h"], F.lit(0.0)).alias("near"), F.greatest(a["h"] - b["l"], b["h"] - a["l"]).alias("far")))
+    total = lambda part: F.aggregate(sides, F.lit(0.0), lambda s, x: s + x[part] * x[part])
+    return total("near"), total("far")
+
+
+def _compared(guests: DataFrame, placed: DataFrame, radius: float) -> DataFrame:
+    """guest, cell, n: how many rows of parts of hot cells are within the radius of guests.
+
+    guests: guest, gv, cell, parts (array of sub numbers of the cell) and subs. Both sides of a cell are dealt to blocks.
+    """
+    dealt = guests.withColumn("share", F.pmod(F.xxhash64("guest", F.lit(5)), F.col("shares"))).select("guest", "gv", "cell", "share", F.explode("parts").alias("sub"))
+    wanted = cut(dealt).groupBy("cell", "sub").agg(F.collect_set("share").alias("asked"), F.lit(1).alias("one")).drop("one")
+    cells = guests.select("cell", "subs").distinct()
+    hosts = placed.join(cells, F.col("fine") == F.col("cell")).select("cell", F.pmod(F.xxhash64("id", F.lit(7)), F.col("subs")).alias("sub"), F.col("id").alias("guest"), F.col("v").alias("gv"))
+    hosts = hosts.join(wanted, ["cell", "sub"]).select("guest", "gv", "cell", "sub", F.explode("asked").alias("share"), F.lit(True).alias("host"))
+
+    def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        host = frame["host"].to_numpy(bool)
+        x, y = (np.array(frame["gv"][side].to_list(), float) for side in (~host, host))
+        if not len(x) or not len(y):
+            return pd.DataFrame({"guest": [], "cell": [], "n": []}).astype({"guest": np.int64, "cell": str, "n": np.int64})
+        return pd.DataFrame({"guest": frame["guest"][~host], "cell": key[0], "n": _within(x, y, radius).sum(1)})
+
+    both = dealt.select("guest", "gv", "cell", "sub", "share", F.lit(False).alias("host")).unionByName(hosts)
+    return both.groupBy("cell", "sub", "share").applyInPandas(compare, "guest long, cell string, n long").groupBy("guest", "cell").agg(F.sum("n").alias("n"))
+
+
+def _met_hot(guests: DataFrame, placed: DataFrame, radius: float, enough: int) -> DataFrame:
+    """guest, cell, n for all rows (guest, gv) at the border of hot cells: exact where n is under `enough`, else at least that.
+
+    A part of the cell's rows is compared first, and all others only with guests whom that doesn't decide. The first part of
+    a cell is its part 0.
+    """
+    sized = guests.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("shares")).withColumnRenamed("cell", "sized_cell")
+    guests = cut(guests.join(sized, F.col("cell") == F.col("sized_cell")).drop("sized_cell"))
+    first = cut(_compared(guests.withColumn("parts", F.array(F.lit(0))), placed, radius))
+    told = first.select(F.col("guest").alias("g"), F.col("cell").alias("c"), F.col("n").alias("had"))
+    rest = guests.where("subs > 1").join(told, (F.col("guest") == F.col("g")) & (F.col("cell") == F.col("c")), "left").where(F.coalesce("had", F.lit(0)) < enough).drop("g", "c", "had")
+    rest = cut(rest)
+    if rest.isEmpty():
+        return first
+    second = _compared(rest.withColumn("parts", F.sequence(F.lit(1), F.col("subs") - 1)), placed, radius)
+    return first.union(second).groupBy("guest", "cell").agg(F.sum("n").alias("n"))
+
+
+def _hot_counts(cold: DataFrame, placed: DataFrame, boxes: DataFrame, names: Sequence[str], radius: float, least: int) -> DataFrame:
+    """of, head, n: how many rows of a hot cell are neighbours of a cold row, where any are; no less than `least` where that many are."""
+    near, far = _reach("v", "v", "low", "high")
+    around = _beside(boxes, names, ("fine", "head", "n", "low", "high", "subs"))
+    met = cold.select("id", "v", *[F.col(c).alias(f"near_{c}") for c in names]).join(around, [f"near_{c}" for c in names])
+    met = cut(met.select("id", "v", "fine", "head", "n", "subs", near.alias("nearest"), far.alias("farthest")).where(F.col("nearest") <= radius * radius + SLACK))
+    whole = met.where(F.col("farthest") <= radius * radius).select(F.col("id").alias("of"), "head", "n")
+    border = met.where(F.col("farthest") > radius * radius).select(F.col("id").alias("guest"), F.col("v").alias("gv"), F.col("fine").alias("cell"), "subs")
+    found = _met_hot(border, placed, radius, least).where("n > 0").join(boxes.select("fine", "head"), F.col("cell") == F.col("fine"))
+    return cut(whole.union(found.select(F.col("guest").alias("of"), "head", "n")))
+
+
+def _hot_joins(placed: DataFrame, boxes: DataFrame, names: Sequence[str], radius: float) -> DataFrame:
+    """a, b: heads of hot cells of which some rows are neighbours.
+
+    Boxes tell most pairs. For the others, rows of one cell within reach of the other's box meet the other's rows.
+    """
+    near, far = _reach("low", "high", "low_b", "high_b")
+    around = _beside(boxes, names, ("fine", "head", "low", "high"))
+    other = boxes.select(*[F.col(c).alias(f"near_{c}") for c in names], F.col("fine").alias("fine_b"), F.col("head").alias("head_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), "subs")
+    met = around.join(other, [f"near_{c}" for c in names]).where("head < head_b")
+    met = cut(met.withColumns({"nearest": near, "farthest": far}).where(F.col("nearest") <= radius * radius + SLACK))
+    whole = met.where(F.col("farthest") <= radius * radius).select(F.col("head").alias("a"), F.col("head_b").alias("b"))
+    open_ = met.where(F.col("farthest") > radius * radius)
+    to_box, _ = _reach("v", "v", "low_b", "high_b")
+    sides = placed.withColumnRenamed("fine", "own").join(open_.select("fine", "head", "fine_b", "low_b", "high_b", "subs"), F.col("own") == F.col("fine"))
+    guests = sides.where(to_box <= radius * radius + SLACK).select(F.col("id").alias("guest"), F.col("v").alias("gv"), F.col("fine_b").alias("cell"), "subs", F.col("head").alias("of_head"))
+    guests = cut(guests)
+    # a few guests of each pair mostly decide it; if none does, all are asked
+    place = F.row_number().over(Window.partitionBy("of_head", "cell").orderBy(F.xxhash64("guest")))
+    few = guests.withColumn("place", place).where(F.col("place") <= BLOCK).drop("place")
+    heads = boxes.select(F.col("fine").alias("fine_b"), F.col("head").alias("b"))
+
+    def joined(some: DataFrame) -> DataFrame:
+        asked = some.select("guest", "cell", F.col("of_head").alias("a")).distinct().withColumnsRenamed({"guest": "g", "cell": "c"})
+        found = _met_hot(some.drop("of_head"), placed, radius, 1).where("n > 0").join(asked, (F.col("guest") == F.col("g")) & (F.col("cell") == F.col("c")))
+        return found.join(heads, F.col("cell") == F.col("fine_b")).select("a", "b").distinct()
+
+    first = cut(joined(few))
+    done = first.join(heads, "b").select(F.col("a").alias("done_a"), F.col("fine_b").alias("done_cell"))
+    rest = cut(guests.join(done, (F.col("of_head") == F.col("done_a")) & (F.col("cell") == F.col("done_cell")), "left_anti"))
+    return cut(whole.union(first)) if rest.isEmpty() else cut(whole.union(first).union(joined(rest)))
+
+
 def _met(dealt: DataFrame, pairs: DataFrame) -> GroupedData:
     """One row for each pair of blocks and each row of either."""
     both = pairs.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
     return dealt.join(both, "block").groupBy("low", "high")
 
 
+def _within(x: np.ndarray, y: np.ndarray, radius: float) -> np.ndarray:
+    away = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
+    return away <= radius * radius + SLACK
+
+
 def _near(frame: pd.DataFrame, low: str, high: str, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of the rows of both blocks and which of them are neighbours."""
     x = np.array(frame["v"].to_list(), float).reshape(len(frame), -1)
     a, b = (np.flatnonzero(frame["block"].to_numpy() == side) for side in (low, high))
-    away = (x[a] * x[a]).sum(1)[:, None] + (x[b] * x[b]).sum(1)[None] - 2 * x[a] @ x[b].T
-    return a, b, away <= radius * radius + 1e-9
+    return a, b, _within(x[a], x[b], radius)
 
 
 def density_clusters(frame: DataFrame, columns: Sequence[str], radius: float, least: int = 25, key: str = "customer_id") -> DataFrame:
@@ -78,10 +201,14 @@ def density_clusters(frame: DataFrame, columns: Sequence[str], radius: float, le
     Labels are numbered by the least key of a cluster's dense rows. A row that lies near dense rows of several clusters goes to
     the first of them. Keys must be whole numbers and occur once; columns are standardised and must not hold nulls.
     """
-    names = [f"z_{c}" for c in columns]
-    rows = standardise(frame, columns).select(F.col(key).cast("long").alias("id"), F.struct(*[F.col(c).alias(f"z{i}") for i, c in enumerate(names)]).alias("z"))
-    dealt, pairs = _blocks(rows, radius)
-    dealt = dealt.select("id", "block", F.array(*[F.col(f"z.z{i}") for i in range(len(names))]).alias("v"))
+    d = len(columns)
+    rows = standardise(frame, columns).select(F.col(key).cast("long").alias("id"), F.array(*[F.col(f"z_{c}").cast("double") for c in columns]).alias("v"))
+    placed, names = _placed(rows, radius, d)
+    boxes = _boxes(placed, least, names, d)
+    hot = placed.join(boxes.select(F.col("fine").alias("hot_fine"), "head"), F.col("fine") == F.col("hot_fine"))
+    cold = cut(placed.join(boxes.select(F.col("fine").alias("hot_fine")), F.col("fine") == F.col("hot_fine"), "left_anti"))
+    dealt, pairs = _blocks(cold, names)
+    beside = _hot_counts(cold, placed, boxes, names, radius, least)
 
     def count(name: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         a, b, near = _near(frame, *name, radius)
@@ -91,7 +218,8 @@ def density_clusters(frame: DataFrame, columns: Sequence[str], radius: float, le
             n[b] += near.sum(0)
         return pd.DataFrame({"of": frame["id"], "n": n})
 
-    dense = _met(dealt, pairs).applyInPandas(count, "of long, n long").groupBy("of").agg((F.sum("n") >= least).alias("dense"))
+    counts = _met(dealt, pairs).applyInPandas(count, "of long, n long").union(beside.select("of", "n"))
+    dense = counts.groupBy("of").agg((F.sum("n") >= least).alias("dense"))
     dealt = cut(dealt.join(dense, F.col("id") == F.col("of")).drop("of"))
 
     def join(name: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -117,13 +245,18 @@ def density_clusters(frame: DataFrame, columns: Sequence[str], radius: float, le
                 out += [(ids[mine[i]], ids[others[j]], False) for j in np.flatnonzero(table[i] & dense[others])]
         return pd.DataFrame(out, columns=["a", "b", "dense"]).astype({"a": np.int64, "b": np.int64, "dense": bool})
 
-    edges = cut(_met(dealt, pairs).applyInPandas(join, "a long, b long, dense boolean"))
+    # a hot cell's rows hang on its head, and cold rows on the heads of the cells that they touch
+    within = hot.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"), F.lit(True).alias("dense"))
+    heads = boxes.select(F.col("head").alias("a"), F.col("head").alias("b"), F.lit(True).alias("dense"))
+    touched = dealt.select("id", "dense").join(beside, F.col("id") == F.col("of")).select(F.col("id").alias("a"), F.col("head").alias("b"), "dense")
+    met = _met(dealt, pairs).applyInPandas(join, "a long, b long, dense boolean")
+    edges = cut(met.union(within).union(heads).union(touched).union(_hot_joins(placed, boxes, names, radius).withColumn("dense", F.lit(True))))
     labels = components(edges.where("dense").select("a", "b"))
     loose = edges.where("not dense").join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("label"))
     told = cut(labels.union(loose.select(F.col("a").alias("node"), "label")))
     first = told.select("label").distinct()
     numbered, _ = running(cut(first), [F.col("label")], rank="number_")
-    out = dealt.select("id").join(told, F.col("id") == F.col("node"), "left").join(numbered.withColumnRenamed("label", "cluster_"), F.col("label") == F.col("cluster_"), "left")
+    out = placed.select("id").join(told, F.col("id") == F.col("node"), "left").join(numbered.withColumnRenamed("label", "cluster_"), F.col("label") == F.col("cluster_"), "left")
     return out.select(F.col("id").alias(key), F.coalesce(F.col("number_") - 1, F.lit(NOISE)).cast("long").alias("label"))
 
 
