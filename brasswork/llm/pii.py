@@ -14,6 +14,8 @@ text has is no co-occurrence in a corpus.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,22 +38,47 @@ PATTERNS = {
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _WORD = r"\p{L}+|\p{N}+"
 SMOOTH = 0.5  # rows of the corpus's mean that are added to a term's rows
+CHUNK = 128  # numbers of an array that are added up at a time
+TEXT_CHUNK = 1024  # characters of a text that a replacement reads at least
 FEW = 100_000  # terms, of 9 bytes each, that are sent to all executors; more are joined by a shuffle
 HOT = 0.01  # share of rows beyond which a term's rows are kept out of shuffles if it can't disclose
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once: what a lambda reads from outside is made anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _before(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each whole number of an array: what combine makes of 0 and all numbers before it; the array is as long as values and one more.
+
+    In two levels, as an array that grows by one is copied each time: within chunks, then from chunk to chunk.
+    """
+
+    def scan(items: Column, value: Callable[[Column], Column]) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<int>)").alias("all"))
+        return F.aggregate(items, start, lambda s, x: F.struct(combine(s["at"], value(x)).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")))
+
+    def cut(longer: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(longer) - 1) / CHUNK).cast("int")), lambda k: F.slice(longer, k * CHUNK + 1, CHUNK))
+
+    def raised(local: Column) -> Column:
+        return F.flatten(F.zip_with(local, scan(local, lambda x: x["at"])["all"], lambda x, head: F.transform(x["all"], lambda v: combine(head, v))))
+
+    return _let(F.concat(values, F.array(F.lit(0))), lambda longer: _let(F.transform(cut(longer), lambda c: scan(c, lambda x: x)), raised))
+
+
 def _places(text: Column, pattern: str) -> Column:
-    """array<struct<start, end>> of all matches, as offsets in characters."""
-    pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.zip_with(F.transform(F.slice(pieces, 1, F.size(matches)), lambda x: F.length(x)), F.transform(matches, lambda x: F.length(x)), lambda a, b: F.struct(a.alias("gap"), b.alias("size")))
-    none = F.expr("CAST(array() AS array<struct<start: int, end: int>>)")
+    """array<struct<start, end, value>> of all matches, as offsets in characters."""
 
-    def add(found: Column, x: Column) -> Column:
-        start = found["at"] + x["gap"]
-        end = start + x["size"]
-        return F.struct(end.alias("at"), F.concat(found["all"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("all"))
+    def placed(found: Column) -> Column:
+        matches = found["matches"]
+        gaps = F.transform(F.slice(found["pieces"], 1, F.size(matches)), lambda x: F.length(x))
+        starts = _before(F.zip_with(gaps, matches, lambda gap, value: gap + F.length(value)), lambda a, b: a + b)
+        starts = F.zip_with(F.slice(starts, 1, F.size(matches)), gaps, lambda a, b: a + b)
+        return F.zip_with(starts, matches, lambda start, value: F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value")))
 
-    return F.aggregate(sizes, F.struct(F.lit(0).alias("at"), none.alias("all")), add, lambda found: found["all"])
+    return _let(F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches")), placed)
 
 
 def _digits(value: Column) -> Column:
@@ -91,7 +118,9 @@ def _mentions(text: Column, kind: str) -> Column:
         marked = F.regexp_replace(F.translate(text, _JOINT, "\x03"), r"(?<=[0-9])[ -](?=[0-9])", _JOINT)
 
     def mention(p: Column) -> Column:
-        return F.struct(p["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), p["end"].alias("end"), F.substring(text, p["start"] + 1, p["end"] - p["start"]).alias("value"))
+        # a match holds marks only where there were characters that join parts; for a card one stands for any
+        value = F.translate(p["value"], _DOT + _JOINT, ". ") if kind in ("email", "card") else p["value"]
+        return F.struct(p["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), p["end"].alias("end"), value.alias("value"))
 
     none = F.expr("CAST(array() AS array<struct<start: int, kind: int, end: int, value: string>>)")
     found = F.filter(F.transform(_places(marked, PATTERNS[kind]), mention), lambda m: _valid(kind, m["value"]))
@@ -153,16 +182,18 @@ def disclosing_terms(mentions: DataFrame, scratch: Scratch, generalise: float, l
 
 def _term_places(text: Column, flags: Column) -> Column:
     """array<struct<start, kind, end, removed>> of all words whose codes are keys of flags."""
-    pieces, words = F.split(text, _WORD, -1), F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
-    steps = F.zip_with(F.transform(F.slice(pieces, 1, F.size(words)), lambda x: F.length(x)), words, lambda a, b: F.struct((a + F.length(b)).alias("step"), F.length(b).alias("size"), F.try_element_at(flags, _code(b)).alias("removed")))
-    none = F.expr("CAST(array() AS array<struct<start: int, kind: int, end: int, removed: boolean>>)")
+    found = F.transform(_places(text, _WORD), lambda w: F.struct(w["start"].alias("start"), F.lit(TERM).alias("kind"), w["end"].alias("end"), F.try_element_at(flags, _code(w["value"])).alias("removed")))
+    return F.filter(found, lambda w: w["removed"].isNotNull())
 
-    def add(found: Column, x: Column) -> Column:
-        end = found["at"] + x["step"]
-        one = F.struct((end - x["size"]).alias("start"), F.lit(TERM).alias("kind"), end.alias("end"), x["removed"].alias("removed"))
-        return F.struct(end.alias("at"), F.when(x["removed"].isNull(), found["all"]).otherwise(F.concat(found["all"], F.array(one))).alias("all"))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("all")), add, lambda found: found["all"])
+def _part(chunks: Column, start: Column, end: Column) -> Column:
+    """The characters of a text from start to end, from its chunks of TEXT_CHUNK characters: only those in reach are read."""
+    first, last = F.floor(start / TEXT_CHUNK).cast("int"), F.floor(end / TEXT_CHUNK).cast("int")
+    chunk = lambda k: F.coalesce(F.get(chunks, k), F.lit(""))
+    within = F.substring(chunk(first), start % TEXT_CHUNK + 1, end - start)
+    middle = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    across = F.concat(F.substring(chunk(first), start % TEXT_CHUNK + 1, F.lit(TEXT_CHUNK)), middle, F.substring(chunk(last), F.lit(1), end % TEXT_CHUNK))
+    return F.when(first == last, within).otherwise(across)
 
 
 def sanitised_spans(spark: SparkSession, documents: DataFrame, remove: float = 0.9, generalise: float = 0.75, least_texts: int = 2) -> DataFrame:
@@ -223,13 +254,17 @@ def sanitise(spark: SparkSession, documents: DataFrame) -> DataFrame:
     keyed = documents.select(F.struct("*").alias("row")).withColumn("key", F.xxhash64(F.col("row.doc_id").cast("long"), F.coalesce(text, F.lit("")), F.length(F.coalesce(text, F.lit("")))))
     joined = keyed.join(spans, F.col("key") == F.col("spans_key"), "left")
 
-    def add(done: Column, s: Column) -> Column:
-        inside = s["start"] < done["at"]
-        grown = F.when(inside, done["out"]).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, s["start"] - done["at"]), s["put"]))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), grown.alias("out"))
+    # what a span replaces starts where all spans before it end; spans within that are replaced with it
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TEXT_CHUNK}}}"), F.lit(0))
+    ended = _before(F.transform("put_spans", lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+
+    def cleaned(known: Column) -> Column:
+        told = F.zip_with("put_spans", F.slice(known["ended"], 1, F.size("put_spans")), lambda s, at: F.struct(s["start"].alias("start"), s["put"].alias("put"), at.alias("at")))
+        leads = F.filter(told, lambda s: s["start"] >= s["at"])
+        pieces = F.transform(leads, lambda s: F.concat(_part(known["chunks"], s["at"], s["start"]), s["put"]))
+        return F.concat(F.array_join(pieces, ""), _part(known["chunks"], F.element_at(known["ended"], -1), known["size"]))
 
-    rest = lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
-    clean = F.aggregate("put_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, rest)
+    clean = _let(F.struct(chunks.alias("chunks"), ended.alias("ended"), F.length(text).alias("size")), cleaned)
     out = joined.withColumn("new_text", F.when(F.col("put_spans").isNull(), text).otherwise(clean))
     columns = []
     for field in documents.schema:

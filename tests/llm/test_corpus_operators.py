@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -387,3 +388,52 @@ def test_every_operator_has_one_query():
     names = sorted(queries.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_spans_of_a_text_of_many_addresses(spark):
+    """Offsets are added up in time that doesn't grow with the square of the matches."""
+    n = 40000
+    text = "\n".join(f"user{i}@host{i % 977}.example.org 10.{i % 250}.{i % 7}.{i % 251} é" for i in range(n))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "a@b.c")], "doc_id long, text string").repartition(3)
+    began = time.monotonic()
+    rows = {r["doc_id"]: r["mentions"] for r in pii.base_mentions(docs.where("doc_id <> 2")).select("doc_id", "mentions").collect()}
+    assert time.monotonic() - began < 30  # 85 s for as many addresses where each match copied all before it
+    found = rows[1]
+    assert len(found) == 2 * n
+    assert all(text[m["start"] : m["end"]] == m["value"] for m in found[::97])
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark, docs.where("doc_id <> 2")).select("doc_id", "text").collect()}
+    assert clean[1].count("[EMAIL]") == clean[1].count("[IP]") == n and "@" not in clean[1] and clean[3] == "[EMAIL]"
+    assert clean[1] == "\n".join(["[EMAIL] [IP] é"] * n)
+
+
+def test_running_numbers(spark):
+    r = random.Random(1)
+    lists = [[], [5], *([r.randint(0, 99) for _ in range(k)] for k in (127, 128, 129, 700))]
+    frame_ = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<int>")
+    rows = frame_.select("i", pii._before(F.col("x"), lambda a, b: a + b).alias("s"), pii._before(F.col("x"), lambda a, b: F.greatest(a, b)).alias("m")).collect()
+    for row in rows:
+        x = lists[row["i"]]
+        assert row["s"] == [sum(x[:k]) for k in range(len(x) + 1)] and row["m"] == [max(x[:k], default=0) for k in range(len(x) + 1)]
+
+
+def test_parts_of_chunked_texts(spark):
+    r = random.Random(2)
+    text = "".join(r.choice("aé\U0001f600\n ") for _ in range(5000))
+    cuts = [(0, 0), (0, 5000), (1023, 1025), (1024, 2048), (5000, 5000), *((a, r.randint(a, 5000)) for a in (r.randrange(5000) for _ in range(60)))]
+    rows = spark.createDataFrame([(text, a, b) for a, b in cuts], "text string, a int, b int")
+    chunks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{pii.TEXT_CHUNK}}}"), F.lit(0))
+    assert all(x["p"] == text[x["a"] : x["b"]] for x in rows.select("a", "b", pii._part(chunks, F.col("a"), F.col("b")).alias("p")).collect())
+
+
+def test_a_hundred_thousand_equal_rows(spark):
+    """Repeated rows are one before sets or bins are made of them."""
+    text = " ".join(f"word{i * i % 911}" for i in range(120))
+    other = text.replace("word4 ", "wordx ")
+    docs = spark.range(100000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    docs = docs.union(spark.createDataFrame([(8, other), (9, "nothing like it")], docs.schema))
+    rows = near_duplicates.jaccard_classes(spark, docs).groupBy("doc_id", "class_id", "n_links").count().collect()
+    assert sorted(tuple(x) for x in rows) == [(7, 7, 100000, 100000), (8, 7, 100000, 1), (9, 9, 0, 1)]
+    found = repeats.digest_documents(spark, docs).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    whole = len(text.encode())
+    same = {x["doc_id"]: x for x in found}
+    assert len(found) == 3 and same[7]["count"] == 100000 and same[7]["n_removed"] == whole and same[9]["n_removed"] == 0
