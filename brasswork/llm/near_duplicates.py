@@ -263,7 +263,9 @@ def jaccard_classes(spark: SparkSession, documents: DataFrame, threshold: float
     meets = banded.join(heads.hint("merge"), F.col("band") == F.col("in_band")).where("rep <> head")
     edges = scratch.keep(_contracted(meets), "edges")
     planned = _planned(scratch, reps, edges, connected_components(scratch, edges, "candidates"))
-    texts = doc_texts(documents).select(row_key().alias("key"), "text").join(planned.hint("merge"), F.col("key") == F.col("rep")).select("rep", "copies", "block", "groups", "text")
+    # repeated rows share a key and are one from here on, so that no set is made or shipped twice
+    once = doc_texts(documents).select(row_key().alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
+    texts = once.join(planned.hint("merge"), F.col("key") == F.col("rep")).select("rep", "copies", "block", "groups", "text")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -275,7 +277,7 @@ def jaccard_classes(spark: SparkSession, documents: DataFrame, threshold: float
     sets = sets.select("rep", "copies", "block", "runs", "hashes", F.explode("groups").alias("pair")).select("rep", "copies", "block", "pair.low", "pair.high", "runs", "hashes")
 
     def verify(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("rep").sort_values("rep").reset_index(drop=True)  # repeated rows have one representative
+        frame = frame.sort_values("rep").reset_index(drop=True)
         sets_ = [np.frombuffer(r, np.uint64) for r in frame["runs"]]
         hashes = np.frombuffer(b"".join(frame["hashes"]), np.uint32).reshape(len(frame), -1)
         found = np.zeros((len(frame), len(frame)), bool)
