@@ -285,7 +285,9 @@ def repeated_intervals(spark: SparkSession, documents: DataFrame, length: int =
     whole = whole.select("key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
 
     listed = classes.groupBy(F.col("one.key").alias("span_key")).agg(F.collect_list(F.struct("one.first", "one.last", "one.anchor")).alias("spans"))
-    bins = scratch.keep(_bins(texts.join(listed, F.col("key") == F.col("span_key")).select("key", "text", "spans"), length), "bins")
+    # of repeated rows, whose spans are told above, one is cut to bins
+    once = texts.groupBy("key").agg(F.first("text").alias("text"))
+    bins = scratch.keep(_bins(once.join(listed, F.col("key") == F.col("span_key")).select("key", "text", "spans"), length), "bins")
     wholes = scratch.keep(bins.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "low")).alias("one")), "wholes")
     equal = wholes.where("n > 1").select(F.col("core").alias("c"), F.col("whole").alias("w"))
     binned = bins.join(equal, (F.col("core") == F.col("c")) & (F.col("whole") == F.col("w"))).select("key", F.col("low").alias("start"), (F.col("high") + length).alias("end"))
