@@ -26,9 +26,11 @@ from brasswork.llm.common import doc_texts, held_out, slices
 from brasswork.llm.linear import fit_logistic, sigmoid
 
 INSULT, THREAT, TARGET, NOT, SAYS, WORD = "insult", "threat", "target", "not", "says", "word"
-DENIED, QUOTED = "denied", "quoted"
+DENIED, QUOTED, AIMED = "denied", "quoted", "aimed"
 SYMBOLS = (INSULT, THREAT, TARGET, NOT, SAYS, WORD)
-MARKED = (*SYMBOLS, DENIED, QUOTED)
+MARKED = (*SYMBOLS, DENIED, QUOTED, AIMED)
+PRIOR = {INSULT: 2.0, THREAT: 1.5}  # weights of general words of which the sample tells nothing
+FULL = 4.0  # a clause of this weight counts as a whole one
 
 #: General English words of each symbol.
 GENERAL = {
@@ -68,12 +70,16 @@ def governed(opener: str, read: tuple[str, ...], written: str, reach: int, facto
 
 
 def directed(read: str, reach: int, boost: float) -> Transducer:
-    """A symbol near a target that stands before it counts more."""
+    """A symbol near a target counts more: with a factor if the target stands before it, and if it stands behind, that
+    target is written as AIMED with what the factor adds to the last weight.
+    """
+    number = {(t, r): (reach + 1) * r + t for t in range(reach + 1) for r in range(reach + 1)}  # symbols since a target, and since a symbol without one
     arcs: dict[tuple[int, str], tuple[int, str, float]] = {}
-    for state in range(reach + 1):
-        arcs[state, TARGET] = (reach, TARGET, 1.0)
-        arcs[state, read] = (max(0, state - 1), read, boost if state else 1.0)
-    return Transducer(arcs, {state: max(0, state - 1) for state in range(reach + 1)})
+    for (t, r), state in number.items():
+        arcs[state, TARGET] = (number[reach, 0], AIMED, boost - 1) if r else (number[reach, 0], TARGET, 1.0)
+        arcs[state, AIMED] = (number[reach, 0], AIMED, 1.0)
+        arcs[state, read] = (number[t - 1, 0], read, boost) if t else (number[0, reach], read, 1.0)
+    return Transducer(arcs, {state: number[max(0, t - 1), max(0, r - 1)] for (t, r), state in number.items()})
 
 
 def compose(first: Transducer, second: Transducer) -> Transducer:
@@ -154,12 +160,15 @@ class Model:
         return found
 
     def clause_weight(self, clause: str) -> float:
-        state, total = 0, 0.0
+        state, total, last = 0, 0.0, 0.0
         for match in _WORD.finditer(clause.replace("'", "").replace("’", "")):
             symbol, weight = self.entry(match[0])
             state, out, factor = self.machine.step(state, symbol)
             if weight and out in (INSULT, THREAT, DENIED, QUOTED):
                 total += weight * factor
+                last = weight * factor if out in PRIOR else last
+            elif out == AIMED:
+                total += last * factor
         return total
 
     def scored(self, text: str) -> tuple[float, int]:
@@ -172,8 +181,8 @@ class Model:
 
 
 def features(weights: list[float]) -> list[float]:
-    """Of a text's clause weights: the greatest, their sum, and their number, in which a weak clause counts for less than one. Each grows with every weight."""
-    return [max(weights, default=0.0), float(np.log1p(sum(weights))), float(np.log1p(sum(w / (w + 1) for w in weights)))]
+    """Of a text's clause weights: the greatest, their sum, and their number, in which a clause counts in proportion up to FULL. Each grows with every weight."""
+    return [max(weights, default=0.0), float(np.log1p(sum(weights))), float(np.log1p(sum(min(w / FULL, 1.0) for w in weights)))]
 
 
 STEM_LENGTHS = (4, 5, 6)
@@ -203,10 +212,27 @@ def _distinct(texts: list[tuple[list[str], list[int], int, int]]) -> list[tuple[
     return kept
 
 
+_SEEDS = {symbol: re.compile("|".join(words)) for symbol, words in GENERAL.items() if symbol in PRIOR}
+
+
+def _symbol(word: str, stem: bool, toxic: list[tuple[set[str], dict[str, list[str]]]]) -> str:
+    """What a learned entry is read as: as the general insults and threats are that stand in its toxic texts more often than in others; an insult if neither does.
+
+    toxic has the words of each toxic text, and those that begin with a general insult or threat.
+    """
+    own = [seeds for words, seeds in toxic if (any(w.startswith(word) for w in words) if stem else word in words)]
+    lift = {}
+    for symbol in PRIOR:
+        holds = lambda seeds, symbol=symbol: any(not w.startswith(word) for w in seeds[symbol])
+        inside, all_ = sum(map(holds, own)), sum(holds(seeds) for _, seeds in toxic)
+        lift[symbol] = (inside + 0.5) / (len(own) + 1) / ((all_ + 0.5) / (len(toxic) + 1)) if inside else 0.0
+    return THREAT if lift[THREAT] > lift[INSULT] else INSULT
+
+
 def learn_lexicon(texts: list[tuple[set[str], int]], least: int = 6, ratio: float = 3.5) -> dict[str, tuple[str, float, bool]]:
     """Words and beginnings whose share among toxic texts is far higher; weights are log ratios, at most 6."""
     n = Counter(label for _, label in texts)
-    lexicon = {w: (symbol, 1.0 if symbol in (INSULT, THREAT) else 0.0, False) for symbol, words in GENERAL.items() for w in words}
+    lexicon = {w: (symbol, PRIOR.get(symbol, 0.0), False) for symbol, words in GENERAL.items() for w in words}
     if not n[1] or not n[0]:
         return lexicon
     counts = {0: Counter(), 1: Counter()}
@@ -215,17 +241,22 @@ def learn_lexicon(texts: list[tuple[set[str], int]], least: int = 6, ratio: floa
         counts[label].update(stems | {(w, False) for w in words})
     weight = lambda key: float(np.log((counts[1][key] + 0.5) / (n[1] + 1)) - np.log((counts[0][key] + 0.5) / (n[0] + 1)))
     strong = {key: weight(key) for key, k in counts[1].items() if k >= least and weight(key) >= ratio}
+    toxic = [(words, {symbol: [w for w in words if seed.match(w)] for symbol, seed in _SEEDS.items()}) for words, label in texts if label]
     for (word, stem), w in sorted(strong.items(), key=lambda x: (not x[0][1], x[0])):
-        if word in lexicon and lexicon[word][0] in (TARGET, NOT, SAYS):
+        if word in lexicon:
             continue
         if not stem and any(strong.get((word[:k], True)) for k in STEM_LENGTHS):
             continue
         if stem and any(strong.get((word[:k], True)) for k in STEM_LENGTHS if k < len(word)):
             continue
-        lexicon[word] = (INSULT, min(6.0, w), stem)
-    for word in [w for w, (symbol, _, _) in lexicon.items() if symbol in (INSULT, THREAT)]:  # general words that say nothing here
-        if counts[0][word, False] >= least and weight((word, False)) < 1:
-            lexicon[word] = (lexicon[word][0], 0.1, False)
+        lexicon[word] = (_symbol(word, stem, toxic), min(6.0, w), stem)
+    for word, (symbol, own, _) in list(lexicon.items()):  # general words: what the sample says of them or of their beginnings, or that they say nothing here
+        if symbol in PRIOR and word in GENERAL[symbol]:
+            told = [strong[key] for key in ((word, False), *((word[:k], True) for k in STEM_LENGTHS)) if key in strong]
+            if told:
+                lexicon[word] = (symbol, min(6.0, max(own, *told)), False)
+            elif counts[0][word, False] >= least and weight((word, False)) < 1:
+                lexicon[word] = (symbol, 0.1, False)
     return lexicon
 
 
@@ -253,7 +284,7 @@ def fit_sample(sample: DataFrame) -> Model:
     """From rows of text and label. Each of FOLDS parts of the distinct texts is weighed by the clauses that the lexicon of the others finds; then the lexicon is learned from all.
 
     Coefficients of clause features aren't negative, so that a clause can only add to a score and what the grammar takes
-    from a denied or quoted one always lowers it. Learned entries are read as insults. Without two classes a fixed model is used.
+    from a denied or quoted one always lowers it. A learned entry is read as what the general words beside it are. Without two classes a fixed model is used.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

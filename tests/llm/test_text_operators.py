@@ -194,17 +194,22 @@ def brute_score(model, text):
     ]
     weights = []
     for clause in re.split(r"[.!?;:\n]", text.lower()):
-        states, total = [0] * 4, 0.0
+        states, total, last = [0] * 4, 0.0, 0.0
         for word in re.findall(r"\w+", clause.replace("'", "")):
             stems = [word[:n] for n in range(min(len(word), 6), 3, -1) if model.lexicon.get(word[:n], ("", 0, False))[2]]
             symbol, weight = model.lexicon[word][:2] if word in model.lexicon else model.lexicon[stems[0]][:2] if stems else (toxicity.WORD, 0.0)
+            factors = 1.0
             for i, machine in enumerate(chain):
                 states[i], symbol, factor = machine.step(states[i], symbol)
-                weight *= factor
-            total += weight if symbol in (*kinds, toxicity.DENIED, toxicity.QUOTED) else 0.0
+                factors *= factor
+            if weight and symbol in (*kinds, toxicity.DENIED, toxicity.QUOTED):
+                total += weight * factors
+                last = weight * factors if symbol in kinds else last
+            if symbol == toxicity.AIMED:
+                total += last * factors
         if total:
             weights.append(total)
-    x = [max(weights, default=0.0), np.log1p(sum(weights)), np.log1p(sum(w / (w + 1) for w in weights))]
+    x = [max(weights, default=0.0), np.log1p(sum(weights)), np.log1p(sum(min(w / 4, 1) for w in weights))]
     return 1 / (1 + np.exp(-(model.coefficients[:-1] @ x + model.coefficients[-1])))
 
 
@@ -221,6 +226,25 @@ def test_fitted_toxicity_follows_the_grammar(spark, labelled):
         assert np.isclose(model.score(text), brute_score(model, text), atol=1e-12)
 
 
+def test_general_words_take_what_their_beginnings_weigh():
+    texts = [({"idiots", "walk", f"x{i}"}, 1) for i in range(30)] + [({"walk", f"y{i}"}, 0) for i in range(300)]
+    lexicon = toxicity.learn_lexicon(texts)
+    assert lexicon["idiot"][:2] == lexicon["idio"][:2] and lexicon["idiot"][1] > 3 and not lexicon["idiot"][2]
+    assert lexicon["moron"][1] == toxicity.PRIOR[toxicity.INSULT]
+
+
+def test_learned_entries_are_read_as_their_neighbours():
+    texts = [({"kill", "vorkel", f"x{i}"}, 1) for i in range(20)] + [({"idiot", "mudge", f"z{i}"}, 1) for i in range(20)] + [({"walk", f"y{i}"}, 0) for i in range(400)]
+    lexicon = toxicity.learn_lexicon(texts)
+    assert lexicon["vork"][0] == toxicity.THREAT and lexicon["mudg"][0] == toxicity.INSULT and lexicon["kill"][0] == toxicity.THREAT
+
+
+def test_targets_before_and_behind():
+    model = toxicity.Model({"kill": (toxicity.THREAT, 1.5, False), "idiot": (toxicity.INSULT, 2.0, False), "you": (toxicity.TARGET, 0.0, False), "not": (toxicity.NOT, 0.0, False)}, np.zeros(4))
+    told = {c: model.clause_weight(c) for c in ("kill", "you kill", "i will kill you", "i will not kill you", "kill a b c d e you", "idiot you", "you idiot", "kill not idiot you")}
+    assert told == pytest.approx({"kill": 1.5, "you kill": 3.0, "i will kill you": 3.0, "i will not kill you": 0.45, "kill a b c d e you": 1.5, "idiot you": 3.0, "you idiot": 3.0, "kill not idiot you": 1.5 + 0.6 + 1.5})
+
+
 def test_positive_logistic_drops_what_would_be_negative():
     r = np.random.default_rng(3)
     x = r.normal(size=(400, 3))
