@@ -77,3 +77,13 @@ def basket_products(sales: DataFrame, least: int = 2) -> DataFrame:
     """transaction_id, products (their distinct products in order), n: of baskets of at least so many."""
     own = sales.groupBy("transaction_id").agg(F.array_sort(F.collect_set("product_id")).alias("products"))
     return own.withColumn("n", F.size("products")).where(F.col("n") >= least)
+
+
+def look(frame: DataFrame, days: Sequence[str] = (), head: int = 5) -> dict[str, object]:
+    """A first look at a table: rows, columns with their kinds, the first rows as texts, and first and last of the given days.
+
+    One aggregation, and a read of `head` rows.
+    """
+    found = frame.agg(F.count("*").alias("rows"), *[f(c).cast("string").alias(f"{n}_{c}") for c in days for n, f in (("first", F.min), ("last", F.max))]).first()
+    rows = [[None if v is None else str(v) for v in row] for row in frame.limit(head).collect()]
+    return {"rows": found["rows"], "columns": dict(frame.dtypes), "head": rows, "days": {c: (found[f"first_{c}"], found[f"last_{c}"]) for c in days}}

@@ -42,6 +42,14 @@ def poisson_safety(mean: float, cr: float | None) -> float:
     return max(poisson_quantile(cr, max(mean, 1e-9)) - mean, 0.0)
 
 
+def poisson_safety_stock(demand: DataFrame, mean: str, cr: float | None) -> DataFrame:
+    """demand with target and safety: the least stock that meets a mean's Poisson demand with the critical ratio's probability, and what it is beyond the mean."""
+    if cr is None:
+        raise ValueError("a critical ratio is needed")
+    told = poisson_reorder(F.col(mean), F.lit(0.0), 1.0, cr)
+    return demand.withColumn("told_", told).select(*demand.columns, F.col("told_.target").cast("long").alias("target"), F.round("told_.safety", 6).alias("safety"))
+
+
 def pair_demand(panel: DataFrame, forecast: float | DataFrame, recent: int = 8) -> DataFrame:
     """Each pair's part of a pooled weekly forecast, by its share of all history, with mean and deviation of its last weeks (0 if there is one).
 

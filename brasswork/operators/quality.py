@@ -167,6 +167,21 @@ def contract_report(frame: DataFrame, columns: Sequence[str], rules: dict[str, C
     return {"rows": n, "missing": [], "further": further, "breaches": broken, "valid": not broken and not further}
 
 
+def contract_rows(frame: DataFrame, columns: Sequence[str], rules: dict[str, Column]) -> DataFrame:
+    """finding, rows, holds: what a contract finds as a table. Columns that are missing or not of the contract, nulls by column, and breaches by rule.
+
+    Rows are counted in one pass; a missing column counts all rows, and rules wait until none is missing.
+    """
+    missing, further = [c for c in columns if c not in frame.columns], [c for c in frame.columns if c not in columns]
+    counts = {f"missing {c}": F.lit(True) for c in missing} | {f"further {c}": F.lit(False) for c in further}
+    counts |= {f"null {c}": F.col(c).isNull() for c in columns if c not in NULLABLE and c not in missing}
+    counts |= {} if missing else rules
+    found = frame.agg(F.count("*").alias("rows_"), *[count_if(when).alias(f"f{i}") for i, when in enumerate(counts.values())])
+    each = [F.struct(F.lit(name).alias("finding"), F.col(f"f{i}").cast("long").alias("rows"), ((F.col(f"f{i}") == 0) & (not name.startswith(("missing", "further")))).alias("holds")) for i, name in enumerate(counts)]
+    whole = F.struct(F.lit("rows").alias("finding"), F.col("rows_").alias("rows"), F.lit(True).alias("holds"))
+    return found.select(F.inline(F.array(whole, *each)))
+
+
 def weekday_balance(frame: DataFrame, day: str) -> DataFrame:
     """weekday, rows, share, chi: each weekday's part of the chi-square statistic against an even week."""
     counted = frame.groupBy(weekday_name(F.col(day)).alias("weekday")).agg(F.count("*").alias("rows"))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brasswork.functions.numbers import ratio
+from brasswork.operators.ranges import quantiles
 from brasswork.session import cut
 
 CLUSTER_FEATURES = ("recency_days", "frequency", "monetary", "units", "categories", "promo_share", "mean_discount_pct", "online_share", "avg_basket_value")
@@ -129,28 +130,66 @@ def against_population(frame: DataFrame, group: str, name: str, columns: Sequenc
     return tall.groupBy("feature").agg(F.round(F.median(F.when(F.col("group_") == name, F.col("x"))), 6).alias("segment_median"), F.round(F.median("x"), 6).alias("population_median"))
 
 
-#: Percentiles that count as high and low, days, and multiples of the population's median basket; and, in
-#: name_segments, the labels and the order in which they are tried.
+#: Percentiles that count as high and low, days, multiples of the population's median basket, and shares from
+#: which a trait holds; and, in name_segments, the labels and the order in which they are tried.
 HIGH, LOW = 0.70, 0.30
 LOYAL_DAYS, AT_RISK_DAYS = 60, 180
 BULK = 1.5
+HEAVY, IN_STORE, WORTH_NAMING = 0.25, 0.10, 0.5
+RANK_WORDS = ("highest", "high", "mid", "low", "lowest")
+AXES = {"online share": "online_share", "promo share": "promo_share", "frequency": "visits", "recency": "recency", "monetary": "spend"}
 
 
-def name_segments(frame: DataFrame, group: str = "cluster") -> DataFrame:
-    """group, customers, medians and segment: the name of each cluster by its medians against the population's percentiles.
+def group_quantiles(frame: DataFrame, group: str, columns: Mapping[str, Column], at: Sequence[float]) -> DataFrame:
+    """group_, feature, quantiles (in the order of `at`): of each group, and of all rows where group_ is null.
+
+    Told from how often each value occurs, so no task holds the values of a group.
+    """
+    both = F.explode(F.array(F.col(group), F.lit(None))).alias("group_")
+    tall = frame.select(F.col(group), *[c.cast("double").alias(n) for n, c in columns.items()]).select(both, *columns).unpivot(["group_"], list(columns), "feature", "x")
+    counted = tall.where("x is not null").groupBy("group_", "feature", "x").agg(F.count("*").alias("n"))
+    return quantiles(counted, ["group_", "feature"], "x", "n", at)
+
+
+def told_apart(named: DataFrame, group: str) -> DataFrame:
+    """trait, axis and segment for rows of one cluster each with name_: the name alone, or for clusters that share one, the
+    name with a trait of the cluster's own and its rank along the axis on which those clusters lie farthest apart.
 
-    Of clusters that get one name, all but the first by spend get a number behind it. Two aggregations, and joins of a
-    row for each cluster.
+    Ranks differ within a name, so names do. The rank words follow the values: the largest is the highest.
+    """
+    same = Window.partitionBy("name_")  # a row for each cluster
+    spread = F.array(*[F.struct((F.max(c).over(same) - F.min(c).over(same)).alias("width"), F.lit(-k).alias("place"), F.lit(n).alias("axis")) for k, (n, c) in enumerate(AXES.items())])
+    gap = lambda value, usual: F.abs(F.col(value) - F.col(usual)) / F.when(F.abs(F.col(usual)) > 1e-9, F.abs(F.col(usual))).otherwise(1.0)
+    often, promo = gap("visits", "usual_visits"), gap("promo_share", "usual_promo")
+    by_gap = F.when(F.greatest(often, promo) <= WORTH_NAMING, "mixed").when(
+        often >= promo, F.when(F.col("visits") >= F.col("usual_visits"), "high-frequency").otherwise("low-frequency")
+    ).otherwise(F.when(F.col("promo_share") >= F.col("usual_promo"), "promo-driven").otherwise("rarely-promoted"))
+    trait = F.when(F.col("online_share") >= HEAVY, "online-heavy").when(F.col("online_share") <= IN_STORE, "in-store").when(F.col("promo_share") >= HEAVY, "promo-driven").otherwise(by_gap)
+    out = named.withColumns({"tied_": F.count("*").over(same) > 1, "axis": F.array_max(spread)["axis"]})
+    along = F.coalesce(*[F.when(F.col("axis") == n, F.col(c).cast("double")) for n, c in AXES.items()])
+    out = out.withColumn("along_", along).withColumn("rank_", F.row_number().over(same.orderBy(F.desc("along_"), group)))
+    word = F.coalesce(F.get(F.array(*map(F.lit, RANK_WORDS)), F.col("rank_") - 1), F.concat(F.lit("#"), F.col("rank_")))
+    out = out.withColumns({"trait": F.when(F.col("tied_"), trait), "axis": F.when(F.col("tied_"), F.col("axis"))})
+    label = F.concat(F.col("name_"), F.lit(" ("), F.col("trait"), F.lit(", "), F.col("axis"), F.lit(" "), word, F.lit(")"))
+    return out.withColumn("segment", F.coalesce(label, F.col("name_"))).drop("tied_", "along_", "rank_")
+
+
+def name_segments(frame: DataFrame, group: str = "cluster") -> DataFrame:
+    """group, customers, medians, shares, trait, axis and segment: the name of each cluster by its medians against the
+    population's percentiles; see told_apart for clusters that get one name.
     """
-    basket = ratio(F.col("monetary").cast("double"), F.col("frequency"))
-    bounds = frame.agg(
-        F.percentile("monetary", HIGH).alias("spend_high"), F.percentile("monetary", LOW).alias("spend_low"), F.percentile("frequency", HIGH).alias("often"), F.percentile("frequency", LOW).alias("seldom"),
-        F.coalesce(F.median(F.when(F.col("frequency") > 0, basket)), F.lit(0.0)).alias("usual_basket"),
+    basket = F.when(F.col("frequency") > 0, ratio(F.col("monetary").cast("double"), F.col("frequency")))
+    measures = {"recency": F.col("recency_days"), "visits": F.col("frequency"), "spend": F.col("monetary"), "basket": basket, "promo": F.col("promo_share")}
+    found = cut(group_quantiles(frame, group, measures, (LOW, 0.5, HIGH)))
+    low, mid, high = (F.col("quantiles")[k] for k in range(3))
+    take = lambda feature, value: F.max(F.when(F.col("feature") == feature, value))
+    bounds = found.where("group_ is null").agg(
+        take("spend", high).alias("spend_high"), take("spend", low).alias("spend_low"), take("visits", high).alias("often"), take("visits", low).alias("seldom"),
+        F.coalesce(take("basket", mid), F.lit(0.0)).alias("usual_basket"), take("visits", mid).alias("usual_visits"), take("promo", mid).alias("usual_promo"),
     )
-    rows = frame.groupBy(group).agg(
-        F.count("*").alias("customers"), F.median("recency_days").alias("recency"), F.median("frequency").alias("visits"), F.median("monetary").alias("spend"),
-        F.avg("online_share").alias("online_share"), F.avg("promo_share").alias("promo_share"),
-    ).crossJoin(F.broadcast(bounds))
+    medians = found.where("group_ is not null").groupBy("group_").agg(*[take(c, mid).alias(c) for c in ("recency", "visits", "spend")])
+    rows = frame.groupBy(group).agg(F.count("*").alias("customers"), F.avg("online_share").alias("online_share"), F.avg("promo_share").alias("promo_share"))
+    rows = rows.join(medians, F.col(group) == F.col("group_")).crossJoin(F.broadcast(bounds))  # one row
     spend, visits, recency = F.col("spend"), F.col("visits"), F.col("recency")
     lasting = spend >= F.col("spend_low")
     rules = [
@@ -163,7 +202,5 @@ def name_segments(frame: DataFrame, group: str = "cluster") -> DataFrame:
         (spend <= F.col("spend_low"), "Low spend"),
     ]
     name = F.coalesce(*[F.when(condition, label) for condition, label in rules], F.lit("Occasional buyers"))
-    place = F.row_number().over(Window.partitionBy("name_").orderBy(F.desc("spend"), group))  # a row for each cluster
-    named = rows.withColumn("name_", name).withColumn("place_", place)
-    label = F.when(F.col("place_") == 1, F.col("name_")).otherwise(F.concat_ws(" ", "name_", "place_"))
-    return named.select(group, "customers", "recency", "visits", "spend", F.round("online_share", 4).alias("online_share"), F.round("promo_share", 4).alias("promo_share"), label.alias("segment"))
+    named = told_apart(rows.withColumn("name_", name), group)
+    return named.select(group, "customers", "recency", "visits", "spend", F.round("online_share", 4).alias("online_share"), F.round("promo_share", 4).alias("promo_share"), "trait", "axis", "segment")

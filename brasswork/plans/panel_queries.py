@@ -275,12 +275,18 @@ register("inventory_replay", lambda s, d: I.replay(panel(s, d)).select(*[F.round
 register("replay_reduction", lambda s, d: I.error_reduction(I.replay(panel(s, d))), f"{_POLICIES}, b AS (SELECT error AS base FROM errors WHERE policy = 'mean'), r AS (SELECT policy, round(error, 2) AS error, CASE WHEN base = 0 THEN 0.0 ELSE round(100 * (base - errors.error) / nullif(base, 0), 2) END AS reduction_pct FROM errors, b) SELECT *, reduction_pct BETWEEN 25 AND 40 AS meets_target FROM r")
 register("replay_policy_totals", lambda s, d: I.policy_totals(I.replay(panel(s, d))), f"{_POLICIES} SELECT policy, round(sum(overstock_units), 2) AS overstock, round(sum(understock_units), 2) AS understock, count(*) AS weeks FROM replayed GROUP BY 1")
 _NAMED = """b AS (SELECT quantile_cont(monetary, 0.7) AS spend_high, quantile_cont(monetary, 0.3) AS spend_low, quantile_cont(frequency, 0.7) AS often, quantile_cont(frequency, 0.3) AS seldom, coalesce(median(monetary / frequency) FILTER (frequency > 0), 0) AS usual FROM k),
-g AS (SELECT cluster, count(*) AS customers, median(recency_days) AS recency, median(frequency) AS visits, median(monetary) AS spend, round(avg(online_share), 4) AS online_share, round(avg(promo_share), 4) AS promo_share, avg(promo_share) AS p FROM k GROUP BY 1),
+g AS (SELECT cluster, count(*) AS customers, median(recency_days) AS recency, median(frequency) AS visits, median(monetary) AS spend, avg(online_share) AS online_share, avg(promo_share) AS promo_share, avg(promo_share) AS p FROM k GROUP BY 1),
 n AS (SELECT g.*, CASE WHEN recency >= 180 THEN CASE WHEN spend >= spend_low THEN 'Lapsed high value' ELSE 'Dormant' END WHEN recency >= 60 THEN CASE WHEN spend >= spend_low THEN 'At risk loyal' ELSE 'At risk' END
   WHEN spend >= spend_high AND visits >= often THEN 'Champions' WHEN spend <= spend_low AND visits <= seldom THEN 'One and done' WHEN spend / greatest(visits, 1) >= 1.5 * usual THEN 'Bulk buyers'
   WHEN visits >= often THEN CASE WHEN p > 0 THEN 'Loyal discount seekers' ELSE 'Frequent small baskets' END WHEN spend <= spend_low THEN 'Low spend' ELSE 'Occasional buyers' END AS name FROM g, b)"""
-register("named_segments", lambda s, d: S.name_segments(_active(s, d).withColumn("cluster", (F.col("customer_id") % 5).cast("int"))).select("cluster", "customers", "recency", "visits", "segment"), f"""{_ONE}, k AS (SELECT *, CAST(customer_id % 5 AS INT) AS cluster FROM act), {_NAMED}
-SELECT cluster, customers, recency, visits, CASE WHEN row_number() OVER w = 1 THEN name ELSE name || ' ' || row_number() OVER w END AS segment FROM n WINDOW w AS (PARTITION BY name ORDER BY spend DESC, cluster)""")
+_TIED = """u AS (SELECT median(frequency) AS uv, median(promo_share) AS up FROM k),
+t AS (SELECT *, count(*) OVER w > 1 AS tied, [max(online_share) OVER w - min(online_share) OVER w, max(promo_share) OVER w - min(promo_share) OVER w, max(visits) OVER w - min(visits) OVER w, max(recency) OVER w - min(recency) OVER w, max(spend) OVER w - min(spend) OVER w] AS widths FROM n WINDOW w AS (PARTITION BY name)),
+x AS (SELECT *, list_position(widths, list_max(widths)) AS a, abs(visits - uv) / CASE WHEN abs(uv) > 1e-9 THEN abs(uv) ELSE 1 END AS gv, abs(promo_share - up) / CASE WHEN abs(up) > 1e-9 THEN abs(up) ELSE 1 END AS gp FROM t, u),
+y AS (SELECT *, ['online share', 'promo share', 'frequency', 'recency', 'monetary'][a] AS axis_, CASE WHEN online_share >= 0.25 THEN 'online-heavy' WHEN online_share <= 0.1 THEN 'in-store' WHEN promo_share >= 0.25 THEN 'promo-driven' WHEN greatest(gv, gp) <= 0.5 THEN 'mixed'
+  WHEN gv >= gp THEN CASE WHEN visits >= uv THEN 'high-frequency' ELSE 'low-frequency' END WHEN promo_share >= up THEN 'promo-driven' ELSE 'rarely-promoted' END AS trait_, [online_share, promo_share, visits, recency, spend][a] AS along FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY along DESC, cluster) AS r FROM y)"""
+register("named_segments", lambda s, d: S.name_segments(_active(s, d).withColumn("cluster", (F.col("customer_id") % 5).cast("int"))).select("cluster", "customers", "recency", "visits", "trait", "axis", "segment"), f"""{_ONE}, k AS (SELECT *, CAST(customer_id % 5 AS INT) AS cluster FROM act), {_NAMED}, {_TIED}
+SELECT cluster, customers, recency, visits, CASE WHEN tied THEN trait_ END AS trait, CASE WHEN tied THEN axis_ END AS axis, CASE WHEN tied THEN name || ' (' || trait_ || ', ' || axis_ || ' ' || coalesce(['highest', 'high', 'mid', 'low', 'lowest'][r], '#' || r) || ')' ELSE name END AS segment FROM z""")
 register("kmeans_segments", lambda s, d: S.profiles(S.fit_clusters(_active(s, d), k=6), "cluster", ["recency_days", "frequency", "monetary"]))
 
 

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from brasswork.operators import checks as K
 from brasswork.operators import describe as E
 from brasswork.operators import drift as D
 from brasswork.operators import lookups as L
 from brasswork.operators import quality as Q
 from brasswork.operators import rollup as R
 from brasswork.operators import windows as W
-from brasswork.plans.panel_queries import DATES, _orders, _snaps, snapshots
+from brasswork.operators import forecast as P
+from brasswork.operators import inventory as I  # noqa: E741
+from brasswork.plans.panel_queries import _CR, _METRICS, _SERIES, DATES, _orders, _poisson_sql, _snaps, _weekly_total, snapshots
 from brasswork.plans.registry import register
 from brasswork.plans.rollup_queries import PANEL, WITH
 from brasswork.sources.star import panel, sales, table, with_calendar
@@ -47,3 +50,52 @@ register("event_properties", lambda s, d: E.json_field(table(s, d, "events"), "p
 register("regions_as_json", lambda s, d: E.as_json(table(s, d, "region").select("r_regionkey", "r_name")), "SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS json FROM region")
 register("bound_filter", lambda s, d: L.filtered(table(s, d, "orders"), "o_orderstatus = :status AND o_totalprice >= :least", {"status": "F", "least": 1000.0}).groupBy("o_orderpriority").agg(F.count("*").alias("n")), "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 1000 GROUP BY 1")
 register("rank_by_spend", lambda s, d: W.global_rank(sales(s, d).groupBy("customer_id").agg(F.sum("sales_amount").cast("double").alias("spend")), "spend", "customer_id", "rank"), f"{WITH}, g AS (SELECT customer_id, CAST(sum(sales_amount) AS DOUBLE) AS spend FROM sales GROUP BY 1) SELECT *, row_number() OVER (ORDER BY spend, customer_id) AS rank FROM g")
+
+_CHECKS = f"""{WITH}, d AS (SELECT date AS day, count(*) AS lines, sum(quantity_sold) AS units, sum(is_promotion) AS promo FROM sales GROUP BY 1),
+wk AS (SELECT avg(units) FILTER (isodow(day) = 6) / avg(units) FILTER (isodow(day) = 1) AS sat, avg(units) FILTER (isodow(day) = 7) / avg(units) FILTER (isodow(day) = 1) AS sun FROM d),
+mo AS (SELECT date_trunc('month', day) AS m, avg(units) AS mean FROM d GROUP BY 1), yr AS (SELECT max(mean) / min(mean) AS peak, avg(mean) FILTER (month(m) IN (10, 11)) / avg(mean) FILTER (month(m) IN (5, 6, 7)) AS festive FROM mo),
+cd AS (SELECT *, promo >= 0.95 * lines AS campaign FROM d), cs AS (SELECT avg(promo / lines) FILTER (campaign) / avg(promo / lines) FILTER (NOT campaign) AS share FROM cd),
+cw AS (SELECT avg(units) FILTER (campaign) / avg(units) FILTER (NOT campaign) AS x FROM cd GROUP BY isodow(day)), cl AS (SELECT avg(x) AS lift FROM cw),
+mx AS (SELECT month(date) AS m, product_category AS c, sum(quantity_sold) AS u FROM sales GROUP BY ALL), sh AS (SELECT c, u / sum(u) OVER (PARTITION BY m) AS share FROM mx), sw AS (SELECT max(x) AS swing FROM (SELECT max(share) / min(share) AS x FROM sh GROUP BY c)),
+bs AS (SELECT count(*) AS size FROM sales GROUP BY transaction_id), hs AS (SELECT size, count(*) AS n FROM bs GROUP BY 1), tp AS (SELECT size AS mode FROM hs ORDER BY n DESC, size LIMIT 1),
+hr AS (SELECT unnest(range((SELECT mode FROM tp), (SELECT max(size) FROM hs) + 1)) AS place), hd AS (SELECT place, coalesce(n, 0) AS n FROM hr LEFT JOIN hs ON hs.size = place),
+hl AS (SELECT *, min(n) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM hd), va AS (SELECT greatest(0, coalesce(max(1 - low / n) FILTER (n >= 0.005 * (SELECT count(*) FROM bs) AND place > (SELECT mode FROM tp)), 0)) AS valley FROM hl),
+bt AS (SELECT quantile_cont(CAST(size AS DOUBLE), 0.99) / quantile_cont(CAST(size AS DOUBLE), 0.9) AS tail, count(*) FILTER (size = 1) / count(*) AS single FROM bs),
+cu AS (SELECT count(DISTINCT transaction_id) AS k FROM sales GROUP BY customer_id), rc AS (SELECT count(*) FILTER (k > 1) / count(*) AS repeat, median(CAST(k AS DOUBLE)) AS middle FROM cu),
+pk AS (SELECT {", ".join(f"4 * count(*) FILTER (quantity_sold = {p}) / nullif(count(*) FILTER (quantity_sold IN ({p - 2}, {p - 1}, {p + 1}, {p + 2})), 0) AS p{p}" for p in K.PACKS)}, count(*) FILTER (quantity_sold = 0) / count(*) AS lost FROM sales),
+v AS (SELECT unnest([{", ".join(f"'{k}'" for k in K.BOUNDS)}]) AS measure, unnest([{", ".join(f"{b}::DOUBLE" for b in K.BOUNDS.values())}]) AS bound,
+  unnest([round(sat, 6), round(sun, 6), round(peak, 6), round(festive, 6), round(share, 6), round(lift, 6), round(swing, 6), round(valley, 6), round(tail, 6), round(single, 6), round(p6, 6), round(p12, 6), round(p24, 6), round(lost, 6), round(repeat, 6), middle]) AS value FROM wk, yr, cs, cl, sw, va, bt, rc, pk)
+SELECT measure, value, bound, CASE WHEN measure = 'lost_lines' THEN value > bound ELSE value >= bound END AS holds FROM v"""
+register("statistical_checks", lambda s, d: K.statistical_checks(sales(s, d), F.col("promo") >= 0.95 * F.col("lines")), _CHECKS)
+
+_SIMPLE_TOTAL = f"""{_SERIES}, h AS (SELECT unnest([1, 2, 4]) AS horizon), e AS (SELECT *, max(t) OVER () AS last FROM w), b AS (SELECT horizon, avg(y) FILTER (t > last - horizon - 4 AND t <= last - horizon) AS recent_mean, max(y) FILTER (t = last - horizon) AS last_value FROM e, h GROUP BY ALL),
+p AS (SELECT b.horizon, e.y, s.y AS seasonal_naive, b.last_value, b.recent_mean FROM e JOIN b ON e.t > e.last - b.horizon JOIN w s ON s.t = e.t - 52),
+j AS (SELECT horizon, y, 'seasonal_naive' AS model, seasonal_naive AS f FROM p UNION ALL SELECT horizon, y, 'last_value', last_value FROM p UNION ALL SELECT horizon, y, 'recent_mean', recent_mean FROM p), scores AS (SELECT model, horizon, {_METRICS} FROM j GROUP BY ALL)"""
+
+
+def _chosen(s, d):
+    chosen = s.createDataFrame([(1, "recent_mean")], "horizon int, model string")
+    return L.chosen_or_best(P.simple_holdout(_weekly_total(s, d)), chosen).select("horizon", "model", "wape")
+
+
+register("chosen_or_best", _chosen, f"{_SIMPLE_TOTAL} SELECT horizon, model, wape FROM scores QUALIFY CASE WHEN horizon = 1 THEN model = 'recent_mean' ELSE row_number() OVER (PARTITION BY horizon ORDER BY wape, model) = 1 END")
+
+
+def _aligned(s, d):
+    """Weeks beside their seasonal naive forecast, and forecasts of weeks to come."""
+    series = _weekly_total(s, d).select("t", "y")
+    return L.aligned(series, series.select((F.col("t") + 52).alias("t"), F.col("y").alias("f")), "t")
+
+
+register("aligned_forecast", _aligned, f"{_SERIES} SELECT CAST(coalesce(a.t, b.t) AS INT) AS t, a.y, b.y AS f FROM w a FULL JOIN (SELECT t + 52 AS t, y FROM w) b ON a.t = b.t")
+register("poisson_safety", lambda s, d: I.poisson_safety_stock(panel(s, d).groupBy("store_id", "product_category").agg(F.round(F.avg("units_sold"), 8).alias("mean")), "mean", _CR), f"{PANEL}, g AS (SELECT store_id, product_category, round(avg(units_sold), 8) AS mean FROM panel GROUP BY 1, 2) SELECT store_id, product_category, mean, target, round(greatest(target - mean, 0), 6) AS safety FROM g JOIN {_poisson_sql('g', 'store_id, product_category', 'mean')} t USING (store_id, product_category)")
+_CONTRACT = ("date", "customer_id", "store_id", "quantity_sold", "unit_price", "discount", "promotion", "sales_amount")
+
+
+def _contract(s, d):
+    lines = sales(s, d).select(*_CONTRACT, "is_promotion", "channel")
+    rules = {k: v for k, v in Q.sales_rules().items() if k in ("sales_amount", "discount_over_price", "negative_quantity")}
+    return Q.contract_rows(lines, _CONTRACT, rules)
+
+
+register("contract_report", _contract, f"{WITH} SELECT unnest(['rows', 'further is_promotion', 'further channel', {', '.join(f"'null {c}'" for c in _CONTRACT if c != 'promotion')}, 'sales_amount', 'discount_over_price', 'negative_quantity']) AS finding, unnest([count(*), 0, 0, {', '.join(f'count(*) FILTER ({c} IS NULL)' for c in _CONTRACT if c != 'promotion')}, {', '.join(f'count(*) FILTER ({_RULES[k]})' for k in ('sales_amount', 'discount_over_price', 'negative_quantity'))}]) AS rows, unnest([TRUE, FALSE, FALSE, {', '.join(f'count(*) FILTER ({c} IS NULL) = 0' for c in _CONTRACT if c != 'promotion')}, {', '.join(f'count(*) FILTER ({_RULES[k]}) = 0' for k in ('sales_amount', 'discount_over_price', 'negative_quantity'))}]) AS holds FROM sales")

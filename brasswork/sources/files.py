@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections import OrderedDict
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +63,48 @@ def ingest(spark: SparkSession, sales_path: str, panel_path: str, counts: tuple[
     return sales, panel, found | {"wrong_counts": short}
 
 
+class TableCache:
+    """Tables kept by path as long as their files stay the same: the same paths, sizes and modification times.
+
+    Files are listed by Spark, so paths may be in any store, and their contents aren't read for it; what is compared is one
+    row. A table whose files changed is read anew and its old rows are freed, and so is the table that has waited longest
+    when more than `most` are kept.
+    """
+
+    def __init__(self, spark: SparkSession, most: int = 32):
+        self.spark, self.most = spark, most
+        self._held: OrderedDict[str, tuple[tuple, DataFrame]] = OrderedDict()
+
+    def mark(self, path: str) -> tuple[int, int, int]:
+        """Number of files, bytes, and a sum of hashes of their paths, sizes and times. Raises FileNotFoundError if there is nothing."""
+        try:
+            files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")
+            n, size, code = files.agg(F.count("*"), F.sum("length"), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()
+        except AnalysisException as e:
+            raise FileNotFoundError(f"nothing to read at {path}; run the stages that publish it") from e
+        if not n:
+            raise FileNotFoundError(f"no files in {path}; run the stages that publish it")
+        return n, size, int(code)
+
+    def read(self, path: str, reader: Callable[[SparkSession, str], DataFrame] = lambda spark, path: spark.read.parquet(path)) -> DataFrame:
+        mark = self.mark(path)
+        held = self._held.get(path)
+        if held and held[0] == mark:
+            self._held.move_to_end(path)
+            return held[1]
+        self.forget(path)
+        frame = reader(self.spark, path).persist()
+        self._held[path] = mark, frame
+        while len(self._held) > self.most:
+            self.forget(next(iter(self._held)))
+        return frame
+
+    def forget(self, path: str) -> None:
+        held = self._held.pop(path, None)
+        if held:
+            held[1].unpersist()
+
+
 def ordered_sales(frame: DataFrame) -> DataFrame:
     return frame.orderBy("date", "transaction_id", "product_id")
 
