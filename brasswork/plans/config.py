@@ -21,6 +21,11 @@ class Settings:
     last_snapshot: str = "2001-04-30"
     window_days: int = 90
     label_days: int = 90
+    train_snapshots: int = 6
+    churn_trees: int = 300
+    top_share: float = 0.2
+    segments: int = 6
+    campaign_share: float = 0.95
     horizons: tuple[int, ...] = HORIZONS
     season: int = SEASON
     replay_weeks: int = 13
@@ -31,7 +36,7 @@ class Settings:
     drift_categorical: tuple[str, ...] = ("product_category",)
 
     def __post_init__(self):
-        for name in ("window_days", "label_days", "season", "replay_weeks", "lead_weeks"):
+        for name in ("window_days", "label_days", "season", "replay_weeks", "lead_weeks", "train_snapshots", "churn_trees", "top_share", "segments"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive")
         if not self.horizons or min(self.horizons) < 1 or max(self.horizons) > self.season:
