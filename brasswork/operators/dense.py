@@ -18,6 +18,6 @@ def dense_grid(weekly: DataFrame, keys: list[str], week: str, first: str, end: s
     The grid is made by exploding a literal list of weeks beside each key, without a join; the left join then meets
     keys and weeks, and both sides are hashed alike.
     """
-    listed = F.expr(f"sequence(DATE '{first}', date_sub(DATE '{end}', 1), INTERVAL 7 DAYS)")
+    listed = F.expr(f"sequence(DATE '{first}', date_sub(DATE '{end}', 1), INTERVAL 7 DAYS)" if first < end else "CAST(array() AS array<date>)")
     grid = weekly.select(*keys).distinct().select(*keys, F.explode(listed).alias(week))
     return grid.join(weekly, [*keys, week], "left")

@@ -23,7 +23,7 @@ from brasswork.operators import windows as W
 from brasswork.plans.registry import register
 from brasswork.plans.rollup_queries import PANEL, WITH
 from brasswork.session import cut
-from brasswork.sources.star import END_MONDAY, FIRST_MONDAY, panel, sales, table
+from brasswork.sources.star import END_MONDAY, FIRST_MONDAY, panel, sales, span, table
 
 DATES = month_ends("2000-08-01", "2001-04-30")
 
@@ -77,7 +77,7 @@ register("panel_features", lambda s, d: W.panel_features(panel(s, d)).select("st
 SELECT store_id, product_id, week_start_date, lag(units_sold, 1) OVER s AS lag_1, lag(units_sold, 2) OVER s AS lag_2, lag(units_sold, 4) OVER s AS lag_4, round(avg(units_sold) OVER e, 8) AS mean_4, max(units_sold) OVER e AS max_4, round(stddev_samp(units_sold) OVER e, 6) AS std_4,
   row_number() OVER s - 1 AS series_index, CASE WHEN units_sold = 0 THEN 1 ELSE 0 END AS zero_demand, CASE WHEN stockout_count > 0 THEN 1 ELSE 0 END AS stockout
 FROM panel WINDOW s AS (PARTITION BY store_id, product_id ORDER BY week_start_date), e AS (PARTITION BY store_id, product_id ORDER BY week_start_date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)""")
-register("expanding_stats", lambda s, d: W.expanding(_weekly_total(s, d), [], "t", "y").select("t", F.round("past_mean", 6).alias("past_mean"), F.round("past_var", 3).alias("past_var"), "past_rows"), f"""{PANEL}, w AS (SELECT CAST(date_diff('day', DATE '{FIRST_MONDAY}', week_start_date) // 7 AS INT) AS t, CAST(sum(units_sold) AS DOUBLE) AS y FROM panel GROUP BY 1)
+register("expanding_stats", lambda s, d: W.expanding(_weekly_total(s, d), [], "t", "y").select("t", F.round("past_mean", 6).alias("past_mean"), F.round("past_var", 3).alias("past_var"), "past_rows"), f"""{PANEL}, w AS (SELECT CAST(date_diff('day', {FIRST_MONDAY}, week_start_date) // 7 AS INT) AS t, CAST(sum(units_sold) AS DOUBLE) AS y FROM panel GROUP BY 1)
 SELECT t, round(avg(y) OVER e, 6) AS past_mean, round(var_samp(y) OVER e, 3) AS past_var, count(y) OVER e AS past_rows FROM w WINDOW e AS (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 register("last_weeks", lambda s, d: W.last_rows(panel(s, d), ["store_id", "product_id"], "week_start_date", 8).groupBy("store_id", "product_id").agg(F.count("*").alias("n"), F.min("week_start_date").alias("first"), F.sum("units_sold").cast("long").alias("units")), f"""{PANEL},
 l AS (SELECT * FROM panel QUALIFY row_number() OVER (PARTITION BY store_id, product_id ORDER BY week_start_date DESC) <= 8) SELECT store_id, product_id, count(*) AS n, min(week_start_date) AS first, CAST(sum(units_sold) AS BIGINT) AS units FROM l GROUP BY 1, 2""")
@@ -115,7 +115,7 @@ register("text_audit", lambda s, d: Q.text_audit(table(s, d, "documents"), ["tex
 register("calendar_gaps", lambda s, d: Q.calendar_gaps(sales(s, d).select("date"), "date"), f"{WITH}, b AS (SELECT min(date) AS a, max(date) AS z FROM sales) SELECT CAST(x AS DATE) AS missing_day FROM (SELECT unnest(generate_series(a, z, INTERVAL 1 DAY)) AS x FROM b) WHERE CAST(x AS DATE) NOT IN (SELECT date FROM sales)")
 register("numeric_sanity", lambda s, d: Q.numeric_sanity(table(s, d, "lineitem"), ["l_quantity", "l_discount"]), "SELECT unnest(['l_quantity', 'l_discount']) AS column, unnest([min(l_quantity), min(l_discount)]) AS least, unnest([max(l_quantity), max(l_discount)]) AS most, unnest([round(quantile_cont(CAST(l_quantity AS DOUBLE), 0.5), 6), round(quantile_cont(CAST(l_discount AS DOUBLE), 0.5), 6)]) AS p50, unnest([round(quantile_cont(CAST(l_quantity AS DOUBLE), 0.99), 6), round(quantile_cont(CAST(l_discount AS DOUBLE), 0.99), 6)]) AS p99, unnest([count(*) FILTER (l_quantity < 0), count(*) FILTER (l_discount < 0)]) AS negative, unnest([count(*) FILTER (l_quantity = 0), count(*) FILTER (l_discount = 0)]) AS zero, unnest([0::BIGINT, 0::BIGINT]) AS not_finite FROM lineitem")
 register("profile_customer", lambda s, d: Q.profile(table(s, d, "customer")).select("column", "nulls", "distinct"), "SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS column, unnest([count(*) - count(c_custkey), count(*) - count(c_name), count(*) - count(c_nationkey), count(*) - count(c_acctbal), count(*) - count(c_mktsegment)]) AS nulls, unnest([count(DISTINCT c_custkey), count(DISTINCT c_name), count(DISTINCT c_nationkey), count(DISTINCT c_acctbal), count(DISTINCT c_mktsegment)]) AS distinct FROM customer")
-register("reconcile_panel", lambda s, d: Q.reconcile(panel(s, d), sales(s, d), FIRST_MONDAY, END_MONDAY), f"{WITH} SELECT CASE WHEN date < DATE '{FIRST_MONDAY}' OR date >= DATE '{END_MONDAY}' THEN 'partial week' WHEN quantity_sold = 0 THEN 'lost demand' ELSE 'in panel' END AS bucket, count(*) AS lines, CAST(sum(quantity_sold) AS BIGINT) AS units FROM sales GROUP BY 1")
+register("reconcile_panel", lambda s, d: Q.reconcile(panel(s, d), sales(s, d), *span(s, d)), f"{WITH} SELECT CASE WHEN date < {FIRST_MONDAY} OR date >= {END_MONDAY} THEN 'partial week' WHEN quantity_sold = 0 THEN 'lost demand' ELSE 'in panel' END AS bucket, count(*) AS lines, CAST(sum(quantity_sold) AS BIGINT) AS units FROM sales GROUP BY 1")
 register("panel_rule_breaches", lambda s, d: Q.breaches(panel(s, d), Q.panel_rules()), "SELECT CAST(0 AS BIGINT) AS negative_measure, CAST(0 AS BIGINT) AS week_start, CAST(0 AS BIGINT) AS revenue_in_zero_week, CAST(0 AS BIGINT) AS selling_week_without_revenue")
 register("price_bands", lambda s, d: sales(s, d).groupBy(price_band(F.col("unit_price")).alias("band")).agg(F.count("*").alias("n")), f"{WITH} SELECT CASE WHEN unit_price < 299 THEN 'Budget' WHEN unit_price < 1000 THEN 'Mid' WHEN unit_price < 5000 THEN 'Premium' ELSE 'Luxury' END AS band, count(*) AS n FROM sales GROUP BY 1")
 register("grouped_rupees", lambda s, d: table(s, d, "customer").select("c_custkey", grouped_rupees(F.floor(F.col("c_acctbal") * 1000)).alias("spelled")), r"""
@@ -169,15 +169,15 @@ drift AS (SELECT feature, psi, mean_reference, mean_current, median_reference, m
 register("drift_report", lambda s, d: D.report(_both(s, d), ["units_sold", "on_hand_end"], ["product_category", "store_id"]), f"{_drift_sql(['units_sold', 'on_hand_end'], ['product_category', 'store_id'])} SELECT * FROM drift")
 register("drift_overall", lambda s, d: D.overall(D.report(_both(s, d), ["units_sold", "on_hand_end"], ["product_category"])), f"{_drift_sql(['units_sold', 'on_hand_end'], ['product_category'])}, moved AS (SELECT feature FROM drift WHERE verdict IN ('moderate', 'significant')) SELECT CASE WHEN count(*) > 0 THEN 'drift detected' ELSE 'stable' END AS verdict, coalesce(string_agg(feature, ',' ORDER BY feature), '') AS drifted FROM moved")
 
-_SERIES = f"{PANEL}, w AS (SELECT CAST(date_diff('day', DATE '{FIRST_MONDAY}', week_start_date) // 7 AS INT) AS t, CAST(sum(units_sold) AS DOUBLE) AS y FROM panel GROUP BY 1)"
+_SERIES = f"{PANEL}, w AS (SELECT CAST(date_diff('day', {FIRST_MONDAY}, week_start_date) // 7 AS INT) AS t, CAST(sum(units_sold) AS DOUBLE) AS y FROM panel GROUP BY 1)"
 register("series_total", lambda s, d: P.build_series(panel(s, d)).select("t", "y"), f"{_SERIES} SELECT * FROM w")
-register("series_category", lambda s, d: P.build_series(panel(s, d), "category"), f"{PANEL} SELECT product_category, week_start_date, CAST(date_diff('day', DATE '{FIRST_MONDAY}', week_start_date) // 7 AS INT) AS t, CAST(sum(units_sold) AS DOUBLE) AS y FROM panel GROUP BY ALL")
+register("series_category", lambda s, d: P.build_series(panel(s, d), "category"), f"{PANEL} SELECT product_category, week_start_date, CAST(date_diff('day', {FIRST_MONDAY}, week_start_date) // 7 AS INT) AS t, CAST(sum(units_sold) AS DOUBLE) AS y FROM panel GROUP BY ALL")
 register("series_weights", lambda s, d: P.series_weights(panel(s, d), "store"), f"{PANEL} SELECT store_id, CAST(sum(units_sold) AS DOUBLE) AS units, CAST(sum(units_sold) AS DOUBLE) / (SELECT CAST(sum(units_sold) AS DOUBLE) FROM panel) AS share FROM panel GROUP BY 1")
 _METRICS = "round(sum(abs(y - f)) / nullif(sum(abs(y)), 0), 6) AS wape, round(avg(CASE WHEN y > 0 THEN abs(y - f) / y END), 6) AS mape_nonzero, round(avg(CASE WHEN abs(y) + abs(f) > 0 THEN 2 * abs(y - f) / (abs(y) + abs(f)) END), 6) AS smape, round(avg(abs(y - f)), 6) AS mae, round(sqrt(avg((y - f) * (y - f))), 6) AS rmse, round(avg(y - f), 6) AS bias, count(*) AS n, CAST(count(*) FILTER (y <> 0) AS BIGINT) AS n_nonzero"
 register("naive_holdout", lambda s, d: P.naive_holdout(_weekly_total(s, d)), f"{_SERIES}, j AS (SELECT h AS horizon, a.y, b.y AS f FROM w a JOIN w b ON b.t = a.t - 52, (SELECT unnest([1, 2, 4]) AS h) WHERE a.t > (SELECT max(t) FROM w) - h) SELECT horizon, {_METRICS} FROM j GROUP BY 1")
-register("naive_holdout_by_store", lambda s, d: P.naive_holdout(P.build_series(panel(s, d), "store"), ["store_id"]), f"{PANEL}, w AS (SELECT store_id, CAST(date_diff('day', DATE '{FIRST_MONDAY}', week_start_date) // 7 AS INT) AS t, CAST(sum(units_sold) AS DOUBLE) AS y FROM panel GROUP BY 1, 2), j AS (SELECT a.store_id, h AS horizon, a.y, b.y AS f FROM w a JOIN w b ON b.t = a.t - 52 AND a.store_id = b.store_id, (SELECT unnest([1, 2, 4]) AS h) WHERE a.t > (SELECT max(t) FROM w) - h) SELECT store_id, horizon, {_METRICS} FROM j GROUP BY 1, 2")
+register("naive_holdout_by_store", lambda s, d: P.naive_holdout(P.build_series(panel(s, d), "store"), ["store_id"]), f"{PANEL}, w AS (SELECT store_id, CAST(date_diff('day', {FIRST_MONDAY}, week_start_date) // 7 AS INT) AS t, CAST(sum(units_sold) AS DOUBLE) AS y FROM panel GROUP BY 1, 2), j AS (SELECT a.store_id, h AS horizon, a.y, b.y AS f FROM w a JOIN w b ON b.t = a.t - 52 AND a.store_id = b.store_id, (SELECT unnest([1, 2, 4]) AS h) WHERE a.t > (SELECT max(t) FROM w) - h) SELECT store_id, horizon, {_METRICS} FROM j GROUP BY 1, 2")
 register("seasonal_scale", lambda s, d: M.seasonal_scale(_weekly_total(s, d), "t", "y", 52).select(F.round("scale", 6).alias("scale")), f"{_SERIES} SELECT round(avg(abs(a.y - b.y)), 6) AS scale FROM w a JOIN w b ON b.t = a.t - 52")
-_SIMPLE = f"""{PANEL}, w AS (SELECT store_id, CAST(date_diff('day', DATE '{FIRST_MONDAY}', week_start_date) // 7 AS INT) AS t, CAST(sum(units_sold) AS DOUBLE) AS y FROM panel GROUP BY ALL),
+_SIMPLE = f"""{PANEL}, w AS (SELECT store_id, CAST(date_diff('day', {FIRST_MONDAY}, week_start_date) // 7 AS INT) AS t, CAST(sum(units_sold) AS DOUBLE) AS y FROM panel GROUP BY ALL),
 e AS (SELECT *, max(t) OVER (PARTITION BY store_id) AS last FROM w), h AS (SELECT unnest([1, 2, 4]) AS horizon),
 b AS (SELECT store_id, horizon, avg(y) FILTER (t > last - horizon - 4 AND t <= last - horizon) AS recent_mean, max(y) FILTER (t = last - horizon) AS last_value FROM e, h GROUP BY ALL),
 p AS (SELECT e.store_id, b.horizon, e.y, s.y AS seasonal_naive, b.last_value, b.recent_mean FROM e JOIN b ON b.store_id = e.store_id AND e.t > e.last - b.horizon JOIN e s ON s.store_id = e.store_id AND s.t = e.t - 52),
@@ -196,7 +196,7 @@ register("ranking_inversions", lambda s, d: P.ranking_inversions(_simple_scores(
 register("rankings_agree", lambda s, d: P.rankings_agree(_simple_scores(s, d), ["store_id"]), f"{_INVERTED} SELECT s.store_id, count(inv.store_id) AS inversions, count(inv.store_id) > 0 AS inverted FROM (SELECT DISTINCT store_id FROM scores) s LEFT JOIN inv USING (store_id) GROUP BY 1")
 register("forecast_backtest", lambda s, d: P.backtest(_weekly_total(s, d)))
 register("forecast_selection", lambda s, d: P.select_models(P.backtest(_weekly_total(s, d))))
-register("naive_by_store_part", lambda s, d: P.reconcile_down(W.last_rows(_weekly_total(s, d), [], "t", 52).where(F.col("t") == F.lit(291)).select(F.col("y").alias("forecast")), P.series_weights(panel(s, d), "store")).select("store_id", "share", "forecast", "part"), f"{_SERIES}, v AS (SELECT store_id, CAST(sum(units_sold) AS DOUBLE) / (SELECT CAST(sum(units_sold) AS DOUBLE) FROM panel) AS share FROM panel GROUP BY 1) SELECT store_id, share, y AS forecast, y * share AS part FROM v, w WHERE t = 291")
+register("naive_by_store_part", lambda s, d: P.reconcile_down(_next_week(s, d).select("forecast"), P.series_weights(panel(s, d), "store")).select("store_id", "share", "forecast", "part"), f"{_SERIES}, v AS (SELECT store_id, CAST(sum(units_sold) AS DOUBLE) / (SELECT CAST(sum(units_sold) AS DOUBLE) FROM panel) AS share FROM panel GROUP BY 1) SELECT store_id, share, y AS forecast, y * share AS part FROM v, w WHERE t = (SELECT max(t) - 51 FROM w)")
 register("model_matrix_wape", lambda s, d: P.backtest(_weekly_total(s, d)).groupBy("model").pivot("horizon", [1, 2, 4]).agg(F.first("wape")))
 
 

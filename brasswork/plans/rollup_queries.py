@@ -7,20 +7,22 @@ from pyspark.sql import functions as F
 from brasswork.operators import rollup as R
 from brasswork.plans.registry import register
 from brasswork.sources import star
-from brasswork.sources.star import END_MONDAY, FIRST_MONDAY, PANEL_SQL, SALES_SQL, sales
+from brasswork.sources.star import END_MONDAY, FIRST_MONDAY, PANEL_SQL, SALES_SQL, SPAN_SQL, sales
 
-WITH = f"WITH {SALES_SQL.strip()}"
+WITH = f"WITH {SALES_SQL.strip()},\n{SPAN_SQL.strip()}"
 PANEL = f"{WITH},\n{PANEL_SQL.strip()}"
 MONDAY = "CAST(date_trunc('week', date) AS DATE)"
-WHOLE = f"date >= DATE '{FIRST_MONDAY}' AND date < DATE '{END_MONDAY}'"
+WHOLE = f"date >= {FIRST_MONDAY} AND date < {END_MONDAY}"
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 
 
-def whole_weeks(frame):
-    return R.before(frame, END_MONDAY).where(F.col("date") >= F.lit(FIRST_MONDAY).cast("date"))
+def whole_weeks(spark, sf_dir):
+    """Sales of the weeks that the order dates cover wholly."""
+    first, end = star.span(spark, sf_dir)
+    return R.before(sales(spark, sf_dir), end).where(F.col("date") >= F.lit(first).cast("date"))
 
 
-register("weekly_revenue", lambda s, d: R.weekly_revenue(whole_weeks(sales(s, d))), f"""{WITH}
+register("weekly_revenue", lambda s, d: R.weekly_revenue(whole_weeks(s, d)), f"""{WITH}
 SELECT {MONDAY} AS week_start_date, CAST(sum(sales_amount) AS DOUBLE) AS revenue, CAST(sum(quantity_sold) AS BIGINT) AS units,
   count(DISTINCT transaction_id) AS transactions, count(DISTINCT customer_id) AS customers, CAST(sum(sales_amount) AS DOUBLE) / count(DISTINCT transaction_id) AS avg_basket_value
 FROM sales WHERE {WHOLE} GROUP BY 1""")

@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from brasswork.functions.dates import monday, weekday_name
 from brasswork.operators.dense import dense_grid
 
-#: Weeks that are whole by the calendar of the order dates: the first and the last order fall in partial weeks.
-FIRST_MONDAY, END_MONDAY = "1995-01-02", "2001-07-30"
+#: The weeks that are whole by the order dates: from first_monday up to end_monday.
+SPAN_SQL = """
+span AS (
+  SELECT CAST(date_trunc('week', min(CAST(o_orderdate AS DATE)) + 6) AS DATE) AS first_monday, CAST(date_trunc('week', max(CAST(o_orderdate AS DATE)) + 1) AS DATE) AS end_monday FROM orders
+)"""
+FIRST_MONDAY, END_MONDAY = "(SELECT first_monday FROM span)", "(SELECT end_monday FROM span)"
 
 SALES_SQL = """
 sales AS (
@@ -36,15 +40,15 @@ PANEL_SQL = f"""
 weekly AS (
   SELECT store_id, product_id, CAST(date_trunc('week', date) AS DATE) AS week_start_date, sum(quantity_sold) AS units, sum(sales_amount) AS amount,
     max(is_promotion) AS promo
-  FROM sales WHERE date >= DATE '{FIRST_MONDAY}' AND date < DATE '{END_MONDAY}' GROUP BY ALL
+  FROM sales WHERE date >= {FIRST_MONDAY} AND date < {END_MONDAY} GROUP BY ALL
 ), pairs AS (SELECT DISTINCT store_id, product_id FROM weekly),
-weeks AS (SELECT CAST(w AS DATE) AS week_start_date FROM range(DATE '{FIRST_MONDAY}', DATE '{END_MONDAY}', INTERVAL 7 DAY) t(w)),
+weeks AS (SELECT CAST(unnest(range(CAST(first_monday AS TIMESTAMP), CAST(end_monday AS TIMESTAMP), INTERVAL 7 DAY)) AS DATE) AS week_start_date FROM span),
 panel AS (
   SELECT p.store_id, p.product_id, 'CAT' || CAST(CAST(substr(p.product_id, 7) AS INT) % 5 AS VARCHAR) AS product_category, k.week_start_date,
     CAST(year(k.week_start_date) AS INT) AS year, CAST(coalesce(w.units, 0) AS BIGINT) AS units_sold, CAST(coalesce(w.amount, 0) AS DECIMAL(18,4)) AS revenue,
     CASE WHEN w.units > 0 THEN CAST(w.amount AS DOUBLE) / w.units ELSE 0.0 END AS avg_unit_price, coalesce(w.promo, 0) AS is_promo_week,
-    CAST((p.store_id * 7 + CAST(substr(p.product_id, 7) AS INT) * 3 + date_diff('day', DATE '{FIRST_MONDAY}', k.week_start_date) // 7) % 20 AS INT) AS on_hand_end,
-    CASE WHEN (p.store_id * 7 + CAST(substr(p.product_id, 7) AS INT) * 3 + date_diff('day', DATE '{FIRST_MONDAY}', k.week_start_date) // 7) % 20 = 0 THEN 1 ELSE 0 END AS stockout_count
+    CAST((p.store_id * 7 + CAST(substr(p.product_id, 7) AS INT) * 3 + date_diff('day', {FIRST_MONDAY}, k.week_start_date) // 7) % 20 AS INT) AS on_hand_end,
+    CASE WHEN (p.store_id * 7 + CAST(substr(p.product_id, 7) AS INT) * 3 + date_diff('day', {FIRST_MONDAY}, k.week_start_date) // 7) % 20 = 0 THEN 1 ELSE 0 END AS stockout_count
   FROM pairs p CROSS JOIN weeks k LEFT JOIN weekly w ON p.store_id = w.store_id AND p.product_id = w.product_id AND k.week_start_date = w.week_start_date
 )"""
 
@@ -53,6 +57,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def span(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The first Monday whose week the order dates cover, and the Monday after the last such week; both the same if none is.
+
+    One row of the order dates. Raises ValueError without orders.
+    """
+    day = F.col("o_orderdate").cast("date")
+    first, end = table(spark, sf_dir, "orders").agg(monday(F.date_add(F.min(day), 6)), monday(F.date_add(F.max(day), 1))).first()
+    if first is None:
+        raise ValueError("no orders, so no weeks")
+    return str(first), str(max(first, end))
+
+
 def brand_number(brand: str):
     return F.substring(F.col(brand), 7, 10).cast("int")
 
@@ -96,13 +112,14 @@ def with_calendar(frame: DataFrame) -> DataFrame:
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense weekly panel of stores and brands. Stock columns are a fixed surrogate: the schema holds no stock."""
-    within = sales(spark, sf_dir).where((F.col("date") >= F.lit(FIRST_MONDAY).cast("date")) & (F.col("date") < F.lit(END_MONDAY).cast("date")))
+    first, end = span(spark, sf_dir)
+    within = sales(spark, sf_dir).where((F.col("date") >= F.lit(first).cast("date")) & (F.col("date") < F.lit(end).cast("date")))
     weekly = within.groupBy("store_id", "product_id", monday(F.col("date")).alias("week_start_date")).agg(
         F.sum("quantity_sold").alias("units"), F.sum("sales_amount").alias("amount"), F.max("is_promotion").alias("promo")
     )
-    dense = dense_grid(weekly, ["store_id", "product_id"], "week_start_date", FIRST_MONDAY, END_MONDAY)
+    dense = dense_grid(weekly, ["store_id", "product_id"], "week_start_date", first, end)
     number = brand_number("product_id")
-    stock = ((F.col("store_id") * 7 + number * 3 + (F.datediff("week_start_date", F.lit(FIRST_MONDAY).cast("date")) / 7).cast("int")) % 20).cast("int")
+    stock = ((F.col("store_id") * 7 + number * 3 + (F.datediff("week_start_date", F.lit(first).cast("date")) / 7).cast("int")) % 20).cast("int")
     return dense.select(
         "store_id", "product_id", F.concat(F.lit("CAT"), (number % 5).cast("string")).alias("product_category"), "week_start_date", F.year("week_start_date").alias("year"),
         F.coalesce("units", F.lit(0)).cast("long").alias("units_sold"), F.coalesce("amount", F.lit(0)).cast("decimal(18,4)").alias("revenue"),

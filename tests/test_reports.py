@@ -158,3 +158,27 @@ def test_contract_as_rows(spark):
     assert rows == {"rows": (2, True), "further extra": (0, False), "null a": (0, True), "null b": (1, False), "low": (1, False)}
     rows = {r["finding"]: (r["rows"], r["holds"]) for r in quality.contract_rows(frame, ["a", "c"], {"low": F.col("c") > 2}).collect()}
     assert rows["missing c"] == (2, False) and "low" not in rows
+
+
+def test_weeks_follow_the_tables(spark, sf, tmp_path):
+    """Orders moved by some days and years give as many whole weeks, and none is left out or padded."""
+    import duckdb
+
+    from brasswork.plans import registry
+    from brasswork.sources import star
+
+    first, end = (datetime.date.fromisoformat(x) for x in star.span(spark, sf))
+    days = spark.read.parquet(f"{sf}/orders.parquet").agg(F.min("o_orderdate").cast("date"), F.max("o_orderdate").cast("date")).first()
+    assert first.weekday() == end.weekday() == 0 and days[0] <= first < days[0] + datetime.timedelta(7) and days[1] - datetime.timedelta(6) <= end <= days[1] + datetime.timedelta(1)
+    moved = str(tmp_path)
+    for name in ("region", "nation", "customer", "supplier", "part", "lineitem"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{moved}/{name}.parquet")
+    spark.read.parquet(f"{sf}/orders.parquet").withColumn("o_orderdate", F.date_add(F.col("o_orderdate").cast("date"), 7 * 700 + 3)).write.parquet(f"{moved}/orders.parquet")
+    con = duckdb.connect()
+    for name in ("region", "nation", "customer", "supplier", "part", "lineitem", "orders"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{moved}/{name}.parquet/*.parquet'")
+    frame = registry.queries()["series_total"](spark, moved)
+    got = sorted((r["t"], r["y"]) for r in frame.collect())
+    assert got == sorted((t, float(y)) for t, y in con.execute(f"SELECT t, y FROM ({registry.oracle_sql()['series_total']})").fetchall())
+    whole = star.span(spark, moved)
+    assert len(got) == (datetime.date.fromisoformat(whole[1]) - datetime.date.fromisoformat(whole[0])).days // 7 and sum(y for _, y in got) > 0
