@@ -222,7 +222,12 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def encode_documents(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids array<int>. A null text counts as empty and gives no ids; repeated rows give repeated results."""
+    """doc_id, ids array<int>. A null text counts as empty and gives no ids; repeated rows give repeated results.
+
+    Texts of any length are encoded whole; an empty table gives no rows, and columns other than doc_id and text are left
+    out, whatever their names. The cache of words is right for patterns that, like the given one, never match across a
+    single space before a word; others need a codec without it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
@@ -234,7 +239,12 @@ def encode_documents(documents: DataFrame, path: str, pattern: str) -> DataFrame
 
 
 def digest_documents(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: what encoding gives and what decoding its ids gives back."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row: what encoding gives and what decoding its ids gives back.
+
+    A null text is an empty one: no tokens, and the checksums of nothing. Texts of any length are encoded whole, one at a
+    time; ties cannot occur, as a text has one encoding. Repeated rows get equal results, a null doc_id stays null. An
+    empty table gives no rows; columns other than doc_id and text are left out, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)

@@ -148,7 +148,11 @@ def training_rows(documents: DataFrame, per_lang: int, modulus: int = 4, remaind
 
 
 def fit_documents(documents: DataFrame, per_lang: int = 500) -> Model:
-    """Learns from a bounded sample: about per_lang training documents of each language, whole texts."""
+    """Learns from a bounded sample: about per_lang training documents of each language, whole texts.
+
+    The sample grows with the number of different lang values, and machines with its square within a family: lang must
+    be a column of few languages, not a free text.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -186,6 +190,10 @@ def predict_documents(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def filter_documents(documents: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
-    """Documents whose language is recognised: 'und' and scores under least_score go. The columns stay as they are."""
+    """Documents whose language is recognised: 'und' and scores under least_score go. The columns stay as they are, whatever their names.
+
+    A null, empty or letterless text is 'und' and goes. Texts of any length are read whole. Repeated rows stay or go
+    together; of languages of equal score the first by name counts. An empty table gives no rows.
+    """
     found = predict_documents(documents.select(F.struct("*").alias("row"), "text"), model)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("row.*")

@@ -130,8 +130,11 @@ def _bins(frame: DataFrame) -> int:
 def pack_documents(spark: SparkSession, documents: DataFrame, path: str, pattern: str, end_id: int = 2, capacity: int = 1024, bucket_rows: int = 4096, turns: int = 3) -> DataFrame:
     """Pieces of all documents with their sequence and their offset in it.
 
-    Repeated rows and null doc_ids are packed like any other. bucket_rows is what one task packs on average; turns
-    is how often buckets above their bound exchange documents at most.
+    A null text is an empty one: a piece of the end id alone. Texts of any length are encoded whole and cut to pieces; of
+    pieces of equal length any may come first, which changes no number of sequences. Repeated rows and null doc_ids are
+    packed like any other. An empty table gives no rows; columns other than doc_id and text are left out, whatever their
+    names. bucket_rows is what one task packs on average; turns is how often buckets above their bound exchange
+    documents at most.
     """
     scratch = Scratch(spark)
     # the row's own number spreads repeated rows over the buckets; it is fixed once the pieces are written
