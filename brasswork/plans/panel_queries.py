@@ -23,7 +23,7 @@ from brasswork.operators import windows as W
 from brasswork.plans.registry import register
 from brasswork.plans.rollup_queries import PANEL, WITH
 from brasswork.session import cut
-from brasswork.sources.star import END_MONDAY, FIRST_MONDAY, panel, sales, span, table
+from brasswork.sources.star import END_MONDAY, FIRST_MONDAY, panel, purchases, sales, span, table
 
 DATES = month_ends("2000-08-01", "2001-04-30")
 
@@ -46,7 +46,7 @@ labelled AS (SELECT r.*, CASE WHEN b.customer_id IS NULL THEN 1 ELSE 0 END AS ch
 
 
 def snapshots(s, d):
-    return X.churn_snapshots(sales(s, d), DATES)
+    return X.churn_snapshots(purchases(s, d), DATES)
 
 
 register("rfm_features", lambda s, d: X.rfm_features(sales(s, d), DATES[:1]), f"{WITH}, {_snaps(DATES[:1])}, {_RFM} SELECT * FROM rfm")
@@ -89,7 +89,7 @@ def _weekly_total(s, d):
 
 
 def _active(s, d):
-    return X.rfm_features(sales(s, d), DATES[-1:], include_unconverted=False)
+    return X.rfm_features(purchases(s, d), DATES[-1:], include_unconverted=False)
 
 
 _ONE = f"{WITH}, {_snaps(DATES[-1:])}, {_RFM}, act AS (SELECT * FROM rfm WHERE lines > 0)"

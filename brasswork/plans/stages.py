@@ -72,7 +72,7 @@ def _quality(spark: SparkSession, sf_dir: str, settings: Settings) -> Tables:
 
 def _churn(spark: SparkSession, sf_dir: str, settings: Settings) -> Tables:
     """Snapshots, a model of the first of them, and what it says of the others."""
-    snapshots = cut(features.churn_snapshots(star.sales(spark, sf_dir), settings.snapshots(), settings.window_days, settings.label_days))
+    snapshots = cut(features.churn_snapshots(star.purchases(spark, sf_dir), settings.snapshots(), settings.window_days, settings.label_days))
     train, test = churn.temporal_split(snapshots, settings.train_snapshots)
     model = boosting.fit_boosted(train, churn.MODEL_FEATURES, settings=boosting.Settings(trees=settings.churn_trees))
     scores = cut(trees.scored(model, test, ("customer_id", "snapshot_date", "churn")))
@@ -88,7 +88,7 @@ def _churn(spark: SparkSession, sf_dir: str, settings: Settings) -> Tables:
 
 def _segmentation(spark: SparkSession, sf_dir: str, settings: Settings) -> Tables:
     """Clusters of the customers of the last snapshot who bought, and their names."""
-    customers = features.rfm_features(star.sales(spark, sf_dir), settings.snapshots()[-1:], settings.window_days, include_unconverted=False)
+    customers = features.rfm_features(star.purchases(spark, sf_dir), settings.snapshots()[-1:], settings.window_days, include_unconverted=False)
     clustered = segmentation.fit_clusters(customers, k=settings.segments)
     named = cut(segmentation.name_segments(clustered))
     told = clustered.join(F.broadcast(named.select("cluster", "segment")), "cluster")  # a row for each cluster

@@ -73,6 +73,11 @@ def brand_number(brand: str):
     return F.substring(F.col(brand), 7, 10).cast("int")
 
 
+def net_amount():
+    """A line's price less its discount, exact to four decimals."""
+    return (F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(18,4)")
+
+
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with the columns of the sales contract that the star schema can give."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
@@ -94,13 +99,30 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_brand").alias("product_id"), F.col("l_partkey").alias("sku_id"), F.concat(F.lit("CAT"), (brand_number("p_brand") % 5).cast("string")).alias("product_category"),
         F.col("l_quantity").cast("int").alias("quantity_sold"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
         (F.col("l_extendedprice") / F.col("l_quantity") * F.col("l_discount")).alias("discount"), (100 * F.col("l_discount")).alias("discount_pct"),
-        (price * (1 - share)).cast("decimal(18,4)").alias("sales_amount"), (price * share).cast("decimal(18,4)").alias("discount_value"),
+        net_amount().alias("sales_amount"), (price * share).cast("decimal(18,4)").alias("discount_value"),
         F.when(F.col("l_discount") > 0, F.concat(F.lit("Deal "), F.round(100 * F.col("l_discount")).cast("int").cast("string"))).alias("promotion"),
         F.when(F.col("l_discount") > 0, 1).otherwise(0).alias("is_promotion"),
         F.col("o_orderpriority").alias("channel"), F.col("c_mktsegment").alias("customer_segment"),
     )
 
 
+def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of sales that features of customers read, from lines, orders and parts alone.
+
+    As keys of orders and lines occur in the other dimensions, a foreign key's promise, joins with these change nothing and
+    are left out.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.select(
+        F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderkey").alias("transaction_id"), F.col("o_custkey").alias("customer_id"),
+        F.concat(F.lit("CAT"), (brand_number("p_brand") % 5).cast("string")).alias("product_category"), F.col("l_quantity").cast("int").alias("quantity_sold"),
+        (100 * F.col("l_discount")).alias("discount_pct"), net_amount().alias("sales_amount"), F.when(F.col("l_discount") > 0, 1).otherwise(0).alias("is_promotion"), F.col("o_orderpriority").alias("channel"),
+    )
+
+
 def with_calendar(frame: DataFrame) -> DataFrame:
     """Adds the calendar columns of the contract to sales."""
     day = F.col("date")
