@@ -8,16 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brasswork.functions.numbers import total
+from brasswork.operators.ranges import column_quantiles
 
 
 def describe(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column, n, mean, std, least, q25, q50, q75, most: of all columns in one pass; quartiles are interpolated."""
+    """column, n, mean, std, least, q25, q50, q75, most: sums of all columns in one pass; quartiles are interpolated, and taken in two levels."""
     rows = []
     for c in columns:
         x = F.col(c).cast("double")
-        at = lambda q, x=x: F.round(F.percentile(x, q), 6)
-        rows.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_samp(x), 6).alias("std"), F.min(x).alias("least"), at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"), F.max(x).alias("most")).alias(c))
-    return frame.agg(*rows).select(F.inline(F.array(*[F.col(c) for c in columns])))
+        rows.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_samp(x), 6).alias("std"), F.min(x).alias("least"), F.max(x).alias("most")).alias(c))
+    sums = frame.agg(*rows).select(F.inline(F.array(*[F.col(c) for c in columns])))
+    found = sums.join(column_quantiles(frame, columns, (0.25, 0.5, 0.75)), "column", "left")
+    return found.select("column", "n", "mean", "std", "least", *[F.round(F.col("quantiles")[k], 6).alias(name) for k, name in enumerate(("q25", "q50", "q75"))], "most")
 
 
 def spread(frame: DataFrame, value: str) -> DataFrame:

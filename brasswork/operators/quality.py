@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brasswork.functions.dates import strict_date, weekday_name
 from brasswork.functions.numbers import count_if, price_band, ratio
-from brasswork.operators.ranges import quantiles
+from brasswork.operators.ranges import column_quantiles, quantiles
 
 #: The columns of the two contracts, in their order.
 SALES_COLUMNS = (
@@ -140,12 +140,14 @@ def bad_dates(frame: DataFrame, column: str) -> DataFrame:
 
 
 def numeric_sanity(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column, least, most, p50, p99 (interpolated), negative, zero, not_finite, in one pass."""
+    """column, least, most, p50, p99 (interpolated), negative, zero, not_finite: counts in one pass, percentiles in two levels."""
     rows = []
     for c in columns:
         x = F.col(c).cast("double")
-        rows.append(F.struct(F.lit(c).alias("column"), F.min(x).alias("least"), F.max(x).alias("most"), F.round(F.percentile(x, 0.5), 6).alias("p50"), F.round(F.percentile(x, 0.99), 6).alias("p99"), count_if(x < 0).alias("negative"), count_if(x == 0).alias("zero"), count_if(F.isnan(x) | (F.abs(x) == float("inf"))).alias("not_finite")).alias(c))
-    return frame.agg(*rows).select(F.inline(F.array(*[F.col(c) for c in columns])))
+        rows.append(F.struct(F.lit(c).alias("column"), F.min(x).alias("least"), F.max(x).alias("most"), count_if(x < 0).alias("negative"), count_if(x == 0).alias("zero"), count_if(F.isnan(x) | (F.abs(x) == float("inf"))).alias("not_finite")).alias(c))
+    counts = frame.agg(*rows).select(F.inline(F.array(*[F.col(c) for c in columns])))
+    found = counts.join(column_quantiles(frame, columns, (0.5, 0.99)), "column", "left")
+    return found.select("column", "least", "most", F.round(F.col("quantiles")[0], 6).alias("p50"), F.round(F.col("quantiles")[1], 6).alias("p99"), "negative", "zero", "not_finite")
 
 
 def profile(frame: DataFrame) -> DataFrame:
@@ -213,12 +215,8 @@ def correlation(frame: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame
 
 def outlier_counts(frame: DataFrame, columns: Sequence[str], reach: float = 1.5) -> DataFrame:
     """column, low, high, outliers: rows beyond `reach` quartile ranges of the quartiles."""
-    bounds = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        q1, q3 = F.percentile(x, 0.25), F.percentile(x, 0.75)
-        bounds.append(F.struct(F.lit(c).alias("column"), (q1 - reach * (q3 - q1)).alias("low"), (q3 + reach * (q3 - q1)).alias("high")).alias(c))
-    fences = frame.agg(*bounds).select(F.inline(F.array(*[F.col(c) for c in columns])))  # a row for each column
+    q1, q3 = F.col("quantiles")[0], F.col("quantiles")[1]
+    fences = column_quantiles(frame, columns, (0.25, 0.75)).select("column", (q1 - reach * (q3 - q1)).alias("low"), (q3 + reach * (q3 - q1)).alias("high"))  # a row for each column
     tall = frame.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "x")
     out = tall.join(F.broadcast(fences), "column").groupBy("column")
     return out.agg(F.round(F.first("low"), 6).alias("low"), F.round(F.first("high"), 6).alias("high"), count_if((F.col("x") < F.col("low")) | (F.col("x") > F.col("high"))).alias("outliers"))

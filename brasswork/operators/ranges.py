@@ -84,3 +84,9 @@ def quantiles(counted: DataFrame, keys: Sequence[str], value: str, n: str, at: S
     each = each.withColumn("x_", F.col("a_") + (F.col("b_") - F.col("a_")) * F.col("part_"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("place_", "x_"))), lambda s: s["x_"])
     return each.groupBy(*keys).agg(listed.alias("quantiles"))
+
+
+def column_quantiles(frame: DataFrame, columns: Sequence[str], at: Sequence[float]) -> DataFrame:
+    """column, quantiles (in the order of `at`) of each column's values, told from how often each occurs; columns without a value have no row."""
+    tall = frame.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "x")
+    return quantiles(tall.where("x is not null").groupBy("column", "x").agg(F.count("*").alias("n")), ["column"], "x", "n", at)
