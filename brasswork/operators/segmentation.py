@@ -109,16 +109,19 @@ def select_k(scores: dict[int, float], tolerance: float = 0.02, preferred: Seque
 
 def profiles(frame: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """Customers, median and mean of each column by group."""
-    measures = [F.round(f(F.col(c).cast("double")), 6).alias(f"{n}_{c}") for c in columns for n, f in (("median", F.median), ("mean", F.avg))]
-    return frame.groupBy(group).agg(F.count("*").alias("customers"), *measures)
+    means = frame.groupBy(group).agg(F.count("*").alias("customers"), *[F.round(F.avg(F.col(c).cast("double")), 6).alias(f"mean_{c}") for c in columns])
+    joined = means.join(group_medians(frame, group, columns), _name(group) == F.col("group_"), "left")
+    return joined.select(group, "customers", *[x for c in columns for x in (F.round(f"median_{c}", 6).alias(f"median_{c}"), f"mean_{c}")])
 
 
 def segment_summary(frame: DataFrame, group: str = "segment") -> DataFrame:
     """Customers, revenue, shares and medians by segment."""
-    sums = frame.groupBy(group).agg(
-        F.count("*").alias("customers"), F.round(F.sum("monetary"), 4).alias("revenue"), F.round(F.median("recency_days"), 4).alias("median_recency"),
-        F.round(F.median("frequency"), 4).alias("median_frequency"), F.round(F.median("monetary"), 4).alias("median_monetary"),
-    )
+    frame = cut(frame.select(group, "monetary", "recency_days", "frequency"))
+    sums = frame.groupBy(group).agg(F.count("*").alias("customers"), F.round(F.sum("monetary"), 4).alias("revenue"))
+    medians = group_medians(frame, group, ("recency_days", "frequency", "monetary"))
+    sums = sums.join(medians, _name(group) == F.col("group_"), "left").select(
+        group, "customers", "revenue", F.round("median_recency_days", 4).alias("median_recency"), F.round("median_frequency", 4).alias("median_frequency"), F.round("median_monetary", 4).alias("median_monetary")
+    )
     whole = frame.agg(F.count("*").alias("all_customers"), F.round(F.sum("monetary"), 4).alias("all_revenue"))
     out = sums.crossJoin(F.broadcast(whole))
     return out.select(group, "customers", "revenue", "median_recency", "median_frequency", "median_monetary", ratio(F.col("customers").cast("double"), F.col("all_customers")).alias("customer_share"), F.round(ratio(F.col("revenue"), F.col("all_revenue")), 6).alias("revenue_share"), F.round(ratio(F.col("revenue"), F.col("customers")), 4).alias("revenue_per_customer"))
@@ -126,8 +129,10 @@ def segment_summary(frame: DataFrame, group: str = "segment") -> DataFrame:
 
 def against_population(frame: DataFrame, group: str, name: str, columns: Sequence[str]) -> DataFrame:
     """feature, segment_median, population_median."""
-    tall = frame.select(F.col(group).alias("group_"), *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(["group_"], list(columns), "feature", "x")
-    return tall.groupBy("feature").agg(F.round(F.median(F.when(F.col("group_") == name, F.col("x"))), 6).alias("segment_median"), F.round(F.median("x"), 6).alias("population_median"))
+    told = frame.withColumn("in_", F.coalesce(F.col(group) == name, F.lit(False)))
+    found = group_quantiles(told, "in_", {c: F.col(c) for c in columns}, (0.5,))
+    of = lambda when: F.round(F.max(F.when(when, F.col("quantiles")[0])), 6)
+    return found.groupBy("feature").agg(of(F.col("group_")).alias("segment_median"), of(F.col("group_").isNull()).alias("population_median"))
 
 
 #: Percentiles that count as high and low, days, multiples of the population's median basket, and shares from
@@ -151,6 +156,17 @@ def group_quantiles(frame: DataFrame, group: str, columns: Mapping[str, Column],
     return quantiles(counted, ["group_", "feature"], "x", "n", at)
 
 
+def _name(group: str) -> Column:
+    """A group's value as text; a null one has a name of its own."""
+    return F.coalesce(F.col(group).cast("string"), F.lit("\x00"))
+
+
+def group_medians(frame: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
+    """group_ (see _name) and median_<column>: a row for each group, a null one among them."""
+    found = group_quantiles(frame.withColumn("of_", _name(group)), "of_", {c: F.col(c) for c in columns}, (0.5,)).where("group_ is not null")
+    return found.groupBy("group_").agg(*[F.max(F.when(F.col("feature") == c, F.col("quantiles")[0])).alias(f"median_{c}") for c in columns])
+
+
 def told_apart(named: DataFrame, group: str) -> DataFrame:
     """trait, axis and segment for rows of one cluster each with name_: the name alone, or for clusters that share one, the
     name with a trait of the cluster's own and its rank along the axis on which those clusters lie farthest apart.

@@ -49,13 +49,13 @@ def week_gaps(frame: DataFrame, keys: Sequence[str], week: str) -> DataFrame:
 def rfm_quartiles(customers: DataFrame, columns: dict[str, bool], key: str = "customer_id") -> DataFrame:
     """Quartiles 1 to 4 of columns by ranks (ties by key); True turns a column's order round, so that 4 is the smallest.
 
-    The input is written once, and each column ranked from there in two levels.
+    The input and what each column adds are written, as ranks in two levels read their rows three times.
     """
     out = cut(customers)
     for column, reverse in columns.items():
         ranked, totals = running(out, [F.col(column), F.col(key)], rank="rank_")
         bucket = quantile_bucket(F.col("rank_"), F.lit(totals["rank_"]), 4)
-        out = ranked.withColumn(f"{column}_quartile", (5 - bucket if reverse else bucket).cast("int")).drop("rank_")
+        out = cut(ranked.withColumn(f"{column}_quartile", (5 - bucket if reverse else bucket).cast("int")).drop("rank_"))
     return out
 
 
