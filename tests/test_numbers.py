@@ -37,6 +37,12 @@ def test_ranking(spark):
     assert curve["roc_auc"] == round(18 / 21, 8) and curve["average_precision"] == round((1 + 1 + 3 / 6) / 3, 8)
 
 
+def test_curves_of_more_pairs_than_an_integer_holds(spark):
+    scored = spark.range(120_000).selectExpr("cast(id div 2 as double) as s", "cast(id % 2 as int) as l")
+    curve = M.curve_metrics(scored, "s", "l").first()
+    assert curve["roc_auc"] == 0.5 and curve["average_precision"] == 0.5
+
+
 def test_quantiles():
     assert I.critical_ratio(1.0) == pytest.approx(0.9928400954653939, abs=1e-12)
     assert normal_quantile(0.9928400954653939) == pytest.approx(2.44913921067312, abs=1e-9)
