@@ -135,6 +135,28 @@ def test_rows_dealt_otherwise_give_the_same_model(spark):
         assert np.array_equal(getattr(first, name), getattr(second, name))
 
 
+def test_levels_take_a_task_a_core_and_add_up_one_child(spark, monkeypatch):
+    monkeypatch.setattr(B, "ROWS_PER_TASK", 20)
+    grow, tasks, asked = B.grow, [], []
+
+    def watched(sums, chosen, settings):
+        def level_sums(tree, level):
+            got = sums(tree, level)
+            first = 2**level - 1
+            there = [first + k for k in range(2**level) if not level or tree.feature[(first + k - 1) // 2] >= 0]
+            asked.append(len(there))
+            for k, part in zip(there, np.swapaxes(sums.added(tree, there), 0, 1), strict=True):
+                assert np.array_equal(part, [x[k - first] for x in got])
+            return got
+
+        tasks.append(sums.blocks.getNumPartitions())
+        return grow(level_sums, chosen, settings)
+
+    monkeypatch.setattr(B, "grow", watched)
+    B.fit_boosted(table(spark), NAMES, settings=B.Settings(trees=12, depth=3, min_child_weight=5.0))
+    assert max(tasks) <= spark.sparkContext.defaultParallelism and max(asked) > 2
+
+
 def test_sampling_and_bounds(spark):
     settings = B.Settings(trees=4, depth=4, min_child_weight=40.0, subsample=0.5, colsample=0.4)
     model = B.fit_boosted(table(spark), NAMES, settings=settings)
