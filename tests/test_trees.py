@@ -215,6 +215,8 @@ def test_reasons_and_the_table_function(spark):
     key = lambda r: (r["customer_id"], r["feature_rank"])
     assert [(key(r), r["feature"], r["feature_value"]) for r in sorted(rows, key=key)] == [(key(r), r["feature"], r["feature_value"]) for r in sorted(want, key=key)]
     assert max(abs(a["contribution"] - b["contribution"]) for a, b in zip(sorted(rows, key=key), sorted(want, key=key), strict=True)) < 1e-12
+    one = function(frame.repartition(1).where("customer_id is not null").asTable(), F.lit("customer_id"), F.lit(1))
+    assert "Exchange hashpartitioning" not in one._jdf.queryExecution().executedPlan().toString()  # rows stay where they lie
     spark.udtf.register("churn_reasons", function)
     frame.where("customer_id < 3").createOrReplaceTempView("some_customers")
     told = spark.sql("SELECT * FROM churn_reasons(TABLE(some_customers), 'customer_id', 1) ORDER BY customer_id").collect()
