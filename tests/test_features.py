@@ -61,6 +61,7 @@ def test_unobservable_snapshots_are_dropped(lines):
 
 def test_leakage_guard(lines):
     found = X.churn_snapshots(lines, [DAY])
+    assert "Exchange hashpartitioning(snapshot_date" not in found._jdf.queryExecution().executedPlan().toString()  # what the join multiplies isn't shuffled
     X.assert_no_leakage(found, allow_labels=True)
     with pytest.raises(X.LeakageError):
         X.assert_no_leakage(found)
