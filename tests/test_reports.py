@@ -182,3 +182,10 @@ def test_weeks_follow_the_tables(spark, sf, tmp_path):
     assert got == sorted((t, float(y)) for t, y in con.execute(f"SELECT t, y FROM ({registry.oracle_sql()['series_total']})").fetchall())
     whole = star.span(spark, moved)
     assert len(got) == (datetime.date.fromisoformat(whole[1]) - datetime.date.fromisoformat(whole[0])).days // 7 and sum(y for _, y in got) > 0
+
+
+def test_a_panel_reads_the_lines_once(spark, sf):
+    from brasswork.sources import star
+
+    plan = star.panel(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan
