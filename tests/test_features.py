@@ -142,3 +142,10 @@ def test_contract_columns_and_files(spark, tmp_path):
     assert files.read_json(spark, str(tmp_path / "doc")).first()["a"] == [1, 2]
     (tmp_path / "a.md").write_text("# One\n```\n# not\n```\ntext\n## Two ##\n")
     assert [(r["level"], r["title"]) for r in files.markdown_headings(spark, str(tmp_path / "a.md")).collect()] == [(1, "One"), (2, "Two")]
+
+
+def test_broken_dependencies_need_no_distinct_values(spark):
+    frame = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (2, 4), (3, None), (3, 1), (4, None)], "k int, v int")
+    found = Q.dependency_breaches(frame, ["k"], "v")
+    assert found.first()["broken_keys"] == 1
+    assert "distinct" not in found._jdf.queryExecution().executedPlan().toString()
