@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_numbers import brute_density
 
-from brasswork.operators import density
+from brasswork.operators import density, segmentation
 
 
 def table(spark, x):
@@ -68,3 +68,21 @@ def test_boxes_tell_distances(spark):
         assert near <= away.min() + 1e-12 and far >= away.max() - 1e-12
         corners = max(((np.where(m, high_a, low_a) - np.where(k, high_b, low_b)) ** 2).sum() for m in np.ndindex(2, 2, 2) for k in np.ndindex(2, 2, 2))
         assert far == pytest.approx(corners)
+
+
+def test_rows_are_made_once_for_all_radii_and_starts(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def marked(x):
+        made.add(1)
+        return x
+
+    def frame():
+        made.value = 0
+        return spark.range(0, 200, 1, 2).select(F.col("id").alias("customer_id"), marked(F.pmod(F.xxhash64("id"), F.lit(1000)) / 10).alias("a"), (F.pmod(F.hash("id"), F.lit(1000)) / 10).alias("b"))
+
+    density.search(frame(), ["a", "b"], 5)[1].count()
+    assert made.value == 200
+    segmentation.fit_clusters(frame(), ["a", "b"], 2, 2).count()
+    assert made.value == 200
