@@ -67,6 +67,20 @@ def test_attributions_equal_all_subsets(seed):
     assert e.expected == pytest.approx(worth(e, x[0], set()))
 
 
+@pytest.mark.parametrize("most", (1, 30, 4096))
+def test_a_tree_is_one_table_or_few(monkeypatch, most):
+    """Rows look up a cell for a tree, not one for a leaf; smaller tables give the same."""
+    e = random_ensemble(7, trees=5)
+    x = np.append(np.random.default_rng(8).integers(-1, 6, (5000, 4)).astype(float), [[np.inf, -np.inf, 0.0, 9.0]], axis=0)
+    want = e.attributions(x)
+    monkeypatch.setattr(T, "MOST_CELLS", most)
+    other = random_ensemble(7, trees=5)
+    parts, odds = other.explained(x)
+    leaves = int((e.feature < 0).sum())
+    assert len(other.leaves.tables) == {1: leaves, 4096: 5}.get(most, len(other.leaves.tables)) and all(t.parts.shape[1] <= max(most, 2**4) for t in other.leaves.tables)
+    assert np.abs(parts - want).max() < 1e-12 and np.abs(odds - e.log_odds(x)).max() < 1e-12
+
+
 def test_ensembles_without_splits():
     none = T.TreeEnsemble(("f",), np.zeros(1), 0.7, *(np.empty(0, int),) * 2, np.empty(0), *(np.empty(0, int),) * 2, np.empty(0), np.empty(0))
     assert none.expected == 0.7 and none.log_odds(np.ones((2, 1))).tolist() == [0.7, 0.7] and none.attributions(np.ones((2, 1))).tolist() == [[0.0], [0.0]]
@@ -157,6 +171,20 @@ def test_levels_take_a_task_a_core_and_add_up_one_child(spark, monkeypatch):
     assert max(tasks) <= spark.sparkContext.defaultParallelism and max(asked) > 2
 
 
+def test_blocks_are_written_as_python_objects(spark, monkeypatch):
+    """Rows of a DataFrame would be turned to Python objects anew at every level of every tree."""
+    grow, seen = B.grow, []
+
+    def watched(sums, chosen, settings):
+        seen.append((sums.blocks, sums.blocks.is_cached, sums.blocks.isCheckpointed(), type(sums.blocks.first()), len(sums.new)))
+        return grow(sums, chosen, settings)
+
+    monkeypatch.setattr(B, "grow", watched)
+    B.fit_boosted(table(spark), NAMES, settings=B.Settings(trees=12, depth=2, min_child_weight=5.0))
+    assert [x[1:4] for x in seen] == [(True, True, tuple)] * 12 and [x[4] for x in seen] == [*range(10), 0, 1]
+    assert not any(blocks.is_cached for blocks, *_ in seen)  # none is kept beyond the fit
+
+
 def test_sampling_and_bounds(spark):
     settings = B.Settings(trees=4, depth=4, min_child_weight=40.0, subsample=0.5, colsample=0.4)
     model = B.fit_boosted(table(spark), NAMES, settings=settings)
