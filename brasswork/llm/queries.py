@@ -47,7 +47,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.digest_documents(spark, read_table(spark, sf_dir, "documents"))
+    return repeats.digest_documents(spark, read_table(spark, sf_dir, "documents"), passage=repeats.PASSAGE)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

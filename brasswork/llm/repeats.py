@@ -14,6 +14,9 @@ would move each many times, so suffixes are first told apart by what a repeated
 
 Copies of whole spans and bins, which most repeated bytes come from, are told by 128-bit hashes of their bytes and
 collapsed before the sort; the sort decides everything in which spans of one anchor differ.
+
+Two lengths are told in turn: each repeated string lies, here and where else it starts, in bytes that shorter repeated
+strings cover. So the shorter length is told on whole texts, the longer one within what the shorter one has covered.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from pyspark.sql.types import StructField, StructType
 from brasswork.llm.common import Scratch, doc_texts, row_key, slices
 from brasswork.llm.suffix_sort import sorted_classes
 
+PASSAGE = 240  # bytes of a repeated passage of about 50 words and the spaces between them
 BIN = 25  # starts of a bin
 PART_BINS = 1024  # bins of one core sorted at once
 TASK_BINS = 8192  # bins sorted by a task
@@ -111,12 +115,15 @@ def spans_of(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return text, first - before, last - before, anchor - before, grams[anchor], span
 
 
-def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Lists of (text, offset, bytes) of about a slice; a long text is cut so that each start of a string is in one piece."""
+def _pieces(texts: list[bytes], within: list[list[tuple[int, int]]], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Lists of (text, offset, bytes) of about a slice, of the texts' intervals that hold a string.
+
+    A long interval is cut so that each start of a string is in one piece.
+    """
     held, size = [], 0
-    for i, text in enumerate(texts):
-        for at in range(0, max(1, len(text) - length + 1), _SLICE):
-            piece = text[at : at + _SLICE + length - 1]
+    for i, a, b in ((i, a, b) for i, intervals in enumerate(within) for a, b in intervals if b - a >= length):
+        for at in range(a, b - length + 1, _SLICE):
+            piece = texts[i][at : min(b, at + _SLICE + length - 1)]
             held.append((i, at, piece))
             size += len(piece)
             if size >= _SLICE:
@@ -127,10 +134,15 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, by
 
 
 def _spans(keyed: DataFrame, length: int) -> DataFrame:
+    """Spans of whole texts, or of their intervals where such are given."""
+    given = "intervals" in keyed.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             keys = batch.column("key").to_numpy()
-            for held in _pieces([t.encode() for t in batch.column("text").to_pylist()], length):
+            texts = [t.encode() for t in batch.column("text").to_pylist()]
+            within = [merged(x.values) for x in batch.column("intervals")] if given else [[(0, len(t))] for t in texts]
+            for held in _pieces(texts, within, length):
                 text, first, last, anchor, gram, span = spans_of([p for _, _, p in held], length)
                 at = np.array([a for _, a, _ in held], np.int64)[text]
                 key = keys[np.array([i for i, _, _ in held], np.int64)[text]]
@@ -261,9 +273,10 @@ def _across_parts(packed: DataFrame, length: int) -> DataFrame:
     return packed.groupBy("hash_part").applyInPandas(run, "key long, start long, end long")
 
 
-def repeated_intervals(spark: SparkSession, documents: DataFrame, length: int = 400) -> DataFrame:
+def repeated_intervals(spark: SparkSession, documents: DataFrame, length: int = 400, within: DataFrame | None = None) -> DataFrame:
     """key (of doc_id and text), intervals array<struct<start, end>>: bytes that repeated strings cover, not yet merged.
 
+    `within` is what this function gave for the same documents and a smaller length; nothing outside it is searched then.
     Joins of spans and bins with a table of what is repeated among them may have hot keys. That table is written first,
     so that both sides are plain shuffles and adaptive execution splits a hot key's rows.
     """
@@ -271,6 +284,9 @@ def repeated_intervals(spark: SparkSession, documents: DataFrame, length: int =
         raise ValueError("length must be even and at least 50")
     scratch = Scratch(spark)
     texts = doc_texts(documents).select(row_key().alias("key"), "text")
+    if within is not None:
+        room = F.array_max("intervals.end") - F.array_min("intervals.start") >= length
+        texts = scratch.keep(texts.join(within.where(room).withColumnRenamed("key", "of"), F.col("key") == F.col("of")).drop("of"), "within")
     spans = scratch.keep(_spans(texts, length), "spans")
     differ = (F.min("span") != F.max("span")) | (F.min("span2") != F.max("span2"))
     grams = spans.groupBy("gram").agg(F.count("*").alias("n"), differ.alias("mixed")).where("n > 1")
@@ -302,7 +318,7 @@ def repeated_intervals(spark: SparkSession, documents: DataFrame, length: int =
     found = whole.union(binned).union(sorted_.where("hash_part is null").select("key", "start", "end")).union(across)
     # a set, so that rows that are repeated as wholes don't lengthen it
     found = scratch.keep(found.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("intervals")), "intervals")
-    scratch.drop("shared", "classes", "bins", "wholes", "cores", "sorted")
+    scratch.drop("within", "shared", "classes", "bins", "wholes", "cores", "sorted")
     return found
 
 
@@ -328,35 +344,56 @@ def kept_bytes(data: bytes, removed: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def _with_intervals(spark: SparkSession, documents: DataFrame, length: int) -> DataFrame:
-    """The columns of documents, named c0, c1, ..., beside `intervals`."""
-    found = repeated_intervals(spark, documents, length).withColumnRenamed("key", "found_key")
+def _with_intervals(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """The columns of documents, named c0, c1, ..., beside those of `found` but its key."""
+    found = found.withColumnRenamed("key", "found_key")
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.xxhash64(F.col("doc_id").cast("long"), text, F.length(text)).alias("key")
     plain = documents.select(key, *[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(documents.columns)])
     return plain.join(found, F.col("key") == F.col("found_key"), "left").drop("key", "found_key")
 
 
-def digest_documents(spark: SparkSession, documents: DataFrame, length: int = 400) -> DataFrame:
+def digest_documents(spark: SparkSession, documents: DataFrame, length: int = 400, passage: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text (what is kept) for each row.
 
+    If `passage`, a smaller length, is given, passage_removed, passage_spans and passage_text follow: the same by that length.
+
     Null texts count as empty, repeated rows as repeats of each other. Texts of any length are read whole; characters
-    that a removal cuts are missing from `text` but not from the checksum. An empty table gives no rows; columns other
-    than doc_id and text are left out.
+    that a removal cuts are missing from `text` and `passage_text` but not from the checksum. An empty table gives no rows;
+    columns other than doc_id and text are left out.
     """
+    if passage is not None and passage >= length:
+        raise ValueError("passage must be less than length")
+    kinds = {"doc_id": "long", "n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "text": "string"}
+    if passage is not None:
+        kinds |= {"passage_removed": "long", "passage_spans": "long", "passage_text": "string"}
+    types = [pa.int64() if k == "long" else pa.string() for k in kinds.values()]
+
+    def cut(data: bytes, intervals: pa.ListScalar) -> tuple[int, int, bytes]:
+        removed = merged(intervals.values)
+        return sum(b - a for a, b in removed), len(removed), kept_bytes(data, removed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             rows = []
-            for doc_id, text, intervals in zip(batch.column("c0").to_pylist(), batch.column("c1").to_pylist(), batch.column("intervals"), strict=True):
-                data, removed = (text or "").encode(), merged(intervals.values)
-                kept = kept_bytes(data, removed)
-                rows.append((doc_id, len(data), sum(b - a for a, b in removed), len(removed), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
+            for i, (doc_id, text) in enumerate(zip(batch.column("c0").to_pylist(), batch.column("c1").to_pylist(), strict=True)):
+                data = (text or "").encode()
+                n, spans, kept = cut(data, batch.column("intervals")[i])
+                row = (doc_id, len(data), n, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"))
+                if passage is not None:
+                    n, spans, kept = cut(data, batch.column("passages")[i])
+                    row += (n, spans, kept.decode("utf-8", "ignore"))
+                rows.append(row)
+            yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types)], names=list(kinds))
 
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_intervals(spark, narrow, length).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    if passage is None:
+        found = repeated_intervals(spark, narrow, length)
+    else:
+        shorter = repeated_intervals(spark, narrow, passage)
+        found = repeated_intervals(spark, narrow, length, shorter)
+        found = shorter.withColumnRenamed("intervals", "passages").join(found, "key", "left")
+    return _with_intervals(narrow, found).mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in kinds.items()))
 
 
 def remove_repeats(spark: SparkSession, documents: DataFrame, length: int = 400) -> DataFrame:
@@ -378,6 +415,6 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, length: int = 400)
             yield pa.record_batch(columns, names=[f"c{i}" for i in range(len(names))])
 
     kinds = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(documents.schema)])
-    found = _with_intervals(spark, documents, length).mapInArrow(run, kinds)
+    found = _with_intervals(documents, repeated_intervals(spark, documents, length)).mapInArrow(run, kinds)
     new_length = lambda i, f: F.length(f"c{at}").cast(f.dataType) if f.name == "n_chars" else F.col(f"c{i}")
     return found.select(*[new_length(i, f).alias(f.name) for i, f in enumerate(documents.schema)])

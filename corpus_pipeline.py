@@ -13,7 +13,7 @@ from brasswork.llm.common import Scratch, clear_scratch, read_table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Bytes from which on a passage that occurs elsewhere goes: about 50 words and the spaces between them.
-PASSAGE = 240
+PASSAGE = repeats.PASSAGE
 
 
 def recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -164,6 +164,42 @@ def test_repeats(spark, monkeypatch, length, part_bins):
         assert found[i]["n_bytes"] - found[i]["n_removed"] == len(kept)
 
 
+@pytest.mark.parametrize("length, passage, part_bins", [(100, 60, 3), (400, 240, 1024)])
+def test_repeats_of_two_lengths(spark, monkeypatch, length, passage, part_bins):
+    """A planted passage of 51 words has less than 400 bytes: the columns of the greater length leave it, those of the other don't."""
+    monkeypatch.setattr(repeats, "PART_BINS", part_bins)
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdeé") for _ in range(r.randint(3, 5))) for _ in range(2000)]
+    planted = " ".join(r.choice(words) for _ in range(51))
+    assert 240 <= len(planted.encode()) < 400
+    around = lambda: " ".join(r.choice(words) for _ in range(60))
+    texts = corpus(9) + [f"{around()} {planted} {around()}" for _ in range(3)]
+    texts += [texts[40], f"{around()} {texts[40]}", f"{planted} {texts[40]} {planted}"]
+    rows = repeats.digest_documents(spark, frame(spark, texts), length, passage).collect()
+    found = {x["doc_id"]: x for x in rows}
+    assert len(rows) == len(texts) and any(x["n_removed"] for x in rows)
+    for i, (kept, less) in enumerate(zip(brute_kept(texts, length), brute_kept(texts, passage), strict=True)):
+        assert found[i]["kept_sha256"] == hashlib.sha256(kept).hexdigest()
+        assert found[i]["n_removed"] == found[i]["n_bytes"] - len(kept)
+        assert found[i]["passage_removed"] == found[i]["n_bytes"] - len(less)
+        assert found[i]["passage_text"] == less.decode("utf-8", "ignore")
+    if length == 400:
+        alone = [found[i] for i, t in enumerate(texts) if t and planted in t and not t.startswith(planted)]
+        assert len(alone) == 3 and all(x["n_removed"] == 0 and x["text"].count(planted) == 1 for x in alone)
+        assert not any(planted in x["passage_text"] for x in rows)
+    with pytest.raises(ValueError):
+        repeats.digest_documents(spark, frame(spark, texts), 100, 100)
+
+
+def test_query_tells_short_passages(spark, tmp_path):
+    r = random.Random(2)
+    text = lambda k: " ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(k))
+    planted = text(55)
+    frame(spark, [f"{text(40)} {planted} {text(30)}", f"{text(20)} {planted}", text(200), None]).write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted(queries.op8_suffix_dedup(spark, str(tmp_path)).collect())
+    assert [(x["n_removed"], x["passage_spans"], planted in x["text"], planted in x["passage_text"]) for x in found] == [(0, 1, True, False)] * 2 + [(0, 0, False, False)] * 2
+
+
 def test_repeats_odd_rows(spark):
     docs = spark.createDataFrame([(1, "é" * 300), (1, "é" * 300), (None, "z" * 399), (2, None)], "doc_id long, text string")
     found = sorted((r["doc_id"] or 0, r["n_removed"]) for r in repeats.digest_documents(spark, docs).collect())
