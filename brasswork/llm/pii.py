@@ -202,16 +202,20 @@ def sanitised_spans(spark: SparkSession, documents: DataFrame, remove: float = 0
     A null text counts as empty. Repeated rows share their key and their spans. Words inside a mention go with it.
     """
     scratch = Scratch(spark)
-    mentions = scratch.keep(base_mentions(documents), "mentions")
-    disclosing = disclosing_terms(mentions, scratch, generalise, least_texts)
+    found = scratch.keep(base_mentions(documents), "found")
+    disclosing = disclosing_terms(found, scratch, generalise, least_texts)
     disclosing = scratch.keep(disclosing.groupBy("code").agg((F.max("disclosure") >= remove).alias("removed")), "disclosing")
     scratch.drop("texts", "entities", "counts")
     told = F.broadcast(disclosing) if disclosing.count() <= FEW else disclosing
-    hits = mentions.select("key", F.explode("codes").alias("code")).join(told, "code")
-    hits = hits.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("code", "removed"))).alias("flags")).withColumnRenamed("key", "hit_key")
-    terms = doc_texts(documents).withColumn("key", row_key()).join(hits, F.col("key") == F.col("hit_key")).select(F.col("key").alias("terms_key"), _term_places(F.col("text"), F.col("flags")).alias("terms"))
+    hits = found.select("key", F.explode("codes").alias("code")).join(told, "code")
+    hits = scratch.keep(hits.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("code", "removed"))).alias("flags")).withColumnRenamed("key", "hit_key"), "hits")
+    # codes take more room than all else, and hits are the last to read them: they go before texts are shuffled
+    mentions = scratch.keep(found.select("key", "doc_id", "mentions"), "mentions")
+    scratch.drop("found", "disclosing")
+    # hits grow with the table: they are dealt out like the texts at any size
+    terms = doc_texts(documents).withColumn("key", row_key()).join(hits.hint("merge"), F.col("key") == F.col("hit_key")).select(F.col("key").alias("terms_key"), _term_places(F.col("text"), F.col("flags")).alias("terms"))
     terms = scratch.keep(terms.dropDuplicates(["terms_key"]), "terms")
-    scratch.drop("disclosing")
+    scratch.drop("hits")
     outside = F.filter("terms", lambda t: ~F.exists("mentions", lambda m: (m["start"] < t["end"]) & (t["start"] < m["end"])))
     return mentions.join(terms, F.col("key") == F.col("terms_key"), "left").select("key", "doc_id", "mentions", outside.alias("terms"))
 

@@ -8,6 +8,7 @@ import random
 import re
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -330,6 +331,27 @@ def test_terms_that_reveal_go_wherever_they_stand(spark):
     assert "[EMAIL]" in clean[0] and clean[20] == texts[20] and not re.search("quentinius|xy|77301", " ".join(clean.values()), re.I)
 
 
+def test_codes_of_words_go_before_texts_are_shuffled(spark, monkeypatch):
+    """Codes of all words are most of what is written; they are gone when the texts meet their terms, and so is what told these."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
+    texts = [" ".join(word() for _ in range(200)) + (f" Quentinius at q@who.example {i}" if i % 50 == 0 else "") for i in range(500)]
+    written, left, keep = {}, {}, Scratch.keep
+
+    def kept(self, frame_, name):
+        out = keep(self, frame_, name)
+        files = [p for p in Path(self.base).rglob("*.parquet")]
+        written[name] = sum(p.stat().st_size for p in files)
+        left[name] = {p.parent.name for p in files}
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    rows = pii.digest_documents(spark, frame(spark, texts)).collect()
+    assert sum("term" in x["spans"] for x in rows) == 10
+    assert max(written.values()) > 500 * 200 * 8 and written["terms"] < max(written.values()) / 4
+    assert "hits" not in {p.parent.name for p in Path(Scratch.made[-1].base).rglob("*.parquet")} and left["terms"] == {"hits", "mentions", "terms"}
+
+
 def test_pii_odd_rows(spark):
     docs = spark.createDataFrame([(None, "mail a@b.cd"), (1, "mail a@b.cd"), (1, "mail a@b.cd"), (2, None)], "doc_id long, text string")
     assert sorted(r["n_email"] for r in pii.digest_documents(spark, docs).collect()) == [0, 1, 1, 1]
