@@ -149,3 +149,15 @@ def test_broken_dependencies_need_no_distinct_values(spark):
     found = Q.dependency_breaches(frame, ["k"], "v")
     assert found.first()["broken_keys"] == 1
     assert "distinct" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_lies_before_every_window_is_not_multiplied(spark):
+    days = [dt.date(2001, m, 28) for m in (1, 2, 3)]
+    rows = [(1, 10 + k, dt.date(2000, 1, 1) + dt.timedelta(k)) for k in range(100)] + [(1, 200, dt.date(2001, 2, 1)), (2, 201, dt.date(2000, 5, 5)), (3, 202, dt.date(2001, 4, 1)), (4, 203, None)]
+    bought = spark.createDataFrame(rows, "customer_id long, transaction_id long, date date").selectExpr("*", "1L as lines", "cast(2 as decimal(18,4)) as amount", "3L as units", "0L as promo", "0.0D as discount", "1L as discounts", "0L as online", "array('A') as categories")
+    assert X._seen(bought, days, 30, 30).count() == 101 + 3 + 1  # days before 2000-12-30 come once
+    found = {(r["customer_id"], r["snapshot_date"].month): (r["first_purchase"], r["last_purchase"], r["frequency"], r["later"]) for r in X._at_snapshots(bought, days, 30, 30).collect()}
+    first, last, new, lone = dt.date(2000, 1, 1), dt.date(2000, 4, 9), dt.date(2001, 2, 1), dt.date(2000, 5, 5)
+    want = {(1, 1): (first, last, 0, True), (1, 2): (first, new, 1, False), (1, 3): (first, new, 0, False)} | {(2, m): (lone, lone, 0, False) for m in (1, 2, 3)}
+    assert found == want
+    assert X._at_snapshots(bought, [], 30, 30).count() == 0

@@ -258,3 +258,21 @@ def test_at_risk_takes_a_share_of_all_rows(spark):
     got = [r["customer_id"] for r in C.at_risk(scores, DAY, 0.2).collect()]
     rows = sorted(((r["churn_score"], r["customer_id"]) for r in scores.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
     assert sorted(got) == sorted(c for _, c in rows[:1000])
+
+
+def test_metrics_score_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def marked(x):
+        made.add(1)
+        return x
+
+    rows = spark.range(0, 300, 1, 3).selectExpr("id as customer_id", "cast(id % 2 as int) as churn", "(id * 37 % 101) / 100.0D as score")
+    C.evaluate(rows.select("customer_id", "churn", marked("score").alias("churn_score"))).collect()
+    assert made.value == 300
+
+
+def test_rows_dealt_otherwise_give_the_same_trees_of_spark(spark):
+    first, second = (C.score(C.fit_model(table(spark).repartition(n, "b"), NAMES, trees=3), table(spark), NAMES).orderBy("customer_id").collect() for n in (1, 5))
+    assert first == second
