@@ -86,3 +86,18 @@ def test_rows_are_made_once_for_all_radii_and_starts(spark):
     assert made.value == 200
     segmentation.fit_clusters(frame(), ["a", "b"], 2, 2).count()
     assert made.value == 200
+
+
+def test_blocks_apart_in_later_columns_do_not_meet(spark, monkeypatch):
+    """Heaps that lie together in the columns of the grid and far apart in a later one: a heap meets itself alone."""
+    monkeypatch.setattr(density, "BLOCK", 20)
+    r = np.random.default_rng(5)
+    x = np.concatenate([np.column_stack([r.uniform(0.01, 0.09, (100, 4)), r.uniform(0.01, 0.09, 100) + 5 * k]) for k in range(6)])
+    rows = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, v array<double>")
+    placed, cells = density._placed(rows, 0.5, 5)
+    dealt, pairs = density._blocks(placed, cells, 0.5, 5)
+    sizes = [row["count"] for row in dealt.groupBy("block").count().collect()]
+    assert sum(sizes) == 600 and max(sizes) <= 60
+    assert pairs.count() <= 6 * 21  # of 30 blocks, 465 pairs
+    heap = {row["block"]: row["heap"] for row in dealt.groupBy("block").agg(F.max(F.floor(F.col("v")[4] / 5)).alias("heap")).collect()}
+    assert all(heap[p["low"]] == heap[p["high"]] for p in pairs.collect())
